@@ -127,7 +127,7 @@ def churner_age_at_last_churn(crm: DataFrame) -> DataFrame:
     return (
         crm.where(F.col("churn_ts").isNotNull())
         .groupBy(X.pad_key("account_id").alias("contract"), churn_date().alias("churn_date"))
-        .agg(F.max("age_months").alias("max_age"))
+        .agg(F.max("age_months").alias("max_age"), F.min(F.to_date("install_ts")).alias("first_install"))
     )
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from subscope.functions import exprs as X
 from subscope.params import ReportParams
 
-NULL_S = F.lit(None).cast("string")
+
+def _null_s():
+    return F.lit(None).cast("string")
 
 
 def disconnect_orders(orders: DataFrame, p: ReportParams) -> DataFrame:
@@ -50,13 +52,14 @@ def disconnect_reason_split(orders: DataFrame, p: ReportParams) -> DataFrame:
     )
     first = F.least("d_inv", "d_vol", "d_none")
     c = F.col("contract")
+    null_s = _null_s()
 
     def cls(day, inv, vol):
         return F.struct(
             (F.col(day) == first).alias("hit"), inv.alias("involuntary_id"), vol.alias("voluntary_id")
         )
 
-    classes = F.array(cls("d_inv", c, NULL_S), cls("d_vol", NULL_S, c), cls("d_none", NULL_S, NULL_S))
+    classes = F.array(cls("d_inv", c, null_s), cls("d_vol", null_s, c), cls("d_none", null_s, null_s))
     return per_contract.select(
         "contract", first.alias("opened_on"), F.inline(F.filter(classes, lambda s: s["hit"]))
     ).drop("hit")
