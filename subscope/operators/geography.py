@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from subscope.functions import exprs as X
-from subscope.operators.joins import broadcast_if_small
+from subscope.operators.joins import dimension
 from subscope.params import ReportParams
 
 LOCATION = ["district_code", "canton_code", "province_code"]
@@ -67,7 +67,7 @@ def district_match_full(located: DataFrame, districts: DataFrame, p: ReportParam
                         how: str = "inner") -> DataFrame:
     """CRM locations matched to the catalogue on upper-cased folded
     district, canton and province. ``how='left'`` keeps unmatched CRM rows."""
-    cat = broadcast_if_small(district_catalog_folded(districts), p.max_broadcast_rows)
+    cat = dimension(district_catalog_folded(districts))
     cond = (
         (located["district_code"] == cat["k_district"])
         & (located["canton_code"] == cat["k_canton"])
@@ -91,7 +91,7 @@ def district_match_name_only(crm: DataFrame, districts: DataFrame, p: ReportPara
     per_acct = crm.groupBy("account_id", F.trim("district_code").alias("district_code")).agg(
         F.max("snapshot_date").alias("last_snapshot")
     )
-    names = broadcast_if_small(district_names_folded(districts), p.max_broadcast_rows)
+    names = dimension(district_names_folded(districts))
     j = per_acct.join(names, per_acct["district_code"] == names["k_district"], "left")
     return j.select(
         "district", "district_code", X.pad_key("account_id").alias("account"), "last_snapshot"

@@ -1,4 +1,18 @@
-"""Join helpers: size-checked broadcast of dimension tables."""
+"""Join helpers: which side may be broadcast, and why.
+
+Two cases only:
+
+- ``dimension``: a side whose size is *not* bounded by construction (the
+  district catalogue, a distinct set of codes). No hint is given; Spark
+  broadcasts it only if its estimated size is below
+  ``spark.sql.autoBroadcastJoinThreshold`` when planning, or if the
+  materialised stage is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``
+  at run time (AQE). Beyond those checks the join stays a shuffled
+  sort-merge join, so a catalogue that grows never overflows executor memory.
+- ``bounded_broadcast``: a side whose row count is bounded by construction
+  (a global aggregate with one row, or one row per requested month); the
+  caller states the bound next to the call.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (a bounded job). Beyond
-    the bound the plain DataFrame is returned and the optimizer (AQE with its
-    runtime size threshold) picks a shuffled join instead.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def dimension(df: DataFrame) -> DataFrame:
+    """Mark ``df`` as a dimension side: broadcast is left to Spark's size
+    checks (no unconditional hint)."""
+    return df
 
 
 def bounded_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a relation whose size is bounded by construction (a global
-    aggregate, or one row per parameter value); callers state the bound."""
+    """Broadcast a relation whose size is bounded by construction."""
     return F.broadcast(df)

@@ -38,8 +38,6 @@ class ReportParams:
     churn_horizon_months: int = 3
     # churn rate by district: optional split by month of the last snapshot
     by_month: bool = False
-    # upper bound on rows of a dimension table that may be broadcast
-    max_broadcast_rows: int = 1_000_000
 
 
 DEFAULT_PARAMS = ReportParams()

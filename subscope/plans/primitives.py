@@ -14,7 +14,7 @@ from subscope.operators import orders as O
 from subscope.operators import pricing as PR
 from subscope.operators import revenue as R
 from subscope.operators import sales as S
-from subscope.operators.joins import bounded_broadcast, broadcast_if_small
+from subscope.operators.joins import bounded_broadcast, dimension
 from subscope.params import DEFAULT_PARAMS, ReportParams
 from subscope.sources.tables import Tables
 
@@ -81,14 +81,14 @@ def _trimmed_codes(t: Tables) -> DataFrame:
 
 def join_left_outer(t: Tables, p: ReportParams = P) -> DataFrame:
     cat = _folded_catalog_rows(t)
-    codes = broadcast_if_small(_trimmed_codes(t), p.max_broadcast_rows)
+    codes = dimension(_trimmed_codes(t))
     return cat.join(codes, cat["k_district"] == codes["district_code"], "left").select("district", "district_code")
 
 
 def join_right_outer(t: Tables, p: ReportParams = P) -> DataFrame:
     """Catalogue right-outer distinct CRM codes, written as codes left-outer
     catalogue (the preserved side is the larger one)."""
-    cat = broadcast_if_small(_folded_catalog_rows(t), p.max_broadcast_rows)
+    cat = dimension(_folded_catalog_rows(t))
     codes = _trimmed_codes(t)
     return codes.join(cat, cat["k_district"] == codes["district_code"], "left").select("district", "district_code")
 
@@ -108,7 +108,7 @@ def join_fanout_active_months(t: Tables, p: ReportParams = P) -> DataFrame:
     last = t.crm.groupBy(X.month_start("snapshot_date").alias("month")).agg(
         F.max("snapshot_date").alias("last_date")
     )
-    last = broadcast_if_small(last, p.max_broadcast_rows)  # one row per calendar month
+    last = dimension(last)  # one row per calendar month
     me = t.crm.join(last, t.crm["snapshot_date"] == last["last_date"]).select("account_id", "month")
     j = me.join(R.active_month_tenure(t.crm, p), "account_id")
     return j.groupBy("month", "active_month").agg(F.count(F.lit(1)).alias("rows"))
@@ -255,7 +255,7 @@ def _month_end_mrc(t: Tables, p: ReportParams) -> DataFrame:
     and the previous month's value (window over at most one row per month
     and account, after the aggregate)."""
     last = t.crm.groupBy(X.month_start("snapshot_date").alias("month")).agg(F.max("snapshot_date").alias("last_date"))
-    last = broadcast_if_small(last, p.max_broadcast_rows)  # one row per calendar month
+    last = dimension(last)  # one row per calendar month
     rows = t.crm.join(last, t.crm["snapshot_date"] == last["last_date"])
     per = rows.groupBy("account_id", "month").agg(F.sum(X.net_recurring_charge()).alias("mrc"))
     w = Window.partitionBy("account_id").orderBy("month")

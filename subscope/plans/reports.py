@@ -17,7 +17,7 @@ from subscope.operators import geography as G
 from subscope.operators import revenue as R
 from subscope.operators import sales as S
 from subscope.operators.bundles import last_snapshot_bundles
-from subscope.operators.joins import broadcast_if_small
+from subscope.operators.joins import dimension
 from subscope.operators.pricing import plan_speed_price as _plan_speed_price
 from subscope.params import DEFAULT_PARAMS, ReportParams
 from subscope.sources.tables import Tables
@@ -108,7 +108,7 @@ def _district_churners(t: Tables, p: ReportParams, month: int | None, with_tenur
     att = C.churn_core_by_location(t.crm, t.orders, p, with_tenure)
     if month is not None:
         att = att.where(F.col("last_churn_month") == month)
-    cat = broadcast_if_small(G.district_catalog_folded(t.districts), p.max_broadcast_rows)
+    cat = dimension(G.district_catalog_folded(t.districts))
     j = att.join(
         cat,
         (att["district_code"] == cat["k_district"])

@@ -134,9 +134,23 @@ def districts_from_nation(nation: DataFrame) -> DataFrame:
     return S.conform(out, S.DISTRICT_INDEX)
 
 
+_MEMO: dict[tuple[int, str], tuple[SparkSession, Tables]] = {}
+
+
 def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The five canonical tables as lazy views over ``sf_dir``'s parquet."""
+    """The five canonical tables as lazy views over ``sf_dir``'s parquet.
+
+    The DataFrame objects (plans, not data) are built once per session and
+    directory, like views defined once; every query still generates the rows
+    from the parquet files when it runs."""
+    key = (id(spark), sf_dir)
+    hit = _MEMO.get(key)
+    if hit is None or hit[0] is not spark:
+        hit = _MEMO[key] = (spark, _build(spark, sf_dir))
+    return hit[1]
+
 
+def _build(spark: SparkSession, sf_dir: str) -> Tables:
     def rd(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
