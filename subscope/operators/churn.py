@@ -43,18 +43,39 @@ def account_churn_summary(crm: DataFrame) -> DataFrame:
     return crm.groupBy("account_id").agg(*aggs).withColumn("contract", X.pad_key("account_id"))
 
 
-def crm_last_churn(summary: DataFrame) -> DataFrame:
+def churn_roles(summary: DataFrame, p: ReportParams) -> DataFrame:
+    """All per-account facts the churn core needs, as one row set keyed by
+    the padded contract: ``role`` 'L' = last churn passing the month test
+    (G03), 'F' = first churn in the report year (G06), 'B' = first churn in
+    the year under a bundle label (G09).
+
+    Every consumer filters this one relation by role, so the aggregate below
+    it is the same plan in every branch and Spark computes (and shuffles) it
+    once: the CRM table is scanned a single time for the whole core.
+    """
+    last_ok = "CASE WHEN month(last_churn) = month(last_snapshot) THEN last_churn END"
+    first_ok = f"CASE WHEN year(first_churn) = {int(p.year)} THEN first_churn END"
+    rows = [f"'L', CAST(NULL AS STRING), {last_ok}", f"'F', CAST(NULL AS STRING), {first_ok}"]
+    for name, label in _BUNDLE_SLOTS:
+        lab = "CAST(NULL AS STRING)" if label is None else repr(label)
+        rows.append(f"'B', {lab}, CASE WHEN year({name}) = {int(p.year)} THEN {name} END")
+    return summary.selectExpr(
+        "account_id", "contract", f"stack({len(rows)}, {', '.join(rows)}) AS (role, bundle, day)"
+    ).where(F.col("day").isNotNull())
+
+
+def crm_last_churn(roles: DataFrame) -> DataFrame:
     """Last churn date per raw account, kept when its month equals the
     month of the account's last snapshot (month numbers only, T4)."""
-    return summary.where(F.month("last_churn") == F.month("last_snapshot")).select(
-        "account_id", "contract", "last_churn", F.month("last_churn").alias("last_churn_month")
+    return roles.where(F.col("role") == "L").select(
+        "account_id", "contract", F.col("day").alias("last_churn"), F.month("day").alias("last_churn_month")
     )
 
 
-def crm_first_churn(summary: DataFrame, p: ReportParams) -> DataFrame:
+def crm_first_churn(roles: DataFrame) -> DataFrame:
     """First churn date per raw account, kept when in the report year."""
-    return summary.where(F.year("first_churn") == p.year).select(
-        "account_id", "contract", "first_churn", F.month("first_churn").alias("first_churn_month")
+    return roles.where(F.col("role") == "F").select(
+        "account_id", "contract", F.col("day").alias("first_churn"), F.month("day").alias("first_churn_month")
     )
 
 
@@ -96,28 +117,20 @@ def churn_order_attribution(real: DataFrame, split: DataFrame, p: ReportParams,
     )
 
 
-def bundle_at_first_churn(summary: DataFrame, p: ReportParams, distinct: bool = True) -> DataFrame:
+def bundle_at_first_churn(roles: DataFrame, distinct: bool = True) -> DataFrame:
     """Per (account, bundle label) the first churn date under that
     label, kept when in the report year; keyed by padded contract.
-
-    Unpivots the conditional minima of :func:`account_churn_summary`.
     ``distinct=False`` skips the final dedupe for callers that only count
-    distinct values downstream.
-    """
-    pairs = ", ".join(
-        f"{'CAST(NULL AS STRING)' if label is None else repr(label)}, {name}" for name, label in _BUNDLE_SLOTS
-    )
-    out = summary.selectExpr(
-        "contract", f"stack({len(_BUNDLE_SLOTS)}, {pairs}) AS (bundle, bundle_first_churn)"
-    ).where(F.year("bundle_first_churn") == p.year)
+    distinct values downstream."""
+    out = roles.where(F.col("role") == "B").select("contract", "bundle", F.col("day").alias("bundle_first_churn"))
     return out.distinct() if distinct else out
 
 
 def churn_core(crm: DataFrame, orders: DataFrame, p: ReportParams) -> tuple[DataFrame, DataFrame]:
-    """(summary, attribution) for the account-level churn reports."""
-    summary = account_churn_summary(crm)
-    real = real_churners(crm_last_churn(summary), crm_first_churn(summary, p))
-    return summary, churn_order_attribution(real, disconnect_reason_split(orders, p), p)
+    """(roles, attribution) for the account-level churn reports."""
+    roles = churn_roles(account_churn_summary(crm), p)
+    real = real_churners(crm_last_churn(roles), crm_first_churn(roles))
+    return roles, churn_order_attribution(real, disconnect_reason_split(orders, p), p)
 
 
 def churner_age_at_last_churn(crm: DataFrame) -> DataFrame:
@@ -159,6 +172,6 @@ def churn_core_by_location(crm: DataFrame, orders: DataFrame, p: ReportParams,
     """Attribution rows carrying the churner's trimmed location (and tenure)."""
     extra = LOCATION + (["tenure"] if with_tenure else [])
     last = crm_last_churn_by_location(crm, with_tenure)
-    first = crm_first_churn(account_churn_summary(crm), p)
+    first = crm_first_churn(churn_roles(account_churn_summary(crm), p))
     real = real_churners(last, first, extra)
     return churn_order_attribution(real, disconnect_reason_split(orders, p), p, extra)

@@ -44,8 +44,8 @@ def join_inner_multi_key(t: Tables, p: ReportParams = P) -> DataFrame:
 
 
 def join_interval_months(t: Tables, p: ReportParams = P) -> DataFrame:
-    s = C.account_churn_summary(t.crm)
-    real = C.real_churners(C.crm_last_churn(s), C.crm_first_churn(s, p))
+    roles = C.churn_roles(C.account_churn_summary(t.crm), p)
+    real = C.real_churners(C.crm_last_churn(roles), C.crm_first_churn(roles))
     split = O.disconnect_reason_split(t.orders, p).withColumnRenamed("contract", "s_contract")
     lead = X.month_diff("first_churn", "opened_on")
     j = real.join(

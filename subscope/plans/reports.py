@@ -51,8 +51,8 @@ def bundle_churners_by_month(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> Dat
     """Attributed churners per month of the last churn and bundle held
     at the first churn, split voluntary / involuntary. An account whose
     bundle changed on its first-churn date counts in each bundle (T15)."""
-    summary, att = C.churn_core(t.crm, t.orders, p)
-    bun = C.bundle_at_first_churn(summary, p, distinct=False).withColumnRenamed("contract", "b_contract")
+    roles, att = C.churn_core(t.crm, t.orders, p)
+    bun = C.bundle_at_first_churn(roles, distinct=False).withColumnRenamed("contract", "b_contract")
     j = att.join(bun, (att["contract"] == bun["b_contract"]) & (att["first_churn"] == bun["bundle_first_churn"]))
     j = j.select(F.col("last_churn_month").alias("month"), "bundle", "contract", "voluntary_id", "involuntary_id")
     return churn_counts(j, ["month", "bundle"]).orderBy("month", "bundle")
@@ -74,8 +74,8 @@ def bundle_active_tenure(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFra
 def bundle_churner_tenure(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
     """P01 split by the 14-band tenure of the churner's maximum age over
     the CRM rows dated on its last churn."""
-    summary, att = C.churn_core(t.crm, t.orders, p)
-    bun = C.bundle_at_first_churn(summary, p, distinct=False).withColumnRenamed("contract", "b_contract")
+    roles, att = C.churn_core(t.crm, t.orders, p)
+    bun = C.bundle_at_first_churn(roles, distinct=False).withColumnRenamed("contract", "b_contract")
     j = att.join(bun, (att["contract"] == bun["b_contract"]) & (att["first_churn"] == bun["bundle_first_churn"]))
     ages = C.churner_age_at_last_churn(t.crm).withColumnRenamed("contract", "g_contract")
     j = j.join(ages, (j["contract"] == ages["g_contract"]) & (j["last_churn"] == ages["churn_date"]))

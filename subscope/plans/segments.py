@@ -28,7 +28,7 @@ def disconnect_reason_split(t: Tables, p: ReportParams = P) -> DataFrame:
 
 
 def crm_last_churn(t: Tables, p: ReportParams = P) -> DataFrame:
-    return C.crm_last_churn(C.account_churn_summary(t.crm)).select(
+    return C.crm_last_churn(C.churn_roles(C.account_churn_summary(t.crm), p)).select(
         "contract", "last_churn", "last_churn_month"
     ).distinct()
 
@@ -42,14 +42,14 @@ def crm_last_churn_by_location_tenure(t: Tables, p: ReportParams = P) -> DataFra
 
 
 def crm_first_churn(t: Tables, p: ReportParams = P) -> DataFrame:
-    return C.crm_first_churn(C.account_churn_summary(t.crm), p).select(
+    return C.crm_first_churn(C.churn_roles(C.account_churn_summary(t.crm), p)).select(
         "contract", "first_churn", "first_churn_month"
     ).distinct()
 
 
 def real_churners(t: Tables, p: ReportParams = P) -> DataFrame:
-    s = C.account_churn_summary(t.crm)
-    return C.real_churners(C.crm_last_churn(s), C.crm_first_churn(s, p))
+    roles = C.churn_roles(C.account_churn_summary(t.crm), p)
+    return C.real_churners(C.crm_last_churn(roles), C.crm_first_churn(roles))
 
 
 def churn_order_attribution(t: Tables, p: ReportParams = P) -> DataFrame:
@@ -57,7 +57,7 @@ def churn_order_attribution(t: Tables, p: ReportParams = P) -> DataFrame:
 
 
 def bundle_at_first_churn(t: Tables, p: ReportParams = P) -> DataFrame:
-    return C.bundle_at_first_churn(C.account_churn_summary(t.crm), p)
+    return C.bundle_at_first_churn(C.churn_roles(C.account_churn_summary(t.crm), p))
 
 
 def last_snapshot_per_account_month(t: Tables, p: ReportParams = P) -> DataFrame:
