@@ -13,21 +13,20 @@ def with_prelude(body: str) -> str:
     return f"WITH {PRELUDE},\n{body}"
 
 
-def oracle_sql() -> dict[str, str]:
+def standalone(body: str) -> str:
+    """The statement without the fixture prelude, for canonical tables that
+    already exist under their names (e.g. a hand-made edge fixture)."""
+    body = body.strip()
+    return body if body.upper().startswith("SELECT") else f"WITH {body}"
+
+
+def oracle_bodies() -> dict[str, str]:
+    from subscope.oracle.primitives_sql import PRIMITIVE_SQL
     from subscope.oracle.reports_sql import REPORT_SQL
+    from subscope.oracle.segments_sql import SEGMENT_SQL
 
-    bodies: dict[str, str] = {}
-    bodies.update(REPORT_SQL)
-    try:
-        from subscope.oracle.segments_sql import SEGMENT_SQL
-
-        bodies.update(SEGMENT_SQL)
-    except ImportError:
-        pass
-    try:
-        from subscope.oracle.primitives_sql import PRIMITIVE_SQL
-
-        bodies.update(PRIMITIVE_SQL)
-    except ImportError:
-        pass
-    return {k: with_prelude(v) for k, v in bodies.items()}
+    return {**REPORT_SQL, **SEGMENT_SQL, **PRIMITIVE_SQL}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: with_prelude(v) for k, v in oracle_bodies().items()}

@@ -21,20 +21,14 @@ def _bind(builder) -> QueryFn:
     return run
 
 
-def queries() -> dict[str, QueryFn]:
+def builders() -> dict:
+    """key -> builder(Tables, ReportParams) for every registered query."""
+    from subscope.plans.primitives import PRIMITIVES
     from subscope.plans.reports import REPORTS
+    from subscope.plans.segments import SEGMENTS
 
-    out: dict[str, QueryFn] = {k: _bind(f) for k, f in REPORTS.items()}
-    try:
-        from subscope.plans.segments import SEGMENTS
+    return {**REPORTS, **SEGMENTS, **PRIMITIVES}
 
-        out.update({k: _bind(f) for k, f in SEGMENTS.items()})
-    except ImportError:
-        pass
-    try:
-        from subscope.plans.primitives import PRIMITIVES
 
-        out.update({k: _bind(f) for k, f in PRIMITIVES.items()})
-    except ImportError:
-        pass
-    return out
+def queries() -> dict[str, QueryFn]:
+    return {k: _bind(f) for k, f in builders().items()}
