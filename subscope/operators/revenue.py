@@ -1,10 +1,10 @@
 """Recurring-charge trend of retained customers.
 
 Scale notes: the month tables are bounded by the parameter lists (at most
-one row per requested month), so they are broadcast; the per-account work is
-a pivot (one partially-aggregated groupBy on the account) done *before* the
-fan-out to active months, and the churned accounts are removed with a
-left-anti join.
+one row per requested month), so they are broadcast. The report itself
+(:func:`non_churner_charge_evolution`) is one per-account aggregate over a
+union of pruned CRM slices; the literal-grain segments G24-G27 are kept as
+separate functions (anti join, fan-out join) for their own queries.
 """
 
 from __future__ import annotations
@@ -155,14 +155,85 @@ def charge_trend(pv: DataFrame) -> DataFrame:
 
 
 def non_churner_charge_evolution(crm: DataFrame, p: ReportParams) -> DataFrame:
-    """P04 body: pivot per account before the fan-out to active months.
+    """P04 body as one per-account aggregate.
+
+    1. ``month_stats``: table-wide last snapshot per month over the parameter
+       window (one row per month, broadcast). The analysis-month numbering
+       (G23), the bounds and the month-end dates (G25) all derive from it.
+    2. Three column- and date-pruned slices of the CRM table are unioned:
+       churn facts of every row (G24 needs the account's last churn and last
+       snapshot over all time), month-end charge rows (G27), and active-month
+       rows (G26).
+    3. One groupBy on the account (partially aggregated, so a hot account
+       never gathers its rows in one task) computes the churn test, the
+       pivot of charges per month order (G28) and one flag per (active
+       month, tenure) slot - a fixed-width pivot over the parameter lists,
+       at most ``len(active_months) * 4`` slots.
+    4. Churned accounts (churn month within the horizon) and accounts with no
+       month-end row are dropped; the flags are unpivoted into one row per
+       (active month, tenure), which is the literal fan-out of T16.
+
+    No join between two large relations remains; the CRM table is shuffled
+    once, as partial aggregates.
+    """
+    lo, hi = static_window(p)
+    stats = (
+        crm.where(F.col("snapshot_date").between(F.lit(lo), F.lit(hi)))
+        .groupBy(X.month_start("snapshot_date").alias("month"))
+        .agg(F.max("snapshot_date").alias("last_date"))
+    )
+    mo = stats.where(F.col("month").isin(*p.analysis_months)).select(
+        "month", "last_date", F.row_number().over(Window.orderBy("month")).alias("month_order")
+    )  # at most len(analysis_months) rows: the window needs no partition key
+    bounds = month_bounds(mo, p)  # one row
+    month_end = bounded_broadcast(mo.select("last_date", "month_order"))  # <= len(analysis_months) rows
+
+    null = {c: F.lit(None).cast(t) for c, t in (
+        ("churn_ts", "timestamp"), ("snapshot_date", "date"), ("month_order", "int"), ("mrc_total", "double"),
+        ("billing_total", "double"), ("active_month", "date"), ("tenure", "string"))}
+    cols = list(null)
+
+    def part(df: DataFrame, **have) -> DataFrame:
+        return df.select("account_id", *[have.get(c, null[c]).alias(c) for c in cols])
+
+    facts = part(crm, churn_ts=F.col("churn_ts"), snapshot_date=F.col("snapshot_date"))
+    a_lo, a_hi = min(p.analysis_months), _month_end(max(p.analysis_months))
+    rows = crm.where(F.col("snapshot_date").between(F.lit(a_lo), F.lit(a_hi)))
+    rows = rows.join(month_end, rows["snapshot_date"] == month_end["last_date"])
+    charges = part(rows, month_order=F.col("month_order"), mrc_total=X.net_recurring_charge(),
+                   billing_total=X.billed_total())
+    act_lo, act_hi = min(p.active_months), _month_end(max(p.active_months))
+    act = crm.where(F.col("snapshot_date").between(F.lit(act_lo), F.lit(act_hi))).where(
+        X.month_start("snapshot_date").isin(*p.active_months)
+    )
+    active = part(act, active_month=X.month_start("snapshot_date"), tenure=X.tenure_band_3("age_months"))
+
+    slots = [(m, t) for m in p.active_months for t in [label for _, label in X.TENURE_3] + [None]]
+    aggs = [
+        X.month_start(F.max("churn_ts")).alias("churn_month"),
+        F.max("snapshot_date").alias("last_snapshot"),
+        F.count("month_order").alias("month_end_rows"),
+    ]
+    for k in (1, 2, 3):
+        aggs.append(F.sum(F.when(F.col("month_order") == k, F.col("mrc_total"))).alias(f"mrc_month_{k}"))
+    for k in (1, 2, 3):
+        aggs.append(F.sum(F.when(F.col("month_order") == k, F.col("billing_total"))).alias(f"bill_month_{k}"))
+    for i, (m, t) in enumerate(slots):
+        hit = (F.col("active_month") == F.lit(m)) & F.col("tenure").eqNullSafe(F.lit(t).cast("string"))
+        aggs.append(F.max(F.when(hit, F.lit(True))).alias(f"s_{i}"))
+    per = facts.unionByName(charges).unionByName(active).groupBy("account_id").agg(*aggs)
 
-    Equal to the literal order (fan-out, then pivot per (active month,
-    tenure, account)) because every (active month, tenure) pair of an account
-    sees exactly the account's month-end rows."""
-    mo = analysis_month_order(crm, p)
-    bounds = month_bounds(mo, p)
-    piv = charges_pivot_by_account(month_end_charges(crm, p))
-    piv = piv.join(churn_month_filter(crm, bounds), "account_id", "left_anti")
-    act = active_month_tenure(crm, p)
-    return charge_trend(act.join(piv, "account_id").select("active_month", "tenure", "account_id", *PIVOT_COLS))
+    churned = (F.month("churn_month") == F.month("last_snapshot")) & F.col("churn_month").between(
+        F.col("last_month"), F.col("horizon_end")
+    )
+    kept = per.crossJoin(bounded_broadcast(bounds)).where(
+        ~F.coalesce(churned, F.lit(False)) & (F.col("month_end_rows") > 0)
+    )
+    entries = ", ".join(
+        f"s_{i}, DATE'{m.isoformat()}', {'CAST(NULL AS STRING)' if t is None else repr(t)}"
+        for i, (m, t) in enumerate(slots)
+    )
+    out = kept.selectExpr(
+        "account_id", *PIVOT_COLS, f"stack({len(slots)}, {entries}) AS (hit, active_month, tenure)"
+    ).where("hit")
+    return charge_trend(out.select("active_month", "tenure", "account_id", *PIVOT_COLS))

@@ -28,8 +28,18 @@ def test_nested_loop_only_against_bounded_rows(spark, key):
         assert "BroadcastNestedLoopJoin" not in plan, key
 
 
-def test_revenue_uses_anti_join(spark):
-    assert "LeftAnti" in _plan(spark, "mrc_non_churner_evolution")
+def test_revenue_report_has_no_large_join(spark):
+    """P04 is one per-account aggregate: the only joins are against the
+    month-end dates and the one-row bounds (both broadcast, bounded)."""
+    plan = _plan(spark, "mrc_non_churner_evolution")
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_literal_segment_uses_anti_join(spark):
+    from subscope.plans.segments import account_month_charges
+
+    plan = account_month_charges(fixture_tables(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan
 
 
 @pytest.mark.parametrize("key", ["bundle_churners_by_month", "new_sales_churners_by_channel", "district_churn_rate"])
