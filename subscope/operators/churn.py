@@ -43,7 +43,7 @@ def account_churn_summary(crm: DataFrame) -> DataFrame:
     return crm.groupBy("account_id").agg(*aggs).withColumn("contract", X.pad_key("account_id"))
 
 
-def churn_roles(summary: DataFrame, p: ReportParams) -> DataFrame:
+def churn_roles(summary: DataFrame, p: ReportParams, bundles: bool = True) -> DataFrame:
     """All per-account facts the churn core needs, as one row set keyed by
     the padded contract: ``role`` 'L' = last churn passing the month test
     (G03), 'F' = first churn in the report year (G06), 'B' = first churn in
@@ -56,11 +56,13 @@ def churn_roles(summary: DataFrame, p: ReportParams) -> DataFrame:
     last_ok = "CASE WHEN month(last_churn) = month(last_snapshot) THEN last_churn END"
     first_ok = f"CASE WHEN year(first_churn) = {int(p.year)} THEN first_churn END"
     rows = [f"'L', CAST(NULL AS STRING), {last_ok}", f"'F', CAST(NULL AS STRING), {first_ok}"]
-    for name, label in _BUNDLE_SLOTS:
+    for name, label in _BUNDLE_SLOTS if bundles else []:
         lab = "CAST(NULL AS STRING)" if label is None else repr(label)
         rows.append(f"'B', {lab}, CASE WHEN year({name}) = {int(p.year)} THEN {name} END")
+    rows = [f"{r.split(',', 1)[0]}, account_id, contract,{r.split(',', 1)[1]}" for r in rows]
+    # all columns generated, so no consumer's inferred filter reaches the aggregate
     return summary.selectExpr(
-        "account_id", "contract", f"stack({len(rows)}, {', '.join(rows)}) AS (role, bundle, day)"
+        f"stack({len(rows)}, {', '.join(rows)}) AS (role, account_id, contract, bundle, day)"
     ).where(F.col("day").isNotNull())
 
 
@@ -126,9 +128,15 @@ def bundle_at_first_churn(roles: DataFrame, distinct: bool = True) -> DataFrame:
     return out.distinct() if distinct else out
 
 
-def churn_core(crm: DataFrame, orders: DataFrame, p: ReportParams) -> tuple[DataFrame, DataFrame]:
-    """(roles, attribution) for the account-level churn reports."""
-    roles = churn_roles(account_churn_summary(crm), p)
+def churn_core(crm: DataFrame, orders: DataFrame, p: ReportParams,
+               summary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(roles, attribution) for the account-level churn reports. A caller
+    that already aggregates the CRM table at a finer grain passes its own
+    per-account ``summary`` (without bundle columns) to avoid a second scan."""
+    if summary is None:
+        roles = churn_roles(account_churn_summary(crm), p)
+    else:
+        roles = churn_roles(summary, p, bundles=False)
     real = real_churners(crm_last_churn(roles), crm_first_churn(roles))
     return roles, churn_order_attribution(real, disconnect_reason_split(orders, p), p)
 
@@ -149,17 +157,38 @@ def churner_age_at_last_churn(crm: DataFrame) -> DataFrame:
 LOCATION = ["district_code", "canton_code", "province_code"]
 
 
-def crm_last_churn_by_location(crm: DataFrame, with_tenure: bool = False) -> DataFrame:
+def location_churn_facts(crm: DataFrame) -> DataFrame:
+    """Per (raw account, trimmed location): last / first churn date, last
+    snapshot and maximum age - the one CRM aggregate of the district churn
+    reports, unpivoted into role rows so both of its consumers (the
+    location grain G04/G05 and the raw-account first churn G06) read the
+    same plan and Spark shuffles it once."""
+    cd = churn_date()
+    fine = crm.groupBy("account_id", *[F.trim(c).alias(c) for c in LOCATION]).agg(
+        F.max(cd).alias("last_churn"), F.max("snapshot_date").alias("last_snapshot"),
+        F.min(cd).alias("first_churn"), F.max("age_months").alias("max_age"),
+    )
+    # every column is a generated output: a filter a consumer infers from its
+    # join keys then stays above the stack instead of being pushed into the
+    # shared aggregate, which would make the branches' plans differ
+    loc = ", ".join(LOCATION)
+    nulls = ", ".join(["CAST(NULL AS STRING)"] * len(LOCATION))
+    return fine.selectExpr(
+        f"stack(2, 'L', account_id, {loc}, last_churn, last_snapshot, max_age, "
+        f"'F', account_id, {nulls}, first_churn, CAST(NULL AS DATE), CAST(NULL AS DOUBLE)) "
+        f"AS (role, account_id, {loc}, d1, d2, age)",
+    )
+
+
+def crm_last_churn_by_location(crm: DataFrame, with_tenure: bool = False,
+                               facts: DataFrame | None = None) -> DataFrame:
     """Last churn per padded contract and trimmed location, kept
     when its month equals the month of the group's last snapshot; G05 adds
     the 4-band tenure of the group's maximum age."""
-    cd = churn_date()
-    aggs = [F.max(cd).alias("last_churn"), F.max("snapshot_date").alias("last_snapshot")]
-    if with_tenure:
-        aggs.append(F.max("age_months").alias("max_age"))
-    g = crm.groupBy(
-        X.pad_key("account_id").alias("contract"), *[F.trim(c).alias(c) for c in LOCATION]
-    ).agg(*aggs)
+    facts = location_churn_facts(crm) if facts is None else facts
+    g = facts.where(F.col("role") == "L").groupBy(X.pad_key("account_id").alias("contract"), *LOCATION).agg(
+        F.max("d1").alias("last_churn"), F.max("d2").alias("last_snapshot"), F.max("age").alias("max_age")
+    )
     g = g.where(F.month("last_churn") == F.month("last_snapshot"))
     cols = ["contract", "last_churn", F.month("last_churn").alias("last_churn_month"), *LOCATION]
     if with_tenure:
@@ -167,11 +196,20 @@ def crm_last_churn_by_location(crm: DataFrame, with_tenure: bool = False) -> Dat
     return g.select(*cols)
 
 
+def crm_first_churn_from_facts(facts: DataFrame, p: ReportParams) -> DataFrame:
+    """G06 from the location facts: first churn per raw account in the year."""
+    g = facts.where(F.col("role") == "F").groupBy("account_id").agg(F.min("d1").alias("first_churn"))
+    return g.where(F.year("first_churn") == p.year).select(
+        "account_id", X.pad_key("account_id").alias("contract"), "first_churn",
+        F.month("first_churn").alias("first_churn_month"),
+    )
+
+
 def churn_core_by_location(crm: DataFrame, orders: DataFrame, p: ReportParams,
                            with_tenure: bool = False) -> DataFrame:
     """Attribution rows carrying the churner's trimmed location (and tenure)."""
     extra = LOCATION + (["tenure"] if with_tenure else [])
-    last = crm_last_churn_by_location(crm, with_tenure)
-    first = crm_first_churn(churn_roles(account_churn_summary(crm), p))
-    real = real_churners(last, first, extra)
+    facts = location_churn_facts(crm)
+    last = crm_last_churn_by_location(crm, with_tenure, facts)
+    real = real_churners(last, crm_first_churn_from_facts(facts, p), extra)
     return churn_order_attribution(real, disconnect_reason_split(orders, p), p, extra)

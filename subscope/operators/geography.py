@@ -42,7 +42,7 @@ def account_snapshot_dates(crm: DataFrame, with_tenure: bool = False) -> DataFra
     return g.withColumn("month", F.month("snapshot_date"))
 
 
-def account_locations(crm: DataFrame, with_tenure: bool = False) -> DataFrame:
+def account_locations(crm: DataFrame, with_tenure: bool = False, distinct: bool = True) -> DataFrame:
     """Distinct (account, month, trimmed location[, tenure]) of every
     snapshot.
 
@@ -50,17 +50,19 @@ def account_locations(crm: DataFrame, with_tenure: bool = False) -> DataFrame:
     replaced by one groupBy at (account, date, location); the tenure, which is
     per (account, date) across all of that date's rows, is a window maximum
     over the already-aggregated rows (at most one row per location there).
+    ``distinct=False`` leaves duplicates (one per snapshot date of the month)
+    for callers that only count distinct accounts downstream.
     """
     trimmed = [F.trim(c).alias(c) for c in LOCATION]
     if not with_tenure:
-        return crm.select("account_id", F.month("snapshot_date").alias("month"), *trimmed).distinct()
+        out = crm.select("account_id", F.month("snapshot_date").alias("month"), *trimmed)
+        return out.distinct() if distinct else out
     g = crm.groupBy("account_id", "snapshot_date", *trimmed).agg(F.max("age_months").alias("age"))
     w = Window.partitionBy("account_id", "snapshot_date")
-    return (
-        g.withColumn("tenure", X.tenure_band_4(F.max("age").over(w)))
-        .select("account_id", F.month("snapshot_date").alias("month"), *LOCATION, "tenure")
-        .distinct()
+    out = g.withColumn("tenure", X.tenure_band_4(F.max("age").over(w))).select(
+        "account_id", F.month("snapshot_date").alias("month"), *LOCATION, "tenure"
     )
+    return out.distinct() if distinct else out
 
 
 def district_match_full(located: DataFrame, districts: DataFrame, p: ReportParams,
@@ -83,13 +85,41 @@ def district_names_folded(districts: DataFrame) -> DataFrame:
     )
 
 
-def district_match_name_only(crm: DataFrame, districts: DataFrame, p: ReportParams) -> DataFrame:
+def district_churn_facts(crm: DataFrame) -> DataFrame:
+    """Per (raw account, trimmed district code): last snapshot, last and
+    first churn date - the one CRM aggregate of the district churn rate,
+    unpivoted into role rows: 'D' feeds the district match (G16), 'A' rolls
+    up to the per-account churn summary. Both read the same plan, so the
+    CRM table is scanned and shuffled once."""
+    cd = F.to_date("churn_ts")
+    fine = crm.groupBy("account_id", F.trim("district_code").alias("district_code")).agg(
+        F.max("snapshot_date").alias("last_snapshot"), F.max(cd).alias("last_churn"), F.min(cd).alias("first_churn")
+    )
+    # all columns generated: inferred join-key filters stay above the stack
+    return fine.selectExpr(
+        "stack(2, 'D', account_id, district_code, last_snapshot, CAST(NULL AS DATE), CAST(NULL AS DATE), "
+        "'A', account_id, CAST(NULL AS STRING), last_churn, last_snapshot, first_churn) "
+        "AS (role, account_id, district_code, d1, d2, d3)",
+    )
+
+
+def account_summary_from_district_facts(facts: DataFrame) -> DataFrame:
+    """Per raw account: last churn, last snapshot, first churn (rolled up
+    over the account's district codes)."""
+    return facts.where(F.col("role") == "A").groupBy("account_id").agg(
+        F.max("d1").alias("last_churn"), F.max("d2").alias("last_snapshot"), F.min("d3").alias("first_churn")
+    ).withColumn("contract", X.pad_key("account_id"))
+
+
+def district_match_name_only(crm: DataFrame, districts: DataFrame, p: ReportParams,
+                             facts: DataFrame | None = None) -> DataFrame:
     """Last snapshot per (raw account, trimmed district code), matched to
     the catalogue on the district name alone, keeping unmatched CRM rows
     (NULL district); distinct (district, district_code, padded account,
     last_snapshot). Grouping is by the trimmed code (the alias, T6)."""
-    per_acct = crm.groupBy("account_id", F.trim("district_code").alias("district_code")).agg(
-        F.max("snapshot_date").alias("last_snapshot")
+    facts = district_churn_facts(crm) if facts is None else facts
+    per_acct = facts.where(F.col("role") == "D").select(
+        "account_id", "district_code", F.col("d1").alias("last_snapshot")
     )
     names = dimension(district_names_folded(districts))
     j = per_acct.join(names, per_acct["district_code"] == names["k_district"], "left")

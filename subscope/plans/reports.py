@@ -143,7 +143,8 @@ def district_active_ids(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFram
     """Active accounts by district (both spellings), economic band,
     index and 4-band tenure, for one month; catalogue matches with a band
     only (T13)."""
-    loc = G.account_locations(t.crm, with_tenure=True)
+    # distinct accounts are counted below, so no dedupe of the locations first
+    loc = G.account_locations(t.crm, with_tenure=True, distinct=False)
     if p.active_month is not None:
         loc = loc.where(F.col("month") == p.active_month)
     m = G.district_match_full(loc, t.districts.where(F.col("economic_band").isNotNull()), p)
@@ -155,15 +156,16 @@ def district_active_ids(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFram
 
 def district_active_economic_by_month(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
     """P10: active accounts per month, district (both spellings) and band."""
-    loc = G.account_locations(t.crm, with_tenure=False)
+    loc = G.account_locations(t.crm, with_tenure=False, distinct=False)
     m = G.district_match_full(loc, t.districts.where(F.col("economic_band").isNotNull()), p)
     out = m.groupBy("month", *_NAMES, "economic_band").agg(F.count_distinct("account_id").alias("actives"))
     return out.orderBy("month", "province_code", "canton_code", "district_code")
 
 
 def _district_rate(t: Tables, p: ReportParams, by_month: bool) -> DataFrame:
-    matched = G.district_match_name_only(t.crm, t.districts, p)
-    _, att = C.churn_core(t.crm, t.orders, p)
+    facts = G.district_churn_facts(t.crm)
+    matched = G.district_match_name_only(t.crm, t.districts, p, facts)
+    _, att = C.churn_core(t.crm, t.orders, p, summary=G.account_summary_from_district_facts(facts))
     # one row per (contract, last churn) with its multiplicity, so the left
     # join below never inflates the contract count
     per = att.groupBy("contract", "last_churn").agg(F.count(F.lit(1)).alias("n"))
