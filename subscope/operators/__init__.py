@@ -1,0 +1 @@
+"""Reusable segments of the reports (churn core, districts, sales, revenue)."""

@@ -1,0 +1 @@
+"""Report builders, segment and primitive-operator jobs, query registry."""

@@ -1,0 +1 @@
+"""Declared schemas, the canonical table bundle and fixture views."""
