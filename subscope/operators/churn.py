@@ -66,6 +66,79 @@ def churn_roles(summary: DataFrame, p: ReportParams, bundles: bool = True) -> Da
     ).where(F.col("day").isNotNull())
 
 
+def _stack_roles(df: DataFrame, roles: list[tuple[str, list[str]]], names: list[str]) -> DataFrame:
+    """Unpivot ``df`` into role rows. Every output column is generated by the
+    stack (none passes through), so a consumer's filters stay above it and
+    all consumers share one plan of ``df`` (its shuffle is reused)."""
+    rows = ", ".join(f"'{role}', " + ", ".join(vals) for role, vals in roles)
+    return df.selectExpr(f"stack({len(roles)}, {rows}) AS (role, {', '.join(names)})")
+
+
+def churn_facts_by_churn_date(crm: DataFrame) -> DataFrame:
+    """One CRM aggregate at (raw account, churn date) serving both the
+    per-account churn summary ('S' rows) and the maximum age per churn date
+    ('G' rows, input of G11). Bundle presence is kept as one flag per label,
+    so the first churn under a label is the least churn date whose flag is
+    set."""
+    cd = churn_date()
+    bundle = X.bundle_flag()
+    aggs = [F.max("snapshot_date").alias("ms"), F.max("age_months").alias("ma")]
+    for name, label in _BUNDLE_SLOTS:
+        cond = bundle.isNull() if label is None else (bundle == label)
+        aggs.append(F.max(F.when(cond, F.lit(True))).alias(name))
+    fine = crm.groupBy("account_id", cd.alias("cd")).agg(*aggs)
+    flags = [name for name, _ in _BUNDLE_SLOTS]
+    no_flags = ["CAST(NULL AS BOOLEAN)"] * len(flags)
+    return _stack_roles(
+        fine,
+        [("S", ["account_id", "cd", "ms", "CAST(NULL AS DOUBLE)", *flags]),
+         ("G", ["account_id", "cd", "CAST(NULL AS DATE)", "ma", *no_flags])],
+        ["account_id", "cd", "ms", "ma", *flags],
+    )
+
+
+def summary_from_date_facts(facts: DataFrame) -> DataFrame:
+    """The per-account summary of :func:`account_churn_summary`, rolled up
+    from the (account, churn date) facts."""
+    cd = F.col("cd")
+    aggs = [F.max(cd).alias("last_churn"), F.max("ms").alias("last_snapshot"), F.min(cd).alias("first_churn")]
+    aggs += [F.min(F.when(F.col(name), cd)).alias(name) for name, _ in _BUNDLE_SLOTS]
+    s = facts.where(F.col("role") == "S").groupBy("account_id").agg(*aggs)
+    return s.withColumn("contract", X.pad_key("account_id"))
+
+
+def ages_from_date_facts(facts: DataFrame) -> DataFrame:
+    """G11 input from the facts: maximum age per (padded contract, churn date)."""
+    return (
+        facts.where((F.col("role") == "G") & F.col("cd").isNotNull())
+        .groupBy(X.pad_key("account_id").alias("contract"), F.col("cd").alias("churn_date"))
+        .agg(F.max("ma").alias("max_age"))
+    )
+
+
+def churn_facts_by_install(crm: DataFrame) -> DataFrame:
+    """One CRM aggregate at (raw account, install timestamp) serving both
+    the per-account churn summary ('S' rows) and the install timestamps of
+    the sales cohort ('I' rows, input of G19)."""
+    cd = churn_date()
+    fine = crm.groupBy("account_id", "install_ts").agg(
+        F.max(cd).alias("lc"), F.max("snapshot_date").alias("ms"), F.min(cd).alias("fc")
+    )
+    return _stack_roles(
+        fine,
+        [("S", ["account_id", "lc", "ms", "fc", "CAST(NULL AS TIMESTAMP)"]),
+         ("I", ["account_id", "CAST(NULL AS DATE)", "CAST(NULL AS DATE)", "CAST(NULL AS DATE)", "install_ts"])],
+        ["account_id", "lc", "ms", "fc", "install_ts"],
+    )
+
+
+def summary_from_install_facts(facts: DataFrame) -> DataFrame:
+    s = facts.where(F.col("role") == "S").groupBy("account_id").agg(
+        F.max("lc").alias("last_churn"), F.max("ms").alias("last_snapshot"), F.min("fc").alias("first_churn")
+    )
+    return s.withColumn("contract", X.pad_key("account_id"))
+
+
 def crm_last_churn(roles: DataFrame) -> DataFrame:
     """Last churn date per raw account, kept when its month equals the
     month of the account's last snapshot (month numbers only, T4)."""
@@ -129,14 +202,14 @@ def bundle_at_first_churn(roles: DataFrame, distinct: bool = True) -> DataFrame:
 
 
 def churn_core(crm: DataFrame, orders: DataFrame, p: ReportParams,
-               summary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+               summary: DataFrame | None = None, bundles: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """(roles, attribution) for the account-level churn reports. A caller
     that already aggregates the CRM table at a finer grain passes its own
-    per-account ``summary`` (without bundle columns) to avoid a second scan."""
+    per-account ``summary`` (rolled up from it) to avoid a second scan."""
     if summary is None:
         roles = churn_roles(account_churn_summary(crm), p)
     else:
-        roles = churn_roles(summary, p, bundles=False)
+        roles = churn_roles(summary, p, bundles=bool(bundles))
     real = real_churners(crm_last_churn(roles), crm_first_churn(roles))
     return roles, churn_order_attribution(real, disconnect_reason_split(orders, p), p)
 

@@ -39,10 +39,13 @@ def new_residential_sales(activations: DataFrame, p: ReportParams) -> DataFrame:
     return a.select(X.pad_key("contract_id").alias("contract"), "sold_on", "channel").distinct()
 
 
-def confirmed_sales(crm: DataFrame, activations: DataFrame, p: ReportParams) -> DataFrame:
+def confirmed_sales(crm: DataFrame, activations: DataFrame, p: ReportParams,
+                    installs: DataFrame | None = None) -> DataFrame:
     """Sales whose CRM install day equals the sale day, with the sale
-    month. No dedupe: two install timestamps on one day count twice."""
-    inst = crm_installs_in_year(crm, p).select(
+    month. No dedupe: two install timestamps on one day count twice.
+    ``installs`` may be given as G19 computed from a shared aggregate."""
+    installs = crm_installs_in_year(crm, p) if installs is None else installs
+    inst = installs.select(
         F.col("contract").alias("i_contract"), F.to_date("install_ts").alias("install_day")
     )
     sales = new_residential_sales(activations, p)

@@ -74,10 +74,12 @@ def bundle_active_tenure(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFra
 def bundle_churner_tenure(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
     """P01 split by the 14-band tenure of the churner's maximum age over
     the CRM rows dated on its last churn."""
-    roles, att = C.churn_core(t.crm, t.orders, p)
+    # one CRM aggregate at (account, churn date) feeds the summary and the ages
+    facts = C.churn_facts_by_churn_date(t.crm)
+    roles, att = C.churn_core(t.crm, t.orders, p, summary=C.summary_from_date_facts(facts), bundles=True)
     bun = C.bundle_at_first_churn(roles, distinct=False).withColumnRenamed("contract", "b_contract")
     j = att.join(bun, (att["contract"] == bun["b_contract"]) & (att["first_churn"] == bun["bundle_first_churn"]))
-    ages = C.churner_age_at_last_churn(t.crm).withColumnRenamed("contract", "g_contract")
+    ages = C.ages_from_date_facts(facts).withColumnRenamed("contract", "g_contract")
     j = j.join(ages, (j["contract"] == ages["g_contract"]) & (j["last_churn"] == ages["churn_date"]))
     j = j.select(
         F.col("last_churn_month").alias("month"), "bundle", X.tenure_band_14("max_age").alias("tenure"),
@@ -220,8 +222,13 @@ def new_sales_by_channel(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFra
 def new_sales_churners_by_channel(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
     """Confirmed sales that later churned (sale before the first churn),
     by month name of the first churn, sale month and channel."""
-    sales = S.confirmed_sales(t.crm, t.activations, p)
-    _, att = C.churn_core(t.crm, t.orders, p)
+    # one CRM aggregate at (account, install time) feeds the summary and the installs
+    facts = C.churn_facts_by_install(t.crm)
+    installs = facts.where(F.col("role") == "I").where(F.year("install_ts") == p.year).select(
+        X.pad_key("account_id").alias("contract"), "install_ts"
+    ).distinct()
+    sales = S.confirmed_sales(t.crm, t.activations, p, installs=installs)
+    _, att = C.churn_core(t.crm, t.orders, p, summary=C.summary_from_install_facts(facts))
     cm = S.churner_months(att).withColumnRenamed("contract", "c_contract")
     j = sales.join(cm, (sales["contract"] == cm["c_contract"]) & (sales["sold_on"] < cm["first_churn"]))
     out = churn_counts(j, ["churn_month_name", "sale_month", "channel"])
