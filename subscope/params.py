@@ -36,8 +36,10 @@ class ReportParams:
     analysis_months: tuple[dt.date, ...] = field(default_factory=lambda: _months(2021, 5, 6, 7))
     active_months: tuple[dt.date, ...] = field(default_factory=lambda: _months(2021, 7, 8, 9, 10))
     churn_horizon_months: int = 3
-    # churn rate by district: optional split by month of the last snapshot
+    # churn rate by district: optional split by month of the last snapshot,
+    # and an inspection mode returning the per-district contract counts
     by_month: bool = False
+    inspect: bool = False
 
 
 DEFAULT_PARAMS = ReportParams()

@@ -150,9 +150,7 @@ def district_active_ids(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFram
     if p.active_month is not None:
         loc = loc.where(F.col("month") == p.active_month)
     m = G.district_match_full(loc, t.districts.where(F.col("economic_band").isNotNull()), p)
-    out = m.groupBy(*_NAMES, "economic_band", "ids_2017", "tenure").agg(
-        F.count_distinct("account_id").alias("actives")
-    )
+    out = m.groupBy(*_NAMES, "economic_band", "ids_2017", "tenure").agg(F.count_distinct("account_id").alias("actives"))
     return out.orderBy("province_code", "canton_code", "district_code")
 
 
@@ -186,8 +184,12 @@ def _district_rate(t: Tables, p: ReportParams, by_month: bool) -> DataFrame:
 
 
 def district_churn_rate(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
-    """Churn rate per district over the whole period."""
-    g = _district_rate(t, p, by_month=False).withColumn("churn_rate", F.col("churners") / F.col("contracts"))
+    """Churn rate per district over the whole period (per month of the
+    last snapshot too with ``p.by_month``). ``p.inspect`` returns the
+    per-district contract counts (G17) instead, NULL district included."""
+    if p.inspect:
+        return G.district_contract_counts(G.district_match_name_only(t.crm, t.districts, p)).orderBy("district")
+    g = _district_rate(t, p, by_month=p.by_month).withColumn("churn_rate", F.col("churners") / F.col("contracts"))
     return g.orderBy(F.desc("churn_rate"), "contracts", "churners", "district", "district_code")
 
 
