@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from subscope.sources import schema as S
 
@@ -61,3 +63,25 @@ def from_frames(crm: DataFrame, orders: DataFrame, activations: DataFrame, speed
         speeds=S.conform(speeds, S.SPEED_INVENTORY),
         districts=S.conform(districts, S.DISTRICT_INDEX),
     )
+
+
+def duplicate_catalogue_keys(districts: DataFrame) -> DataFrame:
+    """Catalogue match keys (upper-cased folded province, canton, district)
+    that occur more than once. The district churner reports count a churner
+    once per matching catalogue row (T22), so duplicates inflate them."""
+    from subscope.functions.exprs import folded_upper
+
+    keys = [folded_upper(c).alias(c) for c in ("province", "canton", "district")]
+    return districts.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+
+
+def warn_on_duplicate_catalogue(districts: DataFrame, log: logging.Logger | None = None) -> int:
+    """Load-time check: log a warning per duplicated catalogue key and
+    return how many there are (the catalogue is one row per district, so
+    the check reads a small table)."""
+    log = log or logging.getLogger("subscope")
+    dups = duplicate_catalogue_keys(districts).limit(1000).collect()
+    for r in dups:
+        log.warning("district catalogue key repeated %d times: %s / %s / %s", r.copies, r.province, r.canton,
+                    r.district)
+    return len(dups)

@@ -40,3 +40,11 @@ def test_year_and_lead_window(edge):
     assert RP.bundle_churners_by_month(edge, dataclasses.replace(P, year=2020)).count() == 0
     wider = SG.churn_order_attribution(edge, dataclasses.replace(P, max_order_lead_months=4)).count()
     assert wider == SG.churn_order_attribution(edge, P).count() + 1  # E2 joins at a 4-month lead
+
+
+def test_catalogue_duplicate_check(spark, edge):
+    from subscope.sources.tables import duplicate_catalogue_keys, warn_on_duplicate_catalogue
+
+    assert warn_on_duplicate_catalogue(edge.districts) == 0
+    doubled = edge.districts.unionByName(edge.districts.limit(1))
+    assert duplicate_catalogue_keys(doubled).count() == 1
