@@ -59,11 +59,17 @@ def churn_roles(summary: DataFrame, p: ReportParams, bundles: bool = True) -> Da
     for name, label in _BUNDLE_SLOTS if bundles else []:
         lab = "CAST(NULL AS STRING)" if label is None else repr(label)
         rows.append(f"'B', {lab}, CASE WHEN year({name}) = {int(p.year)} THEN {name} END")
-    rows = [f"{r.split(',', 1)[0]}, account_id, contract,{r.split(',', 1)[1]}" for r in rows]
-    # all columns generated, so no consumer's inferred filter reaches the aggregate
-    return summary.selectExpr(
-        f"stack({len(rows)}, {', '.join(rows)}) AS (role, account_id, contract, bundle, day)"
-    ).where(F.col("day").isNotNull())
+    rows = [f"{r.split(',', 1)[0]}, contract,{r.split(',', 1)[1]}" for r in rows]
+    # All columns are generated, so no consumer's inferred filter reaches the
+    # aggregate. The rows are deduplicated per padded key (a partial
+    # aggregate): however many raw spellings share a key, each branch then
+    # sees at most one row per (key, date), and the last x first pairing of
+    # G07 is bounded by distinct dates, not by spellings.
+    return (
+        summary.selectExpr(f"stack({len(rows)}, {', '.join(rows)}) AS (role, contract, bundle, day)")
+        .where(F.col("day").isNotNull())
+        .distinct()
+    )
 
 
 def _stack_roles(df: DataFrame, roles: list[tuple[str, list[str]]], names: list[str]) -> DataFrame:
@@ -143,29 +149,31 @@ def crm_last_churn(roles: DataFrame) -> DataFrame:
     """Last churn date per raw account, kept when its month equals the
     month of the account's last snapshot (month numbers only, T4)."""
     return roles.where(F.col("role") == "L").select(
-        "account_id", "contract", F.col("day").alias("last_churn"), F.month("day").alias("last_churn_month")
+        "contract", F.col("day").alias("last_churn"), F.month("day").alias("last_churn_month")
     )
 
 
 def crm_first_churn(roles: DataFrame) -> DataFrame:
     """First churn date per raw account, kept when in the report year."""
     return roles.where(F.col("role") == "F").select(
-        "account_id", "contract", F.col("day").alias("first_churn"), F.month("day").alias("first_churn_month")
+        "contract", F.col("day").alias("first_churn"), F.month("day").alias("first_churn_month")
     )
 
 
 def real_churners(last: DataFrame, first: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Last-churn rows joined to first-churn rows on the padded key with
-    first <= last; distinct. ``extra`` carries location / tenure columns of
-    the last-churn side.
+    first <= last. ``extra`` carries location / tenure columns of the
+    last-churn side.
 
     The join stays (rather than one fused aggregate) because two raw
-    spellings of one padded key pair up across each other (T7, T17).
+    spellings of one padded key pair up across each other (T7, T17). Both
+    inputs are distinct per padded key and date (and location), so the
+    output is distinct without a further aggregate.
     """
     extra = extra or []
     f = first.select(F.col("contract").alias("f_contract"), "first_churn", "first_churn_month")
     j = last.join(f, (last["contract"] == f["f_contract"]) & (f["first_churn"] <= last["last_churn"]))
-    return j.select("contract", "last_churn", "first_churn", "last_churn_month", "first_churn_month", *extra).distinct()
+    return j.select("contract", "last_churn", "first_churn", "last_churn_month", "first_churn_month", *extra)
 
 
 def churn_order_attribution(real: DataFrame, split: DataFrame, p: ReportParams,
@@ -272,10 +280,10 @@ def crm_last_churn_by_location(crm: DataFrame, with_tenure: bool = False,
 def crm_first_churn_from_facts(facts: DataFrame, p: ReportParams) -> DataFrame:
     """G06 from the location facts: first churn per raw account in the year."""
     g = facts.where(F.col("role") == "F").groupBy("account_id").agg(F.min("d1").alias("first_churn"))
+    # one row per (padded key, date) however many raw spellings share the key
     return g.where(F.year("first_churn") == p.year).select(
-        "account_id", X.pad_key("account_id").alias("contract"), "first_churn",
-        F.month("first_churn").alias("first_churn_month"),
-    )
+        X.pad_key("account_id").alias("contract"), "first_churn", F.month("first_churn").alias("first_churn_month"),
+    ).distinct()
 
 
 def churn_core_by_location(crm: DataFrame, orders: DataFrame, p: ReportParams,
