@@ -42,7 +42,10 @@ def read_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> Tables:
     """
 
     def rd(name: str) -> DataFrame:
-        return spark.read.format(fmt).schema(S.SCHEMAS[name]).load(f"{root}/{name}")
+        # declared schema (partition column included): no inference, no
+        # footer scan, and a type drift fails at read time
+        df = spark.read.format(fmt).schema(S.SCHEMAS[name]).load(f"{root}/{name}")
+        return df.select(*S.SCHEMAS[name].fieldNames())
 
     return Tables(
         crm=rd("crm_snapshots"),
@@ -53,6 +56,20 @@ def read_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> Tables:
     )
 
 
+def write_tables(t: Tables, root: str, mode: str = "errorifexists", fmt: str = "parquet") -> None:
+    """Write the five tables under ``root/<name>`` in the layout the reports
+    prune best: the CRM table partitioned by ``snapshot_date`` (every report
+    filters or joins on it: static date windows prune directories, and the
+    revenue report's join to its few month-end dates prunes dynamically),
+    the others as plain files. Use a shared (cluster) path for ``root``."""
+    t.crm.repartition("snapshot_date").write.mode(mode).format(fmt).partitionBy("snapshot_date").save(
+        f"{root}/crm_snapshots"
+    )
+    for name, df in t.as_dict().items():
+        if name != "crm_snapshots":
+            df.write.mode(mode).format(fmt).save(f"{root}/{name}")
+
+
 def from_frames(crm: DataFrame, orders: DataFrame, activations: DataFrame, speeds: DataFrame,
                 districts: DataFrame) -> Tables:
     """Conform arbitrary DataFrames to the declared schemas."""
