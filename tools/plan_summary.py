@@ -19,18 +19,36 @@ NODES = ["Exchange hashpartitioning", "Exchange rangepartitioning", "Exchange Si
          "Expand", "Window", "Generate"]
 
 
+def summarise(plan: str) -> tuple[dict, dict]:
+    scans = collections.Counter(
+        re.findall(r"FileScan parquet .*?Location: InMemoryFileIndex\(1 paths\)\[file:[^\]]*/(\w+)\.parquet", plan)
+    )
+    return dict(scans), {n: plan.count(n) for n in NODES if plan.count(n)}
+
+
 def main():
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.1")
     spark = build_session()
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     t = fixture_tables(spark, sf)
     b = builders()
-    keys = sys.argv[1:] or list(b)
+    args = [a for a in sys.argv[1:] if a != "--markdown"]
+    keys = args or list(b)
+    if "--markdown" in sys.argv:
+        cols = ["customer scans", "orders scans", "hash shuffles", "reused shuffles", "broadcasts",
+                "sort-merge joins", "broadcast hash joins", "nested-loop joins", "windows"]
+        print("| key | " + " | ".join(cols) + " |")
+        print("| --- |" + " --- |" * len(cols))
     for k in keys:
-        plan = b[k](t)._jdf.queryExecution().executedPlan().toString()
-        scans = collections.Counter(re.findall(r"FileScan parquet .*?Location: InMemoryFileIndex\(1 paths\)\[file:[^\]]*/(\w+)\.parquet", plan))
-        counts = {n: plan.count(n) for n in NODES if plan.count(n)}
-        print(f"{k}: scans={dict(scans)} {counts}")
+        scans, counts = summarise(b[k](t)._jdf.queryExecution().executedPlan().toString())
+        if "--markdown" in sys.argv:
+            vals = [scans.get("customer", 0), scans.get("orders", 0), counts.get("Exchange hashpartitioning", 0),
+                    counts.get("ReusedExchange", 0), counts.get("BroadcastExchange", 0),
+                    counts.get("SortMergeJoin", 0), counts.get("BroadcastHashJoin", 0),
+                    counts.get("BroadcastNestedLoopJoin", 0), counts.get("Window", 0)]
+            print(f"| `{k}` | " + " | ".join(str(v) for v in vals) + " |")
+        else:
+            print(f"{k}: scans={scans} {counts}")
 
 
 if __name__ == "__main__":
