@@ -164,18 +164,26 @@ TABLE_ROWS = {
 }
 
 
-def edge_tables(spark: SparkSession) -> Tables:
+def tables_from_rows(spark: SparkSession, table_rows: dict) -> Tables:
     def df(name):
         schema = S.SCHEMAS[name]
-        return spark.createDataFrame([tuple(r[f.name] for f in schema.fields) for r in TABLE_ROWS[name]], schema)
+        return spark.createDataFrame([tuple(r[f.name] for f in schema.fields) for r in table_rows[name]], schema)
 
     return Tables(df("crm_snapshots"), df("service_orders"), df("activations"), df("speed_inventory"),
                   df("district_index"))
 
 
-def register_duckdb(con) -> None:
-    for name, rows in TABLE_ROWS.items():
+def register_rows(con, table_rows: dict) -> None:
+    for name, rows in table_rows.items():
         schema = S.SCHEMAS[name]
         arrow_schema = pa.schema([pa.field(f.name, _ARROW[f.dataType]) for f in schema.fields])
         cols = {f.name: [r[f.name] for r in rows] for f in schema.fields}
         con.register(name, pa.table(cols, schema=arrow_schema))
+
+
+def edge_tables(spark: SparkSession) -> Tables:
+    return tables_from_rows(spark, TABLE_ROWS)
+
+
+def register_duckdb(con) -> None:
+    register_rows(con, TABLE_ROWS)
