@@ -10,8 +10,9 @@ separate functions (anti join, fan-out join) for their own queries.
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from subscope.functions import exprs as X
@@ -54,34 +55,41 @@ def analysis_month_order(crm: DataFrame, p: ReportParams) -> DataFrame:
     return present.withColumn("month_order", F.row_number().over(Window.orderBy("month")))
 
 
-def month_bounds(month_order: DataFrame, p: ReportParams) -> DataFrame:
-    """One row: first and last analysis month present, and last + horizon."""
-    return month_order.agg(F.min("month").alias("first_month"), F.max("month").alias("last_month")).withColumn(
-        "horizon_end", F.add_months("last_month", p.churn_horizon_months)
-    )
+@dataclass(frozen=True)
+class MonthBounds:
+    """Scalar-subquery Columns: first and last analysis month present, and
+    the last month + horizon. Spark evaluates the subquery once and uses the
+    values as constants (no join)."""
+
+    first_month: Column
+    last_month: Column
+    horizon_end: Column
+
 
+def month_bounds(month_order: DataFrame, p: ReportParams) -> MonthBounds:
+    b = month_order.select(F.struct(F.min("month").alias("lo"), F.max("month").alias("hi"))).scalar()
+    return MonthBounds(b.getField("lo"), b.getField("hi"), F.add_months(b.getField("hi"), p.churn_horizon_months))
 
-def churn_month_filter(crm: DataFrame, bounds: DataFrame) -> DataFrame:
+
+def churn_month_filter(crm: DataFrame, bounds: MonthBounds) -> DataFrame:
     """Accounts whose month-truncated last churn passes the month test
     (T4) and falls between the last analysis month and the horizon."""
     g = crm.groupBy("account_id").agg(
         X.month_start(F.max("churn_ts")).alias("churn_month"), F.max("snapshot_date").alias("last_snapshot")
     ).where(F.month("churn_month") == F.month("last_snapshot"))
-    b = bounded_broadcast(bounds)  # one row
-    return g.crossJoin(b).where(F.col("churn_month").between(F.col("last_month"), F.col("horizon_end"))).select(
+    return g.where(F.col("churn_month").between(bounds.last_month, bounds.horizon_end)).select(
         "account_id", "churn_month"
     )
 
 
-def month_last_snapshot(crm: DataFrame, bounds: DataFrame, p: ReportParams) -> DataFrame:
+def month_last_snapshot(crm: DataFrame, bounds: MonthBounds, p: ReportParams) -> DataFrame:
     """The table-wide last snapshot date of every month from the first
     analysis month to the horizon end (one row per month)."""
     lo, hi = static_window(p)
     m = crm.where(F.col("snapshot_date").between(F.lit(lo), F.lit(hi))).select(
         "snapshot_date", X.month_start("snapshot_date").alias("month")
     )
-    b = bounded_broadcast(bounds)  # one row
-    m = m.crossJoin(b).where(F.col("month").between(F.col("first_month"), F.col("horizon_end")))
+    m = m.where(F.col("month").between(bounds.first_month, bounds.horizon_end))
     return m.groupBy("month").agg(F.max("snapshot_date").alias("last_date"))
 
 
@@ -185,7 +193,7 @@ def non_churner_charge_evolution(crm: DataFrame, p: ReportParams) -> DataFrame:
     mo = stats.where(F.col("month").isin(*p.analysis_months)).select(
         "month", "last_date", F.row_number().over(Window.orderBy("month")).alias("month_order")
     )  # at most len(analysis_months) rows: the window needs no partition key
-    bounds = month_bounds(mo, p)  # one row
+    bounds = month_bounds(mo, p)  # scalar subquery
     month_end = bounded_broadcast(mo.select("last_date", "month_order"))  # <= len(analysis_months) rows
 
     null = {c: F.lit(None).cast(t) for c, t in (
@@ -224,11 +232,9 @@ def non_churner_charge_evolution(crm: DataFrame, p: ReportParams) -> DataFrame:
     per = facts.unionByName(charges).unionByName(active).groupBy("account_id").agg(*aggs)
 
     churned = (F.month("churn_month") == F.month("last_snapshot")) & F.col("churn_month").between(
-        F.col("last_month"), F.col("horizon_end")
-    )
-    kept = per.crossJoin(bounded_broadcast(bounds)).where(
-        ~F.coalesce(churned, F.lit(False)) & (F.col("month_end_rows") > 0)
+        bounds.last_month, bounds.horizon_end
     )
+    kept = per.where(~F.coalesce(churned, F.lit(False)) & (F.col("month_end_rows") > 0))
     entries = ", ".join(
         f"s_{i}, DATE'{m.isoformat()}', {'CAST(NULL AS STRING)' if t is None else repr(t)}"
         for i, (m, t) in enumerate(slots)

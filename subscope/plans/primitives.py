@@ -14,7 +14,7 @@ from subscope.operators import orders as O
 from subscope.operators import pricing as PR
 from subscope.operators import revenue as R
 from subscope.operators import sales as S
-from subscope.operators.joins import bounded_broadcast, dimension
+from subscope.operators.joins import dimension
 from subscope.params import DEFAULT_PARAMS, ReportParams
 from subscope.sources.tables import Tables
 
@@ -25,11 +25,11 @@ P = DEFAULT_PARAMS
 
 def between_scalar_bounds(t: Tables, p: ReportParams = P) -> DataFrame:
     """Snapshots per month, for months between the first sale month and the
-    last sale month + horizon (bounds are a one-row aggregate)."""
+    last sale month + horizon (bounds are one scalar subquery)."""
     sm = X.month_start("sold_on")
-    bounds = t.activations.agg(F.min(sm).alias("lo"), F.add_months(F.max(sm), p.churn_horizon_months).alias("hi"))
+    b = t.activations.select(F.struct(F.min(sm).alias("lo"), F.max(sm).alias("hi"))).scalar()
     snaps = t.crm.select(X.month_start("snapshot_date").alias("month"))
-    j = snaps.crossJoin(bounded_broadcast(bounds)).where(F.col("month").between(F.col("lo"), F.col("hi")))
+    j = snaps.where(F.col("month").between(b.getField("lo"), F.add_months(b.getField("hi"), p.churn_horizon_months)))
     return j.groupBy("month").agg(F.count(F.lit(1)).alias("snapshots"))
 
 

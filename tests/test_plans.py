@@ -20,12 +20,9 @@ def test_no_python_and_no_cartesian(spark, key):
 
 
 @pytest.mark.parametrize("key", sorted(REPORTS))
-def test_nested_loop_only_against_bounded_rows(spark, key):
-    """The only nested-loop joins allowed are against the one-row month
-    bounds of the revenue report."""
-    plan = _plan(spark, key)
-    if key != "mrc_non_churner_evolution":
-        assert "BroadcastNestedLoopJoin" not in plan, key
+def test_no_nested_loop_join(spark, key):
+    """Scalar bounds are scalar subqueries, never a cross join."""
+    assert "BroadcastNestedLoopJoin" not in _plan(spark, key), key
 
 
 def test_revenue_report_has_no_large_join(spark):

@@ -21,7 +21,7 @@ NODES = ["Exchange hashpartitioning", "Exchange rangepartitioning", "Exchange Si
 
 def summarise(plan: str) -> tuple[dict, dict]:
     scans = collections.Counter(
-        re.findall(r"FileScan parquet .*?Location: InMemoryFileIndex\(1 paths\)\[file:[^\]]*/(\w+)\.parquet", plan)
+        re.findall(r"FileScan parquet .*?Location: InMemoryFileIndex\(\d+ paths\)\[file:[^\]]*/(\w+?)(?:\.parquet)?[,\]]", plan)
     )
     return dict(scans), {n: plan.count(n) for n in NODES if plan.count(n)}
 
@@ -30,19 +30,30 @@ def main():
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.1")
     spark = build_session()
     spark.conf.set("spark.sql.adaptive.enabled", "false")
-    t = fixture_tables(spark, sf)
+    if os.environ.get("STORED_DIR"):
+        # the tables as stored by write_tables (CRM partitioned by snapshot date)
+        from subscope.sources.tables import read_tables, write_tables
+
+        root = os.environ["STORED_DIR"]
+        if not os.path.exists(f"{root}/crm_snapshots"):
+            write_tables(fixture_tables(spark, sf), root)
+        t = read_tables(spark, root)
+    else:
+        t = fixture_tables(spark, sf)
     b = builders()
     args = [a for a in sys.argv[1:] if a != "--markdown"]
     keys = args or list(b)
     if "--markdown" in sys.argv:
-        cols = ["customer scans", "orders scans", "hash shuffles", "reused shuffles", "broadcasts",
+        cols = ["CRM scans", "orders scans", "other scans", "hash shuffles", "reused shuffles", "broadcasts",
                 "sort-merge joins", "broadcast hash joins", "nested-loop joins", "windows"]
         print("| key | " + " | ".join(cols) + " |")
         print("| --- |" + " --- |" * len(cols))
     for k in keys:
         scans, counts = summarise(b[k](t)._jdf.queryExecution().executedPlan().toString())
         if "--markdown" in sys.argv:
-            vals = [scans.get("customer", 0), scans.get("orders", 0), counts.get("Exchange hashpartitioning", 0),
+            other = sum(v for k2, v in scans.items() if k2 not in ("crm_snapshots", "service_orders"))
+            vals = [scans.get("crm_snapshots", 0), scans.get("service_orders", 0), other,
+                    counts.get("Exchange hashpartitioning", 0),
                     counts.get("ReusedExchange", 0), counts.get("BroadcastExchange", 0),
                     counts.get("SortMergeJoin", 0), counts.get("BroadcastHashJoin", 0),
                     counts.get("BroadcastNestedLoopJoin", 0), counts.get("Window", 0)]
