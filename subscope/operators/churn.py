@@ -1,7 +1,10 @@
 """CRM churn segments and the churn-to-order attribution.
 
-Shared shape: every segment is keyed by the padded contract, so after the
-first aggregate the joins of the churn core are co-partitioned on one key.
+Every segment is keyed by the padded contract. The CRM table enters through
+one partially aggregated groupBy per report, at the grain the report needs
+(account; account x churn date; account x install time; account x
+location), and its consumers share it through role rows
+(:mod:`subscope.operators.roles`).
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 from subscope.functions import exprs as X
 from subscope.operators.orders import disconnect_reason_split
+from subscope.operators.roles import stack_roles
 from subscope.params import ReportParams
 
 # Bundle slots of the per-account summary: one per label plus "no product".
@@ -50,34 +54,21 @@ def churn_roles(summary: DataFrame, p: ReportParams, bundles: bool = True) -> Da
     the year under a bundle label (G09).
 
     Every consumer filters this one relation by role, so the aggregate below
-    it is the same plan in every branch and Spark computes (and shuffles) it
-    once: the CRM table is scanned a single time for the whole core.
+    it is computed (and shuffled) once for the whole core (see
+    :mod:`subscope.operators.roles`). The rows are deduplicated per padded
+    key (a partial aggregate): however many raw spellings share a key, each
+    branch sees at most one row per (key, date), so the last x first
+    pairing of G07 is bounded by distinct dates, not by spellings.
     """
-    last_ok = "CASE WHEN month(last_churn) = month(last_snapshot) THEN last_churn END"
-    first_ok = f"CASE WHEN year(first_churn) = {int(p.year)} THEN first_churn END"
-    rows = [f"'L', CAST(NULL AS STRING), {last_ok}", f"'F', CAST(NULL AS STRING), {first_ok}"]
+    no_label = "CAST(NULL AS STRING)"
+    roles = [
+        ("L", ["contract", no_label, "CASE WHEN month(last_churn) = month(last_snapshot) THEN last_churn END"]),
+        ("F", ["contract", no_label, f"CASE WHEN year(first_churn) = {int(p.year)} THEN first_churn END"]),
+    ]
     for name, label in _BUNDLE_SLOTS if bundles else []:
-        lab = "CAST(NULL AS STRING)" if label is None else repr(label)
-        rows.append(f"'B', {lab}, CASE WHEN year({name}) = {int(p.year)} THEN {name} END")
-    rows = [f"{r.split(',', 1)[0]}, contract,{r.split(',', 1)[1]}" for r in rows]
-    # All columns are generated, so no consumer's inferred filter reaches the
-    # aggregate. The rows are deduplicated per padded key (a partial
-    # aggregate): however many raw spellings share a key, each branch then
-    # sees at most one row per (key, date), and the last x first pairing of
-    # G07 is bounded by distinct dates, not by spellings.
-    return (
-        summary.selectExpr(f"stack({len(rows)}, {', '.join(rows)}) AS (role, contract, bundle, day)")
-        .where(F.col("day").isNotNull())
-        .distinct()
-    )
-
-
-def _stack_roles(df: DataFrame, roles: list[tuple[str, list[str]]], names: list[str]) -> DataFrame:
-    """Unpivot ``df`` into role rows. Every output column is generated by the
-    stack (none passes through), so a consumer's filters stay above it and
-    all consumers share one plan of ``df`` (its shuffle is reused)."""
-    rows = ", ".join(f"'{role}', " + ", ".join(vals) for role, vals in roles)
-    return df.selectExpr(f"stack({len(roles)}, {rows}) AS (role, {', '.join(names)})")
+        lab = no_label if label is None else repr(label)
+        roles.append(("B", ["contract", lab, f"CASE WHEN year({name}) = {int(p.year)} THEN {name} END"]))
+    return stack_roles(summary, roles, ["contract", "bundle", "day"]).where(F.col("day").isNotNull()).distinct()
 
 
 def churn_facts_by_churn_date(crm: DataFrame) -> DataFrame:
@@ -95,7 +86,7 @@ def churn_facts_by_churn_date(crm: DataFrame) -> DataFrame:
     fine = crm.groupBy("account_id", cd.alias("cd")).agg(*aggs)
     flags = [name for name, _ in _BUNDLE_SLOTS]
     no_flags = ["CAST(NULL AS BOOLEAN)"] * len(flags)
-    return _stack_roles(
+    return stack_roles(
         fine,
         [("S", ["account_id", "cd", "ms", "CAST(NULL AS DOUBLE)", *flags]),
          ("G", ["account_id", "cd", "CAST(NULL AS DATE)", "ma", *no_flags])],
@@ -130,7 +121,7 @@ def churn_facts_by_install(crm: DataFrame) -> DataFrame:
     fine = crm.groupBy("account_id", "install_ts").agg(
         F.max(cd).alias("lc"), F.max("snapshot_date").alias("ms"), F.min(cd).alias("fc")
     )
-    return _stack_roles(
+    return stack_roles(
         fine,
         [("S", ["account_id", "lc", "ms", "fc", "CAST(NULL AS TIMESTAMP)"]),
          ("I", ["account_id", "CAST(NULL AS DATE)", "CAST(NULL AS DATE)", "CAST(NULL AS DATE)", "install_ts"])],
@@ -210,14 +201,15 @@ def bundle_at_first_churn(roles: DataFrame, distinct: bool = True) -> DataFrame:
 
 
 def churn_core(crm: DataFrame, orders: DataFrame, p: ReportParams,
-               summary: DataFrame | None = None, bundles: bool | None = None) -> tuple[DataFrame, DataFrame]:
+               summary: DataFrame | None = None, bundles: bool = False) -> tuple[DataFrame, DataFrame]:
     """(roles, attribution) for the account-level churn reports. A caller
     that already aggregates the CRM table at a finer grain passes its own
-    per-account ``summary`` (rolled up from it) to avoid a second scan."""
+    per-account ``summary`` (rolled up from it) to avoid a second scan, and
+    says whether it carries the bundle columns."""
     if summary is None:
         roles = churn_roles(account_churn_summary(crm), p)
     else:
-        roles = churn_roles(summary, p, bundles=bool(bundles))
+        roles = churn_roles(summary, p, bundles=bundles)
     real = real_churners(crm_last_churn(roles), crm_first_churn(roles))
     return roles, churn_order_attribution(real, disconnect_reason_split(orders, p), p)
 
@@ -249,15 +241,12 @@ def location_churn_facts(crm: DataFrame) -> DataFrame:
         F.max(cd).alias("last_churn"), F.max("snapshot_date").alias("last_snapshot"),
         F.min(cd).alias("first_churn"), F.max("age_months").alias("max_age"),
     )
-    # every column is a generated output: a filter a consumer infers from its
-    # join keys then stays above the stack instead of being pushed into the
-    # shared aggregate, which would make the branches' plans differ
-    loc = ", ".join(LOCATION)
-    nulls = ", ".join(["CAST(NULL AS STRING)"] * len(LOCATION))
-    return fine.selectExpr(
-        f"stack(2, 'L', account_id, {loc}, last_churn, last_snapshot, max_age, "
-        f"'F', account_id, {nulls}, first_churn, CAST(NULL AS DATE), CAST(NULL AS DOUBLE)) "
-        f"AS (role, account_id, {loc}, d1, d2, age)",
+    no_loc = ["CAST(NULL AS STRING)"] * len(LOCATION)
+    return stack_roles(
+        fine,
+        [("L", ["account_id", *LOCATION, "last_churn", "last_snapshot", "max_age"]),
+         ("F", ["account_id", *no_loc, "first_churn", "CAST(NULL AS DATE)", "CAST(NULL AS DOUBLE)"])],
+        ["account_id", *LOCATION, "d1", "d2", "age"],
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from subscope.functions import exprs as X
 from subscope.operators.joins import dimension
+from subscope.operators.roles import stack_roles
 from subscope.params import ReportParams
 
 LOCATION = ["district_code", "canton_code", "province_code"]
@@ -95,11 +96,11 @@ def district_churn_facts(crm: DataFrame) -> DataFrame:
     fine = crm.groupBy("account_id", F.trim("district_code").alias("district_code")).agg(
         F.max("snapshot_date").alias("last_snapshot"), F.max(cd).alias("last_churn"), F.min(cd).alias("first_churn")
     )
-    # all columns generated: inferred join-key filters stay above the stack
-    return fine.selectExpr(
-        "stack(2, 'D', account_id, district_code, last_snapshot, CAST(NULL AS DATE), CAST(NULL AS DATE), "
-        "'A', account_id, CAST(NULL AS STRING), last_churn, last_snapshot, first_churn) "
-        "AS (role, account_id, district_code, d1, d2, d3)",
+    return stack_roles(
+        fine,
+        [("D", ["account_id", "district_code", "last_snapshot", "CAST(NULL AS DATE)", "CAST(NULL AS DATE)"]),
+         ("A", ["account_id", "CAST(NULL AS STRING)", "last_churn", "last_snapshot", "first_churn"])],
+        ["account_id", "district_code", "d1", "d2", "d3"],
     )
 
 
