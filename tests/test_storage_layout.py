@@ -33,3 +33,22 @@ def test_revenue_report_prunes_partitions(spark, stored):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "PartitionFilters: [isnotnull(snapshot_date" in plan
     assert "dynamicpruning" in plan.lower()
+
+
+def test_cli_runs_reports_on_stored_tables(spark, stored):
+    import os
+
+    from subscope.cli import main, params_from, parse_args
+
+    root = tempfile.mkdtemp(prefix="subscope-cli-")
+    write_tables(fixture_tables(spark, SF_SMALL), f"{root}/tables")
+    out = main(["--tables", f"{root}/tables", "--out", f"{root}/out", "--report", "bundle_churners_by_month",
+                "--report", "contracts_by_channel", "--by-subchannel"], spark=spark)
+    assert [os.path.basename(p) for p in out] == ["bundle_churners_by_month", "contracts_by_channel"]
+    got = spark.read.parquet(out[0])
+    ok, why = same(spark_result(got), spark_result(RP.bundle_churners_by_month(fixture_tables(spark, SF_SMALL))))
+    assert ok, why
+    assert spark.read.parquet(out[1]).columns == ["subchannel", "contracts"]
+    p = params_from(parse_args(["--tables", "x", "--out", "y", "--analysis-months", "2021-04,2021-05",
+                                "--excluded-subchannels", "A, B", "--year", "2022"]))
+    assert p.year == 2022 and p.excluded_subchannels == ("A", "B") and len(p.analysis_months) == 2
