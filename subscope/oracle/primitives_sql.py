@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from subscope.oracle.blocks import (
-    CHURN_CORE, DIST_IDS, ORDERS_CORE, STATUS_OK, bundle, fold, m, month_name, mstart, pad, round2, t3, t4, t14,
-    trend,
+    CHURN_CORE, DIST_IDS, DISCONNECT, ORDERS_CORE, bundle, fold, m, month_name, mstart, pad, round2, t3, t4, t14,
+    status_ok, trend,
 )
 
 _NET = round2("(vo_mrc - vo_mrc_discount) + (bb_mrc - bb_mrc_discount) + (tv_mrc - tv_mrc_discount)")
@@ -65,7 +65,7 @@ GROUP BY 1""",
     "join_group_extreme": ORDERS_CORE + f"""
 SELECT f.contract, f.opened_on, o.sub_reason
 FROM service_orders o JOIN so_first f ON {pad('o.contract_id')} = f.contract AND o.opened_on = f.opened_on
-WHERE o.order_type = 'DESINSTALACION' AND {STATUS_OK.replace('status', 'o.status')}""",
+WHERE o.order_type = {DISCONNECT} AND {status_ok('o.status')}""",
     "join_left_outer": f"""
 SELECT i.district, c.district_code
 FROM (SELECT {fold('district')} AS district FROM district_index) i
