@@ -32,6 +32,10 @@ BUNDLE_BB = "1P - BB"
 BUNDLE_TV = "1P - TV"
 BUNDLE_VO = "1P - VO"
 BUNDLE_LABELS = (BUNDLE_3P, BUNDLE_BB_TV, BUNDLE_BB_VO, BUNDLE_TV_VO, BUNDLE_BB, BUNDLE_TV, BUNDLE_VO)
+# The same labels keyed by the owned-products code of ``bundle_code``
+# (broadband 4 + TV 2 + voice 1); code 0 (nothing owned) has no label.
+BUNDLE_BY_CODE = {7: BUNDLE_3P, 6: BUNDLE_BB_TV, 5: BUNDLE_BB_VO, 3: BUNDLE_TV_VO, 4: BUNDLE_BB, 2: BUNDLE_TV,
+                  1: BUNDLE_VO, 0: None}
 # Tenure bands: (inclusive upper bound in months, label); last label is open.
 TENURE_14 = (
     (1, "1M"), (2, "1M-2M"), (3, "2M-3M"), (4, "3M-4M"), (5, "4M-5M"), (6, "5M-6M"),
@@ -88,6 +92,16 @@ def bundle_flag(bb: ColumnOrName = "bb_product_id", tv: ColumnOrName = "tv_produ
     )
 
 
+def bundle_code(bb: ColumnOrName = "bb_product_id", tv: ColumnOrName = "tv_product_id",
+                vo: ColumnOrName = "vo_product_id") -> Column:
+    """Owned products as one small integer (see ``BUNDLE_BY_CODE``). The
+    aggregates that pivot by bundle compare this code instead of
+    re-evaluating the label CASE once per slot."""
+    return (
+        _c(bb).isNotNull().cast("int") * 4 + _c(tv).isNotNull().cast("int") * 2 + _c(vo).isNotNull().cast("int")
+    )
+
+
 def _band(x: ColumnOrName, bands: Sequence[tuple[int | None, str]]) -> Column:
     x = _c(x)
     expr = None

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from subscope.functions import exprs as X
 
-_SLOTS = [(i, label) for i, label in enumerate(X.BUNDLE_LABELS)] + [(len(X.BUNDLE_LABELS), None)]
+_SLOTS = list(X.BUNDLE_BY_CODE.items())  # (owned-products code, label)
 
 
 def last_snapshot_bundles(crm: DataFrame) -> DataFrame:
@@ -22,13 +22,13 @@ def last_snapshot_bundles(crm: DataFrame) -> DataFrame:
     HAVING, and never gathers more than one partial row per account-month
     and task.
     """
-    bundle = X.bundle_flag()
     aggs = [F.max("snapshot_date").alias("month_last")]
-    for i, label in _SLOTS:
-        cond = bundle.isNull() if label is None else (bundle == label)
+    for i, _ in _SLOTS:
+        cond = F.col("bcode") == i
         aggs.append(F.max(F.when(cond, F.col("snapshot_date"))).alias(f"d_{i}"))
         aggs.append(F.max(F.when(cond, F.col("age_months"))).alias(f"a_{i}"))
-    g = crm.groupBy("account_id", F.month("snapshot_date").alias("month")).agg(*aggs)
+    rows = crm.withColumn("bcode", X.bundle_code())
+    g = rows.groupBy("account_id", F.month("snapshot_date").alias("month")).agg(*aggs)
     pairs = ", ".join(
         f"{'CAST(NULL AS STRING)' if label is None else repr(label)}, d_{i}, a_{i}" for i, label in _SLOTS
     )

@@ -17,8 +17,9 @@ from subscope.operators.orders import disconnect_reason_split
 from subscope.operators.roles import stack_roles
 from subscope.params import ReportParams
 
-# Bundle slots of the per-account summary: one per label plus "no product".
-_BUNDLE_SLOTS = [(f"fc_{i}", label) for i, label in enumerate(X.BUNDLE_LABELS)] + [("fc_none", None)]
+# Bundle slots of the per-account summary: one per owned-products code
+# (7 labels plus "no product"), as (column name, label, code).
+_BUNDLE_SLOTS = [(f"fc_{code}", label, code) for code, label in X.BUNDLE_BY_CODE.items()]
 
 
 def churn_date() -> Column:
@@ -35,16 +36,15 @@ def account_churn_summary(crm: DataFrame) -> DataFrame:
     set of labels, so a hot account never gathers its rows in one task.
     """
     cd = churn_date()
-    bundle = X.bundle_flag()
     aggs = [
         F.max(cd).alias("last_churn"),
         F.max("snapshot_date").alias("last_snapshot"),
         F.min(cd).alias("first_churn"),
     ]
-    for name, label in _BUNDLE_SLOTS:
-        cond = bundle.isNull() if label is None else (bundle == label)
-        aggs.append(F.min(F.when(cond, cd)).alias(name))
-    return crm.groupBy("account_id").agg(*aggs).withColumn("contract", X.pad_key("account_id"))
+    for name, _, code in _BUNDLE_SLOTS:
+        aggs.append(F.min(F.when(F.col("bcode") == code, cd)).alias(name))
+    rows = crm.withColumn("bcode", X.bundle_code())
+    return rows.groupBy("account_id").agg(*aggs).withColumn("contract", X.pad_key("account_id"))
 
 
 def churn_roles(summary: DataFrame, p: ReportParams, bundles: bool = True) -> DataFrame:
@@ -65,7 +65,7 @@ def churn_roles(summary: DataFrame, p: ReportParams, bundles: bool = True) -> Da
         ("L", ["contract", no_label, "CASE WHEN month(last_churn) = month(last_snapshot) THEN last_churn END"]),
         ("F", ["contract", no_label, f"CASE WHEN year(first_churn) = {int(p.year)} THEN first_churn END"]),
     ]
-    for name, label in _BUNDLE_SLOTS if bundles else []:
+    for name, label, _ in _BUNDLE_SLOTS if bundles else []:
         lab = no_label if label is None else repr(label)
         roles.append(("B", ["contract", lab, f"CASE WHEN year({name}) = {int(p.year)} THEN {name} END"]))
     return stack_roles(summary, roles, ["contract", "bundle", "day"]).where(F.col("day").isNotNull()).distinct()
@@ -78,13 +78,11 @@ def churn_facts_by_churn_date(crm: DataFrame) -> DataFrame:
     so the first churn under a label is the least churn date whose flag is
     set."""
     cd = churn_date()
-    bundle = X.bundle_flag()
     aggs = [F.max("snapshot_date").alias("ms"), F.max("age_months").alias("ma")]
-    for name, label in _BUNDLE_SLOTS:
-        cond = bundle.isNull() if label is None else (bundle == label)
-        aggs.append(F.max(F.when(cond, F.lit(True))).alias(name))
-    fine = crm.groupBy("account_id", cd.alias("cd")).agg(*aggs)
-    flags = [name for name, _ in _BUNDLE_SLOTS]
+    for name, _, code in _BUNDLE_SLOTS:
+        aggs.append(F.max(F.when(F.col("bcode") == code, F.lit(True))).alias(name))
+    fine = crm.withColumn("bcode", X.bundle_code()).groupBy("account_id", cd.alias("cd")).agg(*aggs)
+    flags = [name for name, _, _ in _BUNDLE_SLOTS]
     no_flags = ["CAST(NULL AS BOOLEAN)"] * len(flags)
     return stack_roles(
         fine,
@@ -99,7 +97,7 @@ def summary_from_date_facts(facts: DataFrame) -> DataFrame:
     from the (account, churn date) facts."""
     cd = F.col("cd")
     aggs = [F.max(cd).alias("last_churn"), F.max("ms").alias("last_snapshot"), F.min(cd).alias("first_churn")]
-    aggs += [F.min(F.when(F.col(name), cd)).alias(name) for name, _ in _BUNDLE_SLOTS]
+    aggs += [F.min(F.when(F.col(name), cd)).alias(name) for name, _, _ in _BUNDLE_SLOTS]
     s = facts.where(F.col("role") == "S").groupBy("account_id").agg(*aggs)
     return s.withColumn("contract", X.pad_key("account_id"))
 

@@ -68,7 +68,8 @@ def bundle_active_tenure(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFra
     out = g.groupBy("month", "bundle", X.tenure_band_14("max_age").alias("tenure")).agg(
         F.count(F.lit(1)).alias("actives")
     )
-    return out.orderBy("month", "tenure", "bundle")
+    # labels kept; their calendar rank orders the rows
+    return out.orderBy("month", X.band_rank("tenure"), "bundle")
 
 
 def bundle_churner_tenure(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
@@ -85,7 +86,7 @@ def bundle_churner_tenure(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFr
         F.col("last_churn_month").alias("month"), "bundle", X.tenure_band_14("max_age").alias("tenure"),
         "contract", "voluntary_id", "involuntary_id",
     )
-    return churn_counts(j, ["month", "bundle", "tenure"]).orderBy("month", "tenure")
+    return churn_counts(j, ["month", "bundle", "tenure"]).orderBy("month", X.band_rank("tenure"), "bundle")
 
 
 # --- revenue -------------------------------------------------------------------

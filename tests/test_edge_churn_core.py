@@ -93,3 +93,15 @@ def test_two_tenure_bands_in_one_month(edge):
     r = out[0]
     assert r.bill_month_2 is None  # NULL broadband bill makes the total NULL
     assert r.change_2_vs_1 is None  # zero base
+
+
+def test_tenure_rows_in_calendar_order(spark):
+    """Labels are kept, rows are ordered by the band's rank, not by text."""
+    from subscope.functions import exprs as X
+    from subscope.sources.fixtures import fixture_tables
+
+    rows = RP.bundle_active_tenure(fixture_tables(spark, "/root/testdata/sf0.001")).collect()
+    order = {label: i for i, (_, label) in enumerate(X.TENURE_14)}
+    for a, b in zip(rows, rows[1:]):
+        if a.month == b.month:
+            assert order.get(a.tenure, -1) <= order.get(b.tenure, -1)

@@ -79,3 +79,11 @@ def test_status_predicate(spark):
     vals = ["CANCELADA", "ANULADA", "FINALIZADA", None]
     assert _eval(spark, X.status_kept, vals, T.StringType()) == [True, True, True, False]
     assert _eval(spark, lambda c: X.status_kept(c, strict=True), vals, T.StringType()) == [False, False, True, None]
+
+
+def test_bundle_code_matches_label(spark):
+    rows = [(b, t, v) for b in ("B", None) for t in ("T", None) for v in ("V", None)]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("bb_product_id", "tv_product_id", "vo_product_id")])
+    got = spark.createDataFrame(rows, schema).select(X.bundle_flag().alias("f"), X.bundle_code().alias("c")).collect()
+    assert all(X.BUNDLE_BY_CODE[r.c] == r.f for r in got)
+    assert len({r.c for r in got}) == 8
