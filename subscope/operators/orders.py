@@ -10,10 +10,6 @@ from subscope.functions import exprs as X
 from subscope.params import ReportParams
 
 
-def _null_s():
-    return F.lit(None).cast("string")
-
-
 def disconnect_orders(orders: DataFrame, p: ReportParams) -> DataFrame:
     """Disconnect orders with an open date, keyed by the padded contract."""
     return orders.where(
@@ -50,16 +46,15 @@ def disconnect_reason_split(orders: DataFrame, p: ReportParams) -> DataFrame:
         F.min(F.when(r != X.NON_PAYMENT, d)).alias("d_vol"),
         F.min(F.when(r.isNull(), d)).alias("d_none"),
     )
-    first = F.least("d_inv", "d_vol", "d_none")
-    c = F.col("contract")
-    null_s = _null_s()
-
-    def cls(day, inv, vol):
-        return F.struct(
-            (F.col(day) == first).alias("hit"), inv.alias("involuntary_id"), vol.alias("voluntary_id")
-        )
-
-    classes = F.array(cls("d_inv", c, null_s), cls("d_vol", null_s, c), cls("d_none", null_s, null_s))
-    return per_contract.select(
-        "contract", first.alias("opened_on"), F.inline(F.filter(classes, lambda s: s["hit"]))
+    # one row per reason class present on the first day:
+    # (involuntary id, voluntary id) = (contract, NULL) / (NULL, contract) / (NULL, NULL)
+    first = "least(d_inv, d_vol, d_none)"
+    classes = (
+        f"array(named_struct('hit', d_inv = {first}, 'involuntary_id', contract, 'voluntary_id', CAST(NULL AS STRING)), "
+        f"named_struct('hit', d_vol = {first}, 'involuntary_id', CAST(NULL AS STRING), 'voluntary_id', contract), "
+        f"named_struct('hit', d_none = {first}, 'involuntary_id', CAST(NULL AS STRING), "
+        f"'voluntary_id', CAST(NULL AS STRING)))"
+    )
+    return per_contract.selectExpr(
+        "contract", f"{first} AS opened_on", f"inline(filter({classes}, c -> c.hit))"
     ).drop("hit")
