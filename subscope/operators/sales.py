@@ -57,8 +57,12 @@ def confirmed_sales(crm: DataFrame, activations: DataFrame, p: ReportParams,
 
 
 def churner_months(attribution: DataFrame) -> DataFrame:
-    """Distinct attribution rows with the month name of the first churn."""
+    """Distinct attribution rows with the month name of the first churn.
+
+    Attribution rows are distinct, and the one column dropped here (the
+    order month) is a function of the contract (one first order date each),
+    so the projection stays distinct without another aggregate."""
     return attribution.select(
         "contract", "last_churn", "first_churn", "voluntary_id", "involuntary_id",
         X.month_name_es(F.month("first_churn")).alias("churn_month_name"),
-    ).distinct()
+    )
