@@ -38,3 +38,22 @@ def test_sql_functions_equal_column_functions(spark):
     assert ok, why
     plan = via_sql._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_user_sql_over_registered_views(spark):
+    """A user's own SQL over the canonical views and functions gives the
+    same answer as the DataFrame report (here P16 and the P13 folding)."""
+    from subscope.plans import reports as RP
+
+    t = fixture_tables(spark, SF)
+    t.views(spark)
+    register_sql_functions(spark)
+    sql = spark.sql("SELECT channel, count(DISTINCT contract_id) AS contracts FROM activations GROUP BY channel")
+    ok, why = same(spark_result(sql), spark_result(RP.contracts_by_channel(t)))
+    assert ok, why
+    cov = spark.sql("""
+        SELECT DISTINCT strip_acute_accents(i.district) AS district, c.district_code
+        FROM district_index i LEFT JOIN (SELECT DISTINCT district_code FROM crm_snapshots) c
+          ON upper(strip_acute_accents(i.district)) = c.district_code""")
+    ok, why = same(spark_result(cov), spark_result(RP.district_catalog_coverage(t)))
+    assert ok, why
