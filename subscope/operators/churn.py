@@ -121,7 +121,7 @@ def churn_facts_by_install(crm: DataFrame) -> DataFrame:
     )
     return stack_roles(
         fine,
-        [("S", ["account_id", "lc", "ms", "fc", "CAST(NULL AS TIMESTAMP)"]),
+        [("S", ["account_id", "lc", "ms", "fc", "CAST(NULL AS TIMESTAMP_NTZ)"]),
          ("I", ["account_id", "CAST(NULL AS DATE)", "CAST(NULL AS DATE)", "CAST(NULL AS DATE)", "install_ts"])],
         ["account_id", "lc", "ms", "fc", "install_ts"],
     )

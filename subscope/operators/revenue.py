@@ -197,7 +197,7 @@ def non_churner_charge_evolution(crm: DataFrame, p: ReportParams) -> DataFrame:
     month_end = bounded_broadcast(mo.select("last_date", "month_order"))  # <= len(analysis_months) rows
 
     null = {c: F.lit(None).cast(t) for c, t in (
-        ("churn_ts", "timestamp"), ("snapshot_date", "date"), ("month_order", "int"), ("mrc_total", "double"),
+        ("churn_ts", "timestamp_ntz"), ("snapshot_date", "date"), ("month_order", "int"), ("mrc_total", "double"),
         ("billing_total", "double"), ("active_month", "date"), ("tenure", "string"))}
     cols = list(null)
 

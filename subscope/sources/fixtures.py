@@ -51,8 +51,8 @@ def crm_from_customer(customer: DataFrame) -> DataFrame:
     out = rows.select(
         _s(k).alias("account_id"),
         F.col("snapshot_date"),
-        churn.cast("timestamp").alias("churn_ts"),
-        install.cast("timestamp").alias("install_ts"),
+        churn.cast("timestamp_ntz").alias("churn_ts"),
+        install.cast("timestamp_ntz").alias("install_ts"),
         F.when(k % 17 == 0, F.lit(None)).otherwise(k % 30 + m).cast("double").alias("age_months"),
         F.when(has_bb, F.concat(F.lit("BB"), bb_num)).alias("bb_product_id"),
         F.when(has_bb, F.concat(F.lit("Internet "), bb_num)).alias("bb_product_name"),

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-S, D, TS, DBL = T.StringType(), T.DateType(), T.TimestampType(), T.DoubleType()
+# Churn and install times are wall-clock date-times (no time zone): DATE(ts)
+# and the values a client reads back do not depend on any session or
+# process time zone.
+S, D, TS, DBL = T.StringType(), T.DateType(), T.TimestampNTZType(), T.DoubleType()
 
 
 def _struct(*cols: tuple[str, T.DataType, bool]) -> T.StructType:

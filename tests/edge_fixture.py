@@ -152,7 +152,7 @@ DISTRICT_ROWS = [
     dict(province="Región 2", canton="Cantón 9", district="Ávila", economic_band="E2", ids_2017=9.0),
 ]
 
-_ARROW = {T.StringType(): pa.string(), T.DateType(): pa.date32(), T.TimestampType(): pa.timestamp("us"),
+_ARROW = {T.StringType(): pa.string(), T.DateType(): pa.date32(), T.TimestampNTZType(): pa.timestamp("us"),
           T.DoubleType(): pa.float64()}
 
 TABLE_ROWS = {
