@@ -1,0 +1,95 @@
+"""Before / after timings of the hand rewrites.
+
+Each pair computes the same rows: the literal shape of the reports' SQL and
+the rewrite used by the library. Both are checked equal, then timed (best
+of N, JVM warm) on the same session.
+"""
+
+from __future__ import annotations
+
+import os
+import sys
+import time
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from subscope.functions import exprs as X  # noqa: E402
+from subscope.oracle.compare import same, spark_result  # noqa: E402
+from subscope.operators import orders as O  # noqa: E402
+from subscope.operators import revenue as R  # noqa: E402
+from subscope.params import DEFAULT_PARAMS as P  # noqa: E402
+from subscope.plans import reports as RP  # noqa: E402
+from subscope.session import build_session  # noqa: E402
+from subscope.sources.fixtures import fixture_tables  # noqa: E402
+
+
+def literal_reason_split(t):
+    """G01 aggregate, then back to the orders on (contract, earliest date), distinct."""
+    o = O.disconnect_orders(t.orders, P)
+    first = o.groupBy("contract").agg(F.min("opened_on").alias("first_on")).withColumnRenamed("contract", "f")
+    j = o.join(first, (o["contract"] == first["f"]) & (o["opened_on"] == first["first_on"]))
+    r = F.col("sub_reason")
+    return j.select(
+        "contract", "opened_on",
+        F.when(r == X.NON_PAYMENT, F.col("contract")).alias("involuntary_id"),
+        F.when(r != X.NON_PAYMENT, F.col("contract")).alias("voluntary_id"),
+    ).distinct()
+
+
+def literal_revenue(t):
+    """Month-end rows, anti join, fan-out to active months, then the pivot at
+    (active month, tenure, account) grain."""
+    base = R.account_month_charges(t.crm, P)
+    aggs = [F.sum(F.when(F.col("month_order") == k, F.col("mrc_total"))).alias(f"mrc_month_{k}") for k in (1, 2, 3)]
+    aggs += [F.sum(F.when(F.col("month_order") == k, F.col("billing_total"))).alias(f"bill_month_{k}") for k in (1, 2, 3)]
+    return R.charge_trend(base.groupBy("active_month", "tenure", "account_id").agg(*aggs))
+
+
+def literal_churn_counts(t):
+    """P01 with three COUNT(DISTINCT) (planned with Expand)."""
+    from subscope.operators import churn as C
+
+    roles, att = C.churn_core(t.crm, t.orders, P)
+    bun = C.bundle_at_first_churn(roles, distinct=False).withColumnRenamed("contract", "b_contract")
+    j = att.join(bun, (att["contract"] == bun["b_contract"]) & (att["first_churn"] == bun["bundle_first_churn"]))
+    out = j.groupBy(F.col("last_churn_month").alias("month"), "bundle").agg(
+        F.count_distinct("contract").alias("churners"), F.count_distinct("voluntary_id").alias("voluntary"),
+        F.count_distinct("involuntary_id").alias("involuntary"),
+    )
+    return out
+
+
+PAIRS = [
+    ("G01+G02 earliest orders with tied reasons", literal_reason_split,
+     lambda t: O.disconnect_reason_split(t.orders, P)),
+    ("P04 revenue trend", literal_revenue, lambda t: R.non_churner_charge_evolution(t.crm, P)),
+    ("P01 three distinct counts", literal_churn_counts, lambda t: RP.bundle_churners_by_month(t)),
+]
+
+
+def best(fn, n):
+    out = float("inf")
+    for _ in range(n):
+        t0 = time.perf_counter()
+        fn().write.format("noop").mode("overwrite").save()
+        out = min(out, time.perf_counter() - t0)
+    return out
+
+
+def main():
+    sf = os.environ.get("SF_DIR", "/root/testdata/sf0.1")
+    n = int(os.environ.get("REPEAT", "3"))
+    spark = build_session()
+    t = fixture_tables(spark, sf)
+    print("| rewrite | literal shape (s) | rewrite (s) | same rows |")
+    print("| --- | --- | --- | --- |")
+    for name, literal, rewrite in PAIRS:
+        ok, _ = same(spark_result(literal(t)), spark_result(rewrite(t)))
+        a, b = best(lambda: literal(t), n), best(lambda: rewrite(t), n)
+        print(f"| {name} | {a:.2f} | {b:.2f} | {'yes' if ok else 'NO'} |")
+
+
+if __name__ == "__main__":
+    main()
