@@ -34,16 +34,23 @@ class Tables:
         }
 
 
-def read_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> Tables:
+def read_tables(spark: SparkSession, root: str, fmt: str = "parquet", conform_types: bool = False) -> Tables:
     """Read the five tables from ``root/<name>`` with their declared schemas.
 
-    The CRM table is best stored partitioned by snapshot month so that the
-    date ranges the reports filter on prune whole directories.
+    By default the declared schema is imposed on the read: no inference, and
+    a stored type that differs fails at read time. ``conform_types=True`` is
+    for exports whose types differ but convert (e.g. a numeric account id):
+    the files are read as stored and each column is cast to its declared
+    type (a missing column still fails).
+
+    The CRM table is best stored partitioned by snapshot date (see
+    :func:`write_tables`) so that the date ranges the reports filter on prune
+    whole directories.
     """
 
     def rd(name: str) -> DataFrame:
-        # declared schema (partition column included): no inference, no
-        # footer scan, and a type drift fails at read time
+        if conform_types:
+            return S.conform(spark.read.format(fmt).load(f"{root}/{name}"), S.SCHEMAS[name])
         df = spark.read.format(fmt).schema(S.SCHEMAS[name]).load(f"{root}/{name}")
         return df.select(*S.SCHEMAS[name].fieldNames())
 

@@ -52,3 +52,24 @@ def test_cli_runs_reports_on_stored_tables(spark, stored):
     p = params_from(parse_args(["--tables", "x", "--out", "y", "--analysis-months", "2021-04,2021-05",
                                 "--excluded-subchannels", "A, B", "--year", "2022"]))
     assert p.year == 2022 and p.excluded_subchannels == ("A", "B") and len(p.analysis_months) == 2
+
+
+def test_conform_types_reads_numeric_ids(spark):
+    """An export with numeric account / contract ids and LTZ timestamps is
+    read by casting to the declared schema."""
+    from pyspark.sql import functions as F
+
+    root = tempfile.mkdtemp(prefix="subscope-types-")
+    t = fixture_tables(spark, SF_SMALL)
+    t.crm.withColumn("account_id", F.col("account_id").cast("long")).withColumn(
+        "churn_ts", F.col("churn_ts").cast("timestamp")
+    ).write.parquet(f"{root}/crm_snapshots")
+    t.orders.withColumn("contract_id", F.col("contract_id").cast("long")).write.parquet(f"{root}/service_orders")
+    for name, df in t.as_dict().items():
+        if name not in ("crm_snapshots", "service_orders"):
+            df.write.parquet(f"{root}/{name}")
+    with pytest.raises(Exception):
+        read_tables(spark, root).crm.collect()  # declared schema imposed: the long ids do not read as strings
+    loose = read_tables(spark, root, conform_types=True)
+    ok, why = same(spark_result(RP.bundle_churners_by_month(loose)), spark_result(RP.bundle_churners_by_month(t)))
+    assert ok, why
