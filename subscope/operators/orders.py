@@ -49,12 +49,9 @@ def disconnect_reason_split(orders: DataFrame, p: ReportParams) -> DataFrame:
     # one row per reason class present on the first day:
     # (involuntary id, voluntary id) = (contract, NULL) / (NULL, contract) / (NULL, NULL)
     first = "least(d_inv, d_vol, d_none)"
+    none = "CAST(NULL AS STRING)"
     classes = (
-        f"array(named_struct('hit', d_inv = {first}, 'involuntary_id', contract, 'voluntary_id', CAST(NULL AS STRING)), "
-        f"named_struct('hit', d_vol = {first}, 'involuntary_id', CAST(NULL AS STRING), 'voluntary_id', contract), "
-        f"named_struct('hit', d_none = {first}, 'involuntary_id', CAST(NULL AS STRING), "
-        f"'voluntary_id', CAST(NULL AS STRING)))"
+        f"stack(3, d_inv = {first}, contract, {none}, d_vol = {first}, {none}, contract, "
+        f"d_none = {first}, {none}, {none}) AS (hit, involuntary_id, voluntary_id)"
     )
-    return per_contract.selectExpr(
-        "contract", f"{first} AS opened_on", f"inline(filter({classes}, c -> c.hit))"
-    ).drop("hit")
+    return per_contract.selectExpr("contract", f"{first} AS opened_on", classes).where("hit").drop("hit")
