@@ -55,6 +55,9 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     ap.add_argument("--active-months", type=_months, help="e.g. 2021-07,2021-08")
     ap.add_argument("--churn-horizon-months", type=int)
     ap.add_argument("--by-month", action="store_true")
+    ap.add_argument("--inspect", action="store_true", help="churn rate: per-district contract counts instead")
+    ap.add_argument("--conform-types", action="store_true",
+                    help="read the tables as stored and cast to the declared schema")
     return ap.parse_args(argv)
 
 
@@ -73,7 +76,7 @@ def params_from(args: argparse.Namespace) -> ReportParams:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> list[str]:
     args = parse_args(argv)
     spark = configure(spark or SparkSession.builder.appName("subscope").getOrCreate())
-    tables = read_tables(spark, args.tables, fmt=args.format)
+    tables = read_tables(spark, args.tables, fmt=args.format, conform_types=args.conform_types)
     p = params_from(args)
     written = []
     for name in args.report or sorted(REPORTS):

@@ -50,8 +50,8 @@ def test_cli_runs_reports_on_stored_tables(spark, stored):
     assert ok, why
     assert spark.read.parquet(out[1]).columns == ["subchannel", "contracts"]
     p = params_from(parse_args(["--tables", "x", "--out", "y", "--analysis-months", "2021-04,2021-05",
-                                "--excluded-subchannels", "A, B", "--year", "2022"]))
-    assert p.year == 2022 and p.excluded_subchannels == ("A", "B") and len(p.analysis_months) == 2
+                                "--excluded-subchannels", "A, B", "--year", "2022", "--inspect"]))
+    assert p.year == 2022 and p.excluded_subchannels == ("A", "B") and len(p.analysis_months) == 2 and p.inspect
 
 
 def test_conform_types_reads_numeric_ids(spark):
