@@ -2,7 +2,7 @@
 
 Prints one JSON line: {"metric", "value" (sum of per-report seconds), "unit",
 "queries" {key: sec}, "sf"}. Each report is run with the JVM warm (one smoke
-run first) and timed as the best of $BENCH_REPEAT (default 3) runs; timings include
+run first) and timed as the best of $BENCH_REPEAT (default 5) runs; timings include
 deriving the canonical tables from the parquet files, like the baseline.
 """
 
@@ -24,7 +24,7 @@ from subscope.session import build_session  # noqa: E402
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "5"))
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(cpus, 8), app="subscope-bench")
     qs = queries()
     # warm the JVM and the code paths on the smallest data
