@@ -105,3 +105,47 @@ def test_tenure_rows_in_calendar_order(spark):
     for a, b in zip(rows, rows[1:]):
         if a.month == b.month:
             assert order.get(a.tenure, -1) <= order.get(b.tenure, -1)
+
+
+def test_district_churners_hand_derived(edge):
+    """P06 (month 8): only E15 churns in August; its location matches the
+    catalogue row for San José 1 / Cantón 1 / Región 1."""
+    got = [tuple(r) for r in RP.district_churners(edge).collect()]
+    assert got == [("SAN JOSE 1", "CANTON 1", "REGION 1", 1)]
+
+
+def test_sales_churners_hand_derived(edge):
+    """E3 was sold on its install day (2021-02-01), before its first
+    churn (2021-05-10), and is attributed as voluntary."""
+    got = [tuple(r) for r in RP.new_sales_churners_by_channel(edge).collect()]
+    assert got == [("Mayo", 2, "TIENDA", 1, 1, 0)]
+
+
+def test_contracts_by_channel_hand_derived(edge):
+    got = {(r.channel, r.contracts) for r in RP.contracts_by_channel(edge).collect()}
+    assert got == {("TIENDA", 3), ("WEB", 2)}
+
+
+def test_plan_speed_price_hand_derived(edge):
+    """P05 (T23): an account counts once per (plan, speed) and the mean is
+    over its distinct prices: account 16 has 0, 12.5 and 10, account 1 has 10,
+    so (10 + 0 + 12.5 + 10) / 4 = 8.125, rounded half-up to 8.13."""
+    got = {(r.bb_product_id, r.bb_product_name, r.speed_range, r.customers, r.mean_price)
+           for r in RP.plan_speed_price(edge).collect()}
+    assert got == {
+        ("BB1", "Internet 1", "50 Mbps", 2, 8.13),
+        ("BB1", "Internet 1", "100 Mbps", 2, 10.0),
+        (None, None, "100 Mbps", 1, 10.0),
+    }
+
+
+def test_district_active_ids_hand_derived(edge):
+    """P09 (month 8): tenure is per (account, snapshot date), so an account
+    with two dates in August can fall in two bands (E15: 6M and 2Y+)."""
+    got = {(r.district_name, r.economic_band, r.ids_2017, r.tenure, r.actives)
+           for r in RP.district_active_ids(edge).collect()}
+    assert got == {
+        ("San Jose 1", "E1", 1.5, "6M", 2),
+        ("San Jose 1", "E1", 1.5, "2Y+", 1),
+        ("San Jose 1", "E1", 1.5, "06-1Y", 1),
+    }
