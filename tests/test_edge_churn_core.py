@@ -149,3 +149,16 @@ def test_district_active_ids_hand_derived(edge):
         ("San Jose 1", "E1", 1.5, "2Y+", 1),
         ("San Jose 1", "E1", 1.5, "06-1Y", 1),
     }
+
+
+def test_p03_matches_hand_derived(edge):
+    """P03 on E1-E10: every age is 10, band '9M-10M' (upper bound inclusive),
+    so the rows are P01's with that tenure."""
+    out = RP.bundle_churner_tenure(_e1_e10(edge))
+    got = sorted((r.month, r.bundle or "", r.tenure, r.churners, r.voluntary, r.involuntary) for r in out.collect())
+    assert got == sorted([
+        (4, "1P - BB", "9M-10M", 1, 0, 1),
+        (5, "1P - BB", "9M-10M", 3, 2, 1),
+        (5, "1P - TV", "9M-10M", 1, 1, 1),
+        (5, "", "9M-10M", 1, 1, 0),
+    ])
