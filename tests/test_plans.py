@@ -39,7 +39,10 @@ def test_literal_segment_uses_anti_join(spark):
     assert "LeftAnti" in plan
 
 
-@pytest.mark.parametrize("key", ["bundle_churners_by_month", "new_sales_churners_by_channel", "district_churn_rate"])
+@pytest.mark.parametrize("key", [
+    "bundle_churners_by_month", "bundle_churner_tenure", "district_churners", "district_churners_tenure",
+    "district_churners_ids", "district_churn_rate", "district_churn_rate_by_month", "new_sales_churners_by_channel",
+])
 def test_churn_core_scans_crm_source_once(spark, key):
     """The per-account aggregate feeding every churn-core branch is computed
     once (its exchange is reused)."""
