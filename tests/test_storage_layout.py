@@ -73,3 +73,19 @@ def test_conform_types_reads_numeric_ids(spark):
     loose = read_tables(spark, root, conform_types=True)
     ok, why = same(spark_result(RP.bundle_churners_by_month(loose)), spark_result(RP.bundle_churners_by_month(t)))
     assert ok, why
+
+
+@pytest.mark.parametrize("key", sorted(RP.REPORTS))
+def test_crm_scans_per_report(spark, stored, key):
+    """On stored tables every report reads the CRM table once; the revenue
+    report reads its pruned slices (PLANS.md); the channel count none."""
+    import re
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = RP.REPORTS[key](stored)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    scans = len(re.findall(r"FileScan parquet [^\n]*crm_snapshots\]", plan))
+    expected = {"mrc_non_churner_evolution": 5, "contracts_by_channel": 0}.get(key, 1)
+    assert scans == expected, (key, scans)
