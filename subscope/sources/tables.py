@@ -63,15 +63,21 @@ def read_tables(spark: SparkSession, root: str, fmt: str = "parquet", conform_ty
     )
 
 
-def write_tables(t: Tables, root: str, mode: str = "errorifexists", fmt: str = "parquet") -> None:
+def write_tables(t: Tables, root: str, mode: str = "errorifexists", fmt: str = "parquet",
+                 max_records_per_file: int = 5_000_000) -> None:
     """Write the five tables under ``root/<name>`` in the layout the reports
     prune best: the CRM table partitioned by ``snapshot_date`` (every report
     filters or joins on it: static date windows prune directories, and the
     revenue report's join to its few month-end dates prunes dynamically),
-    the others as plain files. Use a shared (cluster) path for ``root``."""
-    t.crm.repartition("snapshot_date").write.mode(mode).format(fmt).partitionBy("snapshot_date").save(
-        f"{root}/crm_snapshots"
-    )
+    the others as plain files. Use a shared (cluster) path for ``root``.
+
+    No shuffle precedes the write: every task writes its own rows under
+    their date directories, so one date's volume is never funnelled through
+    one task, and ``max_records_per_file`` caps the file size.
+    """
+    t.crm.write.mode(mode).format(fmt).option("maxRecordsPerFile", max_records_per_file).partitionBy(
+        "snapshot_date"
+    ).save(f"{root}/crm_snapshots")
     for name, df in t.as_dict().items():
         if name != "crm_snapshots":
             df.write.mode(mode).format(fmt).save(f"{root}/{name}")
