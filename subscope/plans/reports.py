@@ -94,7 +94,10 @@ def bundle_churner_tenure(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFr
 def mrc_non_churner_evolution(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
     """Month-over-month net recurring charge and bill of accounts with no
     churn in the horizon, per active month and 3-band tenure."""
-    return R.non_churner_charge_evolution(t.crm, p).orderBy(F.desc("active_month"))
+    # Ordered by active month (descending) as required; the account and tenure
+    # tie-breakers let the range partitioner split each month, whose rows
+    # would otherwise all sort in one task (there are only a few months).
+    return R.non_churner_charge_evolution(t.crm, p).orderBy(F.desc("active_month"), "account_id", "tenure")
 
 
 # --- plans and speeds -----------------------------------------------------------
