@@ -1,8 +1,10 @@
 """District catalogue matching and district-level counts.
 
-The catalogue (one row per district of the country) is the only dimension
-that is broadcast, and only behind a row-count check; every CRM-side
-relation stays partitioned where it is.
+The catalogue (one row per district of the country) gets no broadcast hint:
+Spark broadcasts it while it is under its size thresholds (planning-time
+statistics, then AQE at run time) and falls back to a sort-merge join beyond
+them (see :mod:`subscope.operators.joins`). CRM-side relations are never
+broadcast.
 """
 
 from __future__ import annotations
