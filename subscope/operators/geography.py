@@ -3,8 +3,8 @@
 The catalogue (one row per district of the country) gets no broadcast hint:
 Spark broadcasts it while it is under its size thresholds (planning-time
 statistics, then AQE at run time) and falls back to a sort-merge join beyond
-them (see :mod:`subscope.operators.joins`). CRM-side relations are never
-broadcast.
+them (see :mod:`subscope.operators.joins`). CRM-side relations get no hint
+either; they are broadcast only if Spark's own size checks allow it.
 """
 
 from __future__ import annotations
