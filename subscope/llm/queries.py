@@ -10,24 +10,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subscope.llm import packing, simhash
+from subscope.llm import hosts, packing, simhash, syncmers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page labels are the rows of ``labels`` whose id is the page's:
+    good is quality 1 and not toxic."""
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"),
+        ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
+    return hosts.judge(table(spark, sf_dir, "pages"), labels, RULES)
+
+
 def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), length=2048).drop("ids")
 
 
 QUERIES = {
+    "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_url_reputation": op3_url_reputation,
     "op7_pack_sequences": op7_pack_sequences,
 }
 
