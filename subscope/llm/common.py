@@ -120,13 +120,21 @@ class SpanHash:
         return mix64(h + (ends - starts).astype(np.uint64) * _BASE)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of bytes other than ASCII white space, never across two
-    texts: (starts, ends, text index)."""
+_CODES = np.arange(256)
+# what makes a word: anything but ASCII white space; letters and digits
+SOLID = ~((_CODES == 32) | ((_CODES >= 9) & (_CODES <= 13)))
+ALNUM = (_CODES >= 128) | np.isin(_CODES, np.frombuffer(
+    b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray,
+               kind: np.ndarray = SOLID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes of a kind, never across two texts: (starts,
+    ends, text index)."""
     if len(data) == 0:
         e = np.zeros(0, np.int64)
         return e, e, e
-    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    solid = kind[data]
     before = np.empty(len(data), bool)
     before[0] = False
     before[1:] = solid[:-1]
@@ -138,3 +146,21 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     after[:-1] = solid[1:]
     ends = np.flatnonzero(solid & (~after | cut[1:])) + 1
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def shingle_hashes(words: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``k`` consecutive words (given by their hashes)
+    of one text, and the index of each run's first word."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = words[:n].copy()
+    for j in range(1, k):
+        h *= _BASE
+        h += words[j: j + n]
+    first = np.flatnonzero(text[:n] == text[k - 1:])
+    return mix64(h[first] + np.uint64(k)), first
+
+
+def lowered(col: pa.Array) -> pa.Array:
+    return pc.utf8_lower(col)
