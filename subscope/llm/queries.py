@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subscope.llm import decontaminate, hosts, licenses, packing, simhash, syncmers
+from subscope.llm import decontaminate, hosts, langid, licenses, packing, simhash, syncmers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), length=2048).drop("ids")
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_url_reputation": op3_url_reputation,
     "op5_decontamination": op5_decontamination,
+    "op6_language_id": op6_language_id,
     "op7_pack_sequences": op7_pack_sequences,
     "op10_license_scan": op10_license_scan,
 }
