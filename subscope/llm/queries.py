@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subscope.llm import decontaminate, hosts, langid, licenses, packing, simhash, syncmers
+from subscope.llm import decontaminate, hosts, langid, licenses, packing, quality, simhash, syncmers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,12 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), length=2048).drop("ids")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.train(documents, quality.good_labels(table(spark, sf_dir, "labels")))
+    return quality.score(documents, model).select("doc_id", "content_score", "metadata_score", "quality", "accepted")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses_by_document(licenses.license_hits(table(spark, sf_dir, "documents")))
 
@@ -67,6 +73,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
     "op7_pack_sequences": op7_pack_sequences,
+    "op8_quality_classifier": op8_quality_classifier,
     "op10_license_scan": op10_license_scan,
 }
 
