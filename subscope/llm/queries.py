@@ -10,7 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subscope.llm import decontaminate, hosts, langid, licenses, packing, quality, simhash, syncmers
+from subscope.llm import (
+    decontaminate,
+    hosts,
+    langid,
+    licenses,
+    linededup,
+    packing,
+    quality,
+    simhash,
+    syncmers,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +54,12 @@ def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge(table(spark, sf_dir, "pages"), labels, RULES)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", F.size("lines_removed").cast("long").alias("n_removed"), "lines_removed",
+                       F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,6 +86,7 @@ QUERIES = {
     "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_url_reputation": op3_url_reputation,
+    "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
     "op7_pack_sequences": op7_pack_sequences,
