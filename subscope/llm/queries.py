@@ -18,6 +18,7 @@ from subscope.llm import (
     linededup,
     packing,
     quality,
+    repeats,
     simhash,
     syncmers,
 )
@@ -78,6 +79,13 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, model).select("doc_id", "content_score", "metadata_score", "quality", "accepted")
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeated_passages(table(spark, sf_dir, "documents"), length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses_by_document(licenses.license_hits(table(spark, sf_dir, "documents")))
 
@@ -91,6 +99,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_pack_sequences": op7_pack_sequences,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_license_scan": op10_license_scan,
 }
 
