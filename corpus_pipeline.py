@@ -1,16 +1,68 @@
 """The corpus pipeline: quality filter, line dedup, near-duplicate removal,
-benchmark decontamination and packing of ``documents``."""
+benchmark decontamination and packing of ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before
+kept; all but the last return the columns of ``documents``. Between stages
+the documents are written and read again, so a lost executor never reaches
+back into an earlier stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from subscope.llm import decontaminate, linededup, packing, quality, simhash
+from subscope.llm.common import stored
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    model = quality.train(docs, quality.good_labels(_table(spark, sf_dir, "labels")))
+    return quality.score(docs, model).where("accepted").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier line resembles go; ``n_chars`` follows."""
+    kept = linededup.dedup_lines(docs)
+    return kept.withColumn("n_chars", F.when(
+        F.size("lines_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the smallest id stays."""
+    return simhash.one_of_each(docs, shingle=4, distance=4)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.without_items(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences, with their token ids."""
+    return packing.pack(docs, length=2048)
+
+
+STAGES = [
+    ("quality", quality_filter),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
 
-STAGES: list = []
+# the classifier, the union of linked fingerprints and the tokenizer are not
+# SQL; tests/llm/test_pipeline.py holds every stage against brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

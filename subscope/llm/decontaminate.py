@@ -132,23 +132,49 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = K, least: float
     An item of fewer words than a shingle is one shingle of its own; items
     without words (or null) are never contained. Repeated documents and items
     give a pair each; null ids stay."""
-    spark = docs.sparkSession
-    size = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    blocks = 1 + size // BLOCK_BYTES
     base = docs.select(id_col, text_col)
     schema = docs.select(id_col).schema.add(
         item_col, items.schema[item_col].dataType).add("shared", "long").add("item_shingles", "long")
     kind = pa.int64() if schema[item_col].dataType.typeName() == "long" else None
     out = None
-    for b in range(blocks):
-        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64(item_text), F.lit(blocks)) == b)
-        rows = mine.select(item_col, item_text).collect()  # at most about BLOCK_BYTES of text
-        sent = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+    for sent in _sent(items, item_col, item_text):
         found = base.mapInArrow(_searcher(sent, k, least, id_col, text_col, item_col, kind), schema)
         out = found if out is None else out.union(found)
     return out.withColumn("containment", F.col("shared") / F.col("item_shingles"))
 
 
+def _sent(items: DataFrame, item_col: str, item_text: str) -> Iterator:
+    """The items in blocks, each sent to all tasks."""
+    size = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
+    blocks = 1 + size // BLOCK_BYTES
+    for b in range(blocks):
+        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64(item_text), F.lit(blocks)) == b)
+        rows = mine.select(item_col, item_text).collect()  # at most about BLOCK_BYTES of text
+        yield items.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+
+
+def without_items(docs: DataFrame, items: DataFrame, k: int = K, least: float = LEAST, text_col: str = "text",
+                  item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the documents that :func:`contained_items` finds,
+    dropped where they are read."""
+    out = docs
+    for sent in _sent(items, item_col, item_text):
+        out = out.mapInArrow(_filter(sent, k, least, docs.columns.index(text_col), text_col), docs.schema)
+    return out
+
+
+def _filter(sent, k: int, least: float, at: int, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = ItemIndex(*sent.value, k)
+        for batch in batches:
+            for part in text_slices(batch, text_col):
+                keep = np.ones(part.num_rows, bool)
+                keep[[d for d, _, _ in _search(*_words(part.column(at)), index, least)]] = False
+                yield part.filter(pa.array(keep))
+
+    return run
+
+
 def _searcher(sent, k: int, least: float, id_col: str, text_col: str, item_col: str, kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(*sent.value, k)

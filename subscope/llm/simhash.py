@@ -75,20 +75,22 @@ def _fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): A-Z lower-cased, words cut at ASCII white space, word
+def fingerprints(docs: DataFrame, shingle: int = 4, text_col: str = "text",
+                 keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(kept columns, fp): A-Z lower-cased, words cut at ASCII white space, word
     shingles with repeats hashed by XXH64 (seed 42); a bit is set if it is
     set in over half the hashes. Fewer words than a shingle: the whole
     sequence is one shingle; none, or a null text: 0."""
-    schema = docs.select(id_col).schema.add("fp", "long")
+    schema, n = docs.select(*keep).schema.add("fp", "long"), len(keep)
+    names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, text_col):
-                fps = _fingerprints(part.column(1).to_pylist(), shingle)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
+            for part in text_slices(batch, "_text"):
+                fps = _fingerprints(part.column(n).to_pylist(), shingle)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(fps.view(np.int64))], names=names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 def flips(bits: list[int], most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,18 +222,42 @@ def near_links(distinct: DataFrame, count: int, distance: int = 4, hot_rows: int
     return out
 
 
+def components(fps: DataFrame, distance: int = 4, id_col: str = "doc_id") -> DataFrame:
+    """(fp, root, component_id) of every distinct fingerprint of ``fps`` (id,
+    fp): the smallest fingerprint and the smallest id (nulls last) reachable
+    over links of at most ``distance`` bits."""
+    classes = stored(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-classes")
+    links = near_links(classes.select("fp"), classes.count(), distance)
+    linked = connected_components(links).withColumnRenamed("node", "fp").join(classes, "fp")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    moved = linked.select("fp", "root").join(least, "root")
+    return classes.join(moved, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(
+            F.col("component_id")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(id, fp, component_id): every document with its fingerprint and the
     smallest id (nulls last) reachable over links of at most ``distance``
     bits, its own included. Documents without words have fingerprint 0 and
     are linked like any other; repeated rows stay."""
-    fps = stored(fingerprints(docs, shingle, id_col, text_col), "simhash")
-    classes = stored(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-classes")
-    links = near_links(classes.select("fp"), classes.count(), distance)
-    roots = connected_components(links)
-    linked = roots.join(classes, roots["node"] == classes["fp"])
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = linked.join(least, "root").select("fp", "component_id")
-    of = classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(of, "fp").select(id_col, "fp", "component_id")
+    fps = stored(fingerprints(docs, shingle, text_col, (id_col,)), "simhash")
+    return fps.join(components(fps, distance, id_col), "fp").select(id_col, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """One document of each group of linked ones, with all its columns: the
+    one of the smallest id (nulls last; of repeated ids, that of the smallest
+    fingerprint; of repeated rows, any)."""
+    columns = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])  # no clash with the columns made here
+    own, text = f"c{columns.index(id_col)}", f"c{columns.index(text_col)}"
+    rows = stored(fingerprints(plain, shingle, text, tuple(plain.columns)), "simhash-rows")
+    fps = rows.select(F.col(own).alias("id"), "fp")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "fp")
+    chosen = fps.join(components(fps, distance, "id"), "fp").groupBy("root").agg(F.min(order).alias("o"))
+    chosen = chosen.select(F.col("o.id").alias("id"), F.col("o.fp").alias("fp"))
+    kept = rows.join(chosen, (rows["fp"] == chosen["fp"]) & rows[own].eqNullSafe(chosen["id"]), "left_semi")
+    return kept.dropDuplicates(["fp", own]).select(*plain.columns).toDF(*columns)
