@@ -8,7 +8,6 @@ Layout
 - ``operators`` reusable segments (churn core, district matching, sales cohort, revenue, ...)
 - ``plans``     the 16 reports, segment and primitive-operator jobs, the query registry
 - ``oracle``    independent DuckDB SQL for every registered query
-- ``streaming`` intentionally empty (the analyses are batch only)
 
 Typical use::
 

@@ -33,6 +33,11 @@ def _months(text: str) -> tuple[dt.date, ...]:
     return tuple(out)
 
 
+def _month_or_all(text: str) -> int | str:
+    """A month number, or ``all`` for no filter."""
+    return "all" if text == "all" else int(text)
+
+
 def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     ap = argparse.ArgumentParser(prog="subscope", description=__doc__.split("\n\n")[0])
     ap.add_argument("--tables", required=True, help="root folder of the five tables (read_tables layout)")
@@ -43,11 +48,12 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     ap.add_argument("--year", type=int)
     ap.add_argument("--max-order-lead-months", type=int)
     ap.add_argument("--strict-status", action="store_true")
-    ap.add_argument("--churn-month-district", type=int)
-    ap.add_argument("--churn-month-tenure", type=int)
-    ap.add_argument("--churn-month-ids", type=int)
-    ap.add_argument("--active-month", type=int)
-    ap.add_argument("--sale-month", type=int)
+    ap.add_argument("--churn-month-district", type=_month_or_all, help="1-12 or all")
+    ap.add_argument("--churn-month-tenure", type=_month_or_all, help="1-12 or all")
+    ap.add_argument("--churn-month-ids", type=_month_or_all, help="1-12 or all")
+    ap.add_argument("--active-month", type=_month_or_all, help="1-12 or all")
+    ap.add_argument("--by-active-month", action="store_true")
+    ap.add_argument("--sale-month", type=_month_or_all, help="1-12 or all")
     ap.add_argument("--by-sale-month", action="store_true")
     ap.add_argument("--by-subchannel", action="store_true")
     ap.add_argument("--excluded-subchannels", help="comma-separated")
@@ -69,7 +75,7 @@ def params_from(args: argparse.Namespace) -> ReportParams:
             continue
         if f.name == "excluded_subchannels":
             v = tuple(s.strip() for s in v.split(",") if s.strip())
-        given[f.name] = v
+        given[f.name] = None if v == "all" else v
     return dataclasses.replace(ReportParams(), **given)
 
 

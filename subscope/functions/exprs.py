@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 ColumnOrName = Column | str
 
 
+def quoted(text: str | None) -> str:
+    """A SQL string literal."""
+    return "CAST(NULL AS STRING)" if text is None else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -31,7 +36,6 @@ BUNDLE_TV_VO = "2P - TV+VO"
 BUNDLE_BB = "1P - BB"
 BUNDLE_TV = "1P - TV"
 BUNDLE_VO = "1P - VO"
-BUNDLE_LABELS = (BUNDLE_3P, BUNDLE_BB_TV, BUNDLE_BB_VO, BUNDLE_TV_VO, BUNDLE_BB, BUNDLE_TV, BUNDLE_VO)
 # The same labels keyed by the owned-products code of ``bundle_code``
 # (broadband 4 + TV 2 + voice 1); code 0 (nothing owned) has no label.
 BUNDLE_BY_CODE = {7: BUNDLE_3P, 6: BUNDLE_BB_TV, 5: BUNDLE_BB_VO, 3: BUNDLE_TV_VO, 4: BUNDLE_BB, 2: BUNDLE_TV,
@@ -49,6 +53,13 @@ MONTH_NAMES_ES = (
     "Enero", "Febrero", "Marzo", "Abril", "Mayo", "Junio",
     "Julio", "Agosto", "Septiembre", "Octubre", "Noviembre", "Diciembre",
 )
+# White space stripped around location names and numbers: ASCII and Unicode,
+# the no-break space included.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+# What counts as a number: sign, digits with a point, exponent. Not Java's
+# type suffixes (12d, 5f), nor Infinity or NaN.
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 # Trend labels.
 WENT_DOWN, SAME, WENT_UP = "WENT DOWN", "SAME", "WENT UP"
 # Service-order values.
@@ -80,16 +91,8 @@ def folded_upper(x: ColumnOrName) -> Column:
 def bundle_flag(bb: ColumnOrName = "bb_product_id", tv: ColumnOrName = "tv_product_id",
                 vo: ColumnOrName = "vo_product_id") -> Column:
     """Bundle label from which of the three products are present; NULL if none."""
-    b, t, v = _c(bb).isNotNull(), _c(tv).isNotNull(), _c(vo).isNotNull()
-    return (
-        F.when(b & t & v, BUNDLE_3P)
-        .when(b & t & ~v, BUNDLE_BB_TV)
-        .when(b & ~t & v, BUNDLE_BB_VO)
-        .when(~b & t & v, BUNDLE_TV_VO)
-        .when(b & ~t & ~v, BUNDLE_BB)
-        .when(~b & t & ~v, BUNDLE_TV)
-        .when(~b & ~t & v, BUNDLE_VO)
-    )
+    labels = F.array(*[F.lit(BUNDLE_BY_CODE[code]).cast("string") for code in range(8)])
+    return labels[bundle_code(bb, tv, vo)]
 
 
 def bundle_code(bb: ColumnOrName = "bb_product_id", tv: ColumnOrName = "tv_product_id",
@@ -177,8 +180,15 @@ def month_number_es(name: ColumnOrName) -> Column:
 
 
 def number_from_text(x: ColumnOrName) -> Column:
-    """Text to DOUBLE, NULL on unparsable text (plain cast raises in ANSI mode)."""
-    return _c(x).try_cast("double")
+    """Text to DOUBLE, NULL on text that is not a number (``NUMBER`` after
+    trimming; a plain cast would take ``12d`` for 12)."""
+    t = trim_white(x)
+    return F.when(t.rlike(NUMBER), t.try_cast("double"))
+
+
+def trim_white(x: ColumnOrName) -> Column:
+    """Strip all white space around a text (``trim`` strips blanks only)."""
+    return F.btrim(_c(x), F.lit(WHITE_SPACE))
 
 
 def round2(x: ColumnOrName) -> Column:
@@ -199,9 +209,14 @@ def status_kept(status: ColumnOrName = "status", strict: bool = False) -> Column
     return s.isNotNull()
 
 
+def cents(x: ColumnOrName) -> Column:
+    """A rounded amount as a decimal: sums do not depend on their order."""
+    return round2(x).cast("decimal(18,2)")
+
+
 def net_recurring_charge() -> Column:
-    """Sum over voice, broadband and TV of (charge - discount), rounded."""
-    return round2(
+    """Sum over voice, broadband and TV of (charge - discount), in cents."""
+    return cents(
         (F.col("vo_mrc") - F.col("vo_mrc_discount"))
         + (F.col("bb_mrc") - F.col("bb_mrc_discount"))
         + (F.col("tv_mrc") - F.col("tv_mrc_discount"))
@@ -209,6 +224,6 @@ def net_recurring_charge() -> Column:
 
 
 def billed_total() -> Column:
-    """Voice bill (text, NULL/unparsable as 0) + broadband + TV bill, rounded.
-    A NULL broadband or TV bill makes the total NULL."""
-    return round2(F.coalesce(number_from_text("vo_billed_raw"), F.lit(0.0)) + F.col("bb_billed") + F.col("tv_billed"))
+    """Voice bill (text, NULL/unparsable as 0) + broadband + TV bill, in
+    cents. A NULL broadband or TV bill makes the total NULL."""
+    return cents(F.coalesce(number_from_text("vo_billed_raw"), F.lit(0.0)) + F.col("bb_billed") + F.col("tv_billed"))

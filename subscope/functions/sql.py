@@ -15,8 +15,7 @@ from pyspark.sql import SparkSession
 from subscope.functions import exprs as X
 
 
-def _q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+_q = X.quoted
 
 
 def _bands(arg: str, bands) -> str:
@@ -26,16 +25,9 @@ def _bands(arg: str, bands) -> str:
 
 
 def _bundle() -> str:
-    combos = [
-        ("bb IS NOT NULL AND tv IS NOT NULL AND vo IS NOT NULL", X.BUNDLE_3P),
-        ("bb IS NOT NULL AND tv IS NOT NULL AND vo IS NULL", X.BUNDLE_BB_TV),
-        ("bb IS NOT NULL AND tv IS NULL AND vo IS NOT NULL", X.BUNDLE_BB_VO),
-        ("bb IS NULL AND tv IS NOT NULL AND vo IS NOT NULL", X.BUNDLE_TV_VO),
-        ("bb IS NOT NULL AND tv IS NULL AND vo IS NULL", X.BUNDLE_BB),
-        ("bb IS NULL AND tv IS NOT NULL AND vo IS NULL", X.BUNDLE_TV),
-        ("bb IS NULL AND tv IS NULL AND vo IS NOT NULL", X.BUNDLE_VO),
-    ]
-    return "CASE " + " ".join(f"WHEN {c} THEN {_q(label)}" for c, label in combos) + " END"
+    owned = [f"CAST({x} IS NOT NULL AS INT)" for x in ("bb", "tv", "vo")]
+    labels = ", ".join(_q(X.BUNDLE_BY_CODE[code]) for code in range(8))
+    return f"array({labels})[4 * {owned[0]} + 2 * {owned[1]} + {owned[2]}]"
 
 
 def definitions() -> dict[str, str]:

@@ -30,7 +30,7 @@ def last_snapshot_bundles(crm: DataFrame) -> DataFrame:
     rows = crm.withColumn("bcode", X.bundle_code())
     g = rows.groupBy("account_id", F.month("snapshot_date").alias("month")).agg(*aggs)
     pairs = ", ".join(
-        f"{'CAST(NULL AS STRING)' if label is None else repr(label)}, d_{i}, a_{i}" for i, label in _SLOTS
+        f"{X.quoted(label)}, d_{i}, a_{i}" for i, label in _SLOTS
     )
     return g.selectExpr(
         "account_id", "month", "month_last", f"stack({len(_SLOTS)}, {pairs}) AS (bundle, bundle_last, max_age)"

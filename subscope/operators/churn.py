@@ -66,8 +66,7 @@ def churn_roles(summary: DataFrame, p: ReportParams, bundles: bool = True) -> Da
         ("F", ["contract", no_label, f"CASE WHEN year(first_churn) = {int(p.year)} THEN first_churn END"]),
     ]
     for name, label, _ in _BUNDLE_SLOTS if bundles else []:
-        lab = no_label if label is None else repr(label)
-        roles.append(("B", ["contract", lab, f"CASE WHEN year({name}) = {int(p.year)} THEN {name} END"]))
+        roles.append(("B", ["contract", X.quoted(label), f"CASE WHEN year({name}) = {int(p.year)} THEN {name} END"]))
     return stack_roles(summary, roles, ["contract", "bundle", "day"]).where(F.col("day").isNotNull()).distinct()
 
 
@@ -78,7 +77,8 @@ def churn_facts_by_churn_date(crm: DataFrame) -> DataFrame:
     so the first churn under a label is the least churn date whose flag is
     set."""
     cd = churn_date()
-    aggs = [F.max("snapshot_date").alias("ms"), F.max("age_months").alias("ma")]
+    aggs = [F.max("snapshot_date").alias("ms"), F.max("age_months").alias("ma"),
+            F.min(F.to_date("install_ts")).alias("mi")]
     for name, _, code in _BUNDLE_SLOTS:
         aggs.append(F.max(F.when(F.col("bcode") == code, F.lit(True))).alias(name))
     fine = crm.withColumn("bcode", X.bundle_code()).groupBy("account_id", cd.alias("cd")).agg(*aggs)
@@ -86,9 +86,9 @@ def churn_facts_by_churn_date(crm: DataFrame) -> DataFrame:
     no_flags = ["CAST(NULL AS BOOLEAN)"] * len(flags)
     return stack_roles(
         fine,
-        [("S", ["account_id", "cd", "ms", "CAST(NULL AS DOUBLE)", *flags]),
-         ("G", ["account_id", "cd", "CAST(NULL AS DATE)", "ma", *no_flags])],
-        ["account_id", "cd", "ms", "ma", *flags],
+        [("S", ["account_id", "cd", "ms", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DATE)", *flags]),
+         ("G", ["account_id", "cd", "CAST(NULL AS DATE)", "ma", "mi", *no_flags])],
+        ["account_id", "cd", "ms", "ma", "mi", *flags],
     )
 
 
@@ -103,11 +103,12 @@ def summary_from_date_facts(facts: DataFrame) -> DataFrame:
 
 
 def ages_from_date_facts(facts: DataFrame) -> DataFrame:
-    """G11 input from the facts: maximum age per (padded contract, churn date)."""
+    """G11 input from the facts: maximum age and first install date per
+    (padded contract, churn date)."""
     return (
         facts.where((F.col("role") == "G") & F.col("cd").isNotNull())
         .groupBy(X.pad_key("account_id").alias("contract"), F.col("cd").alias("churn_date"))
-        .agg(F.max("ma").alias("max_age"))
+        .agg(F.max("ma").alias("max_age"), F.min("mi").alias("first_install"))
     )
 
 
@@ -212,17 +213,6 @@ def churn_core(crm: DataFrame, orders: DataFrame, p: ReportParams,
     return roles, churn_order_attribution(real, disconnect_reason_split(orders, p), p)
 
 
-def churner_age_at_last_churn(crm: DataFrame) -> DataFrame:
-    """G11 input: maximum age over CRM rows per (padded contract, churn
-    date); joined on (contract, last churn) it gives the age of a churner on
-    its last churn date, across every raw spelling of the key."""
-    return (
-        crm.where(F.col("churn_ts").isNotNull())
-        .groupBy(X.pad_key("account_id").alias("contract"), churn_date().alias("churn_date"))
-        .agg(F.max("age_months").alias("max_age"), F.min(F.to_date("install_ts")).alias("first_install"))
-    )
-
-
 # --- location-aware variants (district reports) -----------------------------
 
 LOCATION = ["district_code", "canton_code", "province_code"]
@@ -235,7 +225,7 @@ def location_churn_facts(crm: DataFrame) -> DataFrame:
     location grain G04/G05 and the raw-account first churn G06) read the
     same plan and Spark shuffles it once."""
     cd = churn_date()
-    fine = crm.groupBy("account_id", *[F.trim(c).alias(c) for c in LOCATION]).agg(
+    fine = crm.groupBy("account_id", *[X.trim_white(c).alias(c) for c in LOCATION]).agg(
         F.max(cd).alias("last_churn"), F.max("snapshot_date").alias("last_snapshot"),
         F.min(cd).alias("first_churn"), F.max("age_months").alias("max_age"),
     )

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from subscope.functions import exprs as X
-from subscope.operators.joins import dimension
 from subscope.operators.roles import stack_roles
 from subscope.params import ReportParams
 
@@ -56,7 +55,7 @@ def account_locations(crm: DataFrame, with_tenure: bool = False, distinct: bool
     ``distinct=False`` leaves duplicates (one per snapshot date of the month)
     for callers that only count distinct accounts downstream.
     """
-    trimmed = [F.trim(c).alias(c) for c in LOCATION]
+    trimmed = [X.trim_white(c).alias(c) for c in LOCATION]
     if not with_tenure:
         out = crm.select("account_id", F.month("snapshot_date").alias("month"), *trimmed)
         return out.distinct() if distinct else out
@@ -72,7 +71,7 @@ def district_match_full(located: DataFrame, districts: DataFrame, p: ReportParam
                         how: str = "inner") -> DataFrame:
     """CRM locations matched to the catalogue on upper-cased folded
     district, canton and province. ``how='left'`` keeps unmatched CRM rows."""
-    cat = dimension(district_catalog_folded(districts))
+    cat = district_catalog_folded(districts)
     cond = (
         (located["district_code"] == cat["k_district"])
         & (located["canton_code"] == cat["k_canton"])
@@ -95,7 +94,7 @@ def district_churn_facts(crm: DataFrame) -> DataFrame:
     up to the per-account churn summary. Both read the same plan, so the
     CRM table is scanned and shuffled once."""
     cd = F.to_date("churn_ts")
-    fine = crm.groupBy("account_id", F.trim("district_code").alias("district_code")).agg(
+    fine = crm.groupBy("account_id", X.trim_white("district_code").alias("district_code")).agg(
         F.max("snapshot_date").alias("last_snapshot"), F.max(cd).alias("last_churn"), F.min(cd).alias("first_churn")
     )
     return stack_roles(
@@ -124,7 +123,7 @@ def district_match_name_only(crm: DataFrame, districts: DataFrame, p: ReportPara
     per_acct = facts.where(F.col("role") == "D").select(
         "account_id", "district_code", F.col("d1").alias("last_snapshot")
     )
-    names = dimension(district_names_folded(districts))
+    names = district_names_folded(districts)
     j = per_acct.join(names, per_acct["district_code"] == names["k_district"], "left")
     return j.select(
         "district", "district_code", X.pad_key("account_id").alias("account"), "last_snapshot"

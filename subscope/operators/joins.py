@@ -1,17 +1,9 @@
-"""Join helpers: which side may be broadcast, and why.
-
-Two cases only:
-
-- ``dimension``: a side whose size is *not* bounded by construction (the
-  district catalogue, a distinct set of codes). No hint is given; Spark
-  broadcasts it only if its estimated size is below
-  ``spark.sql.autoBroadcastJoinThreshold`` when planning, or if the
-  materialised stage is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``
-  at run time (AQE). Beyond those checks the join stays a shuffled
-  sort-merge join, so a catalogue that grows never overflows executor memory.
-- ``bounded_broadcast``: a side whose row count is bounded by construction
-  (a global aggregate with one row, or one row per requested month); the
-  caller states the bound next to the call.
+"""Broadcast policy: a side gets a hint only if its row count is bounded by
+construction. Any other side is left to Spark's size checks (the planning
+statistics against ``spark.sql.autoBroadcastJoinThreshold``, then the
+materialised stage against ``spark.sql.adaptive.autoBroadcastJoinThreshold``)
+and is a sort-merge join beyond them, so a catalogue that grows never
+overflows an executor.
 """
 
 from __future__ import annotations
@@ -20,12 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def dimension(df: DataFrame) -> DataFrame:
-    """Mark ``df`` as a dimension side: broadcast is left to Spark's size
-    checks (no unconditional hint)."""
-    return df
-
-
 def bounded_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a relation whose size is bounded by construction."""
+    """Broadcast a relation whose size is bounded by construction; the
+    caller states the bound next to the call."""
     return F.broadcast(df)

@@ -108,8 +108,8 @@ def active_month_tenure(crm: DataFrame, p: ReportParams) -> DataFrame:
 
 
 def month_end_charges(crm: DataFrame, p: ReportParams) -> DataFrame:
-    """CRM rows on their month's last snapshot date, for analysis months
-    1..3, with the rounded net recurring charge and billed total."""
+    """CRM rows on their month's last snapshot date, for the analysis months
+    present, with the net recurring charge and the billed total in cents."""
     mo = analysis_month_order(crm, p)
     bounds = month_bounds(mo, p)
     last = month_last_snapshot(crm, bounds, p)
@@ -133,113 +133,135 @@ def account_month_charges(crm: DataFrame, p: ReportParams) -> DataFrame:
     churned = churn_month_filter(crm, month_bounds(analysis_month_order(crm, p), p))
     kept = ch.join(churned, "account_id", "left_anti")
     return kept.join(active_month_tenure(crm, p), "account_id").select(
-        "month_order", "active_month", "tenure", "account_id", "mrc_total", "billing_total"
+        "month_order", "active_month", "tenure", "account_id", F.col("mrc_total").cast("double").alias("mrc_total"),
+        F.col("billing_total").cast("double").alias("billing_total")
     )
 
 
-def charges_pivot_by_account(charges: DataFrame) -> DataFrame:
-    """Per account: the sums of the net charge and the bill per month order
-    1-3 (conditional sums = pivot with fixed keys)."""
-    aggs = []
-    for k in (1, 2, 3):
-        aggs.append(F.sum(F.when(F.col("month_order") == k, F.col("mrc_total"))).alias(f"mrc_month_{k}"))
-    for k in (1, 2, 3):
-        aggs.append(F.sum(F.when(F.col("month_order") == k, F.col("billing_total"))).alias(f"bill_month_{k}"))
-    return charges.groupBy("account_id").agg(*aggs)
+def pivot_columns(p: ReportParams) -> list[str]:
+    n = len(p.analysis_months)
+    return [f"{m}_{k}" for m in ("mrc", "bill") for k in range(1, n + 1)]
 
 
-PIVOT_COLS = [f"mrc_month_{k}" for k in (1, 2, 3)] + [f"bill_month_{k}" for k in (1, 2, 3)]
+def _month_sums(p: ReportParams) -> list:
+    """Sum of either amount per month order (a pivot with fixed keys); the
+    decimals are summed and cast once."""
+    out = []
+    for name, col in (("mrc", "mrc_total"), ("bill", "billing_total")):
+        for k in range(1, len(p.analysis_months) + 1):
+            amount = F.when(F.col("month_order") == k, F.col(col).cast("decimal(18,2)"))
+            out.append(F.sum(amount).cast("double").alias(f"{name}_{k}"))
+    return out
+
+
+def charges_pivot(charges: DataFrame, p: ReportParams) -> DataFrame:
+    """The rows of G27 summed per month order, one column for each
+    analysis month and amount."""
+    return charges.groupBy("active_month", "tenure", "account_id").agg(*_month_sums(p))
 
 
-def charge_trend(pv: DataFrame) -> DataFrame:
-    """Trend label and relative change for each adjacent month pair."""
+def charge_trend(pv: DataFrame, p: ReportParams) -> DataFrame:
+    """Trend label and relative change for each pair of neighbouring
+    analysis months."""
     out = []
-    for measure, suffix in (("mrc", ""), ("bill", "_bill")):
-        for a, b in ((1, 2), (2, 3)):
-            ea, eb = f"{measure}_month_{a}", f"{measure}_month_{b}"
-            out.append(X.trend_label(ea, eb).alias(f"month{b}_vs_month{a}{suffix}"))
-            out.append(X.relative_change(ea, eb).alias(f"change_{b}_vs_{a}{suffix}"))
+    for name in ("mrc", "bill"):
+        for k in range(1, len(p.analysis_months)):
+            a, b = f"{name}_{k}", f"{name}_{k + 1}"
+            out.append(X.trend_label(a, b).alias(f"{name}_trend_{k}_{k + 1}"))
+            out.append(X.relative_change(a, b).alias(f"{name}_change_{k}_{k + 1}"))
     return pv.select("*", *out)
 
 
+_BANDS = [label for _, label in X.TENURE_3] + [None]
+_WORD = 62  # slots of one mask
+
+
+def _slot(p: ReportParams):
+    """The number of a row's (active month, tenure) slot, and how many there are."""
+    month = F.array_position(F.array(*[F.lit(d) for d in p.active_months]), F.col("active_month")) - 1
+    band = F.lit(len(_BANDS) - 1)
+    for i, label in enumerate(_BANDS[:-1]):
+        band = F.when(F.col("tenure") == label, i).otherwise(band)
+    return (month * len(_BANDS) + band).cast("int"), len(p.active_months) * len(_BANDS)
+
+
 def non_churner_charge_evolution(crm: DataFrame, p: ReportParams) -> DataFrame:
     """P04 body as one per-account aggregate.
 
-    1. ``month_stats``: table-wide last snapshot per month over the parameter
-       window (one row per month, broadcast). The analysis-month numbering
-       (G23), the bounds and the month-end dates (G25) all derive from it.
+    1. The month table: table-wide last snapshot per analysis month present,
+       numbered in calendar order (one row per month, broadcast). It also
+       carries the last of these months, so that the churn horizon needs no
+       second read.
     2. Three column- and date-pruned slices of the CRM table are unioned:
        churn facts of every row (G24 needs the account's last churn and last
        snapshot over all time), month-end charge rows (G27), and active-month
        rows (G26).
     3. One groupBy on the account (partially aggregated, so a hot account
        never gathers its rows in one task) computes the churn test, the
-       pivot of charges per month order (G28) and one flag per (active
-       month, tenure) slot - a fixed-width pivot over the parameter lists,
-       at most ``len(active_months) * 4`` slots.
+       pivot of charges per month order (G28) and bit masks of the account's
+       (active month, tenure) slots.
     4. Churned accounts (churn month within the horizon) and accounts with no
-       month-end row are dropped; the flags are unpivoted into one row per
+       month-end row are dropped; the masks are unfolded into one row per
        (active month, tenure), which is the literal fan-out of T16.
 
     No join between two large relations remains; the CRM table is shuffled
     once, as partial aggregates.
     """
-    lo, hi = static_window(p)
+    a_lo, a_hi = min(p.analysis_months), _month_end(max(p.analysis_months))
+    rows = crm.where(F.col("snapshot_date").between(F.lit(a_lo), F.lit(a_hi)))
     stats = (
-        crm.where(F.col("snapshot_date").between(F.lit(lo), F.lit(hi)))
-        .groupBy(X.month_start("snapshot_date").alias("month"))
+        rows.groupBy(X.month_start("snapshot_date").alias("month"))
         .agg(F.max("snapshot_date").alias("last_date"))
+        .where(F.col("month").isin(*p.analysis_months))
     )
-    mo = stats.where(F.col("month").isin(*p.analysis_months)).select(
-        "month", "last_date", F.row_number().over(Window.orderBy("month")).alias("month_order")
-    )  # at most len(analysis_months) rows: the window needs no partition key
-    bounds = month_bounds(mo, p)  # scalar subquery
-    month_end = bounded_broadcast(mo.select("last_date", "month_order"))  # <= len(analysis_months) rows
+    # at most len(analysis_months) rows: the windows need no partition key
+    month_end = bounded_broadcast(stats.select(
+        "last_date", F.row_number().over(Window.orderBy("month")).alias("month_order"),
+        F.max("month").over(Window.partitionBy()).alias("last_month"),
+    ))
 
+    slot, slots = _slot(p)
     null = {c: F.lit(None).cast(t) for c, t in (
-        ("churn_ts", "timestamp_ntz"), ("snapshot_date", "date"), ("month_order", "int"), ("mrc_total", "double"),
-        ("billing_total", "double"), ("active_month", "date"), ("tenure", "string"))}
-    cols = list(null)
+        ("churn_ts", "timestamp_ntz"), ("snapshot_date", "date"), ("month_order", "int"), ("last_month", "date"),
+        ("mrc_total", "decimal(18,2)"), ("billing_total", "decimal(18,2)"), ("slot", "int"))}
 
     def part(df: DataFrame, **have) -> DataFrame:
-        return df.select("account_id", *[have.get(c, null[c]).alias(c) for c in cols])
+        return df.select("account_id", *[have.get(c, x).alias(c) for c, x in null.items()])
 
     facts = part(crm, churn_ts=F.col("churn_ts"), snapshot_date=F.col("snapshot_date"))
-    a_lo, a_hi = min(p.analysis_months), _month_end(max(p.analysis_months))
-    rows = crm.where(F.col("snapshot_date").between(F.lit(a_lo), F.lit(a_hi)))
-    rows = rows.join(month_end, rows["snapshot_date"] == month_end["last_date"])
-    charges = part(rows, month_order=F.col("month_order"), mrc_total=X.net_recurring_charge(),
-                   billing_total=X.billed_total())
+    ends = rows.join(month_end, rows["snapshot_date"] == month_end["last_date"])
+    charges = part(ends, month_order=F.col("month_order"), last_month=F.col("last_month"),
+                   mrc_total=X.net_recurring_charge(), billing_total=X.billed_total())
     act_lo, act_hi = min(p.active_months), _month_end(max(p.active_months))
-    act = crm.where(F.col("snapshot_date").between(F.lit(act_lo), F.lit(act_hi))).where(
-        X.month_start("snapshot_date").isin(*p.active_months)
-    )
-    active = part(act, active_month=X.month_start("snapshot_date"), tenure=X.tenure_band_3("age_months"))
-
-    slots = [(m, t) for m in p.active_months for t in [label for _, label in X.TENURE_3] + [None]]
-    aggs = [
+    act = crm.where(F.col("snapshot_date").between(F.lit(act_lo), F.lit(act_hi))).select(
+        "account_id", X.month_start("snapshot_date").alias("active_month"),
+        X.tenure_band_3("age_months").alias("tenure"),
+    ).where(F.col("active_month").isin(*p.active_months))
+    active = part(act, slot=slot)
+
+    masks = [F.bit_or(F.when(
+        F.floor(F.col("slot") / _WORD) == w,
+        F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % _WORD).cast("int")),
+    )).alias(f"mask_{w}") for w in range(-(-slots // _WORD))]
+    per = facts.unionByName(charges).unionByName(active).groupBy("account_id").agg(
         X.month_start(F.max("churn_ts")).alias("churn_month"),
         F.max("snapshot_date").alias("last_snapshot"),
+        F.max("last_month").alias("last_month"),
         F.count("month_order").alias("month_end_rows"),
-    ]
-    for k in (1, 2, 3):
-        aggs.append(F.sum(F.when(F.col("month_order") == k, F.col("mrc_total"))).alias(f"mrc_month_{k}"))
-    for k in (1, 2, 3):
-        aggs.append(F.sum(F.when(F.col("month_order") == k, F.col("billing_total"))).alias(f"bill_month_{k}"))
-    for i, (m, t) in enumerate(slots):
-        hit = (F.col("active_month") == F.lit(m)) & F.col("tenure").eqNullSafe(F.lit(t).cast("string"))
-        aggs.append(F.max(F.when(hit, F.lit(True))).alias(f"s_{i}"))
-    per = facts.unionByName(charges).unionByName(active).groupBy("account_id").agg(*aggs)
-
+        *_month_sums(p),
+        *masks,
+    )
     churned = (F.month("churn_month") == F.month("last_snapshot")) & F.col("churn_month").between(
-        bounds.last_month, bounds.horizon_end
+        F.col("last_month"), F.add_months("last_month", p.churn_horizon_months)
     )
     kept = per.where(~F.coalesce(churned, F.lit(False)) & (F.col("month_end_rows") > 0))
-    entries = ", ".join(
-        f"s_{i}, DATE'{m.isoformat()}', {'CAST(NULL AS STRING)' if t is None else repr(t)}"
-        for i, (m, t) in enumerate(slots)
-    )
-    out = kept.selectExpr(
-        "account_id", *PIVOT_COLS, f"stack({len(slots)}, {entries}) AS (hit, active_month, tenure)"
-    ).where("hit")
-    return charge_trend(out.select("active_month", "tenure", "account_id", *PIVOT_COLS))
+    held = F.array(*[F.coalesce(f"mask_{w}", F.lit(0).cast("long")) for w in range(len(masks))])
+    hit = F.filter(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.getbit(
+        held[F.floor(i / _WORD).cast("int")], (i % _WORD).cast("int")) == 1)
+    n = len(_BANDS)
+    months = F.array(*[F.lit(d) for d in p.active_months])
+    bands = F.array(*[F.lit(b).cast("string") for b in _BANDS])
+    out = kept.select("account_id", *pivot_columns(p), F.explode(hit).alias("slot"))
+    return charge_trend(out.select(
+        months[F.floor(F.col("slot") / n).cast("int")].alias("active_month"),
+        bands[(F.col("slot") % n).cast("int")].alias("tenure"), "account_id", *pivot_columns(p)), p)

@@ -1,172 +1,111 @@
-"""Oracle SQL of the primitive-operator jobs."""
+"""DuckDB SQL of the primitive-operator jobs."""
 
 from __future__ import annotations
 
-from subscope.oracle.blocks import (
-    CHURN_CORE, DIST_IDS, DISCONNECT, ORDERS_CORE, bundle, fold, m, month_name, mstart, pad, round2, t3, t4, t14,
-    status_ok, trend,
+from subscope.oracle.parts import (
+    BILL, LEAD, NET, bare, direction, first_of, growth, half_up, int_month, key, label_of_products, months_of_life_3,
+    months_of_life_4, months_of_life_14, number, plain, query, spanish_month,
 )
 
-_NET = round2("(vo_mrc - vo_mrc_discount) + (bb_mrc - bb_mrc_discount) + (tv_mrc - tv_mrc_discount)")
-_BILL = round2("coalesce(TRY_CAST(vo_billed_raw AS DOUBLE), 0) + bb_billed + tv_billed")
+_TIMES = "(SELECT account_id, churn_ts, install_ts FROM crm_snapshots GROUP BY ALL)"
 
-_ACT = "(DATE '2021-07-01', DATE '2021-08-01', DATE '2021-09-01', DATE '2021-10-01')"
 
-_CRM_LOC = """
-acct_dates AS (
-  SELECT account_id, month(snapshot_date) AS mo, max(snapshot_date) AS snap
-  FROM crm_snapshots GROUP BY account_id, snapshot_date
-),
-crm_loc AS (
-  SELECT DISTINCT a.account_id, trim(t.district_code) AS district_code, trim(t.canton_code) AS canton_code,
-         trim(t.province_code) AS province_code, a.mo
-  FROM crm_snapshots t
-  JOIN acct_dates a ON a.account_id = t.account_id AND month(t.snapshot_date) = a.mo AND t.snapshot_date = a.snap
-)"""
+def _count(label: str, name: str, table: str = "crm_snapshots", unit: str = "snapshots") -> str:
+    return f"SELECT {label} AS {name}, count(*) AS {unit} FROM {table} GROUP BY ALL"
 
-_CHURN_INSTALL = "(SELECT DISTINCT account_id, churn_ts, install_ts FROM crm_snapshots WHERE churn_ts IS NOT NULL) x"
-
-_MONTH_END = f"""
-month_last AS (
-  SELECT {mstart('snapshot_date')} AS month, max(snapshot_date) AS last_date FROM crm_snapshots GROUP BY 1
-),
-per AS (
-  SELECT c.account_id, ml.month, sum({_NET.replace('vo_', 'c.vo_').replace('bb_', 'c.bb_').replace('tv_', 'c.tv_')}) AS mrc
-  FROM crm_snapshots c JOIN month_last ml ON c.snapshot_date = ml.last_date
-  GROUP BY 1, 2
-),
-lagged AS (
-  SELECT account_id, month, mrc, lag(mrc) OVER (PARTITION BY account_id ORDER BY month) AS prev_mrc FROM per
-)"""
 
 PRIMITIVE_SQL = {
-    "between_scalar_bounds": f"""
-SELECT {mstart('snapshot_date')} AS month, count(*) AS snapshots
-FROM crm_snapshots
-WHERE {mstart('snapshot_date')} BETWEEN (SELECT min({mstart('sold_on')}) FROM activations)
-  AND CAST((SELECT max({mstart('sold_on')}) FROM activations) + INTERVAL 3 MONTH AS DATE)
-GROUP BY 1""",
-    "join_inner_equi": f"""
-SELECT v.speed_range, count(*) AS matches
-FROM (SELECT DISTINCT {pad('account_id')} AS contract, bb_product_name, bb_product_id, bb_mrc FROM crm_snapshots) n
-JOIN (SELECT DISTINCT {pad('contract_id')} AS contract, speed_range FROM speed_inventory) v ON n.contract = v.contract
-GROUP BY 1""",
-    "join_inner_multi_key": DIST_IDS + "," + _CRM_LOC + """
-SELECT c.province_code, count(*) AS matches
-FROM crm_loc c JOIN dist_ids i
-  ON upper(i.district_name) = c.district_code AND upper(i.province_name) = c.province_code
- AND upper(i.canton_name) = c.canton_code
-GROUP BY 1""",
-    "join_interval_months": CHURN_CORE + """
-SELECT CAST(date_diff('month', s.opened_on, r.first_churn) AS INTEGER) AS lead_months, count(*) AS attributions
-FROM real_churners r JOIN so_split s ON s.contract = r.contract
- AND r.first_churn >= s.opened_on AND date_diff('month', s.opened_on, r.first_churn) <= 3
-GROUP BY 1""",
-    "join_group_extreme": ORDERS_CORE + f"""
-SELECT f.contract, f.opened_on, o.sub_reason
-FROM service_orders o JOIN so_first f ON {pad('o.contract_id')} = f.contract AND o.opened_on = f.opened_on
-WHERE o.order_type = {DISCONNECT} AND {status_ok('o.status')}""",
-    "join_left_outer": f"""
-SELECT i.district, c.district_code
-FROM (SELECT {fold('district')} AS district FROM district_index) i
-LEFT JOIN (SELECT DISTINCT trim(district_code) AS district_code FROM crm_snapshots) c
-  ON upper(i.district) = c.district_code""",
-    "join_right_outer": f"""
-SELECT i.district, c.district_code
-FROM (SELECT {fold('district')} AS district FROM district_index) i
-RIGHT JOIN (SELECT DISTINCT trim(district_code) AS district_code FROM crm_snapshots) c
-  ON upper(i.district) = c.district_code""",
-    "join_left_anti": """
-SELECT a.province_code, count(*) AS accounts
-FROM (SELECT DISTINCT account_id, trim(province_code) AS province_code FROM crm_snapshots) a
-LEFT JOIN (SELECT DISTINCT account_id FROM crm_snapshots WHERE churn_ts IS NOT NULL) c ON a.account_id = c.account_id
-WHERE c.account_id IS NULL
-GROUP BY 1""",
-    "join_fanout_active_months": f"""
-month_last AS (
-  SELECT {mstart('snapshot_date')} AS month, max(snapshot_date) AS last_date FROM crm_snapshots GROUP BY 1
-),
-me AS (SELECT c.account_id, ml.month FROM crm_snapshots c JOIN month_last ml ON c.snapshot_date = ml.last_date),
-act AS (
-  SELECT DISTINCT {mstart('snapshot_date')} AS active_month, account_id, {t3('age_months')} AS tenure
-  FROM crm_snapshots WHERE {mstart('snapshot_date')} IN {_ACT}
-)
-SELECT me.month, act.active_month, count(*) AS rows FROM me JOIN act ON me.account_id = act.account_id GROUP BY 1, 2""",
-    "agg_min_max": """
-SELECT account_id, min(CAST(churn_ts AS DATE)) AS first_churn, max(CAST(churn_ts AS DATE)) AS last_churn,
-       max(snapshot_date) AS last_snapshot
-FROM crm_snapshots GROUP BY account_id""",
-    "agg_conditional_sum": f"""
-SELECT account_id,
-       sum(CASE WHEN month(snapshot_date) = 5 THEN {_NET} END) AS mrc_m5,
-       sum(CASE WHEN month(snapshot_date) = 6 THEN {_NET} END) AS mrc_m6,
-       sum(CASE WHEN month(snapshot_date) = 7 THEN {_NET} END) AS mrc_m7
-FROM crm_snapshots WHERE snapshot_date BETWEEN DATE '2021-05-01' AND DATE '2021-07-31'
-GROUP BY account_id""",
+    "between_scalar_bounds": query(f"""
+SELECT month_day AS month, count(*) AS snapshots
+FROM snap, (SELECT min(sold_on) AS lo, max(sold_on) AS hi FROM activations)
+WHERE month_day >= {first_of('lo')} AND month_day <= CAST({first_of('hi')} + INTERVAL 3 MONTH AS DATE)
+GROUP BY ALL""", "snap"),
+    "join_inner_equi": query(f"""
+SELECT speed_range, CAST(sum(plans) AS BIGINT) AS matches
+FROM (SELECT DISTINCT {key('contract_id')} AS contract, speed_range FROM speed_inventory)
+JOIN (SELECT contract, count(DISTINCT (bb_product_name, bb_product_id, bb_mrc)) AS plans FROM snap GROUP BY contract)
+  USING (contract)
+GROUP BY ALL""", "snap"),
+    "join_inner_multi_key": query("""
+SELECT prov AS province_code, count(*) AS matches
+FROM (SELECT DISTINCT account_id, mon, prov, spot FROM lived) JOIN catalogue USING (spot) GROUP BY ALL""", "lived", "catalogue"),
+    "join_interval_months": query(f"""
+SELECT CAST({LEAD} AS INTEGER) AS lead_months, count(*) AS attributions FROM explained GROUP BY ALL""", "explained"),
+    "join_group_extreme": query("SELECT * FROM quit_order", "quit_order"),
+    "join_left_outer": query(f"""
+SELECT d.district, s.dist AS district_code
+FROM (SELECT {plain('district')} AS district FROM district_index) d
+LEFT JOIN (SELECT DISTINCT dist FROM snap) s ON s.dist = upper(d.district)""", "snap"),
+    "join_right_outer": query(f"""
+SELECT d.district, s.dist AS district_code
+FROM (SELECT DISTINCT dist FROM snap) s
+LEFT JOIN (SELECT {plain('district')} AS district FROM district_index) d ON s.dist = upper(d.district)""", "snap"),
+    "join_left_anti": query("""
+SELECT prov AS province_code, count(DISTINCT account_id) AS accounts
+FROM snap WHERE account_id IN (SELECT account_id FROM span WHERE last_left IS NULL) GROUP BY ALL""", "span"),
+    "join_fanout_active_months": query("""
+SELECT d.month_day AS month, p.active_month, count(*) AS rows
+FROM dated d JOIN present p USING (account_id) WHERE d.snapshot_date = d.month_end GROUP BY ALL""", "dated", "present"),
+    "agg_min_max": query("""
+SELECT account_id, first_left AS first_churn, last_left AS last_churn, last_seen AS last_snapshot FROM span""", "span"),
+    "agg_conditional_sum": query("SELECT account_id, " + ", ".join(
+        f"CAST(sum({NET}) FILTER (WHERE mon = {m}) AS DOUBLE) AS mrc_m{m}" for m in (5, 6, 7)) + """
+FROM snap WHERE year(snapshot_date) = 2021 AND mon IN (5, 6, 7) GROUP BY account_id""", "snap"),
     "agg_avg_round": f"""
-SELECT bb_product_id, {round2('avg(bb_mrc)')} AS mean_bb_mrc FROM crm_snapshots GROUP BY 1""",
-    "agg_count_non_null": "SELECT order_type, count(sub_reason) AS reasons FROM service_orders GROUP BY 1",
-    "agg_count_distinct": "SELECT order_type, count(DISTINCT contract_id) AS contracts FROM service_orders GROUP BY 1",
+SELECT bb_product_id, CAST({half_up('sum(bb_mrc) / nullif(count(bb_mrc), 0)')} AS DOUBLE) AS mean_bb_mrc
+FROM crm_snapshots GROUP BY ALL""",
+    "agg_count_non_null": """
+SELECT order_type, count(*) - count(*) FILTER (WHERE sub_reason IS NULL) AS reasons FROM service_orders GROUP BY ALL""",
+    "agg_count_distinct": "SELECT order_type, len(list(DISTINCT contract_id)) AS contracts FROM service_orders GROUP BY ALL",
     "agg_multi_count_distinct": """
-SELECT order_type, count(DISTINCT contract_id) AS contracts, count(DISTINCT sub_reason) AS reasons,
-       count(DISTINCT opened_on) AS open_dates
-FROM service_orders GROUP BY 1""",
-    "agg_ratio": """
-SELECT trim(province_code) AS province_code, count(DISTINCT account_id) AS accounts,
-       count(DISTINCT CASE WHEN churn_ts IS NOT NULL THEN account_id END) AS churned_accounts,
-       count(DISTINCT CASE WHEN churn_ts IS NOT NULL THEN account_id END) / count(DISTINCT account_id) AS churn_ratio
-FROM crm_snapshots GROUP BY 1""",
-    "distinct_rows": "SELECT DISTINCT account_id, bb_product_id, bb_mrc FROM crm_snapshots",
-    "window_row_number": f"""
-SELECT month, CAST(row_number() OVER (ORDER BY month) AS INTEGER) AS month_number
-FROM (SELECT DISTINCT {mstart('snapshot_date')} AS month FROM crm_snapshots) x""",
-    "order_by_calendar_month": CHURN_CORE + f"""
-SELECT churn_month_name, count(DISTINCT contract) AS churners FROM (
-  SELECT DISTINCT contract, last_churn, first_churn, voluntary_id, involuntary_id,
-         {month_name('month(first_churn)')} AS churn_month_name
-  FROM attribution) x
-GROUP BY 1""",
-    "pad_contract_key": f"SELECT DISTINCT contract_id, {pad('contract_id')} AS contract FROM service_orders",
-    "trim_location": """
-SELECT DISTINCT district_code, trim(district_code) AS district_code_trimmed, canton_code,
-       trim(canton_code) AS canton_code_trimmed, province_code, trim(province_code) AS province_code_trimmed
-FROM crm_snapshots""",
-    "strip_acute_accents": f"""
-SELECT district, {fold('district')} AS district_folded, canton, {fold('canton')} AS canton_folded,
-       province, {fold('province')} AS province_folded
-FROM district_index""",
+SELECT order_type, len(list(DISTINCT contract_id)) AS contracts,
+       coalesce(len(list(DISTINCT sub_reason) FILTER (WHERE sub_reason IS NOT NULL)), 0) AS reasons,
+       coalesce(len(list(DISTINCT opened_on) FILTER (WHERE opened_on IS NOT NULL)), 0) AS open_dates
+FROM service_orders GROUP BY ALL""",
+    "agg_ratio": query("""
+SELECT prov AS province_code, count(*) AS accounts, count(*) FILTER (WHERE left_ever) AS churned_accounts,
+       count(*) FILTER (WHERE left_ever) / count(*) AS churn_ratio
+FROM (SELECT prov, account_id, bool_or(left_on IS NOT NULL) AS left_ever FROM snap GROUP BY ALL) GROUP BY ALL""", "snap"),
+    "distinct_rows": "SELECT account_id, bb_product_id, bb_mrc FROM crm_snapshots GROUP BY ALL",
+    "window_row_number": query("""
+SELECT DISTINCT month_day AS month, CAST(dense_rank() OVER (ORDER BY month_day) AS INTEGER) AS month_number FROM snap""", "snap"),
+    "order_by_calendar_month": query(f"""
+SELECT {spanish_month('first_churn_month')} AS churn_month_name, count(DISTINCT contract) AS churners
+FROM explained GROUP BY ALL""", "explained"),
+    "pad_contract_key": f"SELECT contract_id, {key('contract_id')} AS contract FROM service_orders GROUP BY ALL",
+    "trim_location": "SELECT DISTINCT " + ", ".join(
+        f"{c}, {bare(c)} AS {c}_trimmed" for c in ("district_code", "canton_code", "province_code")) + " FROM crm_snapshots",
+    "strip_acute_accents": "SELECT " + ", ".join(
+        f"{c}, {plain(c)} AS {c}_folded" for c in ("district", "canton", "province")) + " FROM district_index",
     "date_parts": f"""
-SELECT account_id, churn_ts, {m('churn_ts')} AS churn_month, CAST(year(churn_ts) AS INTEGER) AS churn_year,
-       {m('install_ts')} AS install_month, CAST(year(install_ts) AS INTEGER) AS install_year
-FROM {_CHURN_INSTALL}""",
+SELECT account_id, churn_ts, {int_month('churn_ts')} AS churn_month, CAST(year(churn_ts) AS INTEGER) AS churn_year,
+       {int_month('install_ts')} AS install_month, CAST(year(install_ts) AS INTEGER) AS install_year
+FROM {_TIMES}""",
     "timestamp_to_date": f"""
-SELECT account_id, churn_ts, CAST(churn_ts AS DATE) AS churn_date, CAST(install_ts AS DATE) AS install_date
-FROM {_CHURN_INSTALL}""",
+SELECT account_id, churn_ts, CAST(churn_ts AS DATE) AS churn_date, CAST(install_ts AS DATE) AS install_date FROM {_TIMES}""",
     "date_trunc_month": f"""
-SELECT account_id, churn_ts, {mstart('churn_ts')} AS churn_month_start, {mstart('install_ts')} AS install_month_start
-FROM {_CHURN_INSTALL}""",
+SELECT account_id, churn_ts, {first_of('churn_ts')} AS churn_month_start, {first_of('install_ts')} AS install_month_start
+FROM {_TIMES}""",
     "date_add_months": f"""
 SELECT account_id, churn_ts, CAST(CAST(churn_ts AS DATE) + INTERVAL 3 MONTH AS DATE) AS churn_plus_horizon,
        CAST(CAST(install_ts AS DATE) + INTERVAL 3 MONTH AS DATE) AS install_plus_horizon
-FROM {_CHURN_INSTALL}""",
+FROM {_TIMES}""",
     "date_diff_calendar_months": f"""
 SELECT account_id, churn_ts,
-       CAST(date_diff('month', CAST(install_ts AS DATE), CAST(churn_ts AS DATE)) AS INTEGER) AS months_to_churn
-FROM {_CHURN_INSTALL}""",
+       CAST(12 * (year(churn_ts) - year(install_ts)) + month(churn_ts) - month(install_ts) AS INTEGER) AS months_to_churn
+FROM {_TIMES}""",
     "round_half_away": f"""
-SELECT DISTINCT bb_mrc, {round2('bb_mrc / 8')} AS eighth_rounded FROM crm_snapshots WHERE bb_mrc IS NOT NULL""",
-    "safe_cast_double": """
-SELECT DISTINCT vo_billed_raw, TRY_CAST(vo_billed_raw AS DOUBLE) AS vo_billed FROM crm_snapshots""",
+SELECT DISTINCT bb_mrc, CAST({half_up('bb_mrc / 8')} AS DOUBLE) AS eighth_rounded FROM crm_snapshots""",
+    "safe_cast_double": f"SELECT DISTINCT vo_billed_raw, {number('vo_billed_raw')} AS vo_billed FROM crm_snapshots",
     "coalesce_zero": f"""
-SELECT DISTINCT vo_billed_raw, bb_billed, tv_billed, {_BILL} AS billing_total FROM crm_snapshots""",
-    "relative_change": _MONTH_END + """
-SELECT account_id, month, prev_mrc, mrc, mrc / NULLIF(prev_mrc, 0) - 1 AS change FROM lagged""",
-    "trend_label": _MONTH_END + f"""
-SELECT account_id, month, prev_mrc, mrc, {trend('prev_mrc', 'mrc')} AS trend FROM lagged""",
-    "bundle_flag": f"SELECT {bundle()} AS bundle, count(*) AS snapshots FROM crm_snapshots GROUP BY 1",
-    "tenure_band_14": f"SELECT {t14('age_months')} AS tenure, count(*) AS snapshots FROM crm_snapshots GROUP BY 1",
-    "tenure_band_4": f"SELECT {t4('age_months')} AS tenure, count(*) AS snapshots FROM crm_snapshots GROUP BY 1",
-    "tenure_band_3": f"SELECT {t3('age_months')} AS tenure, count(*) AS snapshots FROM crm_snapshots GROUP BY 1",
-    "month_name_es": f"""
-SELECT {month_name('month(sold_on)')} AS sale_month_name, count(*) AS sales FROM activations GROUP BY 1""",
+SELECT DISTINCT vo_billed_raw, bb_billed, tv_billed, CAST({BILL} AS DOUBLE) AS billing_total FROM crm_snapshots""",
+    "relative_change": query(f"""
+SELECT account_id, month, prev_mrc, mrc, {growth('prev_mrc', 'mrc')} AS change FROM steps""", "steps"),
+    "trend_label": query(f"""
+SELECT account_id, month, prev_mrc, mrc, {direction('prev_mrc', 'mrc')} AS trend FROM steps""", "steps"),
+    "bundle_flag": _count(label_of_products(), "bundle"),
+    "tenure_band_14": _count(months_of_life_14("age_months"), "tenure"),
+    "tenure_band_4": _count(months_of_life_4("age_months"), "tenure"),
+    "tenure_band_3": _count(months_of_life_3("age_months"), "tenure"),
+    "month_name_es": _count(spanish_month("month(sold_on)"), "sale_month_name", "activations", "sales"),
 }

@@ -1,244 +1,90 @@
-"""Oracle SQL of the sixteen reports."""
+"""DuckDB SQL of the sixteen reports and P09 by month."""
 
 from __future__ import annotations
 
-import datetime as dt
-
-from subscope.oracle.blocks import (
-    BUNDLE_FIRST, CHURN_CORE, DIST_IDS, NAME_ONLY, SALES_CORE, bundle, churn_core_loc, dlit, fold, m, month_name,
-    mstart, pad, round2, t3, t4, t14, trend,
-)
-
-ANALYSIS = [dt.date(2021, k, 1) for k in (5, 6, 7)]
-ACTIVE = [dt.date(2021, k, 1) for k in (7, 8, 9, 10)]
-
-
-def _in(dates) -> str:
-    return ", ".join(dlit(d) for d in dates)
-
-
-P01 = CHURN_CORE + "," + BUNDLE_FIRST + """
-SELECT last_churn_month AS month, bundle, count(DISTINCT contract) AS churners,
-       count(DISTINCT voluntary_id) AS voluntary, count(DISTINCT involuntary_id) AS involuntary
-FROM (
-  SELECT DISTINCT a.contract, a.last_churn_month, a.first_churn_month, b.bundle, a.voluntary_id, a.involuntary_id
-  FROM attribution a JOIN bundle_first b ON a.contract = b.contract AND a.first_churn = b.bundle_first_churn
-) x
-GROUP BY 1, 2"""
-
-P02 = f"""
-acct_month AS (
-  SELECT account_id, month(snapshot_date) AS mo, max(snapshot_date) AS month_last
-  FROM crm_snapshots GROUP BY 1, 2
-),
-rows_b AS (
-  SELECT account_id, snapshot_date, age_months, month(snapshot_date) AS mo, {bundle()} AS bundle FROM crm_snapshots
-),
-plan_month AS (
-  SELECT t.account_id, t.mo, t.bundle, max(t.snapshot_date) AS bundle_last, max(t.age_months) AS max_age, a.month_last
-  FROM rows_b t JOIN acct_month a ON t.account_id = a.account_id
-  GROUP BY t.account_id, t.bundle, t.mo, a.month_last
-  HAVING year(max(t.snapshot_date)) = 2021 AND max(t.snapshot_date) = a.month_last
-)
-SELECT CAST(mo AS INTEGER) AS month, bundle, {t14('max_age')} AS tenure, count(DISTINCT account_id) AS actives
-FROM plan_month GROUP BY 1, 2, 3"""
-
-P03 = CHURN_CORE + "," + BUNDLE_FIRST + f""",
-plan_churn AS (
-  SELECT DISTINCT a.contract, a.last_churn, a.first_churn, b.bundle, t.age_months, a.voluntary_id, a.involuntary_id
-  FROM attribution a
-  JOIN bundle_first b ON a.contract = b.contract AND a.first_churn = b.bundle_first_churn
-  JOIN crm_snapshots t ON a.contract = {pad('t.account_id')} AND a.last_churn = CAST(t.churn_ts AS DATE)
-),
-tenure_churn AS (
-  SELECT contract, last_churn, first_churn, bundle, voluntary_id, involuntary_id,
-         {t14('max(age_months)')} AS tenure
-  FROM plan_churn GROUP BY contract, bundle, last_churn, first_churn, voluntary_id, involuntary_id
-)
-SELECT {m('last_churn')} AS month, bundle, tenure, count(DISTINCT contract) AS churners,
-       count(DISTINCT voluntary_id) AS voluntary, count(DISTINCT involuntary_id) AS involuntary
-FROM tenure_churn GROUP BY 1, 2, 3"""
-
-_MRC = "(c.vo_mrc - c.vo_mrc_discount) + (c.bb_mrc - c.bb_mrc_discount) + (c.tv_mrc - c.tv_mrc_discount)"
-_BILL = "coalesce(TRY_CAST(c.vo_billed_raw AS DOUBLE), 0) + c.bb_billed + c.tv_billed"
-
-P04_CTES = f"""
-sel_months AS (
-  SELECT DISTINCT {mstart('snapshot_date')} AS month FROM crm_snapshots
-  WHERE {mstart('snapshot_date')} IN ({_in(ANALYSIS)})
-),
-month_order AS (SELECT month, row_number() OVER (ORDER BY month) AS month_order FROM sel_months),
-churn_filter AS (
-  SELECT account_id, {mstart('max(churn_ts)')} AS churn_month
-  FROM crm_snapshots GROUP BY account_id
-  HAVING month({mstart('max(churn_ts)')}) = month(max(snapshot_date))
-),
-churn_month_filter AS (
-  SELECT * FROM churn_filter
-  WHERE churn_month BETWEEN (SELECT max(month) FROM month_order)
-                        AND CAST((SELECT max(month) FROM month_order) + INTERVAL 3 MONTH AS DATE)
-),
-month_last AS (
-  SELECT {mstart('snapshot_date')} AS month, max(snapshot_date) AS last_date
-  FROM crm_snapshots
-  WHERE {mstart('snapshot_date')} BETWEEN (SELECT min(month) FROM month_order)
-                                        AND CAST((SELECT max(month) FROM month_order) + INTERVAL 3 MONTH AS DATE)
-  GROUP BY 1
-),
-active_months AS (
-  SELECT DISTINCT {mstart('snapshot_date')} AS active_month, account_id, {t3('age_months')} AS tenure
-  FROM crm_snapshots WHERE {mstart('snapshot_date')} IN ({_in(ACTIVE)})
-),
-base AS (
-  SELECT mo.month_order, am.active_month, am.tenure, c.account_id,
-         {round2(_MRC)} AS mrc_total, {round2(_BILL)} AS billing_total
-  FROM crm_snapshots c
-  JOIN month_last ml ON c.snapshot_date = ml.last_date
-  JOIN month_order mo ON mo.month = ml.month
-  JOIN active_months am ON c.account_id = am.account_id
-  LEFT JOIN churn_month_filter ch ON c.account_id = ch.account_id
-  WHERE ch.account_id IS NULL
-)"""
-
-P04 = P04_CTES + f""",
-pv AS (
-  SELECT active_month, tenure, account_id,
-    sum(CASE WHEN month_order = 1 THEN mrc_total END) AS mrc_month_1,
-    sum(CASE WHEN month_order = 2 THEN mrc_total END) AS mrc_month_2,
-    sum(CASE WHEN month_order = 3 THEN mrc_total END) AS mrc_month_3,
-    sum(CASE WHEN month_order = 1 THEN billing_total END) AS bill_month_1,
-    sum(CASE WHEN month_order = 2 THEN billing_total END) AS bill_month_2,
-    sum(CASE WHEN month_order = 3 THEN billing_total END) AS bill_month_3
-  FROM base GROUP BY 1, 2, 3
+from subscope.oracle.parts import (
+    TRENDS, half_up, int_month, key, months_of_life_14, plain, query, spanish_month,
 )
-SELECT pv.*,
-  {trend('mrc_month_1', 'mrc_month_2')} AS month2_vs_month1,
-  mrc_month_2 / NULLIF(mrc_month_1, 0) - 1 AS change_2_vs_1,
-  {trend('mrc_month_2', 'mrc_month_3')} AS month3_vs_month2,
-  mrc_month_3 / NULLIF(mrc_month_2, 0) - 1 AS change_3_vs_2,
-  {trend('bill_month_1', 'bill_month_2')} AS month2_vs_month1_bill,
-  bill_month_2 / NULLIF(bill_month_1, 0) - 1 AS change_2_vs_1_bill,
-  {trend('bill_month_2', 'bill_month_3')} AS month3_vs_month2_bill,
-  bill_month_3 / NULLIF(bill_month_2, 0) - 1 AS change_3_vs_2_bill
-FROM pv"""
 
-P05 = f"""
-plans AS (
-  SELECT DISTINCT {pad('account_id')} AS contract, bb_product_name, bb_product_id, bb_mrc FROM crm_snapshots
-),
-speeds AS (SELECT DISTINCT {pad('contract_id')} AS contract, speed_range FROM speed_inventory)
-SELECT n.bb_product_id, n.bb_product_name, v.speed_range, count(DISTINCT n.contract) AS customers,
-       {round2('avg(n.bb_mrc)')} AS mean_price
-FROM plans n JOIN speeds v ON n.contract = v.contract
-GROUP BY 1, 2, 3"""
-
-
-def _district_churners(month: int, tenure: bool, extra: list[str]) -> str:
-    sel = "".join(f", {c}" for c in extra)
-    return churn_core_loc(tenure) + f"""
-SELECT district_code, canton_code, province_code{sel}, count(contract) AS churners
-FROM att_loc c JOIN dist_ids i
-  ON upper(i.district_name) = c.district_code AND upper(i.canton_name) = c.canton_code
- AND upper(i.province_name) = c.province_code
-WHERE month(last_churn) = {month}
-GROUP BY district_code, canton_code, province_code{sel}"""
-
-
-P06 = _district_churners(8, False, [])
-P07 = _district_churners(10, True, ["economic_band", "tenure"])
-P08 = _district_churners(8, True, ["economic_band", "ids_2017", "tenure"])
-
-_NAMES = "province_code, province_name, canton_code, canton_name, district_code, district_name"
-
-P09 = DIST_IDS + f""",
-acct_dates AS (
-  SELECT account_id, month(snapshot_date) AS mo, max(snapshot_date) AS snap, {t4('max(age_months)')} AS tenure
-  FROM crm_snapshots GROUP BY account_id, snapshot_date
-),
-crm_loc AS (
-  SELECT DISTINCT a.account_id, trim(t.district_code) AS district_code, trim(t.canton_code) AS canton_code,
-         a.tenure, trim(t.province_code) AS province_code, a.mo
-  FROM crm_snapshots t
-  JOIN acct_dates a ON a.account_id = t.account_id AND month(t.snapshot_date) = a.mo AND t.snapshot_date = a.snap
-),
-totals AS (
-  SELECT DISTINCT c.mo, i.district_name, i.province_name, i.canton_name, c.province_code, c.canton_code,
-         c.district_code, c.account_id, i.economic_band, i.ids_2017, c.tenure
-  FROM dist_ids i RIGHT JOIN crm_loc c
-    ON upper(i.district_name) = c.district_code AND upper(i.province_name) = c.province_code
-   AND upper(i.canton_name) = c.canton_code
-)
-SELECT {_NAMES}, economic_band, ids_2017, tenure, count(DISTINCT account_id) AS actives
-FROM totals WHERE economic_band IS NOT NULL AND mo = 8
-GROUP BY {_NAMES}, economic_band, ids_2017, tenure"""
-
-P10 = DIST_IDS + f""",
-acct_dates AS (
-  SELECT account_id, month(snapshot_date) AS mo, max(snapshot_date) AS snap
-  FROM crm_snapshots GROUP BY account_id, snapshot_date
-),
-crm_loc AS (
-  SELECT DISTINCT a.account_id, trim(t.district_code) AS district_code, trim(t.canton_code) AS canton_code,
-         trim(t.province_code) AS province_code, a.mo
-  FROM crm_snapshots t
-  JOIN acct_dates a ON a.account_id = t.account_id AND month(t.snapshot_date) = a.mo AND t.snapshot_date = a.snap
-),
-totals AS (
-  SELECT DISTINCT c.mo, i.district_name, i.province_name, i.canton_name, c.province_code, c.canton_code,
-         c.district_code, c.account_id, i.economic_band
-  FROM dist_ids i RIGHT JOIN crm_loc c
-    ON upper(i.district_name) = c.district_code AND upper(i.province_name) = c.province_code
-   AND upper(i.canton_name) = c.canton_code
-)
-SELECT CAST(mo AS INTEGER) AS month, {_NAMES}, economic_band, count(DISTINCT account_id) AS actives
-FROM totals WHERE economic_band IS NOT NULL
-GROUP BY mo, {_NAMES}, economic_band"""
-
-P11 = CHURN_CORE + "," + NAME_ONLY + """,
-reg AS (SELECT district, district_code, count(account) AS contracts FROM totals GROUP BY 1, 2),
-chn AS (
-  SELECT d.district, d.district_code, count(a.contract) AS churners
-  FROM totals d JOIN attribution a ON d.account = a.contract AND d.last_snapshot = a.last_churn
-  GROUP BY 1, 2
-)
-SELECT DISTINCT r.district, r.district_code, r.contracts, c.churners, c.churners / r.contracts AS churn_rate
-FROM reg r JOIN chn c ON r.district = c.district"""
-
-P12 = CHURN_CORE + "," + NAME_ONLY + f""",
-reg AS (
-  SELECT {m('last_snapshot')} AS month, district, district_code, count(account) AS contracts
-  FROM totals GROUP BY 1, 2, 3
-),
-chn AS (
-  SELECT {m('d.last_snapshot')} AS month, d.district, d.district_code, count(a.contract) AS churners
-  FROM totals d JOIN attribution a ON d.account = a.contract AND d.last_snapshot = a.last_churn
-  GROUP BY 1, 2, 3
-)
-SELECT r.month, r.district, r.district_code, r.contracts, c.churners,
-       {round2('c.churners / r.contracts')} AS churn_rate
-FROM reg r JOIN chn c ON r.month = c.month AND r.district = c.district"""
+SPLIT = ("count(DISTINCT contract) AS churners, count(DISTINCT voluntary_id) AS voluntary, "
+         "count(DISTINCT involuntary_id) AS involuntary")
+
+P01 = query(f"""
+SELECT last_churn_month AS month, bundle, {SPLIT}
+FROM explained e JOIN bundle_start b USING (contract)
+WHERE b.bundle_first_churn = e.first_churn GROUP BY ALL""", "explained", "bundle_start")
+
+P02 = query(f"""
+SELECT mon AS month, bundle, {months_of_life_14('oldest')} AS tenure, count(DISTINCT account_id) AS actives
+FROM (SELECT account_id, mon, bundle, max(snapshot_date) AS latest, max(age_months) AS oldest,
+             max(max(snapshot_date)) OVER (PARTITION BY account_id, mon) AS month_latest
+      FROM snap GROUP BY account_id, mon, bundle)
+WHERE latest = month_latest AND year(latest) = 2021 GROUP BY ALL""", "snap")
+
+P03 = query(f"""
+SELECT last_churn_month AS month, bundle, {months_of_life_14('oldest')} AS tenure, {SPLIT}
+FROM (SELECT e.*, b.bundle,
+             (SELECT max(s.age_months) FROM snap s WHERE s.contract = e.contract AND s.left_on = e.last_churn) AS oldest
+      FROM explained e JOIN bundle_start b ON b.contract = e.contract AND b.bundle_first_churn = e.first_churn)
+GROUP BY ALL""", "explained", "bundle_start", "snap")
+
+P04 = query(f"SELECT *, {TRENDS} FROM by_month", "by_month")
+
+P05 = query(f"""
+SELECT s.bb_product_id, s.bb_product_name, v.speed_range, count(DISTINCT s.contract) AS customers,
+       CAST({half_up('avg(s.bb_mrc)')} AS DOUBLE) AS mean_price
+FROM (SELECT DISTINCT contract, bb_product_id, bb_product_name, bb_mrc FROM snap) s,
+     (SELECT {key('contract_id')} AS contract, speed_range FROM speed_inventory GROUP BY ALL) v
+WHERE s.contract = v.contract GROUP BY ALL""", "snap")
+
+# rows of a churner count once each: a tie of reasons or a repeated catalogue row counts again
+_CHURNERS = """
+SELECT x.dist AS district_code, x.cant AS canton_code, x.prov AS province_code, {more}count(x.contract) AS churners
+FROM (SELECT DISTINCT contract, dist, cant, prov, {tenure}last_churn, first_churn, opened_on, voluntary_id, involuntary_id
+      FROM place_explained) x JOIN catalogue c ON c.spot = [x.dist, x.cant, x.prov]
+WHERE month(x.last_churn) = {month} GROUP BY ALL"""
+
+
+def _churners(month: int, more: str = "") -> str:
+    return query(_CHURNERS.format(month=month, more=more, tenure="tenure, " if "tenure" in more else ""),
+                 "place_explained", "catalogue")
+
+
+P06 = _churners(8)
+P07 = _churners(10, "c.economic_band, x.tenure, ")
+P08 = _churners(8, "c.economic_band, c.ids_2017, x.tenure, ")
+
+_WHERE = """prov AS province_code, province_name, cant AS canton_code, canton_name, dist AS district_code, district_name,
+       economic_band, {more}count(DISTINCT account_id) AS actives
+FROM lived JOIN catalogue USING (spot) WHERE economic_band IS NOT NULL"""
+
+P09 = query(f"SELECT {_WHERE.format(more='ids_2017, tenure, ')} AND mon = 8 GROUP BY ALL", "lived", "catalogue")
+P09M = query(f"SELECT mon AS month, {_WHERE.format(more='ids_2017, tenure, ')} GROUP BY ALL", "lived", "catalogue")
+P10 = query(f"SELECT mon AS month, {_WHERE.format(more='')} GROUP BY ALL", "lived", "catalogue")
+
+# explained churners by the day they left; ties count again
+_RATE = """
+SELECT {keys}district, district_code, count(account) AS contracts, CAST(sum(hits) AS BIGINT) AS churners, {rate} AS churn_rate
+FROM (SELECT {month}l.*, (SELECT count(*) FROM explained e WHERE e.contract = l.account AND e.last_churn = l.last_snapshot) AS hits
+      FROM listed l WHERE district IS NOT NULL)
+GROUP BY ALL HAVING sum(hits) > 0"""
+
+P11 = query(_RATE.format(keys="", month="", rate="sum(hits) / count(account)"), "listed", "explained")
+P12 = query(_RATE.format(keys="month, ", month=f"{int_month('last_snapshot')} AS month, ",
+                         rate=f"CAST({half_up('sum(hits) / count(account)')} AS DOUBLE)"), "listed", "explained")
 
 P13 = f"""
-SELECT DISTINCT i.district, c.district_code
-FROM (SELECT {fold('district')} AS district FROM district_index) i
-LEFT JOIN (SELECT account_id, district_code FROM crm_snapshots) c ON upper(i.district) = c.district_code"""
+SELECT DISTINCT d.district, s.district_code
+FROM (SELECT {plain('district')} AS district FROM district_index) d
+LEFT JOIN (SELECT DISTINCT district_code FROM crm_snapshots) s ON s.district_code = upper(d.district)"""
 
-P14 = SALES_CORE + """
-SELECT channel, count(contract) AS sales FROM confirmed GROUP BY channel"""
+P14 = query("SELECT channel, count(contract) AS sales FROM cohort GROUP BY ALL", "cohort")
 
-P15 = CHURN_CORE + "," + SALES_CORE + f""",
-churn_months AS (
-  SELECT DISTINCT contract, last_churn, first_churn, voluntary_id, involuntary_id,
-         {month_name('month(first_churn)')} AS churn_month_name
-  FROM attribution
-)
-SELECT c.churn_month_name, a.sale_month, a.channel, count(DISTINCT a.contract) AS churners,
-       count(DISTINCT c.voluntary_id) AS voluntary, count(DISTINCT c.involuntary_id) AS involuntary
-FROM confirmed a JOIN churn_months c ON c.contract = a.contract AND a.sold_on < c.first_churn
-GROUP BY 1, 2, 3"""
+P15 = query(f"""
+SELECT {spanish_month('month(e.first_churn)')} AS churn_month_name, sale_month, channel, {SPLIT}
+FROM explained e JOIN cohort USING (contract) WHERE sold_on < e.first_churn GROUP BY ALL""", "explained", "cohort")
 
-P16 = """
-SELECT channel, count(DISTINCT contract_id) AS contracts FROM activations GROUP BY channel"""
+P16 = "SELECT channel, len(list(DISTINCT contract_id)) AS contracts FROM activations GROUP BY ALL"
 
 REPORT_SQL = {
     "bundle_churners_by_month": P01,
@@ -250,6 +96,7 @@ REPORT_SQL = {
     "district_churners_tenure": P07,
     "district_churners_ids": P08,
     "district_active_ids": P09,
+    "district_active_ids_by_month": P09M,
     "district_active_economic_by_month": P10,
     "district_churn_rate": P11,
     "district_churn_rate_by_month": P12,

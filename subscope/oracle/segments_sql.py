@@ -1,114 +1,78 @@
-"""Oracle SQL of the reusable segments."""
+"""DuckDB SQL of the segments G01-G30."""
 
 from __future__ import annotations
 
-from subscope.oracle.blocks import (
-    BUNDLE_FIRST, CHURN_CORE, CRM_FIRST, DIST_IDS, NAME_ONLY, ORDERS_CORE, SALES_CORE, bundle, m, month_name, pad,
-    t4,
-)
-from subscope.oracle.reports_sql import P04, P04_CTES
+from subscope.oracle.parts import HORIZON, TRENDS, int_month, key, months_of_life_4, query, spanish_month
 
-_LOC_LAST = f"""
-SELECT {pad('account_id')} AS contract, max(CAST(churn_ts AS DATE)) AS last_churn,
-       {m('max(churn_ts)')} AS last_churn_month,
-       trim(district_code) AS district_code, trim(canton_code) AS canton_code, trim(province_code) AS province_code
-       {{ten}}
-FROM crm_snapshots GROUP BY {pad('account_id')}, trim(district_code), trim(canton_code), trim(province_code)
-HAVING month(max(CAST(churn_ts AS DATE))) = month(max(snapshot_date))"""
+_PLACE = """
+SELECT contract, last_churn, {month} AS last_churn_month, dist AS district_code, cant AS canton_code,
+       prov AS province_code{more}
+FROM place WHERE month(last_churn) = month(seen)"""
 
-_ACCT_LOC_T = f"""
-acct_dates AS (
-  SELECT account_id, month(snapshot_date) AS mo, max(snapshot_date) AS snap, {t4('max(age_months)')} AS tenure
-  FROM crm_snapshots GROUP BY account_id, snapshot_date
-),
-crm_loc AS (
-  SELECT DISTINCT a.account_id, trim(t.district_code) AS district_code, trim(t.canton_code) AS canton_code,
-         a.tenure, trim(t.province_code) AS province_code, a.mo
-  FROM crm_snapshots t
-  JOIN acct_dates a ON a.account_id = t.account_id AND month(t.snapshot_date) = a.mo AND t.snapshot_date = a.snap
-)"""
-
-_ACCT_LOC = f"""
-acct_dates AS (
-  SELECT account_id, month(snapshot_date) AS mo, max(snapshot_date) AS snap
-  FROM crm_snapshots GROUP BY account_id, snapshot_date
-),
-crm_loc AS (
-  SELECT DISTINCT a.account_id, trim(t.district_code) AS district_code, trim(t.canton_code) AS canton_code,
-         trim(t.province_code) AS province_code, a.mo
-  FROM crm_snapshots t
-  JOIN acct_dates a ON a.account_id = t.account_id AND month(t.snapshot_date) = a.mo AND t.snapshot_date = a.snap
-)"""
-
-_TREND_COLS = ("month2_vs_month1, change_2_vs_1, month3_vs_month2, change_3_vs_2, month2_vs_month1_bill, "
-               "change_2_vs_1_bill, month3_vs_month2_bill, change_3_vs_2_bill")
+_LAST_MONTH = int_month("last_churn")
 
 SEGMENT_SQL = {
-    "disconnect_first_orders": ORDERS_CORE + "\nSELECT contract, opened_on FROM so_first",
-    "disconnect_reason_split": ORDERS_CORE + "\nSELECT * FROM so_split",
-    "crm_last_churn": CHURN_CORE + "\nSELECT DISTINCT contract, last_churn, last_churn_month FROM crm_last",
-    "crm_last_churn_by_location": _LOC_LAST.format(ten=""),
-    "crm_last_churn_by_location_tenure": _LOC_LAST.format(ten=f", {t4('max(age_months)')} AS tenure"),
-    "crm_first_churn": CRM_FIRST + "\nSELECT DISTINCT contract, first_churn, first_churn_month FROM crm_first",
-    "real_churners": CHURN_CORE + "\nSELECT * FROM real_churners",
-    "churn_order_attribution": CHURN_CORE + "\nSELECT * FROM attribution",
-    "bundle_at_first_churn": BUNDLE_FIRST + "\nSELECT contract, bundle, bundle_first_churn FROM bundle_first",
-    "last_snapshot_per_account_month": f"""
-acct_month AS (
-  SELECT account_id, month(snapshot_date) AS mo, max(snapshot_date) AS month_last
-  FROM crm_snapshots GROUP BY 1, 2
-),
-rows_b AS (
-  SELECT account_id, snapshot_date, age_months, month(snapshot_date) AS mo, {bundle()} AS bundle FROM crm_snapshots
-)
-SELECT t.account_id, CAST(t.mo AS INTEGER) AS month, a.month_last AS last_snapshot, t.bundle,
-       max(t.age_months) AS max_age
-FROM rows_b t JOIN acct_month a ON t.account_id = a.account_id
-GROUP BY t.account_id, t.bundle, t.mo, a.month_last
-HAVING max(t.snapshot_date) = a.month_last""",
-    "churner_age_at_last_churn": CHURN_CORE + f"""
-SELECT a.contract, a.last_churn, max(t.age_months) AS max_age, min(CAST(t.install_ts AS DATE)) AS first_install
-FROM (SELECT DISTINCT contract, last_churn FROM attribution) a
-JOIN crm_snapshots t ON a.contract = {pad('t.account_id')} AND a.last_churn = CAST(t.churn_ts AS DATE)
-GROUP BY 1, 2""",
-    "account_snapshot_dates": f"""
-SELECT account_id, snapshot_date, {t4('max(age_months)')} AS tenure, {m('snapshot_date')} AS month
-FROM crm_snapshots GROUP BY account_id, snapshot_date""",
-    "account_locations": _ACCT_LOC_T + """
-SELECT account_id, CAST(mo AS INTEGER) AS month, district_code, canton_code, province_code, tenure FROM crm_loc""",
-    "district_catalog_folded": DIST_IDS + "\nSELECT * FROM dist_ids",
-    "district_match_full": DIST_IDS + "," + _ACCT_LOC + """
-SELECT c.account_id, CAST(c.mo AS INTEGER) AS month, c.district_code, c.canton_code, c.province_code,
-       i.district_name, i.canton_name, i.province_name, i.economic_band, i.ids_2017
-FROM dist_ids i JOIN crm_loc c
-  ON upper(i.district_name) = c.district_code AND upper(i.province_name) = c.province_code
- AND upper(i.canton_name) = c.canton_code""",
-    "district_match_name_only": NAME_ONLY + "\nSELECT * FROM totals",
-    "district_contract_counts": NAME_ONLY + """
-SELECT district, district_code, count(account) AS contracts FROM totals GROUP BY 1, 2""",
-    "district_churner_counts": CHURN_CORE + "," + NAME_ONLY + """
-SELECT d.district, d.district_code, count(a.contract) AS churners
-FROM totals d JOIN attribution a ON d.account = a.contract AND d.last_snapshot = a.last_churn
-GROUP BY 1, 2""",
-    "crm_installs_in_year": SALES_CORE + "\nSELECT * FROM installs",
-    "new_residential_sales": SALES_CORE + "\nSELECT * FROM new_sales",
-    "confirmed_sales": SALES_CORE + "\nSELECT * FROM confirmed",
-    "churner_months": CHURN_CORE + f"""
-SELECT DISTINCT contract, last_churn, first_churn, voluntary_id, involuntary_id,
-       {month_name('month(first_churn)')} AS churn_month_name
-FROM attribution""",
-    "analysis_month_order": P04_CTES + "\nSELECT month, CAST(month_order AS INTEGER) AS month_order FROM month_order",
-    "churn_month_filter": P04_CTES + "\nSELECT account_id, churn_month FROM churn_month_filter",
-    "month_last_snapshot": P04_CTES + "\nSELECT * FROM month_last",
-    "active_month_tenure": P04_CTES + "\nSELECT * FROM active_months",
-    "account_month_charges": P04_CTES + """
-SELECT CAST(month_order AS INTEGER) AS month_order, active_month, tenure, account_id, mrc_total, billing_total
-FROM base""",
-    "charges_pivot": "src AS (WITH " + P04.replace("\n", "\n  ") + "\n)\nSELECT active_month, tenure, account_id, "
-    "mrc_month_1, mrc_month_2, mrc_month_3, bill_month_1, bill_month_2, bill_month_3 FROM src",
-    "charge_trend": "src AS (WITH " + P04.replace("\n", "\n  ") + f"\n)\nSELECT active_month, tenure, account_id, "
-    f"{_TREND_COLS} FROM src",
-    "speed_by_contract": f"SELECT DISTINCT {pad('contract_id')} AS contract, speed_range FROM speed_inventory",
-    "plan_by_account": f"""
-SELECT DISTINCT {pad('account_id')} AS contract, bb_product_name, bb_product_id, bb_mrc FROM crm_snapshots""",
+    "disconnect_first_orders": query("SELECT DISTINCT contract, opened_on FROM quit_order", "quit_order"),
+    "disconnect_reason_split": query("SELECT * FROM quit_reason", "quit_reason"),
+    "crm_last_churn": query(f"""
+SELECT contract, last_churn, {_LAST_MONTH} AS last_churn_month
+FROM (SELECT contract, unnest(lasts) AS last_churn FROM days)""", "days"),
+    "crm_last_churn_by_location": query(_PLACE.format(month=_LAST_MONTH, more=""), "place"),
+    "crm_last_churn_by_location_tenure": query(_PLACE.format(month=_LAST_MONTH, more=", tenure"), "place"),
+    "crm_first_churn": query(f"""
+SELECT contract, first_churn, {int_month('first_churn')} AS first_churn_month
+FROM (SELECT contract, unnest(firsts) AS first_churn FROM days)""", "days"),
+    "real_churners": query(f"""
+SELECT *, {_LAST_MONTH} AS last_churn_month, {int_month('first_churn')} AS first_churn_month FROM gone""", "gone"),
+    "churn_order_attribution": query("SELECT * EXCLUDE (opened_on) FROM explained", "explained"),
+    "bundle_at_first_churn": query("SELECT * FROM bundle_start", "bundle_start"),
+    "last_snapshot_per_account_month": query("""
+SELECT account_id, mon AS month, latest AS last_snapshot, bundle, oldest AS max_age
+FROM (SELECT account_id, mon, bundle, max(snapshot_date) AS latest, max(age_months) AS oldest,
+             rank() OVER (PARTITION BY account_id, mon ORDER BY max(snapshot_date) DESC) AS place
+      FROM snap GROUP BY account_id, mon, bundle)
+WHERE place = 1""", "snap"),
+    "churner_age_at_last_churn": query("""
+SELECT contract, left_on AS last_churn, max(age_months) AS max_age, min(CAST(install_ts AS DATE)) AS first_install
+FROM snap s WHERE EXISTS (SELECT 1 FROM explained e WHERE e.contract = s.contract AND e.last_churn = s.left_on)
+GROUP BY ALL""", "snap", "explained"),
+    "account_snapshot_dates": query(f"""
+SELECT account_id, snapshot_date, mon AS month, {months_of_life_4('max(age_months)')} AS tenure
+FROM snap GROUP BY account_id, snapshot_date, mon""", "snap"),
+    "account_locations": query("""
+SELECT account_id, mon AS month, dist AS district_code, cant AS canton_code, prov AS province_code, tenure
+FROM lived""", "lived"),
+    "district_catalog_folded": query("SELECT * EXCLUDE (spot) FROM catalogue", "catalogue"),
+    "district_match_full": query("""
+SELECT account_id, mon AS month, dist AS district_code, cant AS canton_code, prov AS province_code, district_name,
+       canton_name, province_name, economic_band, ids_2017
+FROM (SELECT DISTINCT account_id, mon, dist, cant, prov, spot FROM lived) JOIN catalogue USING (spot)""", "lived", "catalogue"),
+    "district_match_name_only": query("SELECT * FROM listed", "listed"),
+    "district_contract_counts": query("""
+SELECT district, district_code, count(account) AS contracts FROM listed GROUP BY ALL""", "listed"),
+    "district_churner_counts": query("""
+SELECT district, district_code, count(e.contract) AS churners
+FROM listed, explained e WHERE account = e.contract AND last_snapshot = e.last_churn GROUP BY ALL""", "listed", "explained"),
+    "crm_installs_in_year": query("SELECT * FROM installed", "installed"),
+    "new_residential_sales": query("SELECT * FROM sold", "sold"),
+    "confirmed_sales": query("SELECT * FROM cohort", "cohort"),
+    "churner_months": query(f"""
+SELECT contract, last_churn, first_churn, voluntary_id, involuntary_id,
+       {spanish_month('first_churn_month')} AS churn_month_name
+FROM explained""", "explained"),
+    "analysis_month_order": query("SELECT * FROM asked", "asked"),
+    "churn_month_filter": query("SELECT * FROM left_after", "left_after"),
+    "month_last_snapshot": query(f"""
+SELECT DISTINCT month_day AS month, month_end AS last_date FROM dated
+WHERE month_day >= (SELECT min(month) FROM asked) AND month_day <= {HORIZON.split(' AND ')[1]}""", "dated", "asked"),
+    "active_month_tenure": query("SELECT * FROM present", "present"),
+    "account_month_charges": query("""
+SELECT month_order, active_month, tenure, account_id, CAST(net AS DOUBLE) AS mrc_total,
+       CAST(bill AS DOUBLE) AS billing_total
+FROM charge""", "charge"),
+    "charges_pivot": query("SELECT * FROM by_month", "by_month"),
+    "charge_trend": query(f"SELECT active_month, tenure, account_id, {TRENDS} FROM by_month", "by_month"),
+    "speed_by_contract": f"SELECT {key('contract_id')} AS contract, speed_range FROM speed_inventory GROUP BY ALL",
+    "plan_by_account": query("""
+SELECT contract, bb_product_name, bb_product_id, bb_mrc FROM snap GROUP BY ALL""", "snap"),
 }

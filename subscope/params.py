@@ -26,6 +26,7 @@ class ReportParams:
     churn_month_ids: int | None = 8
     # month of the active-contract report by district and index
     active_month: int | None = 8
+    by_active_month: bool = False
     # sales cohort: optional sale month filter and split
     sale_month: int | None = None
     by_sale_month: bool = False
@@ -41,5 +42,14 @@ class ReportParams:
     by_month: bool = False
     inspect: bool = False
 
+    def __post_init__(self) -> None:
+        for name in ("analysis_months", "active_months"):
+            months = tuple(sorted(set(getattr(self, name))))  # a repeated month counts once
+            if not months:
+                raise ValueError(f"{name} is empty")
+            if any(d.day != 1 for d in months):
+                raise ValueError(f"{name} takes first days of months")
+            object.__setattr__(self, name, months)
+
 
 DEFAULT_PARAMS = ReportParams()

@@ -14,7 +14,7 @@ from subscope.operators import orders as O
 from subscope.operators import pricing as PR
 from subscope.operators import revenue as R
 from subscope.operators import sales as S
-from subscope.operators.joins import dimension
+from subscope.operators.joins import bounded_broadcast
 from subscope.params import DEFAULT_PARAMS, ReportParams
 from subscope.sources.tables import Tables
 
@@ -76,25 +76,25 @@ def _folded_catalog_rows(t: Tables) -> DataFrame:
 
 
 def _trimmed_codes(t: Tables) -> DataFrame:
-    return t.crm.select(F.trim("district_code").alias("district_code")).distinct()
+    return t.crm.select(X.trim_white("district_code").alias("district_code")).distinct()
 
 
 def join_left_outer(t: Tables, p: ReportParams = P) -> DataFrame:
     cat = _folded_catalog_rows(t)
-    codes = dimension(_trimmed_codes(t))
+    codes = _trimmed_codes(t)
     return cat.join(codes, cat["k_district"] == codes["district_code"], "left").select("district", "district_code")
 
 
 def join_right_outer(t: Tables, p: ReportParams = P) -> DataFrame:
     """Catalogue right-outer distinct CRM codes, written as codes left-outer
     catalogue (the preserved side is the larger one)."""
-    cat = dimension(_folded_catalog_rows(t))
+    cat = _folded_catalog_rows(t)
     codes = _trimmed_codes(t)
     return codes.join(cat, cat["k_district"] == codes["district_code"], "left").select("district", "district_code")
 
 
 def join_left_anti(t: Tables, p: ReportParams = P) -> DataFrame:
-    acc = t.crm.select("account_id", F.trim("province_code").alias("province_code")).distinct()
+    acc = t.crm.select("account_id", X.trim_white("province_code").alias("province_code")).distinct()
     churned = t.crm.where(F.col("churn_ts").isNotNull()).select("account_id").distinct()
     return acc.join(churned, "account_id", "left_anti").groupBy("province_code").agg(
         F.count(F.lit(1)).alias("accounts")
@@ -108,7 +108,7 @@ def join_fanout_active_months(t: Tables, p: ReportParams = P) -> DataFrame:
     last = t.crm.groupBy(X.month_start("snapshot_date").alias("month")).agg(
         F.max("snapshot_date").alias("last_date")
     )
-    last = dimension(last)  # one row per calendar month
+    last = bounded_broadcast(last)  # one row per calendar month
     me = t.crm.join(last, t.crm["snapshot_date"] == last["last_date"]).select("account_id", "month")
     j = me.join(R.active_month_tenure(t.crm, p), "account_id")
     return j.groupBy("month", "active_month").agg(F.count(F.lit(1)).alias("rows"))
@@ -127,7 +127,7 @@ def agg_conditional_sum(t: Tables, p: ReportParams = P) -> DataFrame:
     lo, hi = min(p.analysis_months), R._month_end(max(p.analysis_months))
     rows = t.crm.where(F.col("snapshot_date").between(F.lit(lo), F.lit(hi)))
     return rows.groupBy("account_id").agg(
-        *[F.sum(F.when(mo == k, net)).alias(f"mrc_m{k}") for k in months]
+        *[F.sum(F.when(mo == k, net)).cast("double").alias(f"mrc_m{k}") for k in months]
     )
 
 
@@ -152,7 +152,7 @@ def agg_multi_count_distinct(t: Tables, p: ReportParams = P) -> DataFrame:
 
 
 def agg_ratio(t: Tables, p: ReportParams = P) -> DataFrame:
-    per = t.crm.groupBy(F.trim("province_code").alias("province_code"), "account_id").agg(
+    per = t.crm.groupBy(X.trim_white("province_code").alias("province_code"), "account_id").agg(
         F.max(F.col("churn_ts").isNotNull().cast("int")).alias("churned")
     )
     g = per.groupBy("province_code").agg(
@@ -188,7 +188,7 @@ def pad_contract_key(t: Tables, p: ReportParams = P) -> DataFrame:
 
 def trim_location(t: Tables, p: ReportParams = P) -> DataFrame:
     return t.crm.select(
-        *[x for c in G.LOCATION for x in (F.col(c), F.trim(c).alias(f"{c}_trimmed"))]
+        *[x for c in G.LOCATION for x in (F.col(c), X.trim_white(c).alias(f"{c}_trimmed"))]
     ).distinct()
 
 
@@ -199,7 +199,8 @@ def strip_acute_accents(t: Tables, p: ReportParams = P) -> DataFrame:
 
 
 def _churn_install(t: Tables) -> DataFrame:
-    return t.crm.where(F.col("churn_ts").isNotNull()).select("account_id", "churn_ts", "install_ts").distinct()
+    """Every churn and install time, rows without a churn included."""
+    return t.crm.select("account_id", "churn_ts", "install_ts").distinct()
 
 
 def date_parts(t: Tables, p: ReportParams = P) -> DataFrame:
@@ -237,7 +238,7 @@ def date_diff_calendar_months(t: Tables, p: ReportParams = P) -> DataFrame:
 
 
 def round_half_away(t: Tables, p: ReportParams = P) -> DataFrame:
-    return t.crm.where(F.col("bb_mrc").isNotNull()).select(
+    return t.crm.select(
         "bb_mrc", X.round2(F.col("bb_mrc") / 8).alias("eighth_rounded")
     ).distinct()
 
@@ -247,7 +248,9 @@ def safe_cast_double(t: Tables, p: ReportParams = P) -> DataFrame:
 
 
 def coalesce_zero(t: Tables, p: ReportParams = P) -> DataFrame:
-    return t.crm.select("vo_billed_raw", "bb_billed", "tv_billed", X.billed_total().alias("billing_total")).distinct()
+    return t.crm.select(
+        "vo_billed_raw", "bb_billed", "tv_billed", X.billed_total().cast("double").alias("billing_total")
+    ).distinct()
 
 
 def _month_end_mrc(t: Tables, p: ReportParams) -> DataFrame:
@@ -255,9 +258,9 @@ def _month_end_mrc(t: Tables, p: ReportParams) -> DataFrame:
     and the previous month's value (window over at most one row per month
     and account, after the aggregate)."""
     last = t.crm.groupBy(X.month_start("snapshot_date").alias("month")).agg(F.max("snapshot_date").alias("last_date"))
-    last = dimension(last)  # one row per calendar month
+    last = bounded_broadcast(last)  # one row per calendar month
     rows = t.crm.join(last, t.crm["snapshot_date"] == last["last_date"])
-    per = rows.groupBy("account_id", "month").agg(F.sum(X.net_recurring_charge()).alias("mrc"))
+    per = rows.groupBy("account_id", "month").agg(F.sum(X.net_recurring_charge()).cast("double").alias("mrc"))
     w = Window.partitionBy("account_id").orderBy("month")
     return per.withColumn("prev_mrc", F.lag("mrc").over(w))
 

@@ -8,6 +8,8 @@ registry and the oracle SQL.
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,6 @@ from subscope.operators import geography as G
 from subscope.operators import revenue as R
 from subscope.operators import sales as S
 from subscope.operators.bundles import last_snapshot_bundles
-from subscope.operators.joins import dimension
 from subscope.operators.pricing import plan_speed_price as _plan_speed_price
 from subscope.params import DEFAULT_PARAMS, ReportParams
 from subscope.sources.tables import Tables
@@ -114,7 +115,7 @@ def _district_churners(t: Tables, p: ReportParams, month: int | None, with_tenur
     att = C.churn_core_by_location(t.crm, t.orders, p, with_tenure)
     if month is not None:
         att = att.where(F.col("last_churn_month") == month)
-    cat = dimension(G.district_catalog_folded(t.districts))
+    cat = G.district_catalog_folded(t.districts)
     j = att.join(
         cat,
         (att["district_code"] == cat["k_district"])
@@ -147,15 +148,23 @@ _NAMES = ["province_code", "province_name", "canton_code", "canton_name", "distr
 
 def district_active_ids(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
     """Active accounts by district (both spellings), economic band,
-    index and 4-band tenure, for one month; catalogue matches with a band
-    only (T13)."""
+    index and 4-band tenure, for one month or all; catalogue matches with a
+    band only (T13). ``p.by_active_month`` adds the month to the columns and
+    the grouping."""
     # distinct accounts are counted below, so no dedupe of the locations first
     loc = G.account_locations(t.crm, with_tenure=True, distinct=False)
     if p.active_month is not None:
         loc = loc.where(F.col("month") == p.active_month)
     m = G.district_match_full(loc, t.districts.where(F.col("economic_band").isNotNull()), p)
-    out = m.groupBy(*_NAMES, "economic_band", "ids_2017", "tenure").agg(F.count_distinct("account_id").alias("actives"))
-    return out.orderBy("province_code", "canton_code", "district_code")
+    month = ["month"] if p.by_active_month else []
+    out = m.groupBy(*month, *_NAMES, "economic_band", "ids_2017", "tenure").agg(
+        F.count_distinct("account_id").alias("actives"))
+    return out.orderBy(*month, "province_code", "canton_code", "district_code")
+
+
+def district_active_ids_by_month(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
+    """P09 with its month switch on: every month, split by month."""
+    return district_active_ids(t, dataclasses.replace(p, active_month=None, by_active_month=True))
 
 
 def district_active_economic_by_month(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
@@ -259,6 +268,7 @@ REPORTS = {
     "district_churners_tenure": district_churners_tenure,
     "district_churners_ids": district_churners_ids,
     "district_active_ids": district_active_ids,
+    "district_active_ids_by_month": district_active_ids_by_month,
     "district_active_economic_by_month": district_active_economic_by_month,
     "district_churn_rate": district_churn_rate,
     "district_churn_rate_by_month": district_churn_rate_by_month,

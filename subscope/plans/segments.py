@@ -68,9 +68,12 @@ def last_snapshot_per_account_month(t: Tables, p: ReportParams = P) -> DataFrame
 
 def churner_age_at_last_churn(t: Tables, p: ReportParams = P) -> DataFrame:
     """Every attributed churner's maximum age and first install date
-    over the CRM rows dated on its last churn."""
-    ch = C.churn_core(t.crm, t.orders, p)[1].select("contract", "last_churn").distinct()
-    ages = C.churner_age_at_last_churn(t.crm).withColumnRenamed("contract", "g_contract")
+    over the CRM rows dated on its last churn. Churn summary and ages come
+    from one CRM aggregate."""
+    facts = C.churn_facts_by_churn_date(t.crm)
+    att = C.churn_core(t.crm, t.orders, p, summary=C.summary_from_date_facts(facts), bundles=True)[1]
+    ch = att.select("contract", "last_churn").distinct()
+    ages = C.ages_from_date_facts(facts).withColumnRenamed("contract", "g_contract")
     return ch.join(ages, (ch["contract"] == ages["g_contract"]) & (ch["last_churn"] == ages["churn_date"])).select(
         "contract", "last_churn", "max_age", "first_install"
     )
@@ -105,8 +108,10 @@ def district_contract_counts(t: Tables, p: ReportParams = P) -> DataFrame:
 
 
 def district_churner_counts(t: Tables, p: ReportParams = P) -> DataFrame:
-    matched = G.district_match_name_only(t.crm, t.districts, p)
-    return G.district_churner_counts(matched, C.churn_core(t.crm, t.orders, p)[1])
+    facts = G.district_churn_facts(t.crm)  # one CRM aggregate for both sides
+    matched = G.district_match_name_only(t.crm, t.districts, p, facts)
+    att = C.churn_core(t.crm, t.orders, p, summary=G.account_summary_from_district_facts(facts))[1]
+    return G.district_churner_counts(matched, att)
 
 
 def crm_installs_in_year(t: Tables, p: ReportParams = P) -> DataFrame:
@@ -146,14 +151,14 @@ def account_month_charges(t: Tables, p: ReportParams = P) -> DataFrame:
 
 
 def charges_pivot(t: Tables, p: ReportParams = P) -> DataFrame:
-    """G28 at the literal grain (active month, tenure, account)."""
-    return R.non_churner_charge_evolution(t.crm, p).select("active_month", "tenure", "account_id", *R.PIVOT_COLS)
+    """The pivot over the rows of G27."""
+    return R.charges_pivot(R.account_month_charges(t.crm, p), p)
 
 
 def charge_trend(t: Tables, p: ReportParams = P) -> DataFrame:
     """Labels and relative changes only."""
-    df = R.non_churner_charge_evolution(t.crm, p)
-    drop = set(R.PIVOT_COLS)
+    df = R.charge_trend(charges_pivot(t, p), p)
+    drop = set(R.pivot_columns(p))
     return df.select(*[c for c in df.columns if c not in drop])
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -37,26 +36,11 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     configure(spark)
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the library settings to an existing (e.g. cluster) session.
-    Nothing else is touched: no report checkpoints, and the cluster's
-    ``spark.checkpoint.dir`` stays as configured."""
+    """Apply the library settings to an existing (e.g. cluster) session."""
     for k, v in LIBRARY_CONF.items():
         spark.conf.set(k, v)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """For callers that cut lineage with ``checkpoint()``: use the cluster's
-    shared ``spark.checkpoint.dir`` when set; only a local session without
-    one (tests) gets a scratch folder."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="subscope-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current

@@ -134,37 +134,16 @@ def districts_from_nation(nation: DataFrame) -> DataFrame:
     return S.conform(out, S.DISTRICT_INDEX)
 
 
-_MEMO: dict[tuple[int, str], tuple[SparkSession, Tables]] = {}
-
-
 def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The five canonical tables as lazy views over ``sf_dir``'s parquet.
-
-    The DataFrame objects (plans, not data) are built once per session and
-    directory, like views defined once; every query still generates the rows
-    from the parquet files when it runs."""
-    key = (id(spark), sf_dir)
-    hit = _MEMO.get(key)
-    if hit is None or hit[0] is not spark:
-        hit = _MEMO[key] = (spark, _build(spark, sf_dir))
-    return hit[1]
-
+    """The five canonical tables as lazy views over ``sf_dir``'s parquet."""
 
-def _build(spark: SparkSession, sf_dir: str) -> Tables:
     def rd(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    # The driver's files hold one row group each, i.e. one input split. The
-    # two generating sources of the fact tables are spread round-robin over
-    # the session's parallelism, so the CRM (24 rows per customer) and the
-    # orders are produced and partially aggregated by many tasks, as a
-    # multi-file warehouse table would be read. Real tables (read_tables) are
-    # read as they are.
-    n = spark.sparkContext.defaultParallelism
     customer = rd("customer")
     return Tables(
-        crm=crm_from_customer(customer.select("c_custkey", "c_nationkey").repartition(n)),
-        orders=orders_from_orders(rd("orders").repartition(n)),
+        crm=crm_from_customer(customer.select("c_custkey", "c_nationkey")),
+        orders=orders_from_orders(rd("orders")),
         activations=activations_from_customer(customer),
         speeds=speeds_from_customer(customer),
         districts=districts_from_nation(rd("nation")),

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from subscope.functions.exprs import folded_upper
 from subscope.sources import schema as S
 
 
@@ -34,7 +35,8 @@ class Tables:
         }
 
 
-def read_tables(spark: SparkSession, root: str, fmt: str = "parquet", conform_types: bool = False) -> Tables:
+def read_tables(spark: SparkSession, root: str, fmt: str = "parquet", conform_types: bool = False,
+                check_catalogue: bool = True) -> Tables:
     """Read the five tables from ``root/<name>`` with their declared schemas.
 
     By default the declared schema is imposed on the read: no inference, and
@@ -45,7 +47,8 @@ def read_tables(spark: SparkSession, root: str, fmt: str = "parquet", conform_ty
 
     The CRM table is best stored partitioned by snapshot date (see
     :func:`write_tables`) so that the date ranges the reports filter on prune
-    whole directories.
+    whole directories. ``check_catalogue`` logs repeated catalogue keys,
+    which inflate the district reports (T22).
     """
 
     def rd(name: str) -> DataFrame:
@@ -54,13 +57,35 @@ def read_tables(spark: SparkSession, root: str, fmt: str = "parquet", conform_ty
         df = spark.read.format(fmt).schema(S.SCHEMAS[name]).load(f"{root}/{name}")
         return df.select(*S.SCHEMAS[name].fieldNames())
 
-    return Tables(
+    out = Tables(
         crm=rd("crm_snapshots"),
         orders=rd("service_orders"),
         activations=rd("activations"),
         speeds=rd("speed_inventory"),
         districts=rd("district_index"),
     )
+    if check_catalogue:
+        warn_on_duplicate_catalogue(out.districts)
+    return out
+
+
+def tables_from_catalog(spark: SparkSession, names: dict[str, str],
+                        columns: dict[str, dict[str, str]] | None = None) -> Tables:
+    """The five tables from a catalog: ``names`` gives each canonical table's
+    catalog name, ``columns`` (optional, by canonical table) the catalog's
+    name of a canonical column where it differs. Every column is cast to its
+    declared type; a missing one fails."""
+    missing = set(S.SCHEMAS) - set(names)
+    if missing:
+        raise ValueError(f"no catalog name for {sorted(missing)}")
+
+    def rd(name: str) -> DataFrame:
+        df, given = spark.table(names[name]), (columns or {}).get(name, {})
+        fields = S.SCHEMAS[name].fieldNames()
+        return S.conform(df.select(*[F.col(given.get(f, f)).alias(f) for f in fields]), S.SCHEMAS[name])
+
+    return from_frames(*[rd(n) for n in (
+        "crm_snapshots", "service_orders", "activations", "speed_inventory", "district_index")])
 
 
 def write_tables(t: Tables, root: str, mode: str = "errorifexists", fmt: str = "parquet",
@@ -71,13 +96,13 @@ def write_tables(t: Tables, root: str, mode: str = "errorifexists", fmt: str = "
     revenue report's join to its few month-end dates prunes dynamically),
     the others as plain files. Use a shared (cluster) path for ``root``.
 
-    No shuffle precedes the write: every task writes its own rows under
-    their date directories, so one date's volume is never funnelled through
-    one task, and ``max_records_per_file`` caps the file size.
+    The rows are rebalanced by ``snapshot_date`` first: adaptive execution
+    merges small dates into one task and splits a large date over several, so
+    a date has as many files as its size needs, however many tasks feed the
+    write, and no date's volume is funnelled through one task.
     """
-    t.crm.write.mode(mode).format(fmt).option("maxRecordsPerFile", max_records_per_file).partitionBy(
-        "snapshot_date"
-    ).save(f"{root}/crm_snapshots")
+    t.crm.hint("rebalance", "snapshot_date").write.mode(mode).format(fmt).option(
+        "maxRecordsPerFile", max_records_per_file).partitionBy("snapshot_date").save(f"{root}/crm_snapshots")
     for name, df in t.as_dict().items():
         if name != "crm_snapshots":
             df.write.mode(mode).format(fmt).save(f"{root}/{name}")
@@ -99,19 +124,17 @@ def duplicate_catalogue_keys(districts: DataFrame) -> DataFrame:
     """Catalogue match keys (upper-cased folded province, canton, district)
     that occur more than once. The district churner reports count a churner
     once per matching catalogue row (T22), so duplicates inflate them."""
-    from subscope.functions.exprs import folded_upper
-
     keys = [folded_upper(c).alias(c) for c in ("province", "canton", "district")]
     return districts.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
 
 
-def warn_on_duplicate_catalogue(districts: DataFrame, log: logging.Logger | None = None) -> int:
-    """Load-time check: log a warning per duplicated catalogue key and
-    return how many there are (the catalogue is one row per district, so
-    the check reads a small table)."""
+def warn_on_duplicate_catalogue(districts: DataFrame, log: logging.Logger | None = None, shown: int = 20) -> int:
+    """Log a warning with the number of repeated catalogue keys and a sample
+    of ``shown`` of them; returns the number, counted over all."""
     log = log or logging.getLogger("subscope")
-    dups = duplicate_catalogue_keys(districts).limit(1000).collect()
-    for r in dups:
-        log.warning("district catalogue key repeated %d times: %s / %s / %s", r.copies, r.province, r.canton,
-                    r.district)
-    return len(dups)
+    dups = duplicate_catalogue_keys(districts)
+    n = dups.count()
+    if n:
+        some = ", ".join(f"{r.province} / {r.canton} / {r.district} ({r.copies})" for r in dups.limit(shown).collect())
+        log.warning("%d district catalogue keys are repeated, among them: %s", n, some)
+    return n

@@ -94,6 +94,15 @@ CRM_ROWS = [
     # October churner with tenure, and a catalogue name with an upper-case accent
     crm("17", D(2021, 10, 31), D(2021, 10, 5), {**BB, **TV, "vo_product_id": "VO1"}, age_months=13.0,
         district_code="AVILA", canton_code="CANTON 9", province_code="REGION 2"),
+    # Texts that only look like numbers, and white space other than blanks around a location
+    crm("18", D(2021, 5, 10), None, BB, vo_billed_raw="12d", district_code="SAN JOSE 1\t", canton_code="\u00a0CANTON 1",
+        province_code="REGION 1\u2003"),
+    crm("18", D(2021, 8, 10), None, BB, vo_billed_raw="5f", district_code="SAN JOSE 1\u00a0"),
+    crm("18", D(2021, 8, 31), None, BB, vo_billed_raw="1e3"),
+    crm("18", D(2021, 9, 10), None, BB, vo_billed_raw=" 7 "),
+    crm("18", D(2021, 9, 30), None, BB, vo_billed_raw=""),
+    # An August churner whose district carries a tab
+    crm("19", D(2021, 8, 31), D(2021, 8, 20), BB, district_code="\tSAN JOSE 1"),
 ]
 
 ORDER_ROWS = [
@@ -116,6 +125,7 @@ ORDER_ROWS = [
     order("15", D(2021, 7, 1), order_type="INSTALACION"),
     order("17", D(2021, 9, 1), reason="MOROSIDAD"),
     order("17", None),
+    order("19", D(2021, 8, 1)),
 ]
 
 

@@ -91,8 +91,8 @@ def test_two_tenure_bands_in_one_month(edge):
     aug = sorted(r.tenure for r in out if str(r.active_month) == "2021-08-01")
     assert aug == ["3M", "3M-6M"]
     r = out[0]
-    assert r.bill_month_2 is None  # NULL broadband bill makes the total NULL
-    assert r.change_2_vs_1 is None  # zero base
+    assert r.bill_2 is None  # NULL broadband bill makes the total NULL
+    assert r.mrc_change_1_2 is None  # zero base
 
 
 def test_tenure_rows_in_calendar_order(spark):
@@ -108,10 +108,11 @@ def test_tenure_rows_in_calendar_order(spark):
 
 
 def test_district_churners_hand_derived(edge):
-    """P06 (month 8): only E15 churns in August; its location matches the
-    catalogue row for San José 1 / Cantón 1 / Región 1."""
+    """P06 (month 8): E15 and E19 churn in August; their locations (E19's
+    after trimming a tab) match the catalogue row for San José 1 / Cantón 1 /
+    Región 1."""
     got = [tuple(r) for r in RP.district_churners(edge).collect()]
-    assert got == [("SAN JOSE 1", "CANTON 1", "REGION 1", 1)]
+    assert got == [("SAN JOSE 1", "CANTON 1", "REGION 1", 2)]
 
 
 def test_sales_churners_hand_derived(edge):
@@ -141,13 +142,14 @@ def test_plan_speed_price_hand_derived(edge):
 
 def test_district_active_ids_hand_derived(edge):
     """P09 (month 8): tenure is per (account, snapshot date), so an account
-    with two dates in August can fall in two bands (E15: 6M and 2Y+)."""
+    with two dates in August can fall in two bands (E15: 6M and 2Y+). E18
+    and E19 match once the white space of their codes is trimmed."""
     got = {(r.district_name, r.economic_band, r.ids_2017, r.tenure, r.actives)
            for r in RP.district_active_ids(edge).collect()}
     assert got == {
         ("San Jose 1", "E1", 1.5, "6M", 2),
         ("San Jose 1", "E1", 1.5, "2Y+", 1),
-        ("San Jose 1", "E1", 1.5, "06-1Y", 1),
+        ("San Jose 1", "E1", 1.5, "06-1Y", 3),
     }
 
 

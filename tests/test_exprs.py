@@ -55,7 +55,19 @@ def test_accent_strip(spark):
 
 
 def test_number_from_text(spark):
-    assert _eval(spark, X.number_from_text, ["7", "N/A", None], T.StringType()) == [7.0, None, None]
+    texts = ["7", "N/A", None, "12d", "5f", "1e3", " 7 ", "", "-.5", "+3.", ".", "Infinity", "NaN", "\u00a04\t", "0x1", "1 2"]
+    want = [7.0, None, None, None, None, 1000.0, 7.0, None, -0.5, 3.0, None, None, None, 4.0, None, None]
+    assert _eval(spark, X.number_from_text, texts, T.StringType()) == want
+
+
+def test_trim_white(spark):
+    got = _eval(spark, X.trim_white, [" a b ", "\ta\u00a0", "\u2003a\n", " ", None], T.StringType())
+    assert got == ["a b", "a", "a", "", None]
+
+
+def test_quoted_labels(spark):
+    for text in ("it's", "a\\b", "''", None):
+        assert spark.sql(f"SELECT {X.quoted(text)} AS x").first().x == text
 
 
 def test_round2_half_up(spark):
