@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from subscope.llm.common import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Z, LEAST_GOOD = 1.645, 0.5
 
@@ -74,7 +76,9 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     good is true, false or null (page without label)."""
     hosts = outcomes.groupBy("host").agg(
         F.count("good").alias("n"), F.coalesce(F.sum(F.col("good").cast("int")), F.lit(0)).alias("k"))
-    hosts = hosts.select("*", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
+    # counted once; every level below reads these rows, one per host
+    hosts = stored(hosts.select("*", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")),
+                   "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     overall = suffixes.agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("m")).scalar()

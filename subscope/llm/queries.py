@@ -103,4 +103,75 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# one level of the shrinkage: prior strength by the method of moments
+_STRENGTH = """
+{name} AS (
+  SELECT u.*, 1 / least(greatest(coalesce((
+           SELECT (sum(pow(k - n * m, 2)) - sum(n * m * (1 - m))) / nullif(sum(n * (n - 1) * m * (1 - m)), 0)
+           FROM {units}), 0), 1e-4), 0.9999) - 1 AS c
+  FROM {units} u)"""
+
+_OP3 = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM cut),
+p AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+  FROM parts),
+marks AS (
+  SELECT doc_id, bool_and(quality = 1 AND coalesce(toxic, 0) = 0) AS good FROM labels GROUP BY doc_id),
+by_host AS (
+  SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
+         count(good) AS n, count(*) FILTER (WHERE good) AS k
+  FROM p LEFT JOIN marks ON marks.doc_id = p.page_id GROUP BY ALL),
+s0 AS (
+  SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM by_host) AS m FROM by_host GROUP BY suffix),
+""" + _STRENGTH.format(name="s1", units="s0").strip() + """,
+d0 AS (
+  SELECT domain, sum(h.n) AS n, sum(h.k) AS k, any_value((s1.c * s1.m + s1.k) / (s1.c + s1.n)) AS m
+  FROM by_host h JOIN s1 USING (suffix) GROUP BY domain),
+""" + _STRENGTH.format(name="d1", units="d0").strip() + """,
+h0 AS (
+  SELECT h.host, h.n, h.k, (d1.c * d1.m + d1.k) / (d1.c + d1.n) AS m FROM by_host h JOIN d1 USING (domain)),
+""" + _STRENGTH.format(name="h1", units="h0").strip() + """,
+post AS (
+  SELECT host, (c * m + k) / (c + n) AS mean, c + n AS size FROM h1),
+rules(rule, host_part, path_part, action) AS (VALUES
+  ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+  ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'),
+  ('net/fr/', 'net', '/fr/', 'block')),
+hit AS (
+  SELECT p.host, p.path, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action
+  FROM (SELECT DISTINCT host, path FROM p) p JOIN rules
+    ON (p.host = host_part OR ends_with(p.host, '.' || host_part)) AND starts_with(p.path, path_part)
+  GROUP BY ALL)
+SELECT p.page_id, p.host, p.path, hit.rule,
+       coalesce(hit.action, CASE WHEN mean + 1.645 * sqrt(mean * (1 - mean) / (size + 1)) < 0.5 THEN 'block' ELSE 'allow' END)
+         AS verdict, round(mean, 6) AS reputation
+FROM p JOIN post USING (host) LEFT JOIN hit ON hit.host = p.host AND hit.path = p.path"""
+
+# every shingle of every text, joined on the shingle
+_OP5 = r"""
+WITH item AS (
+  SELECT item_id, w, least(5, len(w)) AS k FROM (
+    SELECT item_id, list_filter(string_split_regex(lower(text), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w FROM benchmark)
+  WHERE len(w) > 0),
+wanted AS (
+  SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM item),
+size AS (SELECT item_id, count(*) AS item_shingles FROM wanted GROUP BY item_id),
+doc AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w FROM documents),
+held AS (
+  SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM doc, (SELECT DISTINCT k FROM item))
+SELECT doc_id, item_id, count(*) AS shared, item_shingles, count(*) / item_shingles AS containment
+FROM held JOIN wanted USING (k, s) JOIN size USING (item_id)
+GROUP BY doc_id, item_id, item_shingles HAVING count(*) >= 0.8 * item_shingles - 1e-9"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_reputation": _OP3,
+    "op5_decontamination": _OP5,
+}
