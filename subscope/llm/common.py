@@ -134,18 +134,37 @@ def word_spans(data: np.ndarray, offsets: np.ndarray,
     if len(data) == 0:
         e = np.zeros(0, np.int64)
         return e, e, e
-    solid = kind[data]
-    before = np.empty(len(data), bool)
-    before[0] = False
-    before[1:] = solid[:-1]
-    cut = np.zeros(len(data) + 1, bool)
-    cut[offsets] = True
-    starts = np.flatnonzero(solid & (~before | cut[:-1]))
-    after = np.empty(len(data), bool)
-    after[-1] = False
-    after[:-1] = solid[1:]
-    ends = np.flatnonzero(solid & (~after | cut[1:])) + 1
-    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+    solid = np.zeros(len(data) + 2, bool)
+    solid[1:-1] = kind[data]
+    edge = solid[1:] != solid[:-1]
+    inner = offsets[1:-1]
+    both = inner[solid[inner] & solid[inner + 1]]  # a word that touches the next text's first word
+    bounds = np.flatnonzero(edge)
+    if len(both):
+        bounds = np.sort(np.concatenate((bounds, np.unique(both), np.unique(both))))
+    starts, ends = bounds[0::2], bounds[1::2]
+    return starts, ends, belongs(starts, offsets)
+
+
+def belongs(places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Index of the part [offsets[i], offsets[i + 1]) of each of the ascending places."""
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(places, offsets)))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans, eight bytes at a time."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    size = (ends - starts).astype(np.uint64)
+    h = size * _BASE
+    left, at, which = size, starts, slice(None)
+    while len(at):
+        keep = np.where(left >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (left * np.uint64(8))) - np.uint64(1))
+        h[which] = mix64(h[which] ^ (eight[at] & keep))
+        more = np.flatnonzero(left > 8)
+        which = more if isinstance(which, slice) else which[more]
+        left, at = left[more] - np.uint64(8), at[more] + 8
+    return h
 
 
 def shingle_hashes(words: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

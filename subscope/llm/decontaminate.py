@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subscope.llm.common import SpanHash, byte_arrays, lowered, shingle_hashes, text_slices, word_spans
+from subscope.llm.common import byte_arrays, lowered, shingle_hashes, text_slices, word_hashes, word_spans
 
 K, LEAST = 5, 0.8
 EXTRA_BITS = 3  # bins for each shingle, as a power of two
@@ -39,7 +39,7 @@ BLOCK_BYTES = 1 << 23  # item text that one block holds
 def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = byte_arrays(lowered(col))
     starts, ends, text = word_spans(data, offsets)
-    return SpanHash(data)(starts, ends), text
+    return word_hashes(data, starts, ends), text
 
 
 class ItemIndex:

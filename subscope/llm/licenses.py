@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subscope.llm.common import ALNUM, SpanHash, byte_arrays, lowered, mix64, shingle_hashes, text_slices, word_spans
+from subscope.llm.common import ALNUM, byte_arrays, lowered, mix64, shingle_hashes, text_slices, word_hashes, word_spans
 
 K, LEAST, BANDS = 5, 0.8, 64
 
@@ -59,7 +59,7 @@ def _shingles(col: pa.Array, k: int) -> tuple[np.ndarray, ...]:
     data, offsets = byte_arrays(lowered(col))
     data = _DIGITS[data]
     starts, ends, text = word_spans(data, offsets, ALNUM)
-    h, first = shingle_hashes(SpanHash(data)(starts, ends), text, k)
+    h, first = shingle_hashes(word_hashes(data, starts, ends), text, k)
     return h, first, text, starts - offsets[text], ends - offsets[text]
 
 

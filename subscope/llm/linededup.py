@@ -5,21 +5,20 @@ if an earlier one, in order of document id and line number, has a Jaccard
 similarity of at least ``percent`` / 100; all lines are compared as they came
 in, whether or not they stay. Lines without words stay.
 
-* Equal sets meet by one hash of the set: an aggregate finds each set's first
-  line, all later ones go.
-* For the others, words are ordered by rarity (the class of a count of word
-  hashes over all documents, then the hash). Similar sets share a word among
-  their rarest: those prefixes meet by word. Length, positional and bitmap
-  filters (each a bound that no similar pair fails) leave the candidates.
+* Words are ordered by rarity: the class of a count of word hashes over all
+  documents, then the hash. Two similar sets share a word among their rarest,
+  so these prefixes meet by word; equal sets also meet by a hash of the set.
+* Length, positional and bitmap filters (each a bound that no similar pair
+  fails) leave the candidates.
 * Candidates are verified by the exact Jaccard similarity of their words. A
   line needs one similar earlier line only, so its most promising candidate
-  is verified first and the others only if that fails; if a line had more
-  candidates than were listed, they are listed in a further round.
+  is verified first. Lines for which it fails and that had others go through
+  further rounds, which list more candidates of these lines only.
 
-Prefix entries travel as packed arrays, one row for each reducer and flush.
-The entries of one very common word are compared in blocks dealt over tasks.
-Text is moved only of documents that may hold a candidate (a bitmap of fixed
-size tells), and no line meets all its copies.
+Prefix entries travel as packed arrays, one row for each reducer and flush,
+and of equal sets only the first of a flush does. The entries of one very
+common word are compared in blocks dealt over tasks. Text is moved only of
+documents that may hold a candidate (a bitmap of fixed size tells).
 """
 
 from __future__ import annotations
@@ -32,20 +31,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subscope.llm.common import SpanHash, byte_arrays, mix64, shuffle_partitions, stored, text_slices, word_spans
+from subscope.llm.common import (
+    byte_arrays,
+    mix64,
+    shuffle_partitions,
+    stored,
+    text_slices,
+    word_hashes,
+    word_spans,
+)
 
 PERCENT = 80
 BUCKET_BITS = 17  # counters of word hashes
-PART_ENTRIES = 250_000  # prefix entries a reducer gets on average
-FLUSH_ENTRIES = 500_000
-LISTED = 8  # candidates listed for a line at first
+PART_ENTRIES = 150_000  # prefix entries a reducer gets on average
+FLUSH_ENTRIES = 300_000
+LISTED = 16  # candidates listed for a line and word in the second round, then 8 times as many
 BLOCK = 10_000  # entries of one word compared at once
 NULL_ID = (1 << 63) - 1  # documents without id come last
-FILTER_BITS = 21
+FILTER_BITS = 21  # of the bitmap of documents or lines
+WORD_FILTER_BITS = 24  # of the bitmap of words
+EQUAL = -1  # the distance of a line that another one equals
 
 _TOKEN = np.uint64((1 << 44) - 1)
-ENTRY = np.dtype([("tok", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("bits", "<u8")])
-PAIR = ("doc long, line int, bits long, cdoc long, cline int, cbits long, miss int, more boolean, block binary")
+ENTRY = np.dtype([("tok", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("bits", "<u8"),
+                  ("more_bits", "<u8")])
+LINE = ["doc", "line", "bits"]
+PAIR = "doc long, line int, bits long, cdoc long, cline int, cbits long, miss int, more boolean, block binary"
 
 
 def _key(id_col: str) -> Column:
@@ -57,6 +68,10 @@ def overlap_needed(na, nb, percent: int):
     return -(-percent * (na + nb) // (100 + percent))
 
 
+def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return word_hashes(data, starts, ends) >> np.uint64(20)
+
+
 class Lines:
     """The word sets of all lines of a slice, rows sorted by line."""
 
@@ -64,159 +79,219 @@ class Lines:
         data, offsets = byte_arrays(col)
         starts, ends, text = word_spans(data, offsets)
         breaks = np.flatnonzero(data == 10)
-        line = np.searchsorted(breaks, starts) + text
-        _, dense = np.unique(line, return_inverse=True)
-        key = (dense.astype(np.uint64) << np.uint64(44)) | (SpanHash(data)(starts, ends) >> np.uint64(20))
-        key = np.unique(key)
+        line = np.searchsorted(starts, breaks)  # words before each break
+        line = np.repeat(np.arange(len(breaks) + 1), np.diff(np.r_[0, line, len(starts)])) + text
+        new = np.r_[True, line[1:] != line[:-1]][: len(line)]
+        key = (np.cumsum(new) - 1).astype(np.uint64) << np.uint64(44) | _words(data, starts, ends)
+        key.sort()
+        key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
         self.tok = key & _TOKEN
         self.of = (key >> np.uint64(44)).astype(np.int64)
-        self.at = np.flatnonzero(np.r_[True, self.of[1:] != self.of[:-1]]) if len(key) else np.zeros(0, np.int64)
+        self.at = np.flatnonzero(np.r_[True, self.of[1:] != self.of[:-1]][: len(key)])
         self.n = np.diff(np.r_[self.at, len(key)])
+        self.text = text[new]
         first_line = np.searchsorted(breaks, offsets[:-1]) + np.arange(len(offsets) - 1)
-        lines, where = np.unique(line, return_index=True)
-        self.text = text[where]
-        self.line = lines - first_line[self.text]
+        self.line = line[new] - first_line[self.text]
+        bit = np.uint64(1) << (self.tok & np.uint64(63))
+        high = (self.tok >> np.uint64(6)) & np.uint64(1) == 1
         if len(key):
-            self.bits = np.bitwise_xor.reduceat(np.uint64(1) << (self.tok & np.uint64(63)), self.at)
+            self.bits = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), self.at)
+            self.more_bits = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), self.at)
             self.sig = mix64(np.add.reduceat(mix64(self.tok), self.at) + self.n.astype(np.uint64))
         else:
-            self.bits = self.sig = key
+            self.bits = self.more_bits = self.sig = key
 
 
-def _survey(docs: DataFrame) -> DataFrame:
-    """One pass: (0, bucket, words, ...) word counts and (1, set hash, doc,
-    line, bits) of every line."""
+def _word_counts(docs: DataFrame) -> np.ndarray:
+    """Occurrences of every bucket of word hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
-
-        def rows(kind: int, a, b, line, bits) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(line), pa.array(bits)],
-                names=["kind", "a", "b", "line", "bits"])
-
         for batch in batches:
             for s in text_slices(batch, "text"):
-                x = Lines(s.column(1))
-                counts += np.bincount((x.tok >> np.uint64(44 - BUCKET_BITS)).astype(np.int64),
+                data, offsets = byte_arrays(s.column(0))
+                starts, ends, _ = word_spans(data, offsets)
+                counts += np.bincount((_words(data, starts, ends) >> np.uint64(44 - BUCKET_BITS)).astype(np.int64),
                                       minlength=1 << BUCKET_BITS)
-                doc = s.column(0).to_numpy()[x.text]
-                yield rows(1, x.sig.view(np.int64), doc, x.line.astype(np.int32), x.bits.view(np.int64))
         some = np.flatnonzero(counts)
-        yield rows(0, some, counts[some], np.zeros(len(some), np.int32), np.zeros(len(some), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
 
-    return docs.mapInArrow(run, "kind int, a long, b long, line int, bits long")
+    rows = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    got = rows.toArrow()  # at most 2^BUCKET_BITS rows
+    out = np.zeros(1 << BUCKET_BITS, np.int64)
+    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return out
 
 
-def _entries(docs: DataFrame, rarity, parts: int, percent: int) -> DataFrame:
-    """(part, entries): the prefix entries of every line, packed."""
+def _line_hash(doc: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
+    x = mix64(doc.astype(np.int64).view(np.uint64) ^ mix64(line.astype(np.uint64) + np.uint64(1)))
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = rarity.value
-        held, sigs, count = [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            e, sig, part = np.concatenate(held), np.concatenate([s for s, _ in sigs]), np.concatenate(
-                [p for _, p in sigs])
-            # equal sets: only the first of the flush is compared with others
-            order = np.lexsort((e["line"], e["doc"], sig))
-            first = np.r_[True, sig[order][1:] != sig[order][:-1]]
-            lead = np.repeat(order[first], np.diff(np.r_[np.flatnonzero(first), len(order)]))
-            same = (e["doc"][order] == e["doc"][lead]) & (e["line"][order] == e["line"][lead])
-            keep = np.sort(order[same])
-            e, part = e[keep], part[keep]
-            order = np.argsort(part, kind="stable")
-            e, part = e[order], part[order]
-            at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(part[at].astype(np.int32)),
-                 pa.array([_pack(x) for x in np.split(e, at[1:])], pa.binary())], names=["part", "entries"])
 
+def _word_hash(tok32: np.ndarray) -> np.ndarray:
+    return (mix64(tok32.astype(np.uint64)) >> np.uint64(64 - WORD_FILTER_BITS)).astype(np.int64)
+
+
+class Flush:
+    """The lines and prefix entries of some slices, on their way out."""
+
+    def __init__(self, parts: int):
+        self.parts, self.lines, self.entries, self.n_lines, self.n_entries = parts, [], [], 0, 0
+
+    def add(self, x: Lines, doc: np.ndarray, cls: np.ndarray, percent: int, words) -> None:
+        key = (x.of.astype(np.uint64) << np.uint64(44)) | (cls << np.uint64(39)) | (x.tok >> np.uint64(5))
+        if words is not None:  # the words of open lines only
+            wanted = words[_word_hash(x.tok >> np.uint64(12))]
+            order = np.argsort(key)
+            key, wanted = key[order], wanted[order]
+        else:
+            key.sort()
+            wanted = True
+        pos = np.arange(len(key)) - x.at[x.of]
+        n = x.n[x.of]
+        # sets this small have no similar set but equal ones
+        use = (pos < n + percent * n // -100 + 1) & (n * (100 - percent) >= percent) & wanted
+        self.lines.append((doc, x.line, x.n, x.bits, x.more_bits, x.sig))
+        self.entries.append((x.of[use] + self.n_lines, mix64(key[use] & _TOKEN), pos[use]))
+        self.n_lines += len(doc)
+        self.n_entries += len(self.entries[-1][0])
+
+    def rows(self, number: int, equal: bool) -> pa.RecordBatch:
+        """Packed entries by part; with ``equal`` also an entry for every set
+        and, packed in one of the rows, the lines that equal an earlier one
+        of the flush."""
+        doc, line, n, bits, more_bits, sig = map(np.concatenate, zip(*self.lines))
+        of, tok, pos = map(np.concatenate, zip(*self.entries))
+        order = np.lexsort((line, doc, sig))
+        first = np.r_[True, sig[order][1:] != sig[order][:-1]]
+        lead = np.repeat(order[first], np.diff(np.r_[np.flatnonzero(first), len(order)]))
+        same = (doc[order] == doc[lead]) & (line[order] == line[lead])
+        stays = np.zeros(len(doc), bool)
+        stays[order[same]] = True
+        use = stays[of]
+        of, tok, pos = of[use], tok[use], pos[use]
+        if equal:
+            own = np.flatnonzero(stays)
+            of, tok, pos = np.r_[of, own], np.r_[tok, sig[own]], np.r_[pos, np.full(len(own), EQUAL)]
+        part = ((tok >> np.uint64(32)) % np.uint64(self.parts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        of, tok, pos, part = of[by], tok[by], pos[by], part[by]
+        e = np.empty(len(of), ENTRY)
+        e["tok"], e["pos"], e["doc"], e["line"] = tok & np.uint64(0xFFFFFFFF), pos, doc[of], line[of]
+        e["n"], e["bits"], e["more_bits"] = n[of], bits[of], more_bits[of]
+        at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+        out = [(int(part[a]), _pack(x), None) for a, x in zip(at, np.split(e, at[1:]))] if len(at) else []
+        if equal and not stays.all():
+            gone = np.empty((~stays).sum(), ENTRY[["doc", "line", "bits"]])
+            gone["doc"], gone["line"], gone["bits"] = doc[~stays], line[~stays], bits[~stays]
+            out.append((number % self.parts, None, _pack(gone)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary()),
+             pa.array([r[2] for r in out], pa.binary())], names=["part", "entries", "gone"])
+
+
+def _entries(docs: DataFrame, rarity, parts: int, percent: int, words=None) -> DataFrame:
+    """(part, entries, gone): see :class:`Flush`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, number = rarity.value, 0
+        flush = Flush(parts)
         for batch in batches:
             for s in text_slices(batch, "text"):
                 x = Lines(s.column(1))
-                if not len(x.tok):
-                    continue
-                cls = classes[(x.tok >> np.uint64(44 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64)
-                key = np.sort((x.of.astype(np.uint64) << np.uint64(44)) | (cls << np.uint64(39)) | (x.tok >> np.uint64(5)))
-                pos = np.arange(len(key)) - x.at[x.of]
-                n = x.n[x.of]
-                # sets this small have no similar set of another size or content
-                use = (pos < n + percent * n // -100 + 1) & (n * (100 - percent) >= percent)
-                line = x.of[use]
-                tok = mix64(key[use] & np.uint64((1 << 44) - 1))
-                e = np.empty(len(line), ENTRY)
-                e["tok"], e["pos"], e["n"] = tok & np.uint64(0xFFFFFFFF), pos[use], n[use]
-                e["doc"], e["line"] = s.column(0).to_numpy()[x.text[line]], x.line[line]
-                e["bits"] = x.bits[line]
-                held.append(e)
-                sigs.append((x.sig[line], (tok >> np.uint64(32)) % np.uint64(parts)))
-                count += len(e)
-                if count >= FLUSH_ENTRIES:
-                    yield flush()
-                    held, sigs, count = [], [], 0
-        if count:
-            yield flush()
-
-    return docs.mapInArrow(run, "part int, entries binary")
+                if len(x.tok):
+                    cls = classes[(x.tok >> np.uint64(44 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64)
+                    flush.add(x, s.column(0).to_numpy()[x.text], cls, percent, None if words is None else words.value)
+                if flush.n_entries >= FLUSH_ENTRIES or flush.n_lines >= FLUSH_ENTRIES:
+                    yield flush.rows(number, words is None)
+                    flush, number = Flush(parts), number + 1
+        if flush.n_lines:
+            yield flush.rows(number, words is None)
+
+    return docs.mapInArrow(run, "part int, entries binary, gone binary")
 
 
 def _pack(e: np.ndarray) -> bytes:
-    """Field after field, which compresses better than row after row."""
-    return len(e).to_bytes(8, "little") + b"".join(np.ascontiguousarray(e[f]).tobytes() for f in ENTRY.names)
+    """Two bytes of one field after the other: equal high bytes of numbers
+    stand together, which the shuffle's compression takes out."""
+    return len(e).to_bytes(8, "little") + b"".join(
+        np.ascontiguousarray(e[f]).view("<u2").reshape(len(e), -1).T.tobytes() for f in e.dtype.names)
 
 
-def _unpack(b: bytes) -> np.ndarray:
+def _unpack(b: bytes, kind: np.dtype = ENTRY) -> np.ndarray:
     n, at = int.from_bytes(b[:8], "little"), 8
-    e = np.empty(n, ENTRY)
-    for f in ENTRY.names:
-        e[f] = np.frombuffer(b, ENTRY[f], n, at)
-        at += n * ENTRY[f].itemsize
+    e = np.empty(n, kind)
+    for f in e.dtype.names:
+        size = e.dtype[f].itemsize
+        planes = np.frombuffer(b, "<u2", n * size // 2, at).reshape(size // 2, n)
+        e[f] = np.ascontiguousarray(planes.T).view(e.dtype[f]).ravel()
+        at += n * size
     return e
 
 
-class Best:
-    """The most promising earlier candidates of every later line."""
+class Found:
+    """Earlier candidates of the wanted lines of some entries: of each the
+    most promising one, or the ``listed`` most promising ones."""
 
-    def __init__(self, e: np.ndarray, listed: int):
+    def __init__(self, e: np.ndarray, listed: int, wanted=None):
         self.e, self.listed = e, listed
-        _, self.line_of = np.unique(e[["doc", "line", "bits"]], return_inverse=True)
-        self.found: list[np.ndarray] = []
-        self.count = 0
+        order = np.lexsort((e["line"], e["doc"]))
+        d, i = e["doc"][order], e["line"][order]
+        self.rank = np.empty(len(e), np.int64)  # of a line in the order of lines
+        self.rank[order] = np.cumsum(np.r_[False, (d[1:] != d[:-1]) | (i[1:] != i[:-1])][: len(e)])
+        self.wanted = None if wanted is None else wanted[_line_hash(e["doc"], e["line"], FILTER_BITS)]
+        self.miss, self.best = np.full(len(e), 1 << 20), np.full(len(e), -1)
         self.more = np.zeros(len(e), bool)
+        self.pairs: list[np.ndarray] = []
+        self.count = 0
 
     def add(self, a: np.ndarray, b: np.ndarray, miss: np.ndarray) -> None:
-        e = self.e
-        after = (e["doc"][a] > e["doc"][b]) | ((e["doc"][a] == e["doc"][b]) & (e["line"][a] > e["line"][b]))
-        equal = (e["doc"][a] == e["doc"][b]) & (e["line"][a] == e["line"][b])
-        late, early = np.where(after, a, b)[~equal], np.where(after, b, a)[~equal]
-        self.found.append(np.column_stack([late, early, miss[~equal]]))
-        self.count += len(late)
-        if self.count > 2_000_000:
+        """Pairs with each ``a`` once and each ``b`` once."""
+        for late, early in ((a, b), (b, a)):
+            use = self.rank[late] > self.rank[early]
+            if self.wanted is not None:
+                use &= self.wanted[late]
+            at, to, m = late[use], early[use], miss[use]
+            if self.listed > 1:
+                self.pairs.append(np.column_stack([at, to, m]))
+                self.count += len(at)
+            else:
+                self.more[at] |= self.best[at] >= 0
+                better = m < self.miss[at]
+                at, to, m = at[better], to[better], m[better]
+                self.miss[at], self.best[at] = m, to
+        if self.count > 1_000_000:
             self._reduce()
 
     def _reduce(self) -> None:
-        if not self.found:
+        if not self.pairs:
             return
-        f, e = np.concatenate(self.found), self.e
-        late, early = self.line_of[f[:, 0]], self.line_of[f[:, 1]]
-        order = np.lexsort((early, late))
-        new = np.r_[True, (late[order][1:] != late[order][:-1]) | (early[order][1:] != early[order][:-1])][:len(f)]
-        f, late = f[order][new], late[order][new]
-        order = np.lexsort((e["line"][f[:, 1]], e["doc"][f[:, 1]], f[:, 2], late))
-        f, late = f[order], late[order]
-        at = np.flatnonzero(np.r_[True, late[1:] != late[:-1]][:len(f)])
-        rank = np.arange(len(f)) - np.repeat(at, np.diff(np.r_[at, len(f)]))
-        self.more[np.unique(late[rank >= self.listed])] = True
-        self.found = [f[rank < self.listed]]
-        self.count = len(self.found[0])
+        f = np.concatenate(self.pairs)
+        f = f[np.lexsort((self.rank[f[:, 1]], f[:, 2], f[:, 0]))]
+        at = np.flatnonzero(np.r_[True, f[1:, 0] != f[:-1, 0]][: len(f)])
+        place = np.arange(len(f)) - np.repeat(at, np.diff(np.r_[at, len(f)]))
+        self.more[f[place >= self.listed, 0]] = True
+        self.pairs = [f[place < self.listed]]
+        self.count = len(self.pairs[0])
 
     def rows(self) -> list[np.ndarray]:
-        self._reduce()
-        f = self.found[0] if self.found else np.zeros((0, 3), np.int64)
-        a, b = self.e[f[:, 0]], self.e[f[:, 1]]
-        return [a["doc"], a["line"], a["bits"].view(np.int64), b["doc"], b["line"], b["bits"].view(np.int64),
-                f[:, 2].astype(np.int32), self.more[self.line_of[f[:, 0]]]]
+        if self.listed > 1:
+            self._reduce()
+            a, b, miss = (self.pairs[0] if self.pairs else np.zeros((0, 3), np.int64)).T
+        else:  # one row for each line
+            a = np.flatnonzero(self.best >= 0)
+            a = a[np.lexsort((self.miss[a], self.e["bits"][a], self.rank[a]))]
+            r, x = self.rank[a], self.e["bits"][a]
+            new = np.r_[True, (r[1:] != r[:-1]) | (x[1:] != x[:-1])][: len(a)]
+            group = np.cumsum(new) - 1
+            more = np.zeros(new.sum(), bool)
+            np.logical_or.at(more, group, self.more[a] | (self.best[a] != self.best[a[new]][group]))
+            a = a[new]
+            self.more[a] = more
+            b, miss = self.best[a], self.miss[a]
+        e = self.e
+        return [e["doc"][a], e["line"][a], e["bits"][a].view(np.int64), e["doc"][b], e["line"][b],
+                e["bits"][b].view(np.int64), miss.astype(np.int32), self.more[a]]
 
 
 def _passes(e: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,13 +299,14 @@ def _passes(e: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[
     distance by the bitmaps."""
     na, nb = e["n"][a].astype(np.int64), e["n"][b].astype(np.int64)
     need = overlap_needed(na, nb, percent)
-    most = 1 + np.minimum(na - e["pos"][a], nb - e["pos"][b]) - 1
-    apart = np.bitwise_count(e["bits"][a] ^ e["bits"][b]).astype(np.int64)
+    apart = np.bitwise_count(e["bits"][a] ^ e["bits"][b]).astype(np.int64) + np.bitwise_count(
+        e["more_bits"][a] ^ e["more_bits"][b])
+    most = np.minimum(na - e["pos"][a], nb - e["pos"][b])
     ok = (most >= need) & ((na + nb - apart) // 2 >= need) & (percent * np.maximum(na, nb) <= 100 * np.minimum(na, nb))
     return ok, apart
 
 
-def _meet_sorted(e: np.ndarray, ends: np.ndarray, best: Best, percent: int) -> None:
+def _meet_sorted(e: np.ndarray, ends: np.ndarray, found: Found, percent: int) -> None:
     """Pairs of entries of one word each (sorted by word and size; ``ends``
     is where an entry's word ends), those ``d`` places apart at a time."""
     act, d = np.arange(len(e)), 1
@@ -241,43 +317,67 @@ def _meet_sorted(e: np.ndarray, ends: np.ndarray, best: Best, percent: int) -> N
         if not len(act):
             return
         ok, apart = _passes(e, act, act + d, percent)
-        best.add(act[ok], act[ok] + d, apart[ok])
+        found.add(act[ok], act[ok] + d, apart[ok])
         d += 1
 
 
-def _meeting(percent: int, listed: int):
+def _equal_lines(e: np.ndarray) -> np.ndarray:
+    """The entries of sets that an earlier line equals."""
+    same = ["tok", "n", "bits", "more_bits"]
+    order = np.lexsort((e["line"], e["doc"], *[e[f] for f in same]))
+    x = e[order]
+    new = np.r_[True, np.any([x[f][1:] != x[f][:-1] for f in same], axis=0)][: len(x)]
+    lead = x[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return x[(x["doc"] != lead["doc"]) | (x["line"] != lead["line"])]
+
+
+def _meeting(percent: int, listed: int, wanted=None, block: int | None = None):
+    block = block or BLOCK
+
     def meet(table: pa.Table) -> pa.Table:
-        e = np.concatenate([_unpack(b) for b in table.column("entries").to_pylist()])
+        some = [_unpack(b) for b in table.column("entries").to_pylist() if b is not None]
+        gone = [_unpack(b, ENTRY[LINE])[LINE] for b in table.column("gone").to_pylist() if b is not None]
+        e = np.concatenate(some) if some else np.empty(0, ENTRY)
+        del some
+        gone.append(_equal_lines(e[e["pos"] == EQUAL])[LINE])
+        gone = np.concatenate([np.rec.fromarrays([g[f] for f in LINE], names=LINE) for g in gone])
+        e = e[e["pos"] != EQUAL]
         e = e[np.lexsort((e["n"], e["tok"]))]
-        at = np.flatnonzero(np.r_[True, e["tok"][1:] != e["tok"][:-1]])
+        at = np.flatnonzero(np.r_[True, e["tok"][1:] != e["tok"][:-1]][: len(e)])
         size = np.diff(np.r_[at, len(e)])
         blocks = []
-        for i in np.flatnonzero(size > 2 * BLOCK).tolist():  # a common word: blocks of similar length
+        for i in np.flatnonzero(size > 2 * block).tolist():  # a common word: blocks of similar length
             own = e[at[i]: at[i] + size[i]]
-            cut = [own[j: j + BLOCK] for j in range(0, len(own), BLOCK)]
+            cut = [own[j: j + block] for j in range(0, len(own), block)]
             for j, x in enumerate(cut):
                 for y in cut[j:]:
                     if percent * int(y["n"][0]) <= 100 * int(x["n"][-1]):
                         blocks.append((_pack(x), _pack(y)))
-        small = np.repeat(size <= 2 * BLOCK, size)
-        e, ends = e[small], np.repeat(np.cumsum(np.where(size <= 2 * BLOCK, size, 0)), size)[small]
-        best = Best(e, listed)
-        _meet_sorted(e, ends, best, percent)
-        return _table(best.rows(), blocks)
+        small = np.repeat(size <= 2 * block, size)
+        e, ends = e[small], np.repeat(np.cumsum(np.where(size <= 2 * block, size, 0)), size)[small]
+        found = Found(e, listed, None if wanted is None else wanted.value)
+        _meet_sorted(e, ends, found, percent)
+        return _table(found.rows(), blocks, gone)
 
     return meet
 
 
-def _table(rows: list[np.ndarray], blocks: list[tuple[bytes, bytes]]) -> pa.Table:
-    n, k = len(rows[0]), len(blocks)
-    names = ["doc", "line", "bits", "cdoc", "cline", "cbits", "miss", "more"]
+def _table(rows: list[np.ndarray], blocks: list[tuple[bytes, bytes]], gone=None) -> pa.Table:
+    names = [*LINE, "cdoc", "cline", "cbits", "miss", "more"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
-    cols = [pa.concat_arrays([pa.array(r, t), pa.nulls(k, t)]) for r, t in zip(rows, kinds)]
-    packed = [len(x).to_bytes(8, "little") + x + y for x, y in blocks]
-    return pa.table([*cols, pa.array([None] * n + packed, pa.binary())], names=[*names, "block"])
-
-
-def _compare_blocks(blocks: DataFrame, percent: int, listed: int) -> DataFrame:
+    cols = [[pa.array(r, t), pa.nulls(len(blocks), t)] for r, t in zip(rows, kinds)]
+    n = len(rows[0])
+    packed = pa.array([None] * n + [len(x).to_bytes(8, "little") + x + y for x, y in blocks], pa.binary())
+    if gone is not None and len(gone):
+        k = len(gone)
+        extra = [gone["doc"], gone["line"], gone["bits"].view(np.int64), *[None] * 3, np.full(k, EQUAL, np.int32), None]
+        for c, x, t in zip(cols, extra, kinds):
+            c.append(pa.nulls(k, t) if x is None else pa.array(np.ascontiguousarray(x), t))
+        packed = pa.concat_arrays([packed, pa.nulls(k, pa.binary())])
+    return pa.table([*[pa.concat_arrays(c) for c in cols], packed], names=[*names, "block"])
+
+
+def _compare_blocks(blocks: DataFrame, percent: int, listed: int, wanted=None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.column(0).to_pylist():
@@ -285,46 +385,67 @@ def _compare_blocks(blocks: DataFrame, percent: int, listed: int) -> DataFrame:
                 x, y = _unpack(b[8:cut]), _unpack(b[cut:])
                 same = b[8:cut] == b[cut:]
                 e = x if same else np.concatenate([x, y])
-                best = Best(e, listed)
+                found = Found(e, listed, None if wanted is None else wanted.value)
                 if same:
-                    _meet_sorted(e, np.full(len(e), len(e)), best, percent)
+                    _meet_sorted(e, np.full(len(e), len(e)), found, percent)
                 else:
-                    right = np.arange(len(x), len(e))
-                    for i in range(len(x)):
-                        a = np.full(len(right), i)
-                        ok, apart = _passes(e, a, right, percent)
-                        best.add(a[ok], right[ok], apart[ok])
-                yield from _table(best.rows(), []).to_batches()
+                    left, right = np.arange(len(x)), np.arange(len(y))
+                    for shift in range(max(len(x), len(y))):  # every pair once, no entry twice at a time
+                        if len(x) <= len(y):
+                            a, c = left, len(x) + (left + shift) % len(y)
+                        else:
+                            a, c = (right + shift) % len(x), len(x) + right
+                        ok, apart = _passes(e, a, c, percent)
+                        found.add(a[ok], c[ok], apart[ok])
+                yield from _table(found.rows(), []).to_batches()
 
     return blocks.mapInArrow(run, PAIR)
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over the hashes of the ids ``doc``."""
-    h = F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS))
-    words = ids.select(h.alias("h")).select(
-        F.shiftright("h", 6).alias("w"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("b"))
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most 2^FILTER_BITS / 64 rows
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+def _bitmap(rows: DataFrame, bits: int, places) -> np.ndarray:
+    """Which of the ``2^bits`` places that a function gives for the columns of
+    a batch occur: set in Spark, collected as at most ``2^bits / 64`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.unique(places(batch))
+            word, at = np.unique(h >> 6, return_index=True)
+            value = np.bitwise_or.reduceat(np.int64(1) << (h & 63), at) if len(h) else h
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value)], names=["w", "b"])
+
+    got = rows.mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[got["w"].to_numpy()] = got["b"].to_numpy()
-    return out
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _line_places(batch: pa.RecordBatch) -> np.ndarray:
+    return _line_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy(), FILTER_BITS)
+
+
+def _doc_places(batch: pa.RecordBatch) -> np.ndarray:
+    doc = batch.column(0).to_numpy()
+    return _line_hash(doc, np.zeros(len(doc)), FILTER_BITS)
+
+
+def _word_places(batch: pa.RecordBatch) -> np.ndarray:
+    data, _ = byte_arrays(batch.column(0))
+    return _word_hash(np.frombuffer(data.tobytes(), "<u4"))
 
 
 def maybe_in(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``docs`` (with a column ``doc``) that may be, and that surely are not,
-    among ``ids``."""
-    sent = docs.sparkSession.sparkContext.broadcast(_id_filter(ids))  # 256 kB
-    hashed = docs.withColumn("_h", F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS)))
-    kept = docs.columns
+    among the ids ``doc``."""
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(ids.select("doc"), FILTER_BITS, _doc_places))  # 2 MB
+    at = docs.columns.index("doc")
 
     def mark(batches: Iterator[pa.RecordBatch], want: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column(len(kept)).to_numpy()
-            hit = (sent.value[h >> 6] >> (h & 63)) & 1 == 1
-            yield batch.drop_columns(["_h"]).filter(pa.array(hit == want))
+            doc = batch.column(at).to_numpy()
+            yield batch.filter(pa.array(sent.value[_line_hash(doc, np.zeros(len(doc)), FILTER_BITS)] == want))
 
-    return (hashed.mapInArrow(lambda it: mark(it, True), docs.schema),
-            hashed.mapInArrow(lambda it: mark(it, False), docs.schema))
+    return (docs.mapInArrow(lambda it: mark(it, True), docs.schema),
+            docs.mapInArrow(lambda it: mark(it, False), docs.schema))
 
 
 def _word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -390,44 +511,43 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     ``doc`` is the id (null ids: ``NULL_ID``), ``line`` counts from 0, and
     ``bits`` tells lines of documents that share an id apart; lines with the
     same id and number do not remove each other."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     base = docs.select(_key(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    survey = stored(_survey(base), "lines")
-    got = survey.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n")).toArrow()  # at most 2^BUCKET_BITS rows
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    counts[got["a"].to_numpy()] = got["n"].to_numpy()
-    rarity = spark.sparkContext.broadcast(np.minimum(31, np.log2(np.maximum(counts, 1))).astype(np.uint8))
-    lines = survey.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("doc"), "line", "bits")
-    first = lines.groupBy("sig").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
-    removed = lines.join(first.where("n > 1"), "sig").where(F.struct("doc", "line") > F.col("first")).select(
-        "doc", "line", "bits")
-    removed = stored(removed, "equal-lines")
-
-    words = int(counts.sum())
-    parts = max(shuffle_partitions(docs), math.ceil(words * (100 - percent) / 100 / PART_ENTRIES))
-    open_lines = None
-    while True:
-        met = stored(_entries(base, rarity, parts, percent).groupBy("part").applyInArrow(
-            _meeting(percent, listed), PAIR), "line-pairs")
+    counts = _word_counts(base)
+    rarity = context.broadcast(np.minimum(31, np.log2(np.maximum(counts, 1))).astype(np.uint8))
+    parts = max(shuffle_partitions(docs), math.ceil(int(counts.sum()) * (100 - percent) / 100 / PART_ENTRIES))
+
+    def candidates(listed: int, wanted=None, words=None) -> DataFrame:
+        met = _entries(base, rarity, parts, percent, words).groupBy("part").applyInArrow(
+            _meeting(percent, listed, wanted), PAIR)
+        met = stored(met, "line-pairs")
         blocks = met.where("block IS NOT NULL").select("block").repartition(parts)
-        pairs = met.where("block IS NULL").union(_compare_blocks(blocks, percent, listed)).drop("block")
-        pairs = pairs.join(removed, ["doc", "line", "bits"], "left_anti")
-        if open_lines is not None:
-            pairs = pairs.join(open_lines, ["doc", "line", "bits"], "left_semi")
-        line = ["doc", "line", "bits"]
-        pairs = stored(pairs.groupBy(*line, "cdoc", "cline", "cbits").agg(
-            F.min("miss").alias("miss"), F.max("more").alias("more")), "line-candidates")
-        wanted = pairs.select(*line).union(pairs.select("cdoc", "cline", "cbits"))
-        sets = stored(_word_sets(base, wanted), "word-sets")
-        best = pairs.groupBy(*line).agg(F.min(F.struct("miss", "cdoc", "cline", "cbits")).alias("b"))
-        hit = stored(_verified(best.select(*line, "b.*"), sets, percent), "similar-lines")
-        rest = pairs.join(hit, line, "left_anti")
-        hit = stored(hit.union(_verified(rest, sets, percent)), "similar-lines")
-        removed = stored(removed.union(hit), "removed-lines")
-        open_lines = stored(rest.where("more").select(*line).distinct().join(hit, line, "left_anti"), "open-lines")
-        if open_lines.isEmpty():
-            return removed
+        return met.where("block IS NULL").union(_compare_blocks(blocks, percent, listed, wanted)).drop("block")
+
+    pairs = candidates(1)
+    best = stored(pairs.groupBy(*LINE).agg(
+        F.min(F.struct("miss", "cdoc", "cline", "cbits")).alias("b"),
+        (F.max("more") | F.coalesce(
+            F.min(F.struct("cdoc", "cline", "cbits")) != F.max(F.struct("cdoc", "cline", "cbits")), F.lit(False))
+         ).alias("more")), "line-candidates")
+    removed = best.where(F.col("b.miss") == EQUAL).select(*LINE)
+    best = best.where(F.col("b.miss") != EQUAL).select(*LINE, "b.cdoc", "b.cline", "b.cbits", "more")
+    sets = stored(_word_sets(base, best.select(*LINE).union(best.select("cdoc", "cline", "cbits"))), "word-sets")
+    hit = stored(_verified(best, sets, percent), "similar-lines")
+    removed = removed.union(hit)
+    left = stored(best.where("more").select(*LINE).join(hit, LINE, "left_anti"), "open-lines")
+    while not left.isEmpty():
+        wanted = context.broadcast(_bitmap(left.select("doc", "line"), FILTER_BITS, _line_places))  # 2 MB
+        words = context.broadcast(_bitmap(sets.join(left, LINE, "left_semi").select("toks"), WORD_FILTER_BITS,
+                                          _word_places))  # 16 MB
+        pairs = candidates(listed, wanted, words).join(left, LINE, "left_semi")
+        pairs = stored(pairs.groupBy(*LINE, "cdoc", "cline", "cbits").agg(F.max("more").alias("more")), "line-candidates")
+        sets = stored(_word_sets(base, pairs.select(*LINE).union(pairs.select("cdoc", "cline", "cbits"))), "word-sets")
+        hit = stored(_verified(pairs, sets, percent), "similar-lines")
+        removed = removed.union(hit)
+        left = stored(pairs.where("more").select(*LINE).distinct().join(hit, LINE, "left_anti"), "open-lines")
         listed *= 8
+    return stored(removed.distinct(), "removed-lines")
 
 
 def _per_document(removed: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subscope.llm import linear
-from subscope.llm.common import ALNUM, SpanHash, byte_arrays, lowered, text_slices, word_spans
+from subscope.llm.common import ALNUM, byte_arrays, lowered, text_slices, word_hashes, word_spans
 
 LABELLED, POOL = 8000, 8000
 ROUNDS, SURE, PER_ROUND = 3, 0.97, 400
@@ -53,7 +53,7 @@ def content_features(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     bytes_of = np.bincount(text_of * 256 + data, minlength=n * 256).reshape(n, 256)
     low, low_offsets = byte_arrays(lowered(col))
     starts, ends, text = word_spans(low, low_offsets, ALNUM)
-    key = (text << WORD_BITS) | (SpanHash(low)(starts, ends) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    key = (text << WORD_BITS) | (word_hashes(low, starts, ends) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
     key = np.unique(key)
     words = np.maximum(np.bincount(text, minlength=n), 1)
     distinct = np.bincount(key >> WORD_BITS, minlength=n)
