@@ -42,7 +42,7 @@ from subscope.llm.common import SpanHash, byte_arrays, mix64, shuffle_partitions
 LENGTH, TRIGGER = 50, 24
 BLOCK_BYTES = 1 << 21
 SEGMENT = 1 << 20  # positions worked on at once
-PART_TRIGGERS = 1_000_000  # triggers a reducer gets on average
+PART_TRIGGERS = 500_000  # triggers a reducer gets on average
 NULL_ID = (1 << 63) - 1  # documents without id come last
 
 
@@ -202,8 +202,8 @@ def _phrases(flagged: DataFrame, parts: int, length: int) -> DataFrame:
                     o = own[i]
                     size = b.windows[o] + length - 1
                     at = np.repeat(b.start[o] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    out.append((p, len(o), b.trigger[o].astype("<u8").tobytes(), b.phrase[o].astype("<u8").tobytes(),
-                                b.ids[b.doc[o]].astype("<i8").tobytes(),
+                    out.append((p, len(o), b.trigger[o].astype(np.uint32).astype("<u4").tobytes(),
+                                b.phrase[o].astype("<u8").tobytes(), _planes(b.ids[b.doc[o]]),
                                 np.column_stack([b.place[o], b.windows[o]]).astype("<u1").tobytes(),
                                 press.compress(b.data[at].tobytes())))
                 cols = list(zip(*out)) or [[]] * 7
@@ -216,6 +216,33 @@ def _phrases(flagged: DataFrame, parts: int, length: int) -> DataFrame:
         run, "part int, block long, n long, trigger binary, phrase binary, id binary, shape binary, text binary")
 
 
+def _planes(ids: np.ndarray) -> bytes:
+    """Two bytes of all ids after the other: equal high bytes stand together."""
+    return np.ascontiguousarray(ids.astype("<i8").view("<u2").reshape(len(ids), 4).T).tobytes()
+
+
+def _from_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, "<u2").reshape(4, -1).T).view("<i8").ravel()
+
+
+def _window_hashes(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all windows of some phrases, a bounded number of bytes at a
+    time; ``begin`` is where each phrase's bytes start."""
+    size = windows + length - 1
+    out, at = [np.zeros(0, np.uint64)], 0
+    ends = np.cumsum(size)
+    while at < len(begin):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SEGMENT, side="right")))
+        own = size[at:to]
+        first = np.cumsum(own) - own
+        part = data[np.repeat(begin[at:to] - first, own) + np.arange(own.sum())]
+        w = windows[at:to]
+        start = np.repeat(first - (np.cumsum(w) - w), w) + np.arange(w.sum())
+        out.append(SpanHash(part)(start, start + length))
+        at = to
+    return np.concatenate(out)
+
+
 def _sorting(length: int):
     def order(table: pa.Table) -> pa.Table:
         def column(name: str, kind: str) -> np.ndarray:
@@ -223,7 +250,9 @@ def _sorting(length: int):
 
         n = table.column("n").to_numpy()
         block_row = np.repeat(np.arange(len(n)), n)
-        trigger, phrase, ids = column("trigger", "<u8"), column("phrase", "<u8"), column("id", "<i8")
+        # of a trigger the part and 32 bits; two triggers that agree in both only share a group
+        trigger, phrase = column("trigger", "<u4").astype(np.uint64), column("phrase", "<u8")
+        ids = np.concatenate([_from_planes(b) for b in table.column("id").to_pylist()])
         place, windows = column("shape", "<u1").reshape(-1, 2).astype(np.int64).T
         un = zstandard.ZstdDecompressor()
         sizes = np.add.reduceat(windows + length - 1, np.cumsum(n) - n)
@@ -244,9 +273,7 @@ def _sorting(length: int):
         j = np.arange(len(of)) - np.repeat(np.cumsum(windows[r]) - windows[r], windows[r])
         mask = np.zeros(len(rep), np.int64)
         if len(r):
-            hashes, at, window = SpanHash(data), begin[r][of] + j, np.empty(len(of), np.uint64)
-            for lo in range(0, len(of), SEGMENT):
-                window[lo: lo + SEGMENT] = hashes(at[lo: lo + SEGMENT], at[lo: lo + SEGMENT] + length)
+            window = _window_hashes(data, begin[r], windows[r], length)
             key = mix64(window ^ mix64(trigger[r][of] + (place[r][of] - j).astype(np.uint64)))
             rank = np.lexsort((ids[r][of], key))
             k, d = key[rank], ids[r][of][rank]
@@ -266,8 +293,8 @@ def _sorting(length: int):
         blocks = table.column("block").to_numpy()
         return pa.table({
             "block": pa.array([int(blocks[block_row[x[0]]]) for x in runs], pa.int64()),
-            "known": pa.array([np.column_stack([trigger[x].view(np.int64), phrase[x].view(np.int64), first[x],
-                                                mask[group[x]]]).astype("<i8").tobytes() for x in runs], pa.binary())})
+            "known": pa.array([np.column_stack([phrase[x].view(np.int64), first[x], mask[group[x]]])
+                              .astype("<i8").tobytes() for x in runs], pa.binary())})
 
     return order
 
@@ -277,12 +304,11 @@ def _covered(b: Block, shared: np.ndarray, known: list[bytes]) -> np.ndarray:
     length = b.length
     own, back = b.own(shared)
     first, mask = b.ids[b.doc[own]].copy(), np.zeros(len(own), np.int64)
-    place = {x: i for i, x in enumerate(zip(b.trigger[own].view(np.int64).tolist(),
-                                            b.phrase[own].view(np.int64).tolist()))} if known else {}
-    for k in known:
-        k = np.frombuffer(k, "<i8").reshape(-1, 4)
-        at = _find(place, k[:, 0], k[:, 1])
-        first[at], mask[at] = k[:, 2], k[:, 3]
+    if known:
+        k = np.frombuffer(b"".join(known), "<i8").reshape(-1, 3)
+        by = np.argsort(b.phrase[own])
+        at = by[np.searchsorted(b.phrase[own][by], k[:, 0].copy().view(np.uint64))]
+        first[at], mask[at] = k[:, 1], k[:, 2]
     which = np.flatnonzero(shared)
     ids = b.ids[b.doc[which]]
     full = (1 << b.windows[which]) - 1
@@ -295,10 +321,6 @@ def _covered(b: Block, shared: np.ndarray, known: list[bytes]) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _find(place: dict, trigger: np.ndarray, phrase: np.ndarray) -> np.ndarray:
-    return np.array([place[x] for x in zip(trigger.tolist(), phrase.tolist())], np.int64)
-
-
 def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """(id, n_bytes, spans, kept): for every document the removed runs
