@@ -45,7 +45,7 @@ PERCENT = 80
 BUCKET_BITS = 17  # counters of word hashes
 PART_ENTRIES = 150_000  # prefix entries a reducer gets on average
 FLUSH_ENTRIES = 300_000
-LISTED = 16  # candidates listed for a line and word in the second round, then 8 times as many
+LISTED = 512  # candidates listed for an open line and word in the second round, then 8 times as many
 BLOCK = 10_000  # entries of one word compared at once
 NULL_ID = (1 << 63) - 1  # documents without id come last
 FILTER_BITS = 21  # of the bitmap of documents or lines
@@ -243,7 +243,7 @@ class Found:
         self.miss, self.best = np.full(len(e), 1 << 20), np.full(len(e), -1)
         self.more = np.zeros(len(e), bool)
         self.pairs: list[np.ndarray] = []
-        self.count = 0
+        self.count, self.full = 0, 1_000_000
 
     def add(self, a: np.ndarray, b: np.ndarray, miss: np.ndarray) -> None:
         """Pairs with each ``a`` once and each ``b`` once."""
@@ -260,8 +260,9 @@ class Found:
                 better = m < self.miss[at]
                 at, to, m = at[better], to[better], m[better]
                 self.miss[at], self.best[at] = m, to
-        if self.count > 1_000_000:
+        if self.count > self.full:
             self._reduce()
+            self.full = max(1_000_000, 2 * self.count)
 
     def _reduce(self) -> None:
         if not self.pairs:
@@ -423,29 +424,28 @@ def _line_places(batch: pa.RecordBatch) -> np.ndarray:
     return _line_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy(), FILTER_BITS)
 
 
-def _doc_places(batch: pa.RecordBatch) -> np.ndarray:
-    doc = batch.column(0).to_numpy()
-    return _line_hash(doc, np.zeros(len(doc)), FILTER_BITS)
-
-
 def _word_places(batch: pa.RecordBatch) -> np.ndarray:
     data, _ = byte_arrays(batch.column(0))
     return _word_hash(np.frombuffer(data.tobytes(), "<u4"))
 
 
-def maybe_in(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` (with a column ``doc``) that may be, and that surely are not,
-    among the ids ``doc``."""
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(ids.select("doc"), FILTER_BITS, _doc_places))  # 2 MB
-    at = docs.columns.index("doc")
+def _doc_place() -> Column:
+    return F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS))
 
-    def mark(batches: Iterator[pa.RecordBatch], want: bool) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc = batch.column(at).to_numpy()
-            yield batch.filter(pa.array(sent.value[_line_hash(doc, np.zeros(len(doc)), FILTER_BITS)] == want))
 
-    return (docs.mapInArrow(lambda it: mark(it, True), docs.schema),
-            docs.mapInArrow(lambda it: mark(it, False), docs.schema))
+def maybe_in(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (with a column ``doc``) that may be, and that surely are not,
+    among the ids ``doc``: a test of one bit of a bitmap of fixed size
+    (256 kB, a literal of the plan)."""
+    h = ids.select(_doc_place().alias("h"))
+    words = h.groupBy(F.shiftright("h", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("b")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), "<i8")
+    bits[words["w"].to_numpy()] = words["b"].to_numpy()
+    byte = F.conv(F.hex(F.substring(F.lit(bits.tobytes()), (F.shiftright(_doc_place(), 3) + 1).cast("int"), F.lit(1))),
+                  16, 10).cast("int")
+    hit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (_doc_place() % 8).cast("int"))) != 0
+    return docs.where(hit), docs.where(~hit)
 
 
 def _word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
