@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subscope.functions import exprs as X
-from subscope.operators.orders import disconnect_reason_split
+from subscope.operators.orders import disconnect_orders, disconnect_reason_split
 from subscope.operators.roles import stack_roles
 from subscope.params import ReportParams
 
@@ -26,6 +26,20 @@ def churn_date() -> Column:
     return F.to_date("churn_ts")
 
 
+def keyed(crm: DataFrame) -> DataFrame:
+    """CRM rows with their padded contract."""
+    return crm.withColumn("contract", X.pad_key("account_id"))
+
+
+def with_disconnect_order(crm: DataFrame, orders: DataFrame, p: ReportParams) -> DataFrame:
+    """Keyed CRM rows of the contracts that have a disconnect order. Only
+    these can be attributed, so the churn reports drop the others before
+    anything is aggregated. As a sort-merge join it moves the CRM once, keyed
+    by contract, and the steps that follow stay on that partitioning."""
+    contracts = disconnect_orders(orders, p).select("contract").distinct()
+    return keyed(crm).join(contracts, "contract", "left_semi")
+
+
 def account_churn_summary(crm: DataFrame) -> DataFrame:
     """One row per raw account: padded key, last / first churn date, last
     snapshot, and the first churn date under each bundle label.
@@ -43,8 +57,8 @@ def account_churn_summary(crm: DataFrame) -> DataFrame:
     ]
     for name, _, code in _BUNDLE_SLOTS:
         aggs.append(F.min(F.when(F.col("bcode") == code, cd)).alias(name))
-    rows = crm.withColumn("bcode", X.bundle_code())
-    return rows.groupBy("account_id").agg(*aggs).withColumn("contract", X.pad_key("account_id"))
+    rows = (crm if "contract" in crm.columns else keyed(crm)).withColumn("bcode", X.bundle_code())
+    return rows.groupBy("contract", "account_id").agg(*aggs)
 
 
 def churn_roles(summary: DataFrame, p: ReportParams, bundles: bool = True) -> DataFrame:
@@ -70,69 +84,79 @@ def churn_roles(summary: DataFrame, p: ReportParams, bundles: bool = True) -> Da
     return stack_roles(summary, roles, ["contract", "bundle", "day"]).where(F.col("day").isNotNull()).distinct()
 
 
-def churn_facts_by_churn_date(crm: DataFrame) -> DataFrame:
-    """One CRM aggregate at (raw account, churn date) serving both the
-    per-account churn summary ('S' rows) and the maximum age per churn date
-    ('G' rows, input of G11). Bundle presence is kept as one flag per label,
-    so the first churn under a label is the least churn date whose flag is
-    set."""
+def contract_days(summary: DataFrame, p: ReportParams, **more) -> DataFrame:
+    """One row per contract with the days the churn core works on: ``lasts``,
+    the last churns that pass the month test (G03), ``firsts``, the first
+    churns in the report year (G06), ``bundles``, the (label, day) of first
+    churns in the year under each bundle (G09) if the summary carries them.
+
+    Everything a report needs of a contract is in this row, so the CRM
+    aggregate has one consumer. The sets hold distinct days, so they are
+    bounded by the calendar however many raw spellings share a key (T7).
+    ``more`` adds aggregates of the summary's rows.
+    """
+    last = F.when(F.month("last_churn") == F.month("last_snapshot"), F.col("last_churn"))
+    first = F.when(F.year("first_churn") == p.year, F.col("first_churn"))
+    aggs = [F.collect_set(last).alias("lasts"), F.collect_set(first).alias("firsts")]
+    slots = [(name, label) for name, label, _ in _BUNDLE_SLOTS if name in summary.columns]
+    if slots:
+        held = F.array(*[F.struct(F.lit(label).cast("string").alias("bundle"), F.col(name).alias("day"))
+                         for name, label in slots])
+        in_year = F.filter(held, lambda b: F.year(b["day"]) == p.year)
+        aggs.append(F.array_distinct(F.flatten(F.collect_set(in_year))).alias("bundles"))
+    return summary.groupBy("contract").agg(*aggs, *[c.alias(n) for n, c in more.items()])
+
+
+def attributed(days: DataFrame, split: DataFrame, p: ReportParams, keep: tuple[str, ...] = ()) -> DataFrame:
+    """G07 and G08 from the contract rows: pairs of a first and a last churn,
+    first on or before last, with the contract's earliest disconnect order if
+    it was opened on or before the first churn and at most
+    ``max_order_lead_months`` calendar months earlier (T3)."""
+    j = days.join(split, "contract").where(F.size("lasts") > 0)
+    j = j.withColumn("first_churn", F.explode("firsts")).where(
+        (F.col("first_churn") >= F.col("opened_on"))
+        & (X.month_diff("first_churn", "opened_on") <= p.max_order_lead_months))
+    j = j.withColumn("last_churn", F.explode("lasts")).where(F.col("first_churn") <= F.col("last_churn"))
+    return j.select(
+        "contract", "voluntary_id", "involuntary_id", "last_churn", "first_churn",
+        F.month("last_churn").alias("last_churn_month"), F.month("first_churn").alias("first_churn_month"),
+        F.month("opened_on").alias("order_month"), *keep,
+    )
+
+
+def churn_date_summary(crm: DataFrame) -> DataFrame:
+    """Per account the churn summary of :func:`account_churn_summary` and
+    ``ages``: for each churn date the maximum age and the first install date
+    of its rows. One CRM aggregate at (account, churn date), rolled up."""
     cd = churn_date()
     aggs = [F.max("snapshot_date").alias("ms"), F.max("age_months").alias("ma"),
             F.min(F.to_date("install_ts")).alias("mi")]
     for name, _, code in _BUNDLE_SLOTS:
         aggs.append(F.max(F.when(F.col("bcode") == code, F.lit(True))).alias(name))
-    fine = crm.withColumn("bcode", X.bundle_code()).groupBy("account_id", cd.alias("cd")).agg(*aggs)
-    flags = [name for name, _, _ in _BUNDLE_SLOTS]
-    no_flags = ["CAST(NULL AS BOOLEAN)"] * len(flags)
-    return stack_roles(
-        fine,
-        [("S", ["account_id", "cd", "ms", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DATE)", *flags]),
-         ("G", ["account_id", "cd", "CAST(NULL AS DATE)", "ma", "mi", *no_flags])],
-        ["account_id", "cd", "ms", "ma", "mi", *flags],
-    )
-
-
-def summary_from_date_facts(facts: DataFrame) -> DataFrame:
-    """The per-account summary of :func:`account_churn_summary`, rolled up
-    from the (account, churn date) facts."""
-    cd = F.col("cd")
-    aggs = [F.max(cd).alias("last_churn"), F.max("ms").alias("last_snapshot"), F.min(cd).alias("first_churn")]
-    aggs += [F.min(F.when(F.col(name), cd)).alias(name) for name, _, _ in _BUNDLE_SLOTS]
-    s = facts.where(F.col("role") == "S").groupBy("account_id").agg(*aggs)
-    return s.withColumn("contract", X.pad_key("account_id"))
+    rows = (crm if "contract" in crm.columns else keyed(crm)).withColumn("bcode", X.bundle_code())
+    fine = rows.groupBy("contract", "account_id", cd.alias("cd")).agg(*aggs)
+    up = [F.max("cd").alias("last_churn"), F.max("ms").alias("last_snapshot"), F.min("cd").alias("first_churn")]
+    up += [F.min(F.when(F.col(name), F.col("cd"))).alias(name) for name, _, _ in _BUNDLE_SLOTS]
+    age = F.when(F.col("cd").isNotNull(), F.struct("cd", "ma", "mi"))
+    return fine.groupBy("contract", "account_id").agg(*up, F.collect_set(age).alias("ages"))
 
 
-def ages_from_date_facts(facts: DataFrame) -> DataFrame:
-    """G11 input from the facts: maximum age and first install date per
-    (padded contract, churn date)."""
-    return (
-        facts.where((F.col("role") == "G") & F.col("cd").isNotNull())
-        .groupBy(X.pad_key("account_id").alias("contract"), F.col("cd").alias("churn_date"))
-        .agg(F.max("ma").alias("max_age"), F.min("mi").alias("first_install"))
-    )
+def on_last_churn(field: str):
+    """``ma`` or ``mi`` of the rows dated on ``last_churn``, over every raw
+    spelling of the key (G11), from the contract's ``ages``."""
+    own = F.transform(F.filter("ages", lambda a: a["cd"] == F.col("last_churn")), lambda a: a[field])
+    return F.array_max(own) if field == "ma" else F.array_min(own)
 
 
-def churn_facts_by_install(crm: DataFrame) -> DataFrame:
-    """One CRM aggregate at (raw account, install timestamp) serving both
-    the per-account churn summary ('S' rows) and the install timestamps of
-    the sales cohort ('I' rows, input of G19)."""
+def install_summary(crm: DataFrame) -> DataFrame:
+    """Per account the last / first churn and snapshot dates and its distinct
+    install days."""
     cd = churn_date()
-    fine = crm.groupBy("account_id", "install_ts").agg(
-        F.max(cd).alias("lc"), F.max("snapshot_date").alias("ms"), F.min(cd).alias("fc")
-    )
-    return stack_roles(
-        fine,
-        [("S", ["account_id", "lc", "ms", "fc", "CAST(NULL AS TIMESTAMP_NTZ)"]),
-         ("I", ["account_id", "CAST(NULL AS DATE)", "CAST(NULL AS DATE)", "CAST(NULL AS DATE)", "install_ts"])],
-        ["account_id", "lc", "ms", "fc", "install_ts"],
-    )
-
-
-def summary_from_install_facts(facts: DataFrame) -> DataFrame:
-    s = facts.where(F.col("role") == "S").groupBy("account_id").agg(
-        F.max("lc").alias("last_churn"), F.max("ms").alias("last_snapshot"), F.min("fc").alias("first_churn")
+    rows = crm if "contract" in crm.columns else keyed(crm)
+    return rows.groupBy("contract", "account_id").agg(
+        F.max(cd).alias("last_churn"), F.max("snapshot_date").alias("last_snapshot"), F.min(cd).alias("first_churn"),
+        F.collect_set(F.to_date("install_ts")).alias("installs"),
     )
-    return s.withColumn("contract", X.pad_key("account_id"))
 
 
 def crm_last_churn(roles: DataFrame) -> DataFrame:
@@ -190,27 +214,19 @@ def churn_order_attribution(real: DataFrame, split: DataFrame, p: ReportParams,
     )
 
 
-def bundle_at_first_churn(roles: DataFrame, distinct: bool = True) -> DataFrame:
+def bundle_at_first_churn(roles: DataFrame) -> DataFrame:
     """Per (account, bundle label) the first churn date under that
-    label, kept when in the report year; keyed by padded contract.
-    ``distinct=False`` skips the final dedupe for callers that only count
-    distinct values downstream."""
-    out = roles.where(F.col("role") == "B").select("contract", "bundle", F.col("day").alias("bundle_first_churn"))
-    return out.distinct() if distinct else out
-
-
-def churn_core(crm: DataFrame, orders: DataFrame, p: ReportParams,
-               summary: DataFrame | None = None, bundles: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(roles, attribution) for the account-level churn reports. A caller
-    that already aggregates the CRM table at a finer grain passes its own
-    per-account ``summary`` (rolled up from it) to avoid a second scan, and
-    says whether it carries the bundle columns."""
+    label, kept when in the report year; keyed by padded contract."""
+    return roles.where(F.col("role") == "B").select("contract", "bundle", F.col("day").alias("bundle_first_churn"))
+
+
+def churn_core(crm: DataFrame, orders: DataFrame, p: ReportParams, summary: DataFrame | None = None) -> DataFrame:
+    """The attribution rows (G08) of the account-level churn reports. A
+    caller that already aggregates the CRM table passes its own per-account
+    ``summary`` to avoid a second scan."""
     if summary is None:
-        roles = churn_roles(account_churn_summary(crm), p)
-    else:
-        roles = churn_roles(summary, p, bundles=bundles)
-    real = real_churners(crm_last_churn(roles), crm_first_churn(roles))
-    return roles, churn_order_attribution(real, disconnect_reason_split(orders, p), p)
+        summary = account_churn_summary(with_disconnect_order(crm, orders, p))
+    return attributed(contract_days(summary, p), disconnect_reason_split(orders, p), p)
 
 
 # --- location-aware variants (district reports) -----------------------------
@@ -225,16 +241,17 @@ def location_churn_facts(crm: DataFrame) -> DataFrame:
     location grain G04/G05 and the raw-account first churn G06) read the
     same plan and Spark shuffles it once."""
     cd = churn_date()
-    fine = crm.groupBy("account_id", *[X.trim_white(c).alias(c) for c in LOCATION]).agg(
+    rows = crm if "contract" in crm.columns else keyed(crm)
+    fine = rows.groupBy("contract", "account_id", *[X.trim_white(c).alias(c) for c in LOCATION]).agg(
         F.max(cd).alias("last_churn"), F.max("snapshot_date").alias("last_snapshot"),
         F.min(cd).alias("first_churn"), F.max("age_months").alias("max_age"),
     )
     no_loc = ["CAST(NULL AS STRING)"] * len(LOCATION)
     return stack_roles(
         fine,
-        [("L", ["account_id", *LOCATION, "last_churn", "last_snapshot", "max_age"]),
-         ("F", ["account_id", *no_loc, "first_churn", "CAST(NULL AS DATE)", "CAST(NULL AS DOUBLE)"])],
-        ["account_id", *LOCATION, "d1", "d2", "age"],
+        [("L", ["contract", "account_id", *LOCATION, "last_churn", "last_snapshot", "max_age"]),
+         ("F", ["contract", "account_id", *no_loc, "first_churn", "CAST(NULL AS DATE)", "CAST(NULL AS DOUBLE)"])],
+        ["contract", "account_id", *LOCATION, "d1", "d2", "age"],
     )
 
 
@@ -244,7 +261,7 @@ def crm_last_churn_by_location(crm: DataFrame, with_tenure: bool = False,
     when its month equals the month of the group's last snapshot; G05 adds
     the 4-band tenure of the group's maximum age."""
     facts = location_churn_facts(crm) if facts is None else facts
-    g = facts.where(F.col("role") == "L").groupBy(X.pad_key("account_id").alias("contract"), *LOCATION).agg(
+    g = facts.where(F.col("role") == "L").groupBy("contract", *LOCATION).agg(
         F.max("d1").alias("last_churn"), F.max("d2").alias("last_snapshot"), F.max("age").alias("max_age")
     )
     g = g.where(F.month("last_churn") == F.month("last_snapshot"))
@@ -256,10 +273,10 @@ def crm_last_churn_by_location(crm: DataFrame, with_tenure: bool = False,
 
 def crm_first_churn_from_facts(facts: DataFrame, p: ReportParams) -> DataFrame:
     """G06 from the location facts: first churn per raw account in the year."""
-    g = facts.where(F.col("role") == "F").groupBy("account_id").agg(F.min("d1").alias("first_churn"))
+    g = facts.where(F.col("role") == "F").groupBy("contract", "account_id").agg(F.min("d1").alias("first_churn"))
     # one row per (padded key, date) however many raw spellings share the key
     return g.where(F.year("first_churn") == p.year).select(
-        X.pad_key("account_id").alias("contract"), "first_churn", F.month("first_churn").alias("first_churn_month"),
+        "contract", "first_churn", F.month("first_churn").alias("first_churn_month"),
     ).distinct()
 
 
@@ -267,7 +284,7 @@ def churn_core_by_location(crm: DataFrame, orders: DataFrame, p: ReportParams,
                            with_tenure: bool = False) -> DataFrame:
     """Attribution rows carrying the churner's trimmed location (and tenure)."""
     extra = LOCATION + (["tenure"] if with_tenure else [])
-    facts = location_churn_facts(crm)
+    facts = location_churn_facts(with_disconnect_order(crm, orders, p))
     last = crm_last_churn_by_location(crm, with_tenure, facts)
     real = real_churners(last, crm_first_churn_from_facts(facts, p), extra)
     return churn_order_attribution(real, disconnect_reason_split(orders, p), p, extra)

@@ -175,7 +175,7 @@ def window_row_number(t: Tables, p: ReportParams = P) -> DataFrame:
 
 
 def order_by_calendar_month(t: Tables, p: ReportParams = P) -> DataFrame:
-    cm = S.churner_months(C.churn_core(t.crm, t.orders, p)[1])
+    cm = S.churner_months(C.churn_core(t.crm, t.orders, p))
     g = cm.groupBy("churn_month_name").agg(F.count_distinct("contract").alias("churners"))
     return g.orderBy(X.month_number_es("churn_month_name"))
 

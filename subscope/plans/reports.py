@@ -19,6 +19,7 @@ from subscope.operators import geography as G
 from subscope.operators import revenue as R
 from subscope.operators import sales as S
 from subscope.operators.bundles import last_snapshot_bundles
+from subscope.operators.orders import disconnect_reason_split
 from subscope.operators.pricing import plan_speed_price as _plan_speed_price
 from subscope.params import DEFAULT_PARAMS, ReportParams
 from subscope.sources.tables import Tables
@@ -52,13 +53,18 @@ def bundle_churners_by_month(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> Dat
     """Attributed churners per month of the last churn and bundle held
     at the first churn, split voluntary / involuntary. An account whose
     bundle changed on its first-churn date counts in each bundle (T15)."""
-    roles, att = C.churn_core(t.crm, t.orders, p)
-    bun = C.bundle_at_first_churn(roles, distinct=False).withColumnRenamed("contract", "b_contract")
-    j = att.join(bun, (att["contract"] == bun["b_contract"]) & (att["first_churn"] == bun["bundle_first_churn"]))
-    j = j.select(F.col("last_churn_month").alias("month"), "bundle", "contract", "voluntary_id", "involuntary_id")
+    summary = C.account_churn_summary(C.with_disconnect_order(t.crm, t.orders, p))
+    att = C.attributed(C.contract_days(summary, p), disconnect_reason_split(t.orders, p), p, ("bundles",))
+    j = _with_bundle(att).withColumnRenamed("last_churn_month", "month")
     return churn_counts(j, ["month", "bundle"]).orderBy("month", "bundle")
 
 
+def _with_bundle(att: DataFrame) -> DataFrame:
+    """One row per bundle that the contract held on its first churn."""
+    held = F.filter("bundles", lambda b: b["day"] == F.col("first_churn"))
+    return att.withColumn("b", F.explode(held)).withColumn("bundle", F.col("b.bundle"))
+
+
 def bundle_active_tenure(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
     """Active accounts per month, bundle on the month's last snapshot and
     14-band tenure of the maximum age under that bundle in the month.
@@ -76,17 +82,11 @@ def bundle_active_tenure(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFra
 def bundle_churner_tenure(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
     """P01 split by the 14-band tenure of the churner's maximum age over
     the CRM rows dated on its last churn."""
-    # one CRM aggregate at (account, churn date) feeds the summary and the ages
-    facts = C.churn_facts_by_churn_date(t.crm)
-    roles, att = C.churn_core(t.crm, t.orders, p, summary=C.summary_from_date_facts(facts), bundles=True)
-    bun = C.bundle_at_first_churn(roles, distinct=False).withColumnRenamed("contract", "b_contract")
-    j = att.join(bun, (att["contract"] == bun["b_contract"]) & (att["first_churn"] == bun["bundle_first_churn"]))
-    ages = C.ages_from_date_facts(facts).withColumnRenamed("contract", "g_contract")
-    j = j.join(ages, (j["contract"] == ages["g_contract"]) & (j["last_churn"] == ages["churn_date"]))
-    j = j.select(
-        F.col("last_churn_month").alias("month"), "bundle", X.tenure_band_14("max_age").alias("tenure"),
-        "contract", "voluntary_id", "involuntary_id",
-    )
+    summary = C.churn_date_summary(C.with_disconnect_order(t.crm, t.orders, p))
+    days = C.contract_days(summary, p, ages=F.flatten(F.collect_list("ages")))
+    att = C.attributed(days, disconnect_reason_split(t.orders, p), p, ("bundles", "ages"))
+    j = _with_bundle(att).withColumnRenamed("last_churn_month", "month")
+    j = j.withColumn("tenure", X.tenure_band_14(C.on_last_churn("ma")))
     return churn_counts(j, ["month", "bundle", "tenure"]).orderBy("month", X.band_rank("tenure"), "bundle")
 
 
@@ -178,7 +178,7 @@ def district_active_economic_by_month(t: Tables, p: ReportParams = DEFAULT_PARAM
 def _district_rate(t: Tables, p: ReportParams, by_month: bool) -> DataFrame:
     facts = G.district_churn_facts(t.crm)
     matched = G.district_match_name_only(t.crm, t.districts, p, facts)
-    _, att = C.churn_core(t.crm, t.orders, p, summary=G.account_summary_from_district_facts(facts))
+    att = C.churn_core(t.crm, t.orders, p, summary=G.account_summary_from_district_facts(facts))
     # one row per (contract, last churn) with its multiplicity, so the left
     # join below never inflates the contract count
     per = att.groupBy("contract", "last_churn").agg(F.count(F.lit(1)).alias("n"))
@@ -237,15 +237,16 @@ def new_sales_by_channel(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFra
 def new_sales_churners_by_channel(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
     """Confirmed sales that later churned (sale before the first churn),
     by month name of the first churn, sale month and channel."""
-    # one CRM aggregate at (account, install time) feeds the summary and the installs
-    facts = C.churn_facts_by_install(t.crm)
-    installs = facts.where(F.col("role") == "I").where(F.year("install_ts") == p.year).select(
-        X.pad_key("account_id").alias("contract"), "install_ts"
-    ).distinct()
-    sales = S.confirmed_sales(t.crm, t.activations, p, installs=installs)
-    _, att = C.churn_core(t.crm, t.orders, p, summary=C.summary_from_install_facts(facts))
-    cm = S.churner_months(att).withColumnRenamed("contract", "c_contract")
-    j = sales.join(cm, (sales["contract"] == cm["c_contract"]) & (sales["sold_on"] < cm["first_churn"]))
+    summary = C.install_summary(C.with_disconnect_order(t.crm, t.orders, p))
+    days = C.contract_days(summary, p, installs=F.flatten(F.collect_list("installs")))
+    att = C.attributed(days, disconnect_reason_split(t.orders, p), p, ("installs",))
+    cm = att.withColumn("churn_month_name", X.month_name_es("first_churn_month"))
+    sales = S.new_residential_sales(t.activations, p).withColumn("sale_month", F.month("sold_on"))
+    if p.sale_month is not None:
+        sales = sales.where(F.col("sale_month") == p.sale_month)
+    # a sale is confirmed by an install on its day (in the report year, as the sale is)
+    j = cm.join(sales, "contract").where(
+        F.array_contains("installs", F.col("sold_on")) & (F.col("sold_on") < F.col("first_churn")))
     out = churn_counts(j, ["churn_month_name", "sale_month", "channel"])
     return out.orderBy(X.month_number_es("churn_month_name"))
 

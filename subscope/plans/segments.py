@@ -53,7 +53,7 @@ def real_churners(t: Tables, p: ReportParams = P) -> DataFrame:
 
 
 def churn_order_attribution(t: Tables, p: ReportParams = P) -> DataFrame:
-    return C.churn_core(t.crm, t.orders, p)[1]
+    return C.churn_core(t.crm, t.orders, p)
 
 
 def bundle_at_first_churn(t: Tables, p: ReportParams = P) -> DataFrame:
@@ -68,15 +68,12 @@ def last_snapshot_per_account_month(t: Tables, p: ReportParams = P) -> DataFrame
 
 def churner_age_at_last_churn(t: Tables, p: ReportParams = P) -> DataFrame:
     """Every attributed churner's maximum age and first install date
-    over the CRM rows dated on its last churn. Churn summary and ages come
-    from one CRM aggregate."""
-    facts = C.churn_facts_by_churn_date(t.crm)
-    att = C.churn_core(t.crm, t.orders, p, summary=C.summary_from_date_facts(facts), bundles=True)[1]
-    ch = att.select("contract", "last_churn").distinct()
-    ages = C.ages_from_date_facts(facts).withColumnRenamed("contract", "g_contract")
-    return ch.join(ages, (ch["contract"] == ages["g_contract"]) & (ch["last_churn"] == ages["churn_date"])).select(
-        "contract", "last_churn", "max_age", "first_install"
-    )
+    over the CRM rows dated on its last churn."""
+    summary = C.churn_date_summary(C.with_disconnect_order(t.crm, t.orders, p))
+    days = C.contract_days(summary, p, ages=F.flatten(F.collect_list("ages")))
+    att = C.attributed(days, O.disconnect_reason_split(t.orders, p), p, ("ages",))
+    return att.select("contract", "last_churn", C.on_last_churn("ma").alias("max_age"),
+                      C.on_last_churn("mi").alias("first_install")).distinct()
 
 
 def account_snapshot_dates(t: Tables, p: ReportParams = P) -> DataFrame:
@@ -110,7 +107,7 @@ def district_contract_counts(t: Tables, p: ReportParams = P) -> DataFrame:
 def district_churner_counts(t: Tables, p: ReportParams = P) -> DataFrame:
     facts = G.district_churn_facts(t.crm)  # one CRM aggregate for both sides
     matched = G.district_match_name_only(t.crm, t.districts, p, facts)
-    att = C.churn_core(t.crm, t.orders, p, summary=G.account_summary_from_district_facts(facts))[1]
+    att = C.churn_core(t.crm, t.orders, p, summary=G.account_summary_from_district_facts(facts))
     return G.district_churner_counts(matched, att)
 
 
@@ -127,7 +124,7 @@ def confirmed_sales(t: Tables, p: ReportParams = P) -> DataFrame:
 
 
 def churner_months(t: Tables, p: ReportParams = P) -> DataFrame:
-    return S.churner_months(C.churn_core(t.crm, t.orders, p)[1])
+    return S.churner_months(C.churn_core(t.crm, t.orders, p))
 
 
 def analysis_month_order(t: Tables, p: ReportParams = P) -> DataFrame:

@@ -16,5 +16,5 @@ def test_bench_prints_one_json_line():
     assert len(lines) == 1
     d = json.loads(lines[0])
     assert {"metric", "value", "unit", "queries", "sf"} <= set(d)
-    assert d["unit"] == "sec" and d["sf"] == 0.001 and len(d["queries"]) == 16
+    assert d["unit"] == "sec" and d["sf"] == 0.001 and len(d["queries"]) == 17
     assert abs(d["value"] - sum(d["queries"].values())) < 0.01

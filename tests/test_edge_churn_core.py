@@ -22,7 +22,7 @@ def _e1_e10(t: Tables) -> Tables:
 
 
 def test_attribution_matches_hand_derived(edge):
-    att = C.churn_core(_e1_e10(edge).crm, _e1_e10(edge).orders, P)[1]
+    att = C.churn_core(_e1_e10(edge).crm, _e1_e10(edge).orders, P)
     got = sorted((r.contract, r.voluntary_id is not None, r.involuntary_id is not None) for r in att.collect())
     assert got == [
         ("0000000001", False, True),
