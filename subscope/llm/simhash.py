@@ -243,7 +243,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
     bits, its own included. Documents without words have fingerprint 0 and
     are linked like any other; repeated rows stay."""
     fps = stored(fingerprints(docs, shingle, text_col, (id_col,)), "simhash")
-    return fps.join(components(fps, distance, id_col), "fp").select(id_col, "fp", "component_id")
+    # written first: a join of two plain exchanges, in which Spark splits a very common fingerprint
+    of = stored(components(fps, distance, id_col).select("fp", "component_id"), "simhash-components")
+    return fps.join(of, "fp").select(id_col, "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id",
@@ -257,7 +259,8 @@ def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: st
     rows = stored(fingerprints(plain, shingle, text, tuple(plain.columns)), "simhash-rows")
     fps = rows.select(F.col(own).alias("id"), "fp")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "fp")
-    chosen = fps.join(components(fps, distance, "id"), "fp").groupBy("root").agg(F.min(order).alias("o"))
+    best = fps.groupBy("fp").agg(F.min(order).alias("o"))  # one row a fingerprint meets the components
+    chosen = best.join(components(fps, distance, "id"), "fp").groupBy("root").agg(F.min("o").alias("o"))
     chosen = chosen.select(F.col("o.id").alias("id"), F.col("o.fp").alias("fp"))
     kept = rows.join(chosen, (rows["fp"] == chosen["fp"]) & rows[own].eqNullSafe(chosen["id"]), "left_semi")
     return kept.dropDuplicates(["fp", own]).select(*plain.columns).toDF(*columns)
