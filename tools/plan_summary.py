@@ -30,6 +30,8 @@ def main():
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.1")
     spark = build_session()
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    if "--large" in sys.argv:  # what a large cluster plans: no broadcast by size
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     if os.environ.get("STORED_DIR"):
         # the tables as stored by write_tables (CRM partitioned by snapshot date)
         from subscope.sources.tables import read_tables, write_tables
@@ -41,14 +43,20 @@ def main():
     else:
         t = fixture_tables(spark, sf)
     b = builders()
-    args = [a for a in sys.argv[1:] if a != "--markdown"]
+    args = [a for a in sys.argv[1:] if not a.startswith("--")]
     keys = args or list(b)
     if "--markdown" in sys.argv:
         cols = ["CRM scans", "orders scans", "other scans", "hash shuffles", "reused shuffles", "broadcasts",
                 "sort-merge joins", "broadcast hash joins", "nested-loop joins", "windows"]
         print("| key | " + " | ".join(cols) + " |")
         print("| --- |" + " --- |" * len(cols))
+    folder = os.environ.get("FORMATTED_DIR")  # one explain("formatted") file for each key
     for k in keys:
+        if folder:
+            with open(f"{folder}/{k}.txt", "w") as f:
+                text = b[k](t)._jdf.queryExecution().explainString(
+                    spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+                f.write(re.sub(r"file:/[^\]\s,]*/(?=\w+[\],])", "", text))
         scans, counts = summarise(b[k](t)._jdf.queryExecution().executedPlan().toString())
         if "--markdown" in sys.argv:
             other = sum(v for k2, v in scans.items() if k2 not in ("crm_snapshots", "service_orders"))
