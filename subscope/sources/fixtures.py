@@ -26,15 +26,26 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
+def _churn_month(k: Column) -> Column:
+    """Half of the churners in August or October, the others spread."""
+    q = F.floor(k / 4)
+    return F.when(q % 4 == 0, 8).when(q % 4 == 1, 10).otherwise(1 + (q * 7) % 12).cast("int")
+
+
+def _install_month(k: Column) -> Column:
+    return 1 + F.floor(k / 12).cast("int") % 6
+
+
 def crm_from_customer(customer: DataFrame) -> DataFrame:
     k = F.col("c_custkey")
-    nk = F.col("c_nationkey")
     m = F.col("m")
-    cm = F.lit(1) + (F.floor(k / 4) * 7) % 12
+    last_day = F.dayofmonth("snapshot_date") > 10
+    # a move to the next nation after March (some accounts)
+    nk = F.when((k % 28 == 4) & (m > 3), (F.col("c_nationkey") + 1) % 25).otherwise(F.col("c_nationkey"))
     rows = (
         customer.select("c_custkey", "c_nationkey")
         .withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(12))))
-        .withColumn("cm", cm.cast("int"))
+        .withColumn("cm", _churn_month(k))
         .where(~((k % 4 == 0) & (m > F.col("cm"))))
         .withColumn("snapshot_date", F.explode(F.array(_d(2021, m, F.lit(10)), F.last_day(_d(2021, m, F.lit(1))))))
     )
@@ -44,30 +55,41 @@ def crm_from_customer(customer: DataFrame) -> DataFrame:
                F.when(k % 8 == 0, F.last_day(_d(2021, cmc, F.lit(1)))).otherwise(_d(2021, cmc, F.lit(15))))
         .when((k % 12 == 4) & (cmc > 1) & (m == cmc - 1), _d(2021, cmc - 1, F.lit(20)))
     )
-    install = F.when(k % 3 == 0, _d(2021, 1 + k % 6, 1 + k % 28)).otherwise(_d(2019, 1 + k % 12, 1 + k % 28))
+    install = F.when(k % 3 == 0, _d(2021, _install_month(k), 1 + k % 28)).otherwise(_d(2019, 1 + k % 12, 1 + k % 28))
+    # a second install time on the same day
+    hours = F.when((k % 12 == 0) & last_day, F.expr("INTERVAL '5' HOUR")).otherwise(F.expr("INTERVAL '0' HOUR"))
     has_bb = (k % 5 < 3) | (m > 9)
     bb_num = _s(k % 4 + k % 3)
-    pad = F.when(k % 2 == 0, F.lit(" ")).otherwise(F.lit(""))
+    pad = F.when(k % 6 == 2, F.lit("\t\u00a0")).when(k % 2 == 0, F.lit(" ")).otherwise(F.lit(""))
+    full = F.lpad(_s(k), 10, "0")
+    # the catalogue's name of nation 7 has an upper-case accent, and so have some codes
+    saint = F.when((nk == 7) & (k % 2 == 1), F.lit("SAN JOS\u00c9 ")).otherwise(F.lit("SAN JOSE "))
     out = rows.select(
-        _s(k).alias("account_id"),
+        # two spellings of one contract; an id longer than the padded key
+        F.when((k % 100 == 8) & (m > 6), full).when(k % 100 == 12, F.concat(F.lit("99"), full)).otherwise(_s(k))
+        .alias("account_id"),
         F.col("snapshot_date"),
         churn.cast("timestamp_ntz").alias("churn_ts"),
-        install.cast("timestamp_ntz").alias("install_ts"),
+        (install.cast("timestamp_ntz") + hours).alias("install_ts"),
         F.when(k % 17 == 0, F.lit(None)).otherwise(k % 30 + m).cast("double").alias("age_months"),
         F.when(has_bb, F.concat(F.lit("BB"), bb_num)).alias("bb_product_id"),
         F.when(has_bb, F.concat(F.lit("Internet "), bb_num)).alias("bb_product_name"),
-        F.when(k % 3 != 1, F.concat(F.lit("TV"), _s(k % 3))).alias("tv_product_id"),
+        # the bundle changes between the two snapshots of the churn month
+        F.when((k % 3 != 1) & ~((k % 16 == 4) & ~last_day), F.concat(F.lit("TV"), _s(k % 3))).alias("tv_product_id"),
         F.when(k % 7 < 4, F.concat(F.lit("VO"), _s(k % 2))).alias("vo_product_id"),
         F.when(k % 23 == 0, F.lit(None)).otherwise(k % 50 + F.lit(0.25) * (m % 3)).cast("double").alias("bb_mrc"),
-        (F.lit(0.5) * (k % 3)).cast("double").alias("bb_mrc_discount"),
+        # negative net charges
+        F.when(k % 31 == 0, F.lit(100.0)).otherwise((F.lit(0.5) * (k % 3)).cast("double")).alias("bb_mrc_discount"),
         (k % 20).cast("double").alias("tv_mrc"),
         (F.lit(0.25) * (k % 2)).cast("double").alias("tv_mrc_discount"),
         (k % 10).cast("double").alias("vo_mrc"),
         F.lit(0.0).alias("vo_mrc_discount"),
-        F.when(k % 9 == 0, F.lit("N/A")).when(k % 9 == 1, F.lit(None)).otherwise(_s(k % 10)).alias("vo_billed_raw"),
+        F.when(k % 9 == 0, F.lit("N/A")).when(k % 9 == 1, F.lit(None)).when(k % 9 == 2, F.lit("12d"))
+        .when(k % 9 == 3, F.lit("5f")).when(k % 9 == 4, F.lit("1e3")).when(k % 9 == 5, F.lit(" 7 "))
+        .when(k % 9 == 6, F.lit("")).otherwise(_s(k % 10)).alias("vo_billed_raw"),
         (k % 50 - F.lit(0.5) * (m % 4)).cast("double").alias("bb_billed"),
         (k % 20).cast("double").alias("tv_billed"),
-        F.concat(pad, F.lit("SAN JOSE "), _s(nk), pad).alias("district_code"),
+        F.concat(pad, saint, _s(nk), F.lit("-"), _s(k % 6), pad).alias("district_code"),
         F.concat(F.lit("CANTON "), _s(nk % 10), F.lit(" ")).alias("canton_code"),
         F.concat(F.lit(" REGION "), _s(nk % 5)).alias("province_code"),
     )
@@ -77,12 +99,17 @@ def crm_from_customer(customer: DataFrame) -> DataFrame:
 def orders_from_orders(orders: DataFrame) -> DataFrame:
     ok = F.col("o_orderkey")
     od = F.col("o_orderdate")
+    ck = F.col("o_custkey")
+    quit_order = (F.col("o_orderstatus") == "F") & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    # disconnect orders 0 to 4 months before the churn month, with ties on one day
+    month = F.when(quit_order, F.greatest(F.lit(1), _churn_month(ck) - (ok % 5).cast("int"))).otherwise(F.month(od))
+    day = F.when(quit_order & (ok % 2 == 0), (1 + ck % 14).cast("int")).otherwise(F.least(F.dayofmonth(od), F.lit(28)))
     prio = F.col("o_orderpriority")
     out = orders.select(
         _s(F.col("o_custkey")).alias("contract_id"),
         F.when(ok % 13 == 0, F.lit(None).cast("date"))
-        .otherwise(_d(2021, F.month(od), F.least(F.dayofmonth(od), F.lit(28)))).alias("opened_on"),
-        F.when((F.col("o_orderstatus") == "F") & prio.isin("1-URGENT", "2-HIGH"), F.lit("DESINSTALACION"))
+        .otherwise(_d(2021, month, day)).alias("opened_on"),
+        F.when(quit_order, F.lit("DESINSTALACION"))
         .otherwise(F.lit("INSTALACION")).alias("order_type"),
         F.when(ok % 11 == 0, F.lit(None)).when(prio == "1-URGENT", F.lit("CANCELADA"))
         .otherwise(F.lit("FINALIZADA")).alias("status"),
@@ -102,7 +129,7 @@ def activations_from_customer(customer: DataFrame) -> DataFrame:
     )
     out = customer.select(
         _s(k).alias("contract_id"),
-        _d(2021, 1 + k % 6, 1 + k % 28).alias("sold_on"),
+        _d(2021, _install_month(k), 1 + k % 28).alias("sold_on"),
         F.col("c_mktsegment").alias("channel"),
         F.when(k % 10 == 9, F.lit("Migracion")).otherwise(F.lit("Nueva")).alias("sale_type"),
         ctype.alias("customer_type"),
@@ -115,19 +142,24 @@ def activations_from_customer(customer: DataFrame) -> DataFrame:
 
 def speeds_from_customer(customer: DataFrame) -> DataFrame:
     k = F.col("c_custkey")
-    out = customer.where(k % 10 != 9).select(
-        _s(k).alias("contract_id"),
+    out = customer.select(
+        F.when(k % 10 == 9, F.concat(F.lit("none-"), _s(k))).otherwise(_s(k)).alias("contract_id"),  # matches nothing
         F.concat(_s(50 * (1 + k % 6)), F.lit(" Mbps")).alias("speed_range"),
     )
     return S.conform(out, S.SPEED_INVENTORY)
 
 
 def districts_from_nation(nation: DataFrame) -> DataFrame:
+    """Six districts a nation; those of every sixth nation match no code,
+    and nation 3 is listed twice."""
     nk = F.col("n_nationkey")
-    out = nation.where(nk % 6 != 5).select(
-        F.concat(F.lit("Región "), _s(F.col("n_regionkey"))).alias("province"),
-        F.concat(F.lit("Cantón "), _s(nk % 10)).alias("canton"),
-        F.concat(F.lit("San José "), _s(nk)).alias("district"),
+    rows = nation.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn(
+        "copy", F.explode(F.when(nk == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    name = F.when(nk % 6 == 5, F.lit("Sin cliente ")).when(nk == 7, F.lit("San Jos\u00c9 ")).otherwise(F.lit("San Jos\u00e9 "))
+    out = rows.select(
+        F.concat(F.lit("Regi\u00f3n "), _s(F.col("n_regionkey"))).alias("province"),
+        F.concat(F.lit("Cant\u00f3n "), _s(nk % 10)).alias("canton"),
+        F.concat(name, _s(nk), F.lit("-"), _s(F.col("part"))).alias("district"),
         F.when(nk % 6 == 4, F.lit(None)).otherwise(F.concat(F.lit("E"), _s(nk % 4))).alias("economic_band"),
         (F.lit(0.5) * nk).cast("double").alias("ids_2017"),
     )
