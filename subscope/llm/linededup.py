@@ -435,17 +435,14 @@ def _doc_place() -> Column:
 
 def maybe_in(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``docs`` (with a column ``doc``) that may be, and that surely are not,
-    among the ids ``doc``: a test of one bit of a bitmap of fixed size
-    (256 kB, a literal of the plan)."""
+    among the ids ``doc``: a test of one bit of a bitmap of fixed size."""
     h = ids.select(_doc_place().alias("h"))
-    words = h.groupBy(F.shiftright("h", 6).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("b")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), "<i8")
-    bits[words["w"].to_numpy()] = words["b"].to_numpy()
-    byte = F.conv(F.hex(F.substring(F.lit(bits.tobytes()), (F.shiftright(_doc_place(), 3) + 1).cast("int"), F.lit(1))),
-                  16, 10).cast("int")
-    hit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (_doc_place() % 8).cast("int"))) != 0
-    return docs.where(hit), docs.where(~hit)
+    words = stored(h.groupBy(F.shiftright("h", 6).alias("_doc_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("_doc_bits")), "doc-bitmap")
+    # at most 2^FILTER_BITS / 64 = 32768 rows of 16 bytes: the bound of the broadcast
+    j = docs.withColumn("_doc_word", F.shiftright(_doc_place(), 6)).join(F.broadcast(words), "_doc_word", "left")
+    hit = F.coalesce(F.getbit("_doc_bits", (_doc_place() % 64).cast("int")) == 1, F.lit(False))
+    return tuple(j.where(x).select(*docs.columns) for x in (hit, ~hit))
 
 
 def _word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
