@@ -55,10 +55,12 @@ class Ftrl:
         w = -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
         return np.where(np.abs(z) <= self.l1, 0.0, w)
 
-    def learn(self, rows: Rows, labels: np.ndarray, epochs: int, seed: int = 7) -> Ftrl:
+    def learn(self, rows: Rows, labels: np.ndarray, epochs: int, seed: int = 7, which=None) -> Ftrl:
+        """Learn the rows (or those of the indices ``which``); ``labels`` has
+        one entry for every row."""
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
-            for i in rng.permutation(len(rows)).tolist():
+            for i in rng.permutation(len(rows) if which is None else which).tolist():
                 idx, val = rows.row(i)
                 w = self.weights(idx)
                 p = softmax(val @ w)
@@ -70,11 +72,12 @@ class Ftrl:
         return self
 
 
-def scores(rows: Rows, weights: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(rows), weights.shape[1]))
-    for i in range(len(rows)):
-        idx, val = rows.row(i)
-        out[i] = val @ weights[idx]
+def scores(rows: Rows, weights: np.ndarray, which=None) -> np.ndarray:
+    which = range(len(rows)) if which is None else which
+    out = np.zeros((len(which), weights.shape[1]))
+    for n, i in enumerate(which):
+        idx, val = rows.row(int(i))
+        out[n] = val @ weights[idx]
     return out
 
 

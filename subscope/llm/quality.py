@@ -166,14 +166,16 @@ def fit_views(sampled: list[dict], rounds: int = ROUNDS) -> Model:
         m = np.unique(np.frombuffer(r["meta"], "<i4")).astype(np.int64)
         meta.append((m, np.ones(len(m))))
     rows = [linear.rows_of(*map(list, zip(*view))) for view in (content, meta)]
-    views = [linear.Ftrl(CONTENT, 2, alpha=0.1, l1=1.0, l2=1.0).learn(rows[0].take(fit), y[fit], 4),
-             linear.Ftrl(META, 2, alpha=0.1, l1=0.5, l2=1.0).learn(rows[1].take(fit), y[fit], 4)]
-    taken = [np.zeros(len(got), bool), np.zeros(len(got), bool)]
+    n_rows = len(got)
+    del got, content, meta, sampled  # the rows below are indexed, never copied
+    views = [linear.Ftrl(CONTENT, 2, alpha=0.1, l1=1.0, l2=1.0).learn(rows[0], y, 4, which=fit),
+             linear.Ftrl(META, 2, alpha=0.1, l1=0.5, l2=1.0).learn(rows[1], y, 4, which=fit)]
+    taken = [np.zeros(n_rows, bool), np.zeros(n_rows, bool)]
     for _ in range(rounds):
         given = []
         for v, view in enumerate(views):
             left = free[~taken[1 - v][free]]
-            p = linear.softmax(linear.scores(rows[v].take(left), view.weights()))
+            p = linear.softmax(linear.scores(rows[v], view.weights(), left))
             for label in (0, 1):
                 sure = np.argsort(-p[:, label], kind="stable")[:PER_ROUND]
                 sure = left[sure[p[sure, label] >= SURE]]
@@ -181,10 +183,10 @@ def fit_views(sampled: list[dict], rounds: int = ROUNDS) -> Model:
         for to, which, label in given:  # what one view is sure of, the other learns
             new = which[~taken[to][which]]
             taken[to][new] = True
-            views[to].learn(rows[to].take(new), np.full(len(new), label), 1)
+            views[to].learn(rows[to], np.full(n_rows, label), 1, which=new)
     weights = [view.weights() for view in views]
     diff = [w[:, 1] - w[:, 0] for w in weights]
-    margin = [linear.scores(rows[v].take(tune), diff[v][:, None])[:, 0] for v in (0, 1)]
+    margin = [linear.scores(rows[v], diff[v][:, None], tune)[:, 0] for v in (0, 1)]
     platt = np.array([linear.logistic_fit(m[:, None], y[tune]) for m in margin])
     platt[:, 0] = np.maximum(platt[:, 0], 0.0)  # a useless view may not vote against itself
     stack = linear.logistic_fit(
