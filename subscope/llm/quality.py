@@ -5,13 +5,15 @@ view reads its words (hashed, present or not) and the make-up of its
 characters; the metadata view reads source, language and the shape of the
 page (length, lines). Both start from the labelled documents. In each round
 either view labels the unlabelled documents it is surest of, and the *other*
-view learns from them. Then each view is calibrated on labelled documents
-that neither has seen, and a logistic regression over the two calibrated
-scores gives the quality of every document.
+view learns from them. The labelled documents are dealt into ``FOLDS`` and
+each is scored by views that did not learn its fold; on these scores either
+view is calibrated, and a logistic regression over the two calibrated scores
+gives the quality of every document.
 
-A document is rejected if its quality is under the threshold: one half, or
-lower if that would reject more than ``CLEAN_LOSS`` of the good calibration
-documents.
+A document is rejected if its quality is under the threshold: the probability
+at which the expected share of good documents lost, ``CLEAN_WEIGHT`` times,
+balances the expected share of bad ones kept. Calibration and threshold rest
+on all labelled documents, so a few odd or wrong labels hardly move them.
 
 Fitted on at most about ``LABELLED`` labelled and ``POOL`` further documents
 chosen by a hash of the id; every document is scored, on its whole text.
@@ -33,7 +35,8 @@ from subscope.llm.common import ALNUM, byte_arrays, lowered, text_slices, word_h
 
 LABELLED, POOL = 8000, 8000
 ROUNDS, SURE, PER_ROUND = 3, 0.97, 400
-CLEAN_LOSS = 0.005
+FOLDS = 3
+CLEAN_WEIGHT = 4
 WORD_BITS = 20
 WORDS = 1 << WORD_BITS
 _PUNCT = np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)
@@ -156,8 +159,8 @@ def fit_views(sampled: list[dict], rounds: int = ROUNDS) -> Model:
     got = sorted(sampled, key=lambda r: (r["order"], r["words"], r["good"] is None))
     y = np.array([-1 if r["good"] is None else r["good"] for r in got])
     seen = np.flatnonzero(y >= 0)
-    tune, fit, free = seen[4::5], np.setdiff1d(seen, seen[4::5]), np.flatnonzero(y < 0)
-    if len({*y[tune].tolist()}) < 2 or len({*y[fit].tolist()}) < 2:
+    free = np.flatnonzero(y < 0)
+    if min((y[seen] == 0).sum(), (y[seen] == 1).sum()) < FOLDS:
         return ACCEPT_ALL
     content, meta = [], []
     for r in got:
@@ -166,11 +169,33 @@ def fit_views(sampled: list[dict], rounds: int = ROUNDS) -> Model:
         m = np.unique(np.frombuffer(r["meta"], "<i4")).astype(np.int64)
         meta.append((m, np.ones(len(m))))
     rows = [linear.rows_of(*map(list, zip(*view))) for view in (content, meta)]
-    n_rows = len(got)
     del got, content, meta, sampled  # the rows below are indexed, never copied
+    fold = np.empty(len(seen), np.int64)
+    for label in (0, 1):  # every fold holds both kinds
+        of = y[seen] == label
+        fold[of] = np.arange(of.sum()) % FOLDS
+    margin = [np.empty(len(seen)), np.empty(len(seen))]
+    for f in range(FOLDS):
+        diff = _co_train(rows, y, seen[fold != f], free, rounds)
+        for v in (0, 1):
+            margin[v][fold == f] = linear.scores(rows[v], diff[v][:, None], seen[fold == f])[:, 0]
+    diff = _co_train(rows, y, seen, free, rounds)
+    platt = np.array([linear.logistic_fit(m[:, None], y[seen]) for m in margin])
+    platt[:, 0] = np.maximum(platt[:, 0], 0.0)  # a useless view may not vote against itself
+    stack = linear.logistic_fit(
+        np.column_stack([platt[v, 0] * margin[v] + platt[v, 1] for v in (0, 1)]), y[seen])
+    bad, good = np.bincount(y[seen])
+    return Model(diff[0][:WORDS].astype(np.float32), diff[0][WORDS:], diff[1], platt, stack,
+                 float(good / (good + CLEAN_WEIGHT * bad)))
+
+
+def _co_train(rows: list[linear.Rows], y: np.ndarray, fit: np.ndarray, free: np.ndarray,
+              rounds: int) -> list[np.ndarray]:
+    """The weights of either view, good minus bad, from the labelled rows
+    ``fit`` and the unlabelled rows ``free``."""
     views = [linear.Ftrl(CONTENT, 2, alpha=0.1, l1=1.0, l2=1.0).learn(rows[0], y, 4, which=fit),
              linear.Ftrl(META, 2, alpha=0.1, l1=0.5, l2=1.0).learn(rows[1], y, 4, which=fit)]
-    taken = [np.zeros(n_rows, bool), np.zeros(n_rows, bool)]
+    taken = [np.zeros(len(y), bool), np.zeros(len(y), bool)]
     for _ in range(rounds):
         given = []
         for v, view in enumerate(views):
@@ -183,18 +208,9 @@ def fit_views(sampled: list[dict], rounds: int = ROUNDS) -> Model:
         for to, which, label in given:  # what one view is sure of, the other learns
             new = which[~taken[to][which]]
             taken[to][new] = True
-            views[to].learn(rows[to], np.full(n_rows, label), 1, which=new)
+            views[to].learn(rows[to], np.full(len(y), label), 1, which=new)
     weights = [view.weights() for view in views]
-    diff = [w[:, 1] - w[:, 0] for w in weights]
-    margin = [linear.scores(rows[v], diff[v][:, None], tune)[:, 0] for v in (0, 1)]
-    platt = np.array([linear.logistic_fit(m[:, None], y[tune]) for m in margin])
-    platt[:, 0] = np.maximum(platt[:, 0], 0.0)  # a useless view may not vote against itself
-    stack = linear.logistic_fit(
-        np.column_stack([platt[v, 0] * margin[v] + platt[v, 1] for v in (0, 1)]), y[tune])
-    model = Model(diff[0][:WORDS].astype(np.float32), diff[0][WORDS:], diff[1], platt, stack, 0.5)
-    good = model.combine(*margin)[2][y[tune] == 1]
-    model.threshold = float(min(0.5, np.quantile(good, CLEAN_LOSS)))
-    return model
+    return [w[:, 1] - w[:, 0] for w in weights]
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text",
