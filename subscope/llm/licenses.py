@@ -1,15 +1,18 @@
-"""License scan: MinHash bands over overlapping windows retrieve templates,
-exact shingle containment verifies them.
+"""License scan: MinHash bands over overlapping windows retrieve templates
+(short ones: a lookup of their shingles), exact shingle containment verifies
+them.
 
 Templates are grouped by length (powers of two of their words). For a group
 of at most ``L`` words the documents are cut into windows of ``2 L`` words
 that start every ``L`` words, so a passage of up to ``L + 1`` words lies
-whole in one window. A window is signed by ``BANDS`` MinHash values, each a
-band of one row. A window that holds at least 0.8 of a template of over half
-``L`` words shares a fifth or more of the union of their shingles, so no band
-agrees with a probability of at most 0.8^64 (below 1e-6); windows of short
-templates share more. Retrieved windows are verified by the exact share of
-the template's shingles in them.
+whole in one window. A window is signed by MinHash values, each a band of one
+row. A window that holds the least share of a template's shingles agrees with
+it in at least a known part J of the union of their shingles; a group has so
+many bands that none agrees with a probability (1 - J)^bands of at most
+``MISS``. Templates of under ``SHORT`` shingles share too little with a window
+for that: every window that holds any of their shingles is retrieved.
+Retrieved windows are verified by the exact share of the template's shingles
+in them.
 
 Words are runs of letters and digits in lower case with every digit read as
 0, so punctuation and version numbers do not matter. Templates are few and
@@ -19,6 +22,7 @@ the hits.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 
 from subscope.llm.common import ALNUM, byte_arrays, lowered, mix64, shingle_hashes, text_slices, word_hashes, word_spans
 
-K, LEAST, BANDS = 5, 0.8, 64
+K, LEAST = 5, 0.8
+MISS, SHORT = 1e-6, 8
 
 # Notices as they are commonly written.
 TEMPLATES = {
@@ -51,7 +56,6 @@ TEMPLATES = {
 
 _DIGITS = np.arange(256, dtype=np.uint8)
 _DIGITS[48:58] = 48
-_SEEDS = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
 def _shingles(col: pa.Array, k: int) -> tuple[np.ndarray, ...]:
@@ -64,34 +68,48 @@ def _shingles(col: pa.Array, k: int) -> tuple[np.ndarray, ...]:
 
 
 def _permuted(h: np.ndarray, band: int) -> np.ndarray:
-    x = (h ^ _SEEDS[band]) * np.uint64(0x9E3779B97F4A7C15)
+    x = (h ^ mix64(np.array([band + 1], np.uint64))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(32))
 
 
 class Group:
-    """Templates of at most ``words`` words and of more than half as many."""
+    """Templates of at most ``words`` words and of more than half as many;
+    short ones without bands."""
 
-    def __init__(self, words: int, names: list[str], sets: list[np.ndarray]):
-        self.words, self.names, self.sets = words, names, sets
-        self.minima = [np.array([_permuted(s, b).min() for s in sets]) for b in range(BANDS)]
-        self.maybe = []
-        for m in self.minima:
-            table = np.zeros(1 << 16, bool)
-            table[(m >> np.uint64(48)).astype(np.int64)] = True
-            self.maybe.append(table)
+    def __init__(self, words: int, short: bool, names: list[str], sets: list[np.ndarray], least: float):
+        self.words, self.short, self.names, self.sets = words, short, names, sets
+        bands = 0 if short else max(_bands(len(s), 2 * words, least) for s in sets)
+        self.minima = [np.array([_permuted(s, b).min() for s in sets]) for b in range(bands)]
+        self.maybe = [_table_of(m) for m in self.minima]
+        self.any = _table_of(np.concatenate(sets))
 
 
-def groups_of(templates: dict[str, str], k: int) -> list[Group]:
-    by: dict[int, tuple[list, list]] = {}
+def _bands(shingles: int, window: int, least: float) -> int:
+    """Bands by which a window of so many shingles that holds the least share
+    of a template is missed with a probability of at most ``MISS``."""
+    need = max(1, math.ceil(least * shingles - 1e-9))
+    return math.ceil(math.log(MISS) / math.log1p(-need / (window + shingles - need)))
+
+
+def _table_of(h: np.ndarray) -> np.ndarray:
+    """Which values of the high 16 bits occur."""
+    table = np.zeros(1 << 16, bool)
+    table[(h >> np.uint64(48)).astype(np.int64)] = True
+    return table
+
+
+def groups_of(templates: dict[str, str], k: int, least: float = LEAST) -> list[Group]:
+    by: dict[tuple[int, bool], tuple[list, list]] = {}
     for name, text in sorted(templates.items()):
         h, _, words, _, _ = _shingles(pa.array([text]), k)
         if not len(h):
             raise ValueError(f"template {name} has fewer than {k} words")
-        size = 1 << (len(words) - 1).bit_length()
-        by.setdefault(size, ([], []))
-        by[size][0].append(name)
-        by[size][1].append(np.unique(h))
-    return [Group(n, *by[n]) for n in sorted(by)]
+        own = np.unique(h)
+        kind = 1 << (len(words) - 1).bit_length(), len(own) < SHORT
+        by.setdefault(kind, ([], []))
+        by[kind][0].append(name)
+        by[kind][1].append(own)
+    return [Group(*kind, *by[kind], least) for kind in sorted(by)]
 
 
 def _scan(col: pa.Array, groups: list[Group], k: int, least: float) -> Iterator[tuple]:
@@ -112,9 +130,18 @@ def _scan(col: pa.Array, groups: list[Group], k: int, least: float) -> Iterator[
         pair = np.r_[doc[new[1:]] == doc[new[:-1]], False]
         windows.append((new, pair))
     hits = [set() for _ in groups]
-    for b in range(BANDS):
+    for g, (new, pair), found in zip(groups, windows, hits):
+        if g.short:
+            some = np.flatnonzero(g.any[(h >> np.uint64(48)).astype(np.int64)])
+            for t, own in enumerate(g.sets):
+                run = np.unique(np.searchsorted(new, some[np.isin(h[some], own)], side="right") - 1)
+                before = run[run > 0] - 1  # the window that a run ends
+                found.update((w, t) for w in np.r_[run, before[pair[before]]].tolist())
+    for b in range(max((len(g.minima) for g in groups), default=0)):
         x = _permuted(h, b)
         for g, (new, pair), found in zip(groups, windows, hits):
+            if b >= len(g.minima):
+                continue
             low = np.minimum.reduceat(x, new)
             low[:-1] = np.where(pair[:-1], np.minimum(low[:-1], low[1:]), low[:-1])
             for w in np.flatnonzero(g.maybe[b][(low >> np.uint64(48)).astype(np.int64)]).tolist():
@@ -142,7 +169,7 @@ def license_hits(docs: DataFrame, templates: dict[str, str] | None = None, k: in
     chosen = dict(TEMPLATES if templates is None else templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = groups_of(chosen, k)
+        groups = groups_of(chosen, k, least)
         for batch in batches:
             for part in text_slices(batch, text_col, 1 << 20):
                 hits = list(_scan(part.column(1), groups, k, least))

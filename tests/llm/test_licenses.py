@@ -45,6 +45,30 @@ def test_finds_what_brute_force_finds(spark):
         assert tokens(passage)[:1] and (tokens(passage)[0] in tokens(licenses.TEMPLATES[r.license]))
 
 
+def test_short_notices_are_found_wherever_they_stand():
+    import pyarrow as pa
+
+    rng, texts = random.Random(11), []
+    # how easily a MinHash misses a notice depends on its hash: many notices of 5 to 11 words
+    notices = {f"n{i}": " ".join(f"n{i}x{chr(97 + j)}" for j in range(5 + i % 7)).translate(
+        str.maketrans("0123456789", "qrstuvwyzk")) for i in range(300)}
+    for i, text in enumerate(notices.values()):
+        for head, tail in ((0, 60), (60, 60), (60, 0)):
+            texts += [(f"n{i}", f"{words(rng, head)}\n{text}\n{words(rng, tail)}") for _ in range(3)]
+    found = {x[:2] for x in licenses._scan(
+        pa.array([t for _, t in texts]), licenses.groups_of(notices, 5), 5, 0.8)}
+    assert [(i, n) for i, (n, _) in enumerate(texts) if (i, n) not in found] == []
+
+
+def test_bands_follow_the_least_likeness():
+    for words_of in (12, 16, 17, 32, 33, 64, 65, 300):
+        text = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(words_of))
+        (g,) = licenses.groups_of({"x": text}, 5)
+        s = words_of - 4
+        need = -(-4 * s // 5)
+        assert (1 - need / (2 * g.words + s - need)) ** len(g.minima) <= 1e-6
+
+
 def test_empty_and_repeated(spark):
     assert licenses.license_hits(docs(spark, [])).count() == 0
     d = docs(spark, [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (None, None)])
