@@ -72,6 +72,11 @@ def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return word_hashes(data, starts, ends) >> np.uint64(20)
 
 
+def _packable(of: np.ndarray) -> bool:
+    """Whether line numbers (ascending) fit above 44 bits of a word's hash."""
+    return not len(of) or of[-1] < 1 << 20
+
+
 class Lines:
     """The word sets of all lines of a slice, rows sorted by line."""
 
@@ -82,24 +87,28 @@ class Lines:
         line = np.searchsorted(starts, breaks)  # words before each break
         line = np.repeat(np.arange(len(breaks) + 1), np.diff(np.r_[0, line, len(starts)])) + text
         new = np.r_[True, line[1:] != line[:-1]][: len(line)]
-        key = (np.cumsum(new) - 1).astype(np.uint64) << np.uint64(44) | _words(data, starts, ends)
-        key.sort()
-        key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
-        self.tok = key & _TOKEN
-        self.of = (key >> np.uint64(44)).astype(np.int64)
-        self.at = np.flatnonzero(np.r_[True, self.of[1:] != self.of[:-1]][: len(key)])
-        self.n = np.diff(np.r_[self.at, len(key)])
+        of, tok = np.cumsum(new) - 1, _words(data, starts, ends)
+        if _packable(of):
+            key = of.astype(np.uint64) << np.uint64(44) | tok
+            key.sort()
+            of, tok = (key >> np.uint64(44)).astype(np.int64), key & _TOKEN
+        else:
+            tok = tok[np.lexsort((tok, of))]
+        once = np.r_[True, (of[1:] != of[:-1]) | (tok[1:] != tok[:-1])][: len(of)]
+        self.of, self.tok = of[once], tok[once]
+        self.at = np.flatnonzero(np.r_[True, self.of[1:] != self.of[:-1]][: len(self.of)])
+        self.n = np.diff(np.r_[self.at, len(self.of)])
         self.text = text[new]
         first_line = np.searchsorted(breaks, offsets[:-1]) + np.arange(len(offsets) - 1)
         self.line = line[new] - first_line[self.text]
         bit = np.uint64(1) << (self.tok & np.uint64(63))
         high = (self.tok >> np.uint64(6)) & np.uint64(1) == 1
-        if len(key):
+        if len(self.tok):
             self.bits = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), self.at)
             self.more_bits = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), self.at)
             self.sig = mix64(np.add.reduceat(mix64(self.tok), self.at) + self.n.astype(np.uint64))
         else:
-            self.bits = self.more_bits = self.sig = key
+            self.bits = self.more_bits = self.sig = self.tok
 
 
 def _word_counts(docs: DataFrame) -> np.ndarray:
@@ -139,13 +148,16 @@ class Flush:
         self.parts, self.lines, self.entries, self.n_lines, self.n_entries = parts, [], [], 0, 0
 
     def add(self, x: Lines, doc: np.ndarray, cls: np.ndarray, percent: int, words) -> None:
-        key = (x.of.astype(np.uint64) << np.uint64(44)) | (cls << np.uint64(39)) | (x.tok >> np.uint64(5))
+        key = (cls << np.uint64(39)) | (x.tok >> np.uint64(5))
+        packable = _packable(x.of)
+        if packable:
+            key |= x.of.astype(np.uint64) << np.uint64(44)
         if words is not None:  # the words of open lines only
             wanted = words[_word_hash(x.tok >> np.uint64(12))]
-            order = np.argsort(key)
+            order = np.argsort(key) if packable else np.lexsort((key, x.of))
             key, wanted = key[order], wanted[order]
         else:
-            key.sort()
+            key = np.sort(key) if packable else key[np.lexsort((key, x.of))]
             wanted = True
         pos = np.arange(len(key)) - x.at[x.of]
         n = x.n[x.of]

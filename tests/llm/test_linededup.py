@@ -100,3 +100,12 @@ def test_text_and_edges(spark):
         (8, "three\ntwo", 2, []), (99, "new", 2, [0]), (99, "new", 2, [0])], key=str)
     assert linededup.dedup_lines(docs(spark, [])).count() == 0
     assert linededup.dedup_lines(docs(spark, [(1, None), (2, " ")])).count() == 2
+
+
+def test_a_text_of_over_a_million_lines(spark):
+    n = (1 << 20) + 5
+    lines = [f"w{i}" for i in range(n - 2)] + ["a b c d e", "w0"]
+    d = docs(spark, [(1, "\n".join(lines)), (2, "e d c b a f\nlast")])
+    got = {r.doc_id: r for r in linededup.dedup_lines(d).collect()}
+    assert got[1].n_lines == n and got[1].lines_removed == [n - 1] and got[1].text == "\n".join(lines[:-1])
+    assert got[2].lines_removed == [0] and got[2].text == "last"
