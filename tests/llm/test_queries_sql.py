@@ -18,4 +18,4 @@ def test_matches_sql(spark, key, sf):
 
 
 def test_one_query_per_operator():
-    assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in QUERIES] == list(range(1, 14))
