@@ -16,6 +16,12 @@ def quoted(text: str | None) -> str:
     return "CAST(NULL AS STRING)" if text is None else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def sql_case(x: str, arms: Sequence[tuple[str, object]]) -> str:
+    """``CASE`` with one arm for each (condition on ``{}``, value)."""
+    value = lambda v: v if isinstance(v, int) else quoted(v)
+    return "CASE " + " ".join(f"WHEN {c.format(x)} THEN {value(v)}" for c, v in arms) + " END"
+
+
 def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -95,6 +101,10 @@ def bundle_flag(bb: ColumnOrName = "bb_product_id", tv: ColumnOrName = "tv_produ
     return labels[bundle_code(bb, tv, vo)]
 
 
+# owned products of a CRM row as SQL (see ``bundle_code``)
+BUNDLE_CODE = "int(bb_product_id IS NOT NULL) * 4 + int(tv_product_id IS NOT NULL) * 2 + int(vo_product_id IS NOT NULL)"
+
+
 def bundle_code(bb: ColumnOrName = "bb_product_id", tv: ColumnOrName = "tv_product_id",
                 vo: ColumnOrName = "vo_product_id") -> Column:
     """Owned products as one small integer (see ``BUNDLE_BY_CODE``). The
@@ -105,8 +115,13 @@ def bundle_code(bb: ColumnOrName = "bb_product_id", tv: ColumnOrName = "tv_produ
     )
 
 
+def sql_band(x: str, bands: Sequence[tuple[int | None, str]]) -> str:
+    return sql_case(x, [("{} IS NOT NULL" if bound is None else f"{{}} <= {bound}", label) for bound, label in bands])
+
+
 def _band(x: ColumnOrName, bands: Sequence[tuple[int | None, str]]) -> Column:
-    x = _c(x)
+    if isinstance(x, str):
+        return F.expr(sql_band(x, bands))
     expr = None
     for bound, label in bands:
         cond = x.isNotNull() if bound is None else (x <= bound)
@@ -129,16 +144,19 @@ def tenure_band_3(age: ColumnOrName) -> Column:
 
 def band_rank(label: ColumnOrName, bands: Sequence[tuple[int | None, str]] = TENURE_14) -> Column:
     """Calendar order of a tenure label (for display ordering only, T20)."""
-    lab = _c(label)
-    expr = None
-    for i, (_, name) in enumerate(bands):
-        expr = F.when(lab == name, i) if expr is None else expr.when(lab == name, i)
-    return expr
+    labels = ", ".join(quoted(name) for _, name in bands)
+    return F.array_position(F.expr(f"array({labels})"), _c(label))
+
+
+def sql_month_diff(later: str, earlier: str) -> str:
+    return f"(year({later}) - year({earlier})) * 12 + month({later}) - month({earlier})"
 
 
 def month_diff(later: ColumnOrName, earlier: ColumnOrName) -> Column:
     """Calendar-month boundaries crossed from ``earlier`` to ``later`` (T3):
     Jan 31 -> Feb 1 is 1."""
+    if isinstance(later, str) and isinstance(earlier, str):
+        return F.expr(sql_month_diff(later, earlier))
     a, b = _c(later), _c(earlier)
     return (F.year(a) - F.year(b)) * 12 + (F.month(a) - F.month(b))
 
@@ -163,20 +181,15 @@ def trend_label(earlier: ColumnOrName, later: ColumnOrName) -> Column:
     )
 
 
+_NAMES_ES = "array(" + ", ".join(quoted(n) for n in MONTH_NAMES_ES) + ")"
+
+
 def month_name_es(month: ColumnOrName) -> Column:
-    m = _c(month)
-    expr = None
-    for i, name in enumerate(MONTH_NAMES_ES, start=1):
-        expr = F.when(m == i, name) if expr is None else expr.when(m == i, name)
-    return expr
+    return F.try_element_at(F.expr(_NAMES_ES), F.nullif(_c(month), F.lit(0)))
 
 
 def month_number_es(name: ColumnOrName) -> Column:
-    n = _c(name)
-    expr = None
-    for i, month in enumerate(MONTH_NAMES_ES, start=1):
-        expr = F.when(n == month, i) if expr is None else expr.when(n == month, i)
-    return expr
+    return F.array_position(F.expr(_NAMES_ES), _c(name))
 
 
 def number_from_text(x: ColumnOrName) -> Column:
@@ -186,6 +199,10 @@ def number_from_text(x: ColumnOrName) -> Column:
     return F.when(t.rlike(NUMBER), t.try_cast("double"))
 
 
+def sql_trim_white(x: str) -> str:
+    return f"btrim({x}, {quoted(WHITE_SPACE)})"
+
+
 def trim_white(x: ColumnOrName) -> Column:
     """Strip all white space around a text (``trim`` strips blanks only)."""
     return F.btrim(_c(x), F.lit(WHITE_SPACE))

@@ -3,16 +3,19 @@
 Every segment is keyed by the padded contract. The CRM table enters through
 one partially aggregated groupBy per report, at the grain the report needs
 (account; account x churn date; account x install time; account x
-location), and its consumers share it through role rows
-(:mod:`subscope.operators.roles`).
+location); the reports read it through one row per contract, the segments
+through role rows (:mod:`subscope.operators.roles`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import dataclasses
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subscope.functions import exprs as X
+from subscope.operators.order_filter import counted, maybe_among
 from subscope.operators.orders import disconnect_orders, disconnect_reason_split
 from subscope.operators.roles import stack_roles
 from subscope.params import ReportParams
@@ -22,8 +25,9 @@ from subscope.params import ReportParams
 _BUNDLE_SLOTS = [(f"fc_{code}", label, code) for code, label in X.BUNDLE_BY_CODE.items()]
 
 
-def churn_date() -> Column:
-    return F.to_date("churn_ts")
+def _agg(df: DataFrame, keys: list[str], **aggs: str) -> DataFrame:
+    """``groupBy`` with aggregates as SQL text (one call to Spark each)."""
+    return df.groupBy(*keys).agg(*[F.expr(f"{sql} AS {name}") for name, sql in aggs.items()])
 
 
 def keyed(crm: DataFrame) -> DataFrame:
@@ -35,9 +39,27 @@ def with_disconnect_order(crm: DataFrame, orders: DataFrame, p: ReportParams) ->
     """Keyed CRM rows of the contracts that have a disconnect order. Only
     these can be attributed, so the churn reports drop the others before
     anything is aggregated. As a sort-merge join it moves the CRM once, keyed
-    by contract, and the steps that follow stay on that partitioning."""
+    by contract, and the steps that follow stay on that partitioning.
+
+    With ``p.order_filter_keys`` (the number of these contracts, see
+    :func:`with_order_filter`) a Bloom filter drops nearly all other rows
+    before that move."""
     contracts = disconnect_orders(orders, p).select("contract").distinct()
-    return keyed(crm).join(contracts, "contract", "left_semi")
+    rows = keyed(crm)
+    if p.order_filter_keys is None:
+        return rows.join(contracts, "contract", "left_semi")
+    # an inner join with distinct contracts: a semi-join would be moved below the filter's join
+    return maybe_among(rows, "contract", contracts, p.order_filter_keys).join(contracts, "contract")
+
+
+def with_order_filter(orders: DataFrame, p: ReportParams) -> ReportParams:
+    """``p`` with the Bloom filter on, sized by counting the contracts."""
+    return dataclasses.replace(p, order_filter_keys=counted(disconnect_orders(orders, p), "contract"))
+
+
+def _dated(crm: DataFrame, *more: str) -> DataFrame:
+    rows = crm if "contract" in crm.columns else keyed(crm)
+    return rows.selectExpr("contract", "account_id", "snapshot_date", "to_date(churn_ts) AS cd", *more)
 
 
 def account_churn_summary(crm: DataFrame) -> DataFrame:
@@ -49,16 +71,9 @@ def account_churn_summary(crm: DataFrame) -> DataFrame:
     first churn). Per-bundle minima are conditional aggregates over the fixed
     set of labels, so a hot account never gathers its rows in one task.
     """
-    cd = churn_date()
-    aggs = [
-        F.max(cd).alias("last_churn"),
-        F.max("snapshot_date").alias("last_snapshot"),
-        F.min(cd).alias("first_churn"),
-    ]
-    for name, _, code in _BUNDLE_SLOTS:
-        aggs.append(F.min(F.when(F.col("bcode") == code, cd)).alias(name))
-    rows = (crm if "contract" in crm.columns else keyed(crm)).withColumn("bcode", X.bundle_code())
-    return rows.groupBy("contract", "account_id").agg(*aggs)
+    slots = {name: f"min(CASE WHEN bcode = {code} THEN cd END)" for name, _, code in _BUNDLE_SLOTS}
+    return _agg(_dated(crm, f"{X.BUNDLE_CODE} AS bcode"), ["contract", "account_id"], last_churn="max(cd)",
+                last_snapshot="max(snapshot_date)", first_churn="min(cd)", **slots)
 
 
 def churn_roles(summary: DataFrame, p: ReportParams, bundles: bool = True) -> DataFrame:
@@ -84,7 +99,7 @@ def churn_roles(summary: DataFrame, p: ReportParams, bundles: bool = True) -> Da
     return stack_roles(summary, roles, ["contract", "bundle", "day"]).where(F.col("day").isNotNull()).distinct()
 
 
-def contract_days(summary: DataFrame, p: ReportParams, **more) -> DataFrame:
+def contract_days(summary: DataFrame, p: ReportParams, **more: str) -> DataFrame:
     """One row per contract with the days the churn core works on: ``lasts``,
     the last churns that pass the month test (G03), ``firsts``, the first
     churns in the report year (G06), ``bundles``, the (label, day) of first
@@ -93,18 +108,22 @@ def contract_days(summary: DataFrame, p: ReportParams, **more) -> DataFrame:
     Everything a report needs of a contract is in this row, so the CRM
     aggregate has one consumer. The sets hold distinct days, so they are
     bounded by the calendar however many raw spellings share a key (T7).
-    ``more`` adds aggregates of the summary's rows.
+    ``more`` adds aggregates (SQL) of the summary's rows.
     """
-    last = F.when(F.month("last_churn") == F.month("last_snapshot"), F.col("last_churn"))
-    first = F.when(F.year("first_churn") == p.year, F.col("first_churn"))
-    aggs = [F.collect_set(last).alias("lasts"), F.collect_set(first).alias("firsts")]
-    slots = [(name, label) for name, label, _ in _BUNDLE_SLOTS if name in summary.columns]
+    year, have = int(p.year), summary.columns
+    aggs = {"lasts": "collect_set(CASE WHEN month(last_churn) = month(last_snapshot) THEN last_churn END)",
+            "firsts": f"collect_set(CASE WHEN year(first_churn) = {year} THEN first_churn END)"}
+    slots = ", ".join(f"named_struct('bundle', {X.quoted(label)}, 'day', {name})"
+                      for name, label, _ in _BUNDLE_SLOTS if name in have)
     if slots:
-        held = F.array(*[F.struct(F.lit(label).cast("string").alias("bundle"), F.col(name).alias("day"))
-                         for name, label in slots])
-        in_year = F.filter(held, lambda b: F.year(b["day"]) == p.year)
-        aggs.append(F.array_distinct(F.flatten(F.collect_set(in_year))).alias("bundles"))
-    return summary.groupBy("contract").agg(*aggs, *[c.alias(n) for n, c in more.items()])
+        aggs["bundles"] = f"array_distinct(flatten(collect_set(filter(array({slots}), b -> year(b.day) = {year}))))"
+    return _agg(summary, ["contract"], **aggs, **more)
+
+
+def explains(first: str, p: ReportParams) -> str:
+    """Whether the contract's earliest disconnect order explains a first
+    churn: opened on or before it, at most some calendar months earlier (T3)."""
+    return f"{first} >= opened_on AND {X.sql_month_diff(first, 'opened_on')} <= {int(p.max_order_lead_months)}"
 
 
 def attributed(days: DataFrame, split: DataFrame, p: ReportParams, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -112,51 +131,38 @@ def attributed(days: DataFrame, split: DataFrame, p: ReportParams, keep: tuple[s
     first on or before last, with the contract's earliest disconnect order if
     it was opened on or before the first churn and at most
     ``max_order_lead_months`` calendar months earlier (T3)."""
-    j = days.join(split, "contract").where(F.size("lasts") > 0)
-    j = j.withColumn("first_churn", F.explode("firsts")).where(
-        (F.col("first_churn") >= F.col("opened_on"))
-        & (X.month_diff("first_churn", "opened_on") <= p.max_order_lead_months))
-    j = j.withColumn("last_churn", F.explode("lasts")).where(F.col("first_churn") <= F.col("last_churn"))
-    return j.select(
-        "contract", "voluntary_id", "involuntary_id", "last_churn", "first_churn",
-        F.month("last_churn").alias("last_churn_month"), F.month("first_churn").alias("first_churn_month"),
-        F.month("opened_on").alias("order_month"), *keep,
-    )
+    j = days.join(split, "contract").where("size(lasts) > 0")
+    j = j.selectExpr("*", f"explode(filter(firsts, f -> {explains('f', p)})) AS first_churn")
+    j = j.selectExpr("*", "explode(filter(lasts, l -> l >= first_churn)) AS last_churn")
+    return j.selectExpr(
+        "contract", "voluntary_id", "involuntary_id", "last_churn", "first_churn", "month(last_churn) AS last_churn_month",
+        "month(first_churn) AS first_churn_month", "month(opened_on) AS order_month", *keep)
 
 
 def churn_date_summary(crm: DataFrame) -> DataFrame:
     """Per account the churn summary of :func:`account_churn_summary` and
     ``ages``: for each churn date the maximum age and the first install date
     of its rows. One CRM aggregate at (account, churn date), rolled up."""
-    cd = churn_date()
-    aggs = [F.max("snapshot_date").alias("ms"), F.max("age_months").alias("ma"),
-            F.min(F.to_date("install_ts")).alias("mi")]
-    for name, _, code in _BUNDLE_SLOTS:
-        aggs.append(F.max(F.when(F.col("bcode") == code, F.lit(True))).alias(name))
-    rows = (crm if "contract" in crm.columns else keyed(crm)).withColumn("bcode", X.bundle_code())
-    fine = rows.groupBy("contract", "account_id", cd.alias("cd")).agg(*aggs)
-    up = [F.max("cd").alias("last_churn"), F.max("ms").alias("last_snapshot"), F.min("cd").alias("first_churn")]
-    up += [F.min(F.when(F.col(name), F.col("cd"))).alias(name) for name, _, _ in _BUNDLE_SLOTS]
-    age = F.when(F.col("cd").isNotNull(), F.struct("cd", "ma", "mi"))
-    return fine.groupBy("contract", "account_id").agg(*up, F.collect_set(age).alias("ages"))
-
-
-def on_last_churn(field: str):
+    held = {name: f"max(CASE WHEN bcode = {code} THEN true END)" for name, _, code in _BUNDLE_SLOTS}
+    fine = _agg(_dated(crm, f"{X.BUNDLE_CODE} AS bcode", "age_months", "to_date(install_ts) AS installed"),
+                ["contract", "account_id", "cd"], ms="max(snapshot_date)", ma="max(age_months)", mi="min(installed)", **held)
+    first = {name: f"min(CASE WHEN {name} THEN cd END)" for name, _, _ in _BUNDLE_SLOTS}
+    return _agg(fine, ["contract", "account_id"], last_churn="max(cd)", last_snapshot="max(ms)", first_churn="min(cd)",
+                **first, ages="collect_set(CASE WHEN cd IS NOT NULL THEN struct(cd, ma, mi) END)")
+
+
+def on_last_churn(field: str) -> str:
     """``ma`` or ``mi`` of the rows dated on ``last_churn``, over every raw
-    spelling of the key (G11), from the contract's ``ages``."""
-    own = F.transform(F.filter("ages", lambda a: a["cd"] == F.col("last_churn")), lambda a: a[field])
-    return F.array_max(own) if field == "ma" else F.array_min(own)
+    spelling of the key (G11), from the contract's ``ages`` (SQL)."""
+    best = "array_max" if field == "ma" else "array_min"
+    return f"{best}(transform(filter(ages, a -> a.cd = last_churn), a -> a.{field}))"
 
 
 def install_summary(crm: DataFrame) -> DataFrame:
     """Per account the last / first churn and snapshot dates and its distinct
     install days."""
-    cd = churn_date()
-    rows = crm if "contract" in crm.columns else keyed(crm)
-    return rows.groupBy("contract", "account_id").agg(
-        F.max(cd).alias("last_churn"), F.max("snapshot_date").alias("last_snapshot"), F.min(cd).alias("first_churn"),
-        F.collect_set(F.to_date("install_ts")).alias("installs"),
-    )
+    return _agg(_dated(crm, "to_date(install_ts) AS installed"), ["contract", "account_id"], last_churn="max(cd)",
+                last_snapshot="max(snapshot_date)", first_churn="min(cd)", installs="collect_set(installed)")
 
 
 def crm_last_churn(roles: DataFrame) -> DataFrame:
@@ -234,57 +240,54 @@ def churn_core(crm: DataFrame, orders: DataFrame, p: ReportParams, summary: Data
 LOCATION = ["district_code", "canton_code", "province_code"]
 
 
-def location_churn_facts(crm: DataFrame) -> DataFrame:
-    """Per (raw account, trimmed location): last / first churn date, last
-    snapshot and maximum age - the one CRM aggregate of the district churn
-    reports, unpivoted into role rows so both of its consumers (the
-    location grain G04/G05 and the raw-account first churn G06) read the
-    same plan and Spark shuffles it once."""
-    cd = churn_date()
-    rows = crm if "contract" in crm.columns else keyed(crm)
-    fine = rows.groupBy("contract", "account_id", *[X.trim_white(c).alias(c) for c in LOCATION]).agg(
-        F.max(cd).alias("last_churn"), F.max("snapshot_date").alias("last_snapshot"),
-        F.min(cd).alias("first_churn"), F.max("age_months").alias("max_age"),
-    )
-    no_loc = ["CAST(NULL AS STRING)"] * len(LOCATION)
-    return stack_roles(
-        fine,
-        [("L", ["contract", "account_id", *LOCATION, "last_churn", "last_snapshot", "max_age"]),
-         ("F", ["contract", "account_id", *no_loc, "first_churn", "CAST(NULL AS DATE)", "CAST(NULL AS DOUBLE)"])],
-        ["contract", "account_id", *LOCATION, "d1", "d2", "age"],
-    )
+def _located(crm: DataFrame) -> DataFrame:
+    return _dated(crm, "age_months", *[f"{X.sql_trim_white(c)} AS {c}" for c in LOCATION])
 
 
-def crm_last_churn_by_location(crm: DataFrame, with_tenure: bool = False,
-                               facts: DataFrame | None = None) -> DataFrame:
+def crm_last_churn_by_location(crm: DataFrame, with_tenure: bool = False) -> DataFrame:
     """Last churn per padded contract and trimmed location, kept
     when its month equals the month of the group's last snapshot; G05 adds
     the 4-band tenure of the group's maximum age."""
-    facts = location_churn_facts(crm) if facts is None else facts
-    g = facts.where(F.col("role") == "L").groupBy("contract", *LOCATION).agg(
-        F.max("d1").alias("last_churn"), F.max("d2").alias("last_snapshot"), F.max("age").alias("max_age")
-    )
-    g = g.where(F.month("last_churn") == F.month("last_snapshot"))
-    cols = ["contract", "last_churn", F.month("last_churn").alias("last_churn_month"), *LOCATION]
+    g = _agg(_located(crm), ["contract", *LOCATION], last_churn="max(cd)", last_snapshot="max(snapshot_date)",
+             max_age="max(age_months)").where("month(last_churn) = month(last_snapshot)")
+    tenure = [f"{X.sql_band('max_age', X.TENURE_4)} AS tenure"] if with_tenure else []
+    return g.selectExpr("contract", "last_churn", "month(last_churn) AS last_churn_month", *LOCATION, *tenure)
+
+
+def contract_places(crm: DataFrame, p: ReportParams) -> DataFrame:
+    """One row per contract: ``places``, per trimmed location the last churn
+    that passes the month test and the maximum age (G04, G05), and
+    ``firsts``, the first churns in the year of its raw accounts (G06).
+
+    The one CRM aggregate is by (contract, account, location). The steps
+    above it stay on the partitioning by contract that the semi-join leaves,
+    and the row is bounded by distinct places and days: raw spellings of a
+    key are merged before they are gathered (T7)."""
+    fine = _agg(_located(crm), ["contract", "account_id", *LOCATION], last_churn="max(cd)",
+                last_snapshot="max(snapshot_date)", first_churn="min(cd)", max_age="max(age_months)")
+    fine = fine.selectExpr("*", "min(first_churn) OVER (PARTITION BY contract, account_id) AS account_first")
+    per = _agg(fine, ["contract", *LOCATION], last_churn="max(last_churn)", last_snapshot="max(last_snapshot)",
+               max_age="max(max_age)",
+               firsts=f"collect_set(CASE WHEN year(account_first) = {int(p.year)} THEN account_first END)")
+    place = f"struct({', '.join(LOCATION)}, last_churn, max_age)"
+    return _agg(per, ["contract"], firsts="array_distinct(flatten(collect_list(firsts)))",
+                places=f"collect_list(CASE WHEN month(last_churn) = month(last_snapshot) THEN {place} END)")
+
+
+def churners_by_place(crm: DataFrame, orders: DataFrame, p: ReportParams, month: int | None,
+                      with_tenure: bool = False) -> DataFrame:
+    """(location, [tenure], churners): attribution rows (G08) by the
+    churner's trimmed location, for one month of the last churn or all.
+    They are counted before the catalogue is matched: a row a place and task
+    is moved, however many churners a place has."""
+    days = contract_places(with_disconnect_order(crm, orders, p), p)
+    j = days.join(disconnect_reason_split(orders, p).select("contract", "opened_on"), "contract")
+    j = j.selectExpr("places", f"explode(filter(firsts, f -> {explains('f', p)})) AS first_churn")
+    j = j.selectExpr("first_churn", "inline(places)").where("first_churn <= last_churn")
+    if month is not None:
+        j = j.where(f"month(last_churn) = {int(month)}")
+    keys = list(LOCATION)
     if with_tenure:
-        cols.append(X.tenure_band_4("max_age").alias("tenure"))
-    return g.select(*cols)
-
-
-def crm_first_churn_from_facts(facts: DataFrame, p: ReportParams) -> DataFrame:
-    """G06 from the location facts: first churn per raw account in the year."""
-    g = facts.where(F.col("role") == "F").groupBy("contract", "account_id").agg(F.min("d1").alias("first_churn"))
-    # one row per (padded key, date) however many raw spellings share the key
-    return g.where(F.year("first_churn") == p.year).select(
-        "contract", "first_churn", F.month("first_churn").alias("first_churn_month"),
-    ).distinct()
-
-
-def churn_core_by_location(crm: DataFrame, orders: DataFrame, p: ReportParams,
-                           with_tenure: bool = False) -> DataFrame:
-    """Attribution rows carrying the churner's trimmed location (and tenure)."""
-    extra = LOCATION + (["tenure"] if with_tenure else [])
-    facts = location_churn_facts(with_disconnect_order(crm, orders, p))
-    last = crm_last_churn_by_location(crm, with_tenure, facts)
-    real = real_churners(last, crm_first_churn_from_facts(facts, p), extra)
-    return churn_order_attribution(real, disconnect_reason_split(orders, p), p, extra)
+        j = j.withColumn("tenure", F.expr(X.sql_band("max_age", X.TENURE_4)))
+        keys.append("tenure")
+    return j.groupBy(*keys).agg(F.expr("count(1) AS churners"))

@@ -53,6 +53,14 @@ SELECT district, district_code, count(account) AS contracts FROM listed GROUP BY
     "district_churner_counts": query("""
 SELECT district, district_code, count(e.contract) AS churners
 FROM listed, explained e WHERE account = e.contract AND last_snapshot = e.last_churn GROUP BY ALL""", "listed", "explained"),
+    "crm_of_disconnected": query("""
+SELECT DISTINCT contract, account_id, snapshot_date FROM snap WHERE contract IN (SELECT contract FROM quit_order)""",
+                                 "snap", "quit_order"),
+    "active_rollup": query("""
+SELECT mon AS month, CASE grouping(dist, cant, prov) WHEN 0 THEN 'district' WHEN 4 THEN 'canton' WHEN 6 THEN 'province'
+                   ELSE 'country' END AS level,
+       prov AS province_code, cant AS canton_code, dist AS district_code, count(DISTINCT account_id) AS actives
+FROM lived GROUP BY GROUPING SETS ((mon, prov, cant, dist), (mon, prov, cant), (mon, prov), (mon))""", "lived"),
     "crm_installs_in_year": query("SELECT * FROM installed", "installed"),
     "new_residential_sales": query("SELECT * FROM sold", "sold"),
     "confirmed_sales": query("SELECT * FROM cohort", "cohort"),

@@ -20,6 +20,9 @@ class ReportParams:
     # literal status predicate keeps every non-null status; True applies the
     # evident intent (neither cancelled nor annulled)
     strict_status: bool = False
+    # number of contracts that the Bloom filter before the churn semi-join is
+    # sized for; None: no filter (results are the same)
+    order_filter_keys: int | None = None
     # month of the last churn date kept by the district churner reports
     churn_month_district: int | None = 8
     churn_month_tenure: int | None = 10

@@ -37,14 +37,9 @@ def churn_counts(df: DataFrame, keys: list, contract: str = "contract") -> DataF
     no Expand of the input is needed.
     """
     per = df.groupBy(*keys, contract).agg(
-        F.max(F.col("voluntary_id").isNotNull().cast("int")).alias("v"),
-        F.max(F.col("involuntary_id").isNotNull().cast("int")).alias("i"),
-    )
+        F.expr("max(int(voluntary_id IS NOT NULL)) AS v"), F.expr("max(int(involuntary_id IS NOT NULL)) AS i"))
     return per.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("churners"),
-        F.sum("v").cast("long").alias("voluntary"),
-        F.sum("i").cast("long").alias("involuntary"),
-    )
+        F.expr("count(1) AS churners"), F.expr("sum(v) AS voluntary"), F.expr("sum(i) AS involuntary"))
 
 
 # --- bundles -----------------------------------------------------------------
@@ -61,8 +56,7 @@ def bundle_churners_by_month(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> Dat
 
 def _with_bundle(att: DataFrame) -> DataFrame:
     """One row per bundle that the contract held on its first churn."""
-    held = F.filter("bundles", lambda b: b["day"] == F.col("first_churn"))
-    return att.withColumn("b", F.explode(held)).withColumn("bundle", F.col("b.bundle"))
+    return att.selectExpr("*", "explode(transform(filter(bundles, b -> b.day = first_churn), b -> b.bundle)) AS bundle")
 
 
 def bundle_active_tenure(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
@@ -83,10 +77,10 @@ def bundle_churner_tenure(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFr
     """P01 split by the 14-band tenure of the churner's maximum age over
     the CRM rows dated on its last churn."""
     summary = C.churn_date_summary(C.with_disconnect_order(t.crm, t.orders, p))
-    days = C.contract_days(summary, p, ages=F.flatten(F.collect_list("ages")))
+    days = C.contract_days(summary, p, ages="flatten(collect_list(ages))")
     att = C.attributed(days, disconnect_reason_split(t.orders, p), p, ("bundles", "ages"))
     j = _with_bundle(att).withColumnRenamed("last_churn_month", "month")
-    j = j.withColumn("tenure", X.tenure_band_14(C.on_last_churn("ma")))
+    j = j.withColumn("oldest", F.expr(C.on_last_churn("ma"))).withColumn("tenure", X.tenure_band_14("oldest"))
     return churn_counts(j, ["month", "bundle", "tenure"]).orderBy("month", X.band_rank("tenure"), "bundle")
 
 
@@ -112,19 +106,11 @@ def plan_speed_price(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
 
 def _district_churners(t: Tables, p: ReportParams, month: int | None, with_tenure: bool,
                        extra: list[str]) -> DataFrame:
-    att = C.churn_core_by_location(t.crm, t.orders, p, with_tenure)
-    if month is not None:
-        att = att.where(F.col("last_churn_month") == month)
-    cat = G.district_catalog_folded(t.districts)
-    j = att.join(
-        cat,
-        (att["district_code"] == cat["k_district"])
-        & (att["canton_code"] == cat["k_canton"])
-        & (att["province_code"] == cat["k_province"]),
-    )
+    counts = C.churners_by_place(t.crm, t.orders, p, month, with_tenure)
+    # catalogue rows are not made distinct: repeated ones count again
+    j = G.district_match_full(counts, t.districts, p)
     keys = [*G.LOCATION, *extra]
-    # COUNT(contract), not distinct: ties and repeated catalogue rows count
-    return j.groupBy(*keys).agg(F.count("contract").alias("churners")).orderBy(*G.LOCATION)
+    return j.groupBy(*keys).agg(F.expr("sum(churners) AS churners")).orderBy(*G.LOCATION)
 
 
 def district_churners(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
@@ -143,6 +129,7 @@ def district_churners_ids(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFr
     return _district_churners(t, p, p.churn_month_ids, True, ["economic_band", "ids_2017", "tenure"])
 
 
+_CATALOGUE = ["province_name", "canton_name", "district_name"]
 _NAMES = ["province_code", "province_name", "canton_code", "canton_name", "district_code", "district_name"]
 
 
@@ -151,15 +138,15 @@ def district_active_ids(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFram
     index and 4-band tenure, for one month or all; catalogue matches with a
     band only (T13). ``p.by_active_month`` adds the month to the columns and
     the grouping."""
-    # distinct accounts are counted below, so no dedupe of the locations first
-    loc = G.account_locations(t.crm, with_tenure=True, distinct=False)
-    if p.active_month is not None:
-        loc = loc.where(F.col("month") == p.active_month)
-    m = G.district_match_full(loc, t.districts.where(F.col("economic_band").isNotNull()), p)
     month = ["month"] if p.by_active_month else []
-    out = m.groupBy(*month, *_NAMES, "economic_band", "ids_2017", "tenure").agg(
-        F.count_distinct("account_id").alias("actives"))
-    return out.orderBy(*month, "province_code", "canton_code", "district_code")
+    crm = t.crm if p.active_month is None else t.crm.where(F.month("snapshot_date") == p.active_month)
+    located = G.account_locations(crm, with_tenure=True)
+    if p.active_month is None and not p.by_active_month:  # an account of several months counts once
+        located = located.drop("month").distinct()
+    names = [*_CATALOGUE, "economic_band", "ids_2017"]
+    out = G.with_catalogue(G.active_counts(located), t.districts.where("economic_band IS NOT NULL"), names)
+    return out.select(*month, *_NAMES, "economic_band", "ids_2017", "tenure", "actives").orderBy(
+        *month, "province_code", "canton_code", "district_code")
 
 
 def district_active_ids_by_month(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
@@ -169,31 +156,15 @@ def district_active_ids_by_month(t: Tables, p: ReportParams = DEFAULT_PARAMS) ->
 
 def district_active_economic_by_month(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
     """P10: active accounts per month, district (both spellings) and band."""
-    loc = G.account_locations(t.crm, with_tenure=False, distinct=False)
-    m = G.district_match_full(loc, t.districts.where(F.col("economic_band").isNotNull()), p)
-    out = m.groupBy("month", *_NAMES, "economic_band").agg(F.count_distinct("account_id").alias("actives"))
-    return out.orderBy("month", "province_code", "canton_code", "district_code")
+    counts = G.active_counts(G.account_locations(t.crm))
+    out = G.with_catalogue(counts, t.districts.where("economic_band IS NOT NULL"), [*_CATALOGUE, "economic_band"])
+    return out.select("month", *_NAMES, "economic_band", "actives").orderBy(
+        "month", "province_code", "canton_code", "district_code")
 
 
 def _district_rate(t: Tables, p: ReportParams, by_month: bool) -> DataFrame:
-    facts = G.district_churn_facts(t.crm)
-    matched = G.district_match_name_only(t.crm, t.districts, p, facts)
-    att = C.churn_core(t.crm, t.orders, p, summary=G.account_summary_from_district_facts(facts))
-    # one row per (contract, last churn) with its multiplicity, so the left
-    # join below never inflates the contract count
-    per = att.groupBy("contract", "last_churn").agg(F.count(F.lit(1)).alias("n"))
-    j = matched.join(
-        per, (matched["account"] == per["contract"]) & (matched["last_snapshot"] == per["last_churn"]), "left"
-    )
-    keys = ["district", "district_code"]
-    if by_month:
-        j = j.withColumn("month", F.month("last_snapshot"))
-        keys = ["month", *keys]
-    g = j.groupBy(*keys).agg(
-        F.count("account").alias("contracts"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("churners")
-    )
     # name-only match drops the NULL district; only districts with a churner
-    return g.where(F.col("district").isNotNull() & (F.col("churners") > 0))
+    return G.district_counts(t.crm, t.orders, t.districts, p, by_month).where("district IS NOT NULL AND churners > 0")
 
 
 def district_churn_rate(t: Tables, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
@@ -238,7 +209,7 @@ def new_sales_churners_by_channel(t: Tables, p: ReportParams = DEFAULT_PARAMS) -
     """Confirmed sales that later churned (sale before the first churn),
     by month name of the first churn, sale month and channel."""
     summary = C.install_summary(C.with_disconnect_order(t.crm, t.orders, p))
-    days = C.contract_days(summary, p, installs=F.flatten(F.collect_list("installs")))
+    days = C.contract_days(summary, p, installs="flatten(collect_list(installs))")
     att = C.attributed(days, disconnect_reason_split(t.orders, p), p, ("installs",))
     cm = att.withColumn("churn_month_name", X.month_name_es("first_churn_month"))
     sales = S.new_residential_sales(t.activations, p).withColumn("sale_month", F.month("sold_on"))

@@ -70,10 +70,10 @@ def churner_age_at_last_churn(t: Tables, p: ReportParams = P) -> DataFrame:
     """Every attributed churner's maximum age and first install date
     over the CRM rows dated on its last churn."""
     summary = C.churn_date_summary(C.with_disconnect_order(t.crm, t.orders, p))
-    days = C.contract_days(summary, p, ages=F.flatten(F.collect_list("ages")))
+    days = C.contract_days(summary, p, ages="flatten(collect_list(ages))")
     att = C.attributed(days, O.disconnect_reason_split(t.orders, p), p, ("ages",))
-    return att.select("contract", "last_churn", C.on_last_churn("ma").alias("max_age"),
-                      C.on_last_churn("mi").alias("first_install")).distinct()
+    return att.selectExpr("contract", "last_churn", f"{C.on_last_churn('ma')} AS max_age",
+                          f"{C.on_last_churn('mi')} AS first_install").distinct()
 
 
 def account_snapshot_dates(t: Tables, p: ReportParams = P) -> DataFrame:
@@ -105,10 +105,21 @@ def district_contract_counts(t: Tables, p: ReportParams = P) -> DataFrame:
 
 
 def district_churner_counts(t: Tables, p: ReportParams = P) -> DataFrame:
-    facts = G.district_churn_facts(t.crm)  # one CRM aggregate for both sides
-    matched = G.district_match_name_only(t.crm, t.districts, p, facts)
-    att = C.churn_core(t.crm, t.orders, p, summary=G.account_summary_from_district_facts(facts))
-    return G.district_churner_counts(matched, att)
+    """G16 rows on the last churn of an attributed churner."""
+    counts = G.district_counts(t.crm, t.orders, t.districts, p)
+    return counts.where("churners > 0").select("district", "district_code", "churners")
+
+
+def crm_of_disconnected(t: Tables, p: ReportParams = P) -> DataFrame:
+    """The (contract, account, snapshot date) that the churn reports work on,
+    by way of the Bloom filter before the semi-join."""
+    p = C.with_order_filter(t.orders, p)
+    return C.with_disconnect_order(t.crm, t.orders, p).select("contract", "account_id", "snapshot_date").distinct()
+
+
+def active_rollup(t: Tables, p: ReportParams = P) -> DataFrame:
+    """Distinct active accounts by month and every level of the location."""
+    return G.active_rollup(t.crm)
 
 
 def crm_installs_in_year(t: Tables, p: ReportParams = P) -> DataFrame:
@@ -186,6 +197,8 @@ SEGMENTS = {
     "district_match_name_only": district_match_name_only,
     "district_contract_counts": district_contract_counts,
     "district_churner_counts": district_churner_counts,
+    "crm_of_disconnected": crm_of_disconnected,
+    "active_rollup": active_rollup,
     "crm_installs_in_year": crm_installs_in_year,
     "new_residential_sales": new_residential_sales,
     "confirmed_sales": confirmed_sales,

@@ -30,6 +30,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
         .config("spark.driver.memory", os.environ.get("SUBSCOPE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # no Python call site a column: building a plan takes less time
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for k, v in LIBRARY_CONF.items():
         builder = builder.config(k, v)

@@ -92,10 +92,6 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     missing = [f.name for f in schema.fields if f.name not in have]
     if missing:
         raise ValueError(f"missing columns {missing}; have {sorted(have)}")
-    cols = []
-    for f in schema.fields:
-        c = df[f.name]
-        if have[f.name] != f.dataType:
-            c = c.cast(f.dataType)
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+    return df.selectExpr(*[
+        f"`{f.name}`" if have[f.name] == f.dataType else f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`"
+        for f in schema.fields])

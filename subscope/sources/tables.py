@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +13,35 @@ from subscope.functions.exprs import folded_upper
 from subscope.sources import schema as S
 
 
-@dataclass(frozen=True)
+class _OnUse:
+    """A field given as a DataFrame, or as a function that is called when the
+    table is first asked for."""
+
+    def __set_name__(self, owner, name: str) -> None:
+        self.slot = f"_{name}"
+
+    def __get__(self, tables, owner=None) -> DataFrame:
+        if tables is None:
+            raise AttributeError(self.slot)  # no default
+        given = tables.__dict__[self.slot]
+        if callable(given):
+            given = tables.__dict__[self.slot] = given()
+        return given
+
+    def __set__(self, tables, given) -> None:
+        tables.__dict__[self.slot] = given
+
+
+Given = DataFrame | Callable[[], DataFrame]
+
+
+@dataclass(frozen=True, repr=False, eq=False)
 class Tables:
-    crm: DataFrame  # crm_snapshots: account x snapshot date
-    orders: DataFrame  # service_orders: one row per order
-    activations: DataFrame  # sale movements
-    speeds: DataFrame  # speed_inventory: contract -> speed range
-    districts: DataFrame  # district_index: socio-economic catalogue
+    crm: Given = _OnUse()  # crm_snapshots: account x snapshot date
+    orders: Given = _OnUse()  # service_orders: one row per order
+    activations: Given = _OnUse()  # sale movements
+    speeds: Given = _OnUse()  # speed_inventory: contract -> speed range
+    districts: Given = _OnUse()  # district_index: socio-economic catalogue
 
     def views(self, spark: SparkSession) -> None:
         """Register the tables as temp views under their canonical names."""
