@@ -60,9 +60,10 @@ def failures(docs: DataFrame, filters: dict[str, Column], repeated: str | None =
         bits = bits + F.when(failed, 1 << letters.index(letter)).otherwise(0)
     key = [F.col("_part").alias("part"), F.col(id_col).alias("id"),
            F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash")]
-    found = docs.select(*key, bits.alias("bits"), F.lit(0).alias("source")).where("bits > 0")
+    # exploded, not filtered: a filter would move below and compute the bits twice
+    found = docs.select(*key, F.explode(F.filter(F.array(bits), lambda b: b > 0)).alias("bits"), F.lit(0).alias("source"))
     if repeated:
-        found = found.union(repeated_texts(docs, id_col, text_col).select(
+        found = found.union(repeated_texts(docs.select("_part", id_col, text_col), id_col, text_col).select(
             *key, F.lit(1 << letters.index(repeated)), F.lit(1)))
     # equal rows fail alike, so each source has all of them or none
     rows = found.groupBy("part", "id", "hash").agg(
@@ -120,15 +121,24 @@ def interactions(counts: DataFrame, letters: str) -> DataFrame:
     return out.withColumn("shapley", F.sum("removed").over(everywhere)).drop("own")
 
 
-def quality_filters(text: Column) -> dict[str, Column]:
-    """Few words (A), few different ones (B), many capitals (C), markup (D)."""
+def measures(text: Column) -> Column:
+    """struct<words, distinct, capitals, chars, markup> of a text, null as empty."""
     text = F.coalesce(text, F.lit(""))
-    own = words(text)
+    sizes = F.transform(F.array(words(text)), lambda w: F.struct(  # a lambda's variable is computed once
+        F.size(w).alias("words"), F.size(F.array_distinct(w)).alias("distinct")))[0]
+    return F.struct(sizes["words"].alias("words"), sizes["distinct"].alias("distinct"),
+                    F.regexp_count(text, F.lit("[A-Z]")).alias("capitals"), F.char_length(text).alias("chars"),
+                    text.rlike(r"[#$%&*|]").alias("markup"))
+
+
+def quality_filters(m: Column) -> dict[str, Column]:
+    """Few words (A), few different ones (B), many capitals (C), markup (D),
+    from the measures of a text."""
     return {
-        "A": F.size(own) < 100,
-        "B": 100 * F.size(F.array_distinct(own)) < 80 * F.size(own),
-        "C": 100 * F.regexp_count(text, F.lit("[A-Z]")) > 10 * F.char_length(text),
-        "D": text.rlike(r"[#$%&*|]"),
+        "A": m["words"] < 100,
+        "B": 100 * m["distinct"] < 80 * m["words"],
+        "C": 100 * m["capitals"] > 10 * m["chars"],
+        "D": m["markup"],
     }
 
 
@@ -137,8 +147,8 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The interactions of the four filters of :func:`quality_filters` and of
     repeated texts (E) in every part. ``labels`` has quality and toxic by
     id. Null parts count as the empty one; an empty table gives no rows."""
-    base = docs.select(id_col, text_col, part_col)
-    total, failing = failures(base, quality_filters(F.col(text_col)), "E", F.col(part_col), id_col, text_col)
+    base = docs.select(id_col, text_col, part_col, measures(F.col(text_col)).alias("_measures"))
+    total, failing = failures(base, quality_filters(F.col("_measures")), "E", F.col(part_col), id_col, text_col)
     marks = labels.select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("good"),
                           (F.col("toxic") == 1).alias("toxic"))
     return interactions(combinations(total, stored(failing, "failing"), marks), "ABCDE")
