@@ -50,6 +50,7 @@ BLOCK = 10_000  # entries of one word compared at once
 NULL_ID = (1 << 63) - 1  # documents without id come last
 FILTER_BITS = 21  # of the bitmap of documents or lines
 WORD_FILTER_BITS = 24  # of the bitmap of words
+PREFIX, HELD = 1, 2  # of a word: it is in the prefix of an open line, in one at all
 EQUAL = -1  # the distance of a line that another one equals
 
 _TOKEN = np.uint64((1 << 44) - 1)
@@ -78,16 +79,23 @@ def _packable(of: np.ndarray) -> bool:
 
 
 class Lines:
-    """The word sets of all lines of a slice, rows sorted by line."""
+    """The word sets of all lines of a slice, rows sorted by line; with
+    ``words`` (``PREFIX`` and ``HELD`` by word) only those that may resemble
+    an open line: a prefix word of one is among theirs, and of their words
+    ``percent`` or more are of open lines."""
 
-    def __init__(self, col: pa.Array):
-        data, offsets = byte_arrays(col)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, words: np.ndarray | None = None, percent: int = PERCENT):
         starts, ends, text = word_spans(data, offsets)
         breaks = np.flatnonzero(data == 10)
         line = np.searchsorted(starts, breaks)  # words before each break
         line = np.repeat(np.arange(len(breaks) + 1), np.diff(np.r_[0, line, len(starts)])) + text
         new = np.r_[True, line[1:] != line[:-1]][: len(line)]
         of, tok = np.cumsum(new) - 1, _words(data, starts, ends)
+        if words is not None and len(of):
+            held = words[_word_hash(tok >> np.uint64(12))]
+            use = (np.bitwise_or.reduceat(held, np.flatnonzero(new)) & PREFIX != 0)[of]
+            line, text, new, tok = line[use], text[use], new[use], tok[use]
+            of = np.cumsum(new) - 1
         if _packable(of):
             key = of.astype(np.uint64) << np.uint64(44) | tok
             key.sort()
@@ -95,7 +103,14 @@ class Lines:
         else:
             tok = tok[np.lexsort((tok, of))]
         once = np.r_[True, (of[1:] != of[:-1]) | (tok[1:] != tok[:-1])][: len(of)]
-        self.of, self.tok = of[once], tok[once]
+        of, tok = of[once], tok[once]
+        if words is not None and len(of):
+            held = np.bincount(of, words[_word_hash(tok >> np.uint64(12))] & HELD != 0)
+            use = 100 * held >= percent * np.bincount(of)
+            kept = use[of]
+            tok, text, line = tok[kept], text[new][use], line[new][use]
+            of, new = (np.cumsum(use) - 1)[of[kept]], slice(None)
+        self.of, self.tok = of, tok
         self.at = np.flatnonzero(np.r_[True, self.of[1:] != self.of[:-1]][: len(self.of)])
         self.n = np.diff(np.r_[self.at, len(self.of)])
         self.text = text[new]
@@ -111,6 +126,39 @@ class Lines:
             self.bits = self.more_bits = self.sig = self.tok
 
 
+def _spans_of_lines(data: np.ndarray, offsets: np.ndarray, text: np.ndarray, line: np.ndarray):
+    """Where the given lines (text, number) start and end; numbers past the
+    last line of a text give False in the third array."""
+    breaks = np.flatnonzero(data == 10)
+    first, last = np.searchsorted(breaks, offsets[text]), np.searchsorted(breaks, offsets[text + 1])
+    at = first + line
+    exists = at <= last
+    padded = np.r_[breaks, len(data)]
+    start = np.where(line == 0, offsets[text], padded[np.clip(at - 1, 0, len(breaks))] + 1)
+    end = np.where(at < last, padded[np.clip(at, 0, len(breaks))], offsets[text + 1])
+    return start, np.where(exists, end, start), exists
+
+
+def some_lines(col: pa.Array, text: np.ndarray, line: np.ndarray) -> tuple[Lines, np.ndarray]:
+    """The word sets of the given lines (text, number) alone, and which of
+    the given lines each set belongs to (lines without words have none)."""
+    data, offsets = byte_arrays(col)
+    start, end, _ = _spans_of_lines(data, offsets, text, line)
+    size = end - start
+    own = np.r_[0, np.cumsum(size)]
+    x = Lines(data[np.repeat(start - own[:-1], size) + np.arange(own[-1])], own)
+    return x, x.text
+
+
+def _wanted(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line, bits) of a column of array<struct<line, bits>>."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    flat = lists.flatten()
+    return (lists.value_parent_indices().to_numpy(), flat.field(0).to_numpy().astype(np.int64),
+            flat.field(1).to_numpy())
+
+
 def _word_counts(docs: DataFrame) -> np.ndarray:
     """Occurrences of every bucket of word hashes."""
 
@@ -153,7 +201,7 @@ class Flush:
         if packable:
             key |= x.of.astype(np.uint64) << np.uint64(44)
         if words is not None:  # the words of open lines only
-            wanted = words[_word_hash(x.tok >> np.uint64(12))]
+            wanted = words[_word_hash(x.tok >> np.uint64(12))] & PREFIX != 0
             order = np.argsort(key) if packable else np.lexsort((key, x.of))
             key, wanted = key[order], wanted[order]
         else:
@@ -210,7 +258,7 @@ def _entries(docs: DataFrame, rarity, parts: int, percent: int, words=None) -> D
         flush = Flush(parts)
         for batch in batches:
             for s in text_slices(batch, "text"):
-                x = Lines(s.column(1))
+                x = Lines(*byte_arrays(s.column(1)), None if words is None else words.value, percent)
                 if len(x.tok):
                     cls = classes[(x.tok >> np.uint64(44 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64)
                     flush.add(x, s.column(0).to_numpy()[x.text], cls, percent, None if words is None else words.value)
@@ -441,6 +489,27 @@ def _word_places(batch: pa.RecordBatch) -> np.ndarray:
     return _word_hash(np.frombuffer(data.tobytes(), "<u4"))
 
 
+def _prefix_places(rarity, percent: int):
+    """Places of the prefix words of the sets in a batch: similar sets share
+    a word of both their prefixes, so no other word of an open line matters."""
+
+    def places(batch: pa.RecordBatch) -> np.ndarray:
+        data, offsets = byte_arrays(batch.column(0))
+        tok, ends = np.frombuffer(data.tobytes(), "<u4"), offsets // 4
+        n = np.diff(ends)
+        row = np.repeat(np.arange(len(n)), n)
+        key = rarity.value[tok >> np.uint32(32 - BUCKET_BITS)].astype(np.uint64) << np.uint64(32) | tok
+        order = np.lexsort((key, row))
+        key = key[order]
+        pos = np.arange(len(key)) - np.repeat(ends[:-1], n)
+        size = n + percent * n // -100 + 1  # of the prefix
+        # the rest of a word's hash decides between equal keys: take them all
+        edge = key[(ends[:-1] + np.minimum(size, n) - 1)[row]] if len(key) else key
+        return _word_hash(tok[order][(pos < size[row]) | (key <= edge)])
+
+    return places
+
+
 def _doc_place() -> Column:
     return F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS))
 
@@ -465,22 +534,15 @@ def _word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in text_slices(batch, "text"):
-                x = Lines(s.column(1))
-                where = {}
-                for i, (t, l) in enumerate(zip(x.text.tolist(), x.line.tolist())):
-                    where[t, l] = i
-                doc, line, bits, toks = [], [], [], []
+                text, line, want = _wanted(s.column(2))
+                x, of = some_lines(s.column(1), text, line)
+                use = np.flatnonzero(x.bits.view(np.int64) == want[of])
                 ends = np.r_[x.at[1:], len(x.tok)]
-                for t, (d, want) in enumerate(zip(s.column(0).to_pylist(), s.column(2).to_pylist())):
-                    for w in want:
-                        i = where.get((t, w["line"]))
-                        if i is not None and int(x.bits.view(np.int64)[i]) == w["bits"]:
-                            doc.append(d)
-                            line.append(w["line"])
-                            bits.append(w["bits"])
-                            toks.append((x.tok[x.at[i]: ends[i]] >> np.uint64(12)).astype("<u4").tobytes())
+                short = (x.tok >> np.uint64(12)).astype("<u4")
+                toks = [short[x.at[i]: ends[i]].tobytes() for i in use.tolist()]
+                of = of[use]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(bits, pa.int64()),
+                    [s.column(0).take(pa.array(text[of])), pa.array(line[of], pa.int32()), pa.array(want[of], pa.int64()),
                      pa.array(toks, pa.binary())], names=["doc", "line", "bits", "toks"])
 
     sets = near.join(per, "doc").select("doc", "text", "want").mapInArrow(
@@ -547,8 +609,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     left = stored(best.where("more").select(*LINE).join(hit, LINE, "left_anti"), "open-lines")
     while not left.isEmpty():
         wanted = context.broadcast(_bitmap(left.select("doc", "line"), FILTER_BITS, _line_places))  # 2 MB
-        words = context.broadcast(_bitmap(sets.join(left, LINE, "left_semi").select("toks"), WORD_FILTER_BITS,
-                                          _word_places))  # 16 MB
+        open_sets = stored(sets.join(left, LINE, "left_semi").select("toks"), "open-sets")
+        prefix, held = (_bitmap(open_sets, WORD_FILTER_BITS, f) for f in (_prefix_places(rarity, percent), _word_places))
+        words = context.broadcast(prefix * np.uint8(PREFIX) | held * np.uint8(HELD))  # 16 MB
         pairs = candidates(listed, wanted, words).join(left, LINE, "left_semi")
         pairs = stored(pairs.groupBy(*LINE, "cdoc", "cline", "cbits").agg(F.max("more").alias("more")), "line-candidates")
         sets = stored(_word_sets(base, pairs.select(*LINE).union(pairs.select("cdoc", "cline", "cbits"))), "word-sets")
@@ -567,7 +630,8 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, removed: DataFrame) -> Dat
     """``docs`` with their text without the removed lines, and the columns
     ``n_lines`` and ``lines_removed`` (their numbers)."""
     base = docs.withColumn("doc", _key(id_col)).withColumn("n_lines", F.when(
-        F.col(text_col).isNull(), 0).otherwise(F.size(F.split(F.col(text_col), "\n"))).cast("long"))
+        F.col(text_col).isNull(), 0).otherwise(
+            1 + F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))).cast("long"))
     hit, clean = maybe_in(base, removed.select("doc"))
     joined = hit.join(_per_document(removed), "doc", "left")
     at, gone_at = joined.columns.index(text_col), joined.columns.index("gone")
@@ -577,14 +641,17 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, removed: DataFrame) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in text_slices(batch, text_col):
-                x = Lines(s.column(at))
-                bits = {(t, l): b for t, l, b in zip(x.text.tolist(), x.line.tolist(), x.bits.view(np.int64).tolist())}
-                texts, numbers = [], []
-                for t, (text, gone) in enumerate(zip(s.column(at).to_pylist(), s.column(gone_at).to_pylist())):
-                    cut = {w["line"] for w in gone or () if bits.get((t, w["line"])) == w["bits"]}
-                    numbers.append(sorted(cut))
-                    texts.append(text if not cut else "\n".join(
-                        y for i, y in enumerate(text.split("\n")) if i not in cut))
+                text, line, want = _wanted(s.column(gone_at))
+                x, of = some_lines(s.column(at), text, line)
+                of = of[x.bits.view(np.int64) == want[of]]
+                of = of[np.lexsort((line[of], text[of]))]
+                lines = np.split(line[of], np.searchsorted(text[of], np.arange(1, s.num_rows)))
+                numbers = [c.tolist() for c in lines]
+                texts = s.column(at).to_pylist()
+                for t, cut in enumerate(numbers):
+                    if cut:
+                        gone = set(cut)
+                        texts[t] = "\n".join(y for i, y in enumerate(texts[t].split("\n")) if i not in gone)
                 cols = list(s.columns)
                 cols[at] = pa.array(texts, pa.string())
                 cols.pop(gone_at)
