@@ -234,7 +234,7 @@ class Flush:
             own = np.flatnonzero(stays)
             of, tok, pos = np.r_[of, own], np.r_[tok, sig[own]], np.r_[pos, np.full(len(own), EQUAL)]
         part = ((tok >> np.uint64(32)) % np.uint64(self.parts)).astype(np.int64)
-        by = np.argsort(part, kind="stable")
+        by = np.argsort(part.astype(np.uint16) if self.parts < 1 << 16 else part, kind="stable")  # 16 bits: by radix
         of, tok, pos, part = of[by], tok[by], pos[by], part[by]
         e = np.empty(len(of), ENTRY)
         e["tok"], e["pos"], e["doc"], e["line"] = tok & np.uint64(0xFFFFFFFF), pos, doc[of], line[of]
@@ -355,30 +355,39 @@ class Found:
                 e["bits"][b].view(np.int64), miss.astype(np.int32), self.more[a]]
 
 
-def _passes(e: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs pass the length, positional and bitmap filters, and their
-    distance by the bitmaps."""
-    na, nb = e["n"][a].astype(np.int64), e["n"][b].astype(np.int64)
-    need = overlap_needed(na, nb, percent)
-    apart = np.bitwise_count(e["bits"][a] ^ e["bits"][b]).astype(np.int64) + np.bitwise_count(
-        e["more_bits"][a] ^ e["more_bits"][b])
-    most = np.minimum(na - e["pos"][a], nb - e["pos"][b])
-    ok = (most >= need) & ((na + nb - apart) // 2 >= need) & (percent * np.maximum(na, nb) <= 100 * np.minimum(na, nb))
-    return ok, apart
+class Fields:
+    """The fields of entries that the filters read, each by itself."""
+
+    def __init__(self, e: np.ndarray):
+        self.n, self.rest = e["n"].astype(np.int64), (e["n"] - e["pos"]).astype(np.int64)
+        self.bits, self.more_bits = np.ascontiguousarray(e["bits"]), np.ascontiguousarray(e["more_bits"])
+
+
+def _passes(x: Fields, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs (their places) pass the length, positional and bitmap
+    filters, and their distance by the bitmaps, which are read last."""
+    na, nb = x.n[a], x.n[b]
+    ok = np.minimum(x.rest[a], x.rest[b]) * (100 + percent) >= percent * (na + nb)
+    ok &= (percent * na <= 100 * nb) & (percent * nb <= 100 * na)
+    at = np.flatnonzero(ok)
+    a, b, both = a[at], b[at], (na + nb)[at]
+    apart = np.bitwise_count(x.bits[a] ^ x.bits[b]).astype(np.int64) + np.bitwise_count(x.more_bits[a] ^ x.more_bits[b])
+    near = (both - apart) // 2 * (100 + percent) >= percent * both
+    return at[near], apart[near]
 
 
 def _meet_sorted(e: np.ndarray, ends: np.ndarray, found: Found, percent: int) -> None:
     """Pairs of entries of one word each (sorted by word and size; ``ends``
     is where an entry's word ends), those ``d`` places apart at a time."""
     act, d = np.arange(len(e)), 1
-    n = e["n"].astype(np.int64)
+    x = Fields(e)
     while True:
         act = act[act + d < ends[act]]
-        act = act[percent * n[act + d] <= 100 * n[act]]
+        act = act[percent * x.n[act + d] <= 100 * x.n[act]]
         if not len(act):
             return
-        ok, apart = _passes(e, act, act + d, percent)
-        found.add(act[ok], act[ok] + d, apart[ok])
+        ok, apart = _passes(x, act, act + d, percent)
+        found.add(act[ok], act[ok] + d, apart)
         d += 1
 
 
@@ -450,14 +459,14 @@ def _compare_blocks(blocks: DataFrame, percent: int, listed: int, wanted=None) -
                 if same:
                     _meet_sorted(e, np.full(len(e), len(e)), found, percent)
                 else:
-                    left, right = np.arange(len(x)), np.arange(len(y))
+                    left, right, fields = np.arange(len(x)), np.arange(len(y)), Fields(e)
                     for shift in range(max(len(x), len(y))):  # every pair once, no entry twice at a time
                         if len(x) <= len(y):
                             a, c = left, len(x) + (left + shift) % len(y)
                         else:
                             a, c = (right + shift) % len(x), len(x) + right
-                        ok, apart = _passes(e, a, c, percent)
-                        found.add(a[ok], c[ok], apart[ok])
+                        ok, apart = _passes(fields, a, c, percent)
+                        found.add(a[ok], c[ok], apart)
                 yield from _table(found.rows(), []).to_batches()
 
     return blocks.mapInArrow(run, PAIR)
