@@ -18,7 +18,7 @@ class _OnUse:
     table is first asked for."""
 
     def __set_name__(self, owner, name: str) -> None:
-        self.slot = f"_{name}"
+        self.slot = name
 
     def __get__(self, tables, owner=None) -> DataFrame:
         if tables is None:
