@@ -1,4 +1,4 @@
-"""Removal of repeated passages by prefix-free parsing.
+"""Removal of repeated passages on the phrases of a prefix-free parse.
 
 Removed is every byte covered by a string of ``length`` (50) bytes that also
 starts in a document with a smaller id; matches do not cross documents.
@@ -14,10 +14,12 @@ bytes from the first window's start to the last one's end.
    repeated window, and its phrase goes no further.
 2. The phrases of the others form the dictionary: each block sends every
    distinct phrase once, with the smallest id that holds it.
-3. Within a trigger, equal phrases are one; of different ones, the suffixes
-   are sorted by their first 50 bytes (as their 64-bit hashes at the same
-   place relative to the trigger), which puts equal windows of the whole
-   corpus next to each other, with the smallest id first.
+3. Within a trigger, equal phrases are one; of different ones, the windows
+   are grouped by their 64-bit hashes at the same place relative to the
+   trigger, each with the smallest id. This stands in place of the suffix
+   arrays of dictionary and parse: all matches asked for are of one fixed
+   length, each lies in one phrase, and only the smallest id of equal windows
+   is needed, for which their order is not.
 4. Back in the blocks, a phrase that a smaller id has is covered as a whole;
    one that its document has first is covered where step 3 says so.
 
@@ -40,6 +42,7 @@ from pyspark.sql import functions as F
 from subscope.llm.common import SpanHash, byte_arrays, mix64, shuffle_partitions, stored, text_slices
 
 LENGTH, TRIGGER = 50, 24
+LONGEST = 86  # a phrase's windows are bits of one 64-bit number
 BLOCK_BYTES = 1 << 21
 SEGMENT = 1 << 20  # positions worked on at once
 PART_TRIGGERS = 500_000  # triggers a reducer gets on average
@@ -327,7 +330,11 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     [(start, end) bytes) and the remaining bytes.
 
     A null text is empty; documents shorter than ``length`` lose nothing;
-    rows that share an id do not affect each other, null ids come last."""
+    rows that share an id do not affect each other, null ids come last.
+    ``length`` is from TRIGGER to ``LONGEST``: a phrase keeps one bit a window
+    in 64 bits."""
+    if not TRIGGER <= length <= LONGEST:
+        raise ValueError(f"length {length} is not from {TRIGGER} to {LONGEST}")
     blocks = stored(blocks_of(docs, id_col, text_col), "blocks")
     total = blocks.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     parts = max(shuffle_partitions(docs), math.ceil(total * 2.5 * 2 / (length - TRIGGER + 2) / PART_TRIGGERS))

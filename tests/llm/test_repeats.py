@@ -1,5 +1,6 @@
 """Op 9 against brute force over all 50-byte strings."""
 
+import pytest
 import random
 
 from pyspark.sql import functions as F
@@ -79,3 +80,29 @@ def test_edges(spark):
     assert result(repeats.repeated_passages(d)) == plain(rows)
     assert repeats.repeated_passages(docs(spark, [])).count() == 0
     assert result(repeats.repeated_passages(docs(spark, [(1, None), (2, "short")]))) == [(1, 0, 0, 0, b""), (2, 5, 0, 0, b"short")]
+
+
+@pytest.mark.parametrize("length", [64, 86])
+def test_other_lengths(spark, length):
+    rng = random.Random(length)
+    passages = ["".join(rng.choice("ab c") for _ in range(rng.randrange(length - 4, 300))) for _ in range(12)]
+    rows = [(d, "".join(rng.choice(passages) if rng.random() < 0.6 else "".join(
+        rng.choice("abcdefgh ") for _ in range(rng.randrange(1, 200))) for _ in range(5))) for d in range(60)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in repeats.repeated_passages(docs(spark, rows), length).collect()}
+    want = {}
+    seen: set = set()
+    for d, t in rows:
+        b = t.encode()
+        covered = set()
+        for i in range(len(b) - length + 1):
+            if b[i:i + length] in seen:
+                covered.update(range(i, i + length))
+        want[d] = covered
+        seen |= {b[i:i + length] for i in range(len(b) - length + 1)}
+    assert {d: {x for a, e in s for x in range(a, e)} for d, s in got.items()} == want and any(want.values())
+
+
+@pytest.mark.parametrize("length", [23, 87, 150])
+def test_lengths_out_of_reach_are_refused(spark, length):
+    with pytest.raises(ValueError, match="length"):
+        repeats.repeated_passages(docs(spark, [(1, "a")]), length)
