@@ -18,9 +18,11 @@ import datetime as dt
 
 from pyspark.sql import SparkSession
 
+from subscope.operators.history import HISTORY_REPORTS, as_crm, read_history
 from subscope.params import ReportParams
 from subscope.plans.reports import REPORTS
 from subscope.session import configure
+from subscope.sources.buckets import read_bucketed
 from subscope.sources.tables import read_tables
 
 
@@ -64,6 +66,8 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     ap.add_argument("--inspect", action="store_true", help="churn rate: per-district contract counts instead")
     ap.add_argument("--conform-types", action="store_true",
                     help="read the tables as stored and cast to the declared schema")
+    ap.add_argument("--bucketed", action="store_true", help="the tables were written by write_bucketed")
+    ap.add_argument("--history", help="folder of the stored CRM history; reports that can run from it do")
     return ap.parse_args(argv)
 
 
@@ -82,12 +86,18 @@ def params_from(args: argparse.Namespace) -> ReportParams:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> list[str]:
     args = parse_args(argv)
     spark = configure(spark or SparkSession.builder.appName("subscope").getOrCreate())
-    tables = read_tables(spark, args.tables, fmt=args.format, conform_types=args.conform_types)
+    if args.bucketed:
+        tables = read_bucketed(spark, args.tables)
+    else:
+        tables = read_tables(spark, args.tables, fmt=args.format, conform_types=args.conform_types)
+    short = tables
+    if args.history:
+        short = dataclasses.replace(tables, crm=as_crm(read_history(spark, args.history)))
     p = params_from(args)
     written = []
     for name in args.report or sorted(REPORTS):
         path = f"{args.out}/{name}"
-        REPORTS[name](tables, p).write.mode(args.mode).parquet(path)
+        REPORTS[name](short if name in HISTORY_REPORTS else tables, p).write.mode(args.mode).parquet(path)
         written.append(path)
     return written
 

@@ -31,8 +31,9 @@ def _agg(df: DataFrame, keys: list[str], **aggs: str) -> DataFrame:
 
 
 def keyed(crm: DataFrame) -> DataFrame:
-    """CRM rows with their padded contract."""
-    return crm.withColumn("contract", X.pad_key("account_id"))
+    """CRM rows with their padded contract (read where it is stored, see
+    :mod:`subscope.sources.buckets`)."""
+    return crm if "contract" in crm.columns else crm.withColumn("contract", X.pad_key("account_id"))
 
 
 def with_disconnect_order(crm: DataFrame, orders: DataFrame, p: ReportParams) -> DataFrame:
@@ -58,8 +59,7 @@ def with_order_filter(orders: DataFrame, p: ReportParams) -> ReportParams:
 
 
 def _dated(crm: DataFrame, *more: str) -> DataFrame:
-    rows = crm if "contract" in crm.columns else keyed(crm)
-    return rows.selectExpr("contract", "account_id", "snapshot_date", "to_date(churn_ts) AS cd", *more)
+    return keyed(crm).selectExpr("contract", "account_id", "snapshot_date", "to_date(churn_ts) AS cd", *more)
 
 
 def account_churn_summary(crm: DataFrame) -> DataFrame:

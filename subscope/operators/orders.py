@@ -11,12 +11,14 @@ from subscope.params import ReportParams
 
 
 def disconnect_orders(orders: DataFrame, p: ReportParams) -> DataFrame:
-    """Disconnect orders with an open date, keyed by the padded contract."""
+    """Disconnect orders with an open date, keyed by the padded contract (read
+    where it is stored, see :mod:`subscope.sources.buckets`)."""
+    contract = "contract" if "contract" in orders.columns else X.pad_key("contract_id").alias("contract")
     return orders.where(
         (F.col("order_type") == X.DISCONNECT)
         & X.status_kept("status", p.strict_status)
         & F.col("opened_on").isNotNull()
-    ).select(X.pad_key("contract_id").alias("contract"), "opened_on", "sub_reason")
+    ).select(contract, "opened_on", "sub_reason")
 
 
 def disconnect_first_orders(orders: DataFrame, p: ReportParams) -> DataFrame:

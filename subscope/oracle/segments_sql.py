@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from subscope.oracle.parts import HORIZON, TRENDS, int_month, key, months_of_life_4, query, spanish_month
+from subscope.oracle.reports_sql import P01
 
 _PLACE = """
 SELECT contract, last_churn, {month} AS last_churn_month, dist AS district_code, cant AS canton_code,
@@ -61,6 +62,13 @@ SELECT mon AS month, CASE grouping(dist, cant, prov) WHEN 0 THEN 'district' WHEN
                    ELSE 'country' END AS level,
        prov AS province_code, cant AS canton_code, dist AS district_code, count(DISTINCT account_id) AS actives
 FROM lived GROUP BY GROUPING SETS ((mon, prov, cant, dist), (mon, prov, cant), (mon, prov), (mon))""", "lived"),
+    "crm_history": """
+SELECT account_id, make_date(year(snapshot_date), month(snapshot_date), 1) AS month, churn_ts, install_ts,
+       CASE WHEN bb_product_id IS NULL THEN 0 ELSE 4 END + CASE WHEN tv_product_id IS NULL THEN 0 ELSE 2 END
+       + CASE WHEN vo_product_id IS NULL THEN 0 ELSE 1 END AS owned, district_code, canton_code, province_code,
+       max(snapshot_date) AS last_snapshot, max(age_months) AS max_age
+FROM crm_snapshots GROUP BY ALL""",
+    "bundle_churners_from_history": P01,
     "crm_installs_in_year": query("SELECT * FROM installed", "installed"),
     "new_residential_sales": query("SELECT * FROM sold", "sold"),
     "confirmed_sales": query("SELECT * FROM cohort", "cohort"),

@@ -3,17 +3,21 @@ one's semantics is checked at scale against the oracle."""
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subscope.operators import churn as C
 from subscope.operators import geography as G
+from subscope.operators import history as H
 from subscope.operators import orders as O
 from subscope.operators import pricing as PR
 from subscope.operators import revenue as R
 from subscope.operators import sales as S
 from subscope.operators.bundles import last_snapshot_bundles
 from subscope.params import DEFAULT_PARAMS, ReportParams
+from subscope.plans.reports import bundle_churners_by_month
 from subscope.sources.tables import Tables
 
 P = DEFAULT_PARAMS
@@ -122,6 +126,18 @@ def active_rollup(t: Tables, p: ReportParams = P) -> DataFrame:
     return G.active_rollup(t.crm)
 
 
+def crm_history(t: Tables, p: ReportParams = P) -> DataFrame:
+    """The CRM as mergeable facts: the histories of the dates up to the 15th
+    of a month and of the later ones, made apart and merged."""
+    early = F.dayofmonth("snapshot_date") <= 15
+    return H.merged(H.history_of(t.crm.where(early)).unionByName(H.history_of(t.crm.where(~early))))
+
+
+def bundle_churners_from_history(t: Tables, p: ReportParams = P) -> DataFrame:
+    """P01 from the history in place of the CRM table."""
+    return bundle_churners_by_month(dataclasses.replace(t, crm=H.as_crm(crm_history(t, p))), p)
+
+
 def crm_installs_in_year(t: Tables, p: ReportParams = P) -> DataFrame:
     return S.crm_installs_in_year(t.crm, p)
 
@@ -199,6 +215,8 @@ SEGMENTS = {
     "district_churner_counts": district_churner_counts,
     "crm_of_disconnected": crm_of_disconnected,
     "active_rollup": active_rollup,
+    "crm_history": crm_history,
+    "bundle_churners_from_history": bundle_churners_from_history,
     "crm_installs_in_year": crm_installs_in_year,
     "new_residential_sales": new_residential_sales,
     "confirmed_sales": confirmed_sales,
