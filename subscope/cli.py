@@ -19,6 +19,7 @@ import datetime as dt
 from pyspark.sql import SparkSession
 
 from subscope.operators.history import HISTORY_REPORTS, as_crm, read_history
+from subscope.operators.traps import log_warnings, watched
 from subscope.params import ReportParams
 from subscope.plans.reports import REPORTS
 from subscope.session import configure
@@ -68,6 +69,8 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
                     help="read the tables as stored and cast to the declared schema")
     ap.add_argument("--bucketed", action="store_true", help="the tables were written by write_bucketed")
     ap.add_argument("--history", help="folder of the stored CRM history; reports that can run from it do")
+    ap.add_argument("--watch", action="store_true",
+                    help="count odd input rows while a report runs, into --out/<report>_counts and the log")
     return ap.parse_args(argv)
 
 
@@ -97,7 +100,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     written = []
     for name in args.report or sorted(REPORTS):
         path = f"{args.out}/{name}"
-        REPORTS[name](short if name in HISTORY_REPORTS else tables, p).write.mode(args.mode).parquet(path)
+        source = short if name in HISTORY_REPORTS else tables
+        if args.watch and source is tables:  # a history has no single snapshots to count
+            source, watch = watched(source)
+            report = REPORTS[name](source, p)
+            report.write.mode(args.mode).parquet(path)
+            counts = watch.counts(report)
+            rows = [(table, counter, n) for table, own in counts.items() for counter, n in own.items()]
+            if rows:
+                spark.createDataFrame(rows, "table string, counter string, n long").coalesce(1).write.mode(
+                    args.mode).parquet(f"{path}_counts")
+            log_warnings(name, counts)
+        else:
+            REPORTS[name](source, p).write.mode(args.mode).parquet(path)
         written.append(path)
     return written
 
