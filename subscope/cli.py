@@ -18,10 +18,12 @@ import datetime as dt
 
 from pyspark.sql import SparkSession
 
+from subscope.functions.sql import register_sql_functions
 from subscope.operators.history import HISTORY_REPORTS, as_crm, read_history
 from subscope.operators.traps import log_warnings, watched
 from subscope.params import ReportParams
 from subscope.plans.reports import REPORTS
+from subscope.plans.sql_reports import register_report_functions
 from subscope.session import configure
 from subscope.sources.buckets import read_bucketed
 from subscope.sources.tables import read_tables
@@ -46,6 +48,8 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     ap.add_argument("--tables", required=True, help="root folder of the five tables (read_tables layout)")
     ap.add_argument("--out", required=True, help="output folder; one parquet dataset per report")
     ap.add_argument("--report", action="append", choices=sorted(REPORTS), help="report to run (repeatable; default all)")
+    ap.add_argument("--sql", action="append", help="a SELECT over the tables and the reports as SQL functions, e.g. "
+                    "\"SELECT * FROM district_churn_rate(2021, 3)\"; written to --out/sql_<n> (repeatable)")
     ap.add_argument("--format", default="parquet", help="input format of the tables")
     ap.add_argument("--mode", default="errorifexists", help="save mode of the outputs")
     ap.add_argument("--year", type=int)
@@ -98,7 +102,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
         short = dataclasses.replace(tables, crm=as_crm(read_history(spark, args.history)))
     p = params_from(args)
     written = []
-    for name in args.report or sorted(REPORTS):
+    if args.sql:
+        tables.views(spark)
+        register_sql_functions(spark)
+        register_report_functions(spark, tables, p)
+    for n, text in enumerate(args.sql or [], 1):
+        path = f"{args.out}/sql_{n}"
+        spark.sql(text).write.mode(args.mode).parquet(path)
+        written.append(path)
+    for name in args.report or ([] if args.sql else sorted(REPORTS)):
         path = f"{args.out}/{name}"
         source = short if name in HISTORY_REPORTS else tables
         if args.watch and source is tables:  # a history has no single snapshots to count

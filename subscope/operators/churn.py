@@ -62,6 +62,11 @@ def _dated(crm: DataFrame, *more: str) -> DataFrame:
     return keyed(crm).selectExpr("contract", "account_id", "snapshot_date", "to_date(churn_ts) AS cd", *more)
 
 
+def in_year(day: str, p: ReportParams) -> str:
+    """SQL test that a day is in the report year (any, if there is none)."""
+    return f"{day} IS NOT NULL" if p.year is None else f"year({day}) = {int(p.year)}"
+
+
 def account_churn_summary(crm: DataFrame) -> DataFrame:
     """One row per raw account: padded key, last / first churn date, last
     snapshot, and the first churn date under each bundle label.
@@ -92,10 +97,10 @@ def churn_roles(summary: DataFrame, p: ReportParams, bundles: bool = True) -> Da
     no_label = "CAST(NULL AS STRING)"
     roles = [
         ("L", ["contract", no_label, "CASE WHEN month(last_churn) = month(last_snapshot) THEN last_churn END"]),
-        ("F", ["contract", no_label, f"CASE WHEN year(first_churn) = {int(p.year)} THEN first_churn END"]),
+        ("F", ["contract", no_label, f"CASE WHEN {in_year('first_churn', p)} THEN first_churn END"]),
     ]
     for name, label, _ in _BUNDLE_SLOTS if bundles else []:
-        roles.append(("B", ["contract", X.quoted(label), f"CASE WHEN year({name}) = {int(p.year)} THEN {name} END"]))
+        roles.append(("B", ["contract", X.quoted(label), f"CASE WHEN {in_year(name, p)} THEN {name} END"]))
     return stack_roles(summary, roles, ["contract", "bundle", "day"]).where(F.col("day").isNotNull()).distinct()
 
 
@@ -110,20 +115,22 @@ def contract_days(summary: DataFrame, p: ReportParams, **more: str) -> DataFrame
     bounded by the calendar however many raw spellings share a key (T7).
     ``more`` adds aggregates (SQL) of the summary's rows.
     """
-    year, have = int(p.year), summary.columns
+    have = summary.columns
     aggs = {"lasts": "collect_set(CASE WHEN month(last_churn) = month(last_snapshot) THEN last_churn END)",
-            "firsts": f"collect_set(CASE WHEN year(first_churn) = {year} THEN first_churn END)"}
+            "firsts": f"collect_set(CASE WHEN {in_year('first_churn', p)} THEN first_churn END)"}
     slots = ", ".join(f"named_struct('bundle', {X.quoted(label)}, 'day', {name})"
                       for name, label, _ in _BUNDLE_SLOTS if name in have)
     if slots:
-        aggs["bundles"] = f"array_distinct(flatten(collect_set(filter(array({slots}), b -> year(b.day) = {year}))))"
+        aggs["bundles"] = f"array_distinct(flatten(collect_set(filter(array({slots}), b -> {in_year('b.day', p)}))))"
     return _agg(summary, ["contract"], **aggs, **more)
 
 
 def explains(first: str, p: ReportParams) -> str:
     """Whether the contract's earliest disconnect order explains a first
     churn: opened on or before it, at most some calendar months earlier (T3)."""
-    return f"{first} >= opened_on AND {X.sql_month_diff(first, 'opened_on')} <= {int(p.max_order_lead_months)}"
+    bound = p.max_order_lead_months
+    near = "" if bound is None else f" AND {X.sql_month_diff(first, 'opened_on')} <= {int(bound)}"
+    return f"{first} >= opened_on{near}"
 
 
 def attributed(days: DataFrame, split: DataFrame, p: ReportParams, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -268,7 +275,7 @@ def contract_places(crm: DataFrame, p: ReportParams) -> DataFrame:
     fine = fine.selectExpr("*", "min(first_churn) OVER (PARTITION BY contract, account_id) AS account_first")
     per = _agg(fine, ["contract", *LOCATION], last_churn="max(last_churn)", last_snapshot="max(last_snapshot)",
                max_age="max(max_age)",
-               firsts=f"collect_set(CASE WHEN year(account_first) = {int(p.year)} THEN account_first END)")
+               firsts=f"collect_set(CASE WHEN {in_year('account_first', p)} THEN account_first END)")
     place = f"struct({', '.join(LOCATION)}, last_churn, max_age)"
     return _agg(per, ["contract"], firsts="array_distinct(flatten(collect_list(firsts)))",
                 places=f"collect_list(CASE WHEN month(last_churn) = month(last_snapshot) THEN {place} END)")
@@ -280,10 +287,7 @@ def churners_by_place(crm: DataFrame, orders: DataFrame, p: ReportParams, month:
     churner's trimmed location, for one month of the last churn or all.
     They are counted before the catalogue is matched: a row a place and task
     is moved, however many churners a place has."""
-    days = contract_places(with_disconnect_order(crm, orders, p), p)
-    j = days.join(disconnect_reason_split(orders, p).select("contract", "opened_on"), "contract")
-    j = j.selectExpr("places", f"explode(filter(firsts, f -> {explains('f', p)})) AS first_churn")
-    j = j.selectExpr("first_churn", "inline(places)").where("first_churn <= last_churn")
+    j = churner_places(crm, orders, p)
     if month is not None:
         j = j.where(f"month(last_churn) = {int(month)}")
     keys = list(LOCATION)
@@ -291,3 +295,12 @@ def churners_by_place(crm: DataFrame, orders: DataFrame, p: ReportParams, month:
         j = j.withColumn("tenure", F.expr(X.sql_band("max_age", X.TENURE_4)))
         keys.append("tenure")
     return j.groupBy(*keys).agg(F.expr("count(1) AS churners"))
+
+
+def churner_places(crm: DataFrame, orders: DataFrame, p: ReportParams) -> DataFrame:
+    """Attribution rows (G08) by the churner's trimmed location, with the two
+    churn days, the order's day and the greatest age."""
+    days = contract_places(with_disconnect_order(crm, orders, p), p)
+    j = days.join(disconnect_reason_split(orders, p).select("contract", "opened_on"), "contract")
+    j = j.selectExpr("opened_on", "places", f"explode(filter(firsts, f -> {explains('f', p)})) AS first_churn")
+    return j.selectExpr("opened_on", "first_churn", "inline(places)").where("first_churn <= last_churn")

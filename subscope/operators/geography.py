@@ -167,6 +167,28 @@ def contract_districts(crm: DataFrame, p: ReportParams) -> DataFrame:
     return contract_days(rows, p, seen="collect_set(pair)")
 
 
+def _contracts_with_order(crm: DataFrame, orders: DataFrame, p: ReportParams) -> DataFrame:
+    """Contract rows with the earliest disconnect order and its number of
+    reason classes, if there is one."""
+    once = disconnect_reason_split(orders, p).groupBy("contract").agg(
+        F.expr("min(opened_on) AS opened_on"), F.expr("count(1) AS classes"))
+    return contract_districts(crm, p).join(once, "contract", "left")
+
+
+def district_facts(crm: DataFrame, orders: DataFrame, p: ReportParams) -> DataFrame:
+    """What :func:`district_counts` adds up, a row each: the rows of G16
+    (``contracts`` 1, no first churn) and of G18 (``churners``, the ties of
+    the order), with the first churn and its order's day. All are filtered by
+    year and lead, then summed by code and month."""
+    one = "struct(CAST(NULL AS DATE) AS first_churn, CAST(NULL AS DATE) AS opened_on, 1L AS contracts, 0L AS churners)"
+    churn = "struct(f AS first_churn, opened_on, 0L AS contracts, classes AS churners)"
+    hits = f"filter(firsts, f -> {explains('f', p)} AND f <= pair.district_last AND array_contains(lasts, pair.district_last))"
+    j = _contracts_with_order(crm, orders, p).selectExpr("opened_on", "classes", "lasts", "firsts", "explode(seen) AS pair")
+    return j.selectExpr(
+        "pair.district_code", "month(pair.district_last) AS month",
+        f"inline(concat(array({one}), transform({hits}, f -> {churn})))")
+
+
 def district_counts(crm: DataFrame, orders: DataFrame, districts: DataFrame, p: ReportParams,
                     by_month: bool = False) -> DataFrame:
     """(district, district_code[, month], contracts, churners): the rows of
@@ -177,9 +199,7 @@ def district_counts(crm: DataFrame, orders: DataFrame, districts: DataFrame, p:
     Both counts come from one pass over the contract rows and are summed by
     code before the catalogue is matched by name, twelve months side by side,
     so a row a code and task is moved."""
-    once = disconnect_reason_split(orders, p).groupBy("contract").agg(
-        F.expr("min(opened_on) AS opened_on"), F.expr("count(1) AS classes"))
-    j = contract_districts(crm, p).join(once, "contract", "left")
+    j = _contracts_with_order(crm, orders, p)
     j = j.selectExpr("classes", "lasts", f"filter(firsts, f -> {explains('f', p)}) AS firsts", "explode(seen) AS pair")
     j = j.selectExpr(
         "pair.district_code", "month(pair.district_last) AS month",

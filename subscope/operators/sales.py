@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subscope.functions import exprs as X
+from subscope.operators.churn import in_year
 from subscope.params import ReportParams
 
 # Sale filters of the new-residential-sales cohort (fixed values).
@@ -18,7 +19,7 @@ SALE_REASONS = ("VENTA NUEVA ", "VENTA")  # the trailing blank is part of the va
 def crm_installs_in_year(crm: DataFrame, p: ReportParams) -> DataFrame:
     """Distinct (padded account, install timestamp) installed in the year."""
     return (
-        crm.where(F.year("install_ts") == p.year)
+        crm.where(in_year("install_ts", p))
         .select(X.pad_key("account_id").alias("contract"), "install_ts")
         .distinct()
     )
@@ -30,7 +31,7 @@ def new_residential_sales(activations: DataFrame, p: ReportParams) -> DataFrame:
     a = activations.where(
         (F.col("sale_type") == NEW_SALE_TYPE)
         & F.col("customer_type").isin(*RESIDENTIAL_TYPES)
-        & (F.year("sold_on") == p.year)
+        & F.expr(in_year("sold_on", p))
         & (F.col("movement_type") == SALE_MOVEMENT)
         & F.col("reason").isin(*SALE_REASONS)
     )

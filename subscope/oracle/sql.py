@@ -5,6 +5,14 @@ from __future__ import annotations
 from subscope.oracle.prelude import PRELUDE
 
 
+# reports whose table function in SQL takes arguments
+CALLED = (
+    "bundle_churners_by_month", "bundle_active_tenure", "bundle_churner_tenure", "mrc_non_churner_evolution",
+    "district_churners", "district_churners_tenure", "district_churners_ids", "district_active_ids",
+    "district_churn_rate", "district_churn_rate_by_month", "new_sales_by_channel", "new_sales_churners_by_channel",
+)
+
+
 def with_prelude(body: str) -> str:
     """``body`` is ``name AS (...), ... SELECT ...`` or a bare SELECT."""
     body = body.strip()
@@ -25,7 +33,9 @@ def oracle_bodies() -> dict[str, str]:
     from subscope.oracle.reports_sql import REPORT_SQL
     from subscope.oracle.segments_sql import SEGMENT_SQL
 
-    return {**REPORT_SQL, **SEGMENT_SQL, **PRIMITIVE_SQL}
+    # the reports that are also called as SQL functions have the same oracle
+    called = {f"sql_{k}": REPORT_SQL[k] for k in CALLED}
+    return {**REPORT_SQL, **called, **SEGMENT_SQL, **PRIMITIVE_SQL}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,11 +12,12 @@ def _months(year: int, *months: int) -> tuple[dt.date, ...]:
 
 @dataclass(frozen=True)
 class ReportParams:
-    # analysis year of the churn / sales reports
-    year: int = 2021
+    # analysis year of the churn / sales reports; None: every year (the
+    # reports as SQL functions filter by year above, see plans/sql_reports.py)
+    year: int | None = 2021
     # a disconnect order counts for a churn if opened at most this many
-    # calendar months before the first churn date
-    max_order_lead_months: int = 3
+    # calendar months before the first churn date; None: no bound
+    max_order_lead_months: int | None = 3
     # literal status predicate keeps every non-null status; True applies the
     # evident intent (neither cancelled nor annulled)
     strict_status: bool = False

@@ -26,8 +26,9 @@ def builders() -> dict:
     from subscope.plans.primitives import PRIMITIVES
     from subscope.plans.reports import REPORTS
     from subscope.plans.segments import SEGMENTS
+    from subscope.plans.sql_reports import SQL_REPORTS
 
-    return {**REPORTS, **SEGMENTS, **PRIMITIVES}
+    return {**REPORTS, **SQL_REPORTS, **SEGMENTS, **PRIMITIVES}
 
 
 def queries() -> dict[str, QueryFn]:
