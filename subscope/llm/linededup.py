@@ -17,7 +17,8 @@ in, whether or not they stay. Lines without words stay.
 
 Prefix entries travel as packed arrays, one row for each reducer and flush,
 and of equal sets only the first of a flush does. The entries of one very
-common word are compared in blocks dealt over tasks. Text is moved only of
+common word are cut into blocks, which meet by a join on their numbers and
+are compared by tasks of their own. Text is moved only of
 documents that may hold a candidate (a bitmap of fixed size tells).
 """
 
@@ -57,7 +58,9 @@ _TOKEN = np.uint64((1 << 44) - 1)
 ENTRY = np.dtype([("tok", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("bits", "<u8"),
                   ("more_bits", "<u8")])
 LINE = ["doc", "line", "bits"]
-PAIR = "doc long, line int, bits long, cdoc long, cline int, cbits long, miss int, more boolean, block binary"
+PAIR = "doc long, line int, bits long, cdoc long, cline int, cbits long, miss int, more boolean"
+# a block of the entries of one common word: its number, least and greatest size of a set, packed entries
+BLOCKS = "word long, number int, low int, high int, block binary"
 
 
 def _key(id_col: str) -> Column:
@@ -416,13 +419,11 @@ def _meeting(percent: int, listed: int, wanted=None, block: int | None = None):
         at = np.flatnonzero(np.r_[True, e["tok"][1:] != e["tok"][:-1]][: len(e)])
         size = np.diff(np.r_[at, len(e)])
         blocks = []
-        for i in np.flatnonzero(size > 2 * block).tolist():  # a common word: blocks of similar length
+        for i in np.flatnonzero(size > 2 * block).tolist():  # a common word: blocks of similar length, each once
             own = e[at[i]: at[i] + size[i]]
-            cut = [own[j: j + block] for j in range(0, len(own), block)]
-            for j, x in enumerate(cut):
-                for y in cut[j:]:
-                    if percent * int(y["n"][0]) <= 100 * int(x["n"][-1]):
-                        blocks.append((_pack(x), _pack(y)))
+            for j in range(0, len(own), block):
+                x = own[j: j + block]
+                blocks.append((int(x["tok"][0]), j // block, int(x["n"][0]), int(x["n"][-1]), _pack(x)))
         small = np.repeat(size <= 2 * block, size)
         e, ends = e[small], np.repeat(np.cumsum(np.where(size <= 2 * block, size, 0)), size)[small]
         found = Found(e, listed, None if wanted is None else wanted.value)
@@ -432,28 +433,48 @@ def _meeting(percent: int, listed: int, wanted=None, block: int | None = None):
     return meet
 
 
-def _table(rows: list[np.ndarray], blocks: list[tuple[bytes, bytes]], gone=None) -> pa.Table:
+def _table(rows: list[np.ndarray], blocks: list[tuple] | None = None, gone=None) -> pa.Table:
+    """A row a pair, then a row a line of ``gone``; with ``blocks`` (a list,
+    of rows of ``BLOCKS``) a row each of these and their columns too."""
     names = [*LINE, "cdoc", "cline", "cbits", "miss", "more"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
-    cols = [[pa.array(r, t), pa.nulls(len(blocks), t)] for r, t in zip(rows, kinds)]
+    cols = [[pa.array(r, t)] for r, t in zip(rows, kinds)]
     n = len(rows[0])
-    packed = pa.array([None] * n + [len(x).to_bytes(8, "little") + x + y for x, y in blocks], pa.binary())
     if gone is not None and len(gone):
         k = len(gone)
         extra = [gone["doc"], gone["line"], gone["bits"].view(np.int64), *[None] * 3, np.full(k, EQUAL, np.int32), None]
         for c, x, t in zip(cols, extra, kinds):
             c.append(pa.nulls(k, t) if x is None else pa.array(np.ascontiguousarray(x), t))
-        packed = pa.concat_arrays([packed, pa.nulls(k, pa.binary())])
-    return pa.table([*[pa.concat_arrays(c) for c in cols], packed], names=[*names, "block"])
-
-
-def _compare_blocks(blocks: DataFrame, percent: int, listed: int, wanted=None) -> DataFrame:
+        n += k
+    if blocks is None:
+        return pa.table([pa.concat_arrays(c) for c in cols], names=names)
+    own = [[None] * n + list(c) for c in (zip(*blocks) if blocks else [[]] * 5)]
+    block_kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    cols = [pa.concat_arrays([*c, pa.nulls(len(blocks), t)]) for c, t in zip(cols, kinds)]
+    cols += [pa.array(c, t) for c, t in zip(own, block_kinds)]
+    return pa.table(cols, names=[*names, "word", "number", "low", "high", "block"])
+
+
+def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
+    """(x, y): the packed blocks of one word that can hold sets of similar
+    sizes, each block with itself too. The pairs are made of the blocks'
+    numbers and sizes alone; the entries join them by word and number, so no
+    task holds more than it compares at a time."""
+    size = blocks.select("word", "number", "low", "high")
+    later = size.select("word", F.col("number").alias("other"), F.col("low").alias("other_low"))
+    pairs = size.join(later, "word").where(
+        (F.col("number") <= F.col("other")) & (percent * F.col("other_low") <= 100 * F.col("high")))
+    x = blocks.select("word", "number", F.col("block").alias("x"))
+    y = blocks.select("word", F.col("number").alias("other"), F.col("block").alias("y"))
+    return pairs.select("word", "number", "other").join(x, ["word", "number"]).join(y, ["word", "other"]).select("x", "y")
+
+
+def _compare_blocks(pairs: DataFrame, percent: int, listed: int, wanted=None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in batch.column(0).to_pylist():
-                cut = 8 + int.from_bytes(b[:8], "little")
-                x, y = _unpack(b[8:cut]), _unpack(b[cut:])
-                same = b[8:cut] == b[cut:]
+            for left, right in zip(batch.column(0), batch.column(1)):
+                x, y = _unpack(left.as_py()), _unpack(right.as_py())
+                same = left.equals(right)
                 e = x if same else np.concatenate([x, y])
                 found = Found(e, listed, None if wanted is None else wanted.value)
                 if same:
@@ -467,9 +488,9 @@ def _compare_blocks(blocks: DataFrame, percent: int, listed: int, wanted=None) -
                             a, c = (right + shift) % len(x), len(x) + right
                         ok, apart = _passes(fields, a, c, percent)
                         found.add(a[ok], c[ok], apart)
-                yield from _table(found.rows(), []).to_batches()
+                yield from _table(found.rows()).to_batches()
 
-    return blocks.mapInArrow(run, PAIR)
+    return pairs.mapInArrow(run, PAIR)
 
 
 def _bitmap(rows: DataFrame, bits: int, places) -> np.ndarray:
@@ -599,10 +620,13 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
 
     def candidates(listed: int, wanted=None, words=None) -> DataFrame:
         met = _entries(base, rarity, parts, percent, words).groupBy("part").applyInArrow(
-            _meeting(percent, listed, wanted), PAIR)
+            _meeting(percent, listed, wanted), f"{PAIR}, {BLOCKS}")
         met = stored(met, "line-pairs")
-        blocks = met.where("block IS NOT NULL").select("block").repartition(parts)
-        return met.where("block IS NULL").union(_compare_blocks(blocks, percent, listed, wanted)).drop("block")
+        pairs = met.where("word IS NULL").drop("word", "number", "low", "high", "block")
+        blocks = met.where("word IS NOT NULL").select("word", "number", "low", "high", "block")
+        if blocks.isEmpty():
+            return pairs
+        return pairs.union(_compare_blocks(_block_pairs(blocks, percent).repartition(parts), percent, listed, wanted))
 
     pairs = candidates(1)
     best = stored(pairs.groupBy(*LINE).agg(

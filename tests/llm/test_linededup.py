@@ -46,7 +46,7 @@ def test_matches_brute_force(spark, monkeypatch, seed, listed, block):
     assert got == plain(rows)
 
 
-def test_blocks_of_a_common_word_find_the_same():
+def test_blocks_of_a_common_word_find_the_same(spark):
     import numpy as np
     import pyarrow as pa
 
@@ -63,21 +63,35 @@ def test_blocks_of_a_common_word_find_the_same():
     whole = linededup._meeting(80, 10_000)(table)
     cut = linededup._meeting(80, 10_000, block=9)(table)
     assert not pairs(cut)
-    run = []
-    blocks = pa.table({"block": cut["block"].drop_null()})
-
-    class Frame:
-        def mapInArrow(self, f, _):
-            return [b for batch in blocks.to_batches() for b in f([batch])]
-
-    for b in linededup._compare_blocks(Frame(), 80, 10_000):
-        run += list(zip(b["doc"].to_pylist(), b["cdoc"].to_pylist()))
+    blocks = spark.createDataFrame(cut.select(["word", "number", "low", "high", "block"]).drop_null())
+    met = linededup._compare_blocks(linededup._block_pairs(blocks, 80), 80, 10_000).collect()
+    run = [(r.doc, r.cdoc) for r in met]
     assert set(run) == pairs(whole) and len(set(run)) == len(run) > 50
     best = linededup._meeting(80, 1)(table)
     found = {x for x, _ in pairs(whole)}
     assert {x for x, _ in pairs(best)} == found and pairs(best) <= pairs(whole)
 
 
+def test_a_common_word_leaves_its_task_once(spark):
+    """200,000 lines of one prefix word: the task that meets them emits each
+    entry once, and a pair of blocks holds two blocks."""
+    import numpy as np
+    import pyarrow as pa
+
+    n, block = 200_000, 2_000
+    e = np.zeros(n, linededup.ENTRY)
+    e["doc"], e["n"], e["tok"] = np.arange(n), 5 + np.arange(n) % 40, 7
+    e["bits"] = np.random.default_rng(1).integers(0, 1 << 63, n)
+    out = linededup._meeting(80, 1, block=block)(pa.table({"entries": [linededup._pack(e)], "gone": pa.nulls(1, pa.binary())}))
+    packed = out["block"].drop_null().to_pylist()
+    assert len(packed) == n // block == out.num_rows
+    assert sum(map(len, packed)) == n * linededup.ENTRY.itemsize + 8 * len(packed)
+    blocks = spark.createDataFrame(out.select(["word", "number", "low", "high", "block"]).drop_null())
+    pairs = linededup._block_pairs(blocks, 80).selectExpr("greatest(length(x), length(y)) AS size").collect()
+    assert n // block < len(pairs) < (n // block) ** 2 / 3  # those of similar sizes only
+    assert max(r["size"] for r in pairs) == block * linededup.ENTRY.itemsize + 8
+
+
 def test_packing_round_trip():
     import numpy as np
 
