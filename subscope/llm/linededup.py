@@ -102,11 +102,12 @@ class Lines:
         if _packable(of):
             key = of.astype(np.uint64) << np.uint64(44) | tok
             key.sort()
+            key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
             of, tok = (key >> np.uint64(44)).astype(np.int64), key & _TOKEN
         else:
             tok = tok[np.lexsort((tok, of))]
-        once = np.r_[True, (of[1:] != of[:-1]) | (tok[1:] != tok[:-1])][: len(of)]
-        of, tok = of[once], tok[once]
+            once = np.r_[True, (of[1:] != of[:-1]) | (tok[1:] != tok[:-1])]
+            of, tok = of[once], tok[once]
         if words is not None and len(of):
             held = np.bincount(of, words[_word_hash(tok >> np.uint64(12))] & HELD != 0)
             use = 100 * held >= percent * np.bincount(of)
