@@ -19,6 +19,7 @@ so a date whose rows were corrected or withdrawn goes through
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
@@ -50,18 +51,39 @@ HISTORY_REPORTS = (
 
 _OWNED = {"bb_product_id": 4, "tv_product_id": 2, "vo_product_id": 1}
 
+# Rows that one task groups. A row takes some 230 bytes of each hash table
+# that it passes, up to six in the merge of two histories.
+ROWS_A_TASK = 250_000
+
+
+def tasks_for(*rows: DataFrame) -> int:
+    """How many tasks group these rows, whatever the table's size: as many as
+    there are cores, or more to keep to ``ROWS_A_TASK``. The rows are counted,
+    for stored tables in the footers of the files."""
+    cores = rows[0].sparkSession.sparkContext.defaultParallelism
+    return max(cores, math.ceil(sum(r.count() for r in rows) / ROWS_A_TASK))
+
+
+def dealt(rows: DataFrame, tasks: int) -> DataFrame:
+    """Rows of a history dealt by key. The number holds: adaptive execution
+    merges the partitions that it makes itself up to 64 MB of compressed rows,
+    which are over 1 GB in the hash tables of a merge."""
+    return rows.repartition(tasks, *KEY)
+
 
 def merged(rows: DataFrame) -> DataFrame:
-    """Rows of one or several histories (a union) as one."""
+    """Rows of one or several histories (a union) as one. Histories that are
+    :func:`dealt` to the same number of tasks are merged where they are."""
     return rows.groupBy(*KEY).agg(F.max("last_snapshot").alias("last_snapshot"), F.max("max_age").alias("max_age"))
 
 
-def history_of(crm: DataFrame) -> DataFrame:
-    """The history of CRM rows: one partially aggregated groupBy keyed by
-    account and month."""
-    return merged(crm.selectExpr(
+def history_of(crm: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The history of CRM rows: one groupBy keyed by account and month, in
+    ``tasks`` tasks (counted, if not given)."""
+    rows = crm.selectExpr(
         "account_id", "trunc(snapshot_date, 'MM') AS month", "churn_ts", "install_ts", f"{X.BUNDLE_CODE} AS owned",
-        *LOCATION, "snapshot_date AS last_snapshot", "age_months AS max_age"))
+        *LOCATION, "snapshot_date AS last_snapshot", "age_months AS max_age")
+    return merged(dealt(rows, tasks_for(crm) if tasks is None else tasks))
 
 
 def as_crm(history: DataFrame) -> DataFrame:
@@ -85,14 +107,15 @@ def add_snapshots(spark: SparkSession, root: str, crm: DataFrame) -> list[dt.dat
     months = [r.month for r in crm.selectExpr("trunc(snapshot_date, 'MM') AS month").distinct().collect()]
     if not months:
         return []
-    new = history_of(crm)
     try:
         held = read_history(spark, root).where(F.col("month").isin(months))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
+        new = history_of(crm)
     else:
-        new = merged(new.unionByName(held))
+        tasks = tasks_for(crm, held)
+        new = merged(history_of(crm, tasks).unionByName(dealt(held, tasks)))
     return _write(spark, root, new, months)
 
 

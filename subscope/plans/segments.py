@@ -129,8 +129,8 @@ def active_rollup(t: Tables, p: ReportParams = P) -> DataFrame:
 def crm_history(t: Tables, p: ReportParams = P) -> DataFrame:
     """The CRM as mergeable facts: the histories of the dates up to the 15th
     of a month and of the later ones, made apart and merged."""
-    early = F.dayofmonth("snapshot_date") <= 15
-    return H.merged(H.history_of(t.crm.where(early)).unionByName(H.history_of(t.crm.where(~early))))
+    early, tasks = F.dayofmonth("snapshot_date") <= 15, H.tasks_for(t.crm)
+    return H.merged(H.history_of(t.crm.where(early), tasks).unionByName(H.history_of(t.crm.where(~early), tasks)))
 
 
 def bundle_churners_from_history(t: Tables, p: ReportParams = P) -> DataFrame:

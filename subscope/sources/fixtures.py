@@ -12,6 +12,7 @@ for, and its columns are SQL text, which Spark parses in one call.
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,12 +72,17 @@ CRM = {
 }
 
 
+# customers whose snapshots one task makes
+CUSTOMERS_A_TASK = 16_000
+
+
 def crm_from_customer(customer: DataFrame) -> DataFrame:
     """Two snapshots a month of every customer. The customers (two numbers
-    each) are dealt over all cores first: a customer makes 24 wide rows, and
-    a file of one row group would make them in one task."""
-    cores = customer.sparkSession.sparkContext.defaultParallelism
-    months = customer.select("c_custkey", "c_nationkey").repartition(cores).selectExpr(
+    each) are dealt over all cores first, or over more tasks if they are many
+    (counted in the file's footer): a customer makes 24 wide rows, and a file
+    of one row group would make them in one task."""
+    tasks = max(customer.sparkSession.sparkContext.defaultParallelism, math.ceil(customer.count() / CUSTOMERS_A_TASK))
+    months = customer.select("c_custkey", "c_nationkey").repartition(tasks).selectExpr(
         "c_custkey AS k", "c_nationkey", f"{_churn_month('c_custkey')} AS cm", "explode(sequence(1, 12)) AS m",
     ).where("NOT (k % 4 = 0 AND m > cm)")
     rows = months.selectExpr(

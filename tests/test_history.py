@@ -1,6 +1,7 @@
 """The CRM history by increments: merged, replayed and recomputed states are
 equal, and the reports that run from a history equal those on the CRM."""
 
+import math
 import random
 import tempfile
 
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from subscope.oracle.compare import same, spark_result
 from subscope.operators import history as H
 from subscope.params import ReportParams
+from subscope.plans import segments
 from subscope.plans.reports import REPORTS
+from subscope.sources import fixtures
 from subscope.sources.tables import Tables
 from tests.edge_fixture import tables_from_rows
 from tests.random_fixture import random_tables
@@ -87,3 +90,48 @@ def test_nothing_to_add(spark, world):
 def test_an_update_reads_only_its_months(spark, world, grown):
     plan = H.read_history(spark, grown).where("month = DATE'2021-07-01'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan
+
+
+def _rows_by_task(df):
+    return [r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_task_groups_a_bounded_number_of_rows(spark, world, monkeypatch):
+    monkeypatch.setattr(H, "ROWS_A_TASK", 20, raising=False)
+    whole, tasks = H.history_of(world.crm), math.ceil(world.crm.count() / 20)
+    assert tasks > 8  # more than the session's shuffle partitions
+    got = segments.crm_history(world)
+    # both histories keep the tasks that they were dealt to when they are merged
+    assert _plan(got).count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in _plan(got)
+    assert got.rdd.getNumPartitions() == whole.rdd.getNumPartitions() == tasks
+    assert max(_rows_by_task(got)) <= 3 * 20
+    _equal(got, whole)
+
+
+def test_an_update_groups_a_bounded_number_of_rows(spark, world, monkeypatch):
+    monkeypatch.setattr(H, "ROWS_A_TASK", 20, raising=False)
+    seen, write = [], H._write
+    monkeypatch.setattr(H, "_write", lambda s, r, history, m: (seen.append(history), write(s, r, history, m))[1])
+    root = tempfile.mkdtemp(prefix="subscope-history-") + "/h"
+    early = F.dayofmonth("snapshot_date") <= 15
+    H.add_snapshots(spark, root, world.crm.where(early))
+    held = H.read_history(spark, root).count()
+    H.add_snapshots(spark, root, world.crm.where(~early))
+    _equal(H.read_history(spark, root), H.history_of(world.crm))
+    rows = [world.crm.where(early).count(), world.crm.where(~early).count() + held]
+    for history, n in zip(seen, rows, strict=True):
+        assert f", {math.ceil(n / 20)}), REPARTITION_BY_NUM" in _plan(history)
+        assert "ENSURE_REQUIREMENTS" not in _plan(history)
+
+
+def test_a_task_makes_the_rows_of_a_bounded_number_of_customers(spark, monkeypatch):
+    customer = spark.range(1000).selectExpr("id AS c_custkey", "CAST(id % 25 AS INT) AS c_nationkey").coalesce(1)
+    whole = fixtures.crm_from_customer(customer)
+    monkeypatch.setattr(fixtures, "CUSTOMERS_A_TASK", 50, raising=False)
+    got = fixtures.crm_from_customer(customer)
+    assert got.count() == whole.count() and max(_rows_by_task(got)) <= 24 * 50 * 1.5
+    _equal(got, whole)
