@@ -128,6 +128,14 @@ def test_an_update_groups_a_bounded_number_of_rows(spark, world, monkeypatch):
         assert "ENSURE_REQUIREMENTS" not in _plan(history)
 
 
+def test_the_churners_from_a_history_in_bounded_tasks(spark, world, monkeypatch):
+    monkeypatch.setattr(H, "ROWS_A_TASK", 20, raising=False)
+    got = segments.bundle_churners_from_history(world)
+    tasks = math.ceil(world.crm.count() / 20)
+    assert _plan(got).count(f", {tasks}), REPARTITION_BY_NUM") == 2
+    _equal(got, REPORTS["bundle_churners_by_month"](world))
+
+
 def test_a_task_makes_the_rows_of_a_bounded_number_of_customers(spark, monkeypatch):
     customer = spark.range(1000).selectExpr("id AS c_custkey", "CAST(id % 25 AS INT) AS c_nationkey").coalesce(1)
     whole = fixtures.crm_from_customer(customer)
