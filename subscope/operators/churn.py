@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from subscope.functions import exprs as X
 from subscope.operators.order_filter import counted, maybe_among
-from subscope.operators.orders import disconnect_orders, disconnect_reason_split
+from subscope.operators.orders import dealt_contracts, disconnect_orders, disconnect_reason_split
 from subscope.operators.roles import stack_roles
 from subscope.params import ReportParams
 
@@ -44,13 +44,23 @@ def with_disconnect_order(crm: DataFrame, orders: DataFrame, p: ReportParams) ->
 
     With ``p.order_filter_keys`` (the number of these contracts, see
     :func:`with_order_filter`) a Bloom filter drops nearly all other rows
-    before that move."""
+    before that move.
+
+    With ``p.contract_tasks`` both sides are dealt to that many tasks (or the
+    session's shuffle partitions, if these are more), which the steps by
+    contract that follow keep, so a task's rows are bounded whatever the
+    table's size: adaptive execution merges the partitions that it makes
+    itself, and there are only so many of them."""
     contracts = disconnect_orders(orders, p).select("contract").distinct()
     rows = keyed(crm)
-    if p.order_filter_keys is None:
+    if p.order_filter_keys is None and p.contract_tasks is None:
         return rows.join(contracts, "contract", "left_semi")
-    # an inner join with distinct contracts: a semi-join would be moved below the filter's join
-    return maybe_among(rows, "contract", contracts, p.order_filter_keys).join(contracts, "contract")
+    if p.order_filter_keys is not None:
+        rows = maybe_among(rows, "contract", contracts, p.order_filter_keys)
+    if p.contract_tasks is not None:
+        rows = rows.repartition(p.contract_tasks, "contract")
+    # an inner join with distinct contracts: a semi-join would be moved below the filter's join or the move
+    return rows.join(dealt_contracts(contracts, p), "contract")
 
 
 def with_order_filter(orders: DataFrame, p: ReportParams) -> ReportParams:

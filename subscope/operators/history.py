@@ -60,8 +60,12 @@ def tasks_for(*rows: DataFrame) -> int:
     """How many tasks group these rows, whatever the table's size: as many as
     there are cores, or more to keep to ``ROWS_A_TASK``. The rows are counted,
     for stored tables in the footers of the files."""
-    cores = rows[0].sparkSession.sparkContext.defaultParallelism
-    return max(cores, math.ceil(sum(r.count() for r in rows) / ROWS_A_TASK))
+    return tasks_of(rows[0].sparkSession, sum(r.count() for r in rows))
+
+
+def tasks_of(spark: SparkSession, rows: int) -> int:
+    """:func:`tasks_for` rows that were counted before."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(rows / ROWS_A_TASK))
 
 
 def dealt(rows: DataFrame, tasks: int) -> DataFrame:

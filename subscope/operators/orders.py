@@ -21,6 +21,13 @@ def disconnect_orders(orders: DataFrame, p: ReportParams) -> DataFrame:
     ).select(contract, "opened_on", "sub_reason")
 
 
+def dealt_contracts(rows: DataFrame, p: ReportParams) -> DataFrame:
+    """Rows of a few per contract, dealt by it to ``p.contract_tasks`` tasks
+    if that is given. A task then holds so few of them that a join takes them
+    as a hash table and need not sort the rows it looks up there."""
+    return rows if p.contract_tasks is None else rows.repartition(p.contract_tasks, "contract").hint("shuffle_hash")
+
+
 def disconnect_first_orders(orders: DataFrame, p: ReportParams) -> DataFrame:
     """Earliest disconnect open date per padded contract."""
     return disconnect_orders(orders, p).groupBy("contract").agg(F.min("opened_on").alias("opened_on"))
@@ -56,4 +63,4 @@ def disconnect_reason_split(orders: DataFrame, p: ReportParams) -> DataFrame:
         f"stack(3, d_inv = {first}, contract, {none}, d_vol = {first}, {none}, contract, "
         f"d_none = {first}, {none}, {none}) AS (hit, involuntary_id, voluntary_id)"
     )
-    return per_contract.selectExpr("contract", f"{first} AS opened_on", classes).where("hit").drop("hit")
+    return dealt_contracts(per_contract.selectExpr("contract", f"{first} AS opened_on", classes).where("hit").drop("hit"), p)

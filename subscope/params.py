@@ -24,6 +24,9 @@ class ReportParams:
     # number of contracts that the Bloom filter before the churn semi-join is
     # sized for; None: no filter (results are the same)
     order_filter_keys: int | None = None
+    # least number of tasks that the CRM rows and the contracts of the orders
+    # are dealt to by contract; None: left to Spark (results are the same)
+    contract_tasks: int | None = None
     # month of the last churn date kept by the district churner reports
     churn_month_district: int | None = 8
     churn_month_tenure: int | None = 10

@@ -129,13 +129,22 @@ def active_rollup(t: Tables, p: ReportParams = P) -> DataFrame:
 def crm_history(t: Tables, p: ReportParams = P) -> DataFrame:
     """The CRM as mergeable facts: the histories of the dates up to the 15th
     of a month and of the later ones, made apart and merged."""
-    early, tasks = F.dayofmonth("snapshot_date") <= 15, H.tasks_for(t.crm)
+    return _halves_merged(t, H.tasks_for(t.crm))
+
+
+def _halves_merged(t: Tables, tasks: int) -> DataFrame:
+    early = F.dayofmonth("snapshot_date") <= 15
     return H.merged(H.history_of(t.crm.where(early), tasks).unionByName(H.history_of(t.crm.where(~early), tasks)))
 
 
 def bundle_churners_from_history(t: Tables, p: ReportParams = P) -> DataFrame:
-    """P01 from the history in place of the CRM table."""
-    return bundle_churners_by_month(dataclasses.replace(t, crm=H.as_crm(crm_history(t, p))), p)
+    """P01 from the history in place of the CRM table. The history has at most
+    the CRM's rows, so these and the orders, counted, give the tasks of the
+    steps by contract."""
+    spark, rows = t.crm.sparkSession, t.crm.count()
+    history = _halves_merged(t, H.tasks_of(spark, rows))
+    p = dataclasses.replace(p, contract_tasks=H.tasks_of(spark, rows + t.orders.count()))
+    return bundle_churners_by_month(dataclasses.replace(t, crm=H.as_crm(history)), p)
 
 
 def crm_installs_in_year(t: Tables, p: ReportParams = P) -> DataFrame:

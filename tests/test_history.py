@@ -1,6 +1,7 @@
 """The CRM history by increments: merged, replayed and recomputed states are
 equal, and the reports that run from a history equal those on the CRM."""
 
+import dataclasses
 import math
 import random
 import tempfile
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from subscope.oracle.compare import same, spark_result
+from subscope.operators import churn as C
 from subscope.operators import history as H
 from subscope.params import ReportParams
 from subscope.plans import segments
@@ -136,6 +138,34 @@ def test_the_churners_from_a_history_in_bounded_tasks(spark, world, monkeypatch)
     _equal(got, REPORTS["bundle_churners_by_month"](world))
 
 
+def test_the_contracts_of_a_history_in_bounded_tasks(spark, world, monkeypatch):
+    monkeypatch.setattr(H, "ROWS_A_TASK", 20, raising=False)
+    seen, kept = [], C.with_disconnect_order
+    monkeypatch.setattr(C, "with_disconnect_order", lambda *a: (seen.append(kept(*a)), seen[-1])[1])
+    got = segments.bundle_churners_from_history(world)
+    tasks = math.ceil((world.crm.count() + world.orders.count()) / 20)
+    assert tasks > 8  # more than the session's shuffle partitions
+    # the history, the contracts and their first orders meet where they are dealt to, none of them sorted for it
+    assert _plan(got).count("hashpartitioning(contract#") >= 3
+    assert _plan(got).count(f", {tasks}), REPARTITION_BY_NUM") == 3 and "SortMergeJoin" not in _plan(got)
+    assert seen[0].rdd.getNumPartitions() == tasks and max(_rows_by_task(seen[0])) < seen[0].count() / 3
+    _equal(got, REPORTS["bundle_churners_by_month"](world))
+
+
+@pytest.mark.parametrize("keys", [None, 100], ids=["plain", "filtered"])
+@pytest.mark.parametrize("key", ["bundle_churners_by_month", "bundle_churner_tenure", "district_churners"])
+def test_dealt_contracts_change_no_result(spark, world, key, keys):
+    accounts = ["7", "0000000007", "990000000007", None, "8"]
+    more = world.crm.limit(40).crossJoin(spark.createDataFrame([(a,) for a in accounts], "a string")).withColumn(
+        "account_id", F.col("a")).drop("a")
+    quits = world.orders.limit(40).crossJoin(spark.createDataFrame([("7",), (None,)], "c string")).withColumn(
+        "contract_id", F.col("c")).drop("c")
+    t = Tables(world.crm.unionByName(more), world.orders.unionByName(quits).unionByName(quits), world.activations,
+               world.speeds, world.districts)
+    p = ReportParams(churn_month_district=None)
+    _equal(REPORTS[key](t, p), REPORTS[key](t, dataclasses.replace(p, contract_tasks=13, order_filter_keys=keys)))
+
+
 def test_a_task_makes_the_rows_of_a_bounded_number_of_customers(spark, monkeypatch):
     customer = spark.range(1000).selectExpr("id AS c_custkey", "CAST(id % 25 AS INT) AS c_nationkey").coalesce(1)
     whole = fixtures.crm_from_customer(customer)
